@@ -230,15 +230,14 @@ def _(spark, d):
     return rounded(table, *[c for c in table.columns if c != "model"])
 
 
-# Runs of very different size: system m answers only every (m+1)^2-th item.
-RUNS_SQL = "runs AS (SELECT item_id, model, correct FROM eval_long WHERE item_id % ((substr(model,2)::BIGINT+1)*(substr(model,2)::BIGINT+1)) = 0)"
+# A run is a system on one language; languages differ in size.
+RUNS_SQL = "runs AS (SELECT item_id, model||'_'||task AS model, correct FROM eval_long), sizes AS (SELECT model, count(*) AS c FROM runs GROUP BY model)"
 
 
-@query("IO3_discover_runs", o.with_(o.EVAL, RUNS_SQL, body="SELECT item_id, model, correct FROM runs WHERE model IN (SELECT model FROM runs GROUP BY model HAVING count(*)>=100)"))
+@query("IO3_discover_runs", o.with_(o.EVAL, RUNS_SQL, body="SELECT item_id, model, correct FROM runs WHERE model IN (SELECT model FROM sizes WHERE c>=125)"))
 def _(spark, d):
-    m = F.substring("model", 2, 9).cast("long") + 1
-    runs = b.eval_long(spark, d).where(F.col("item_id") % (m * m) == 0)
-    return acc.discover_runs(runs).select("item_id", "model", "correct")
+    runs = b.eval_long(spark, d).withColumn("model", F.concat_ws("_", "model", "task"))
+    return acc.discover_runs(runs, 125).select("item_id", "model", "correct")
 
 
 COND_SQL = "cond AS (SELECT *, CASE WHEN item_id%2=0 THEN 'zero_shot' ELSE 'cot' END AS condition FROM valid)"
@@ -387,12 +386,12 @@ def perturbed_predictions(spark, d):
     changed = (k > 0) & ((i * (k + 2)) % 4 == 0)
     return rows.select(
         "model", "item_id", "task", F.col("_c.condition").alias("condition"),
-        F.when(changed, F.concat(F.lit("changed "), F.left("text", F.lit(60)))).otherwise(F.concat(F.lit(" "), F.left("text", F.lit(80)), k.cast("string"))).alias("prediction"),
+        F.when(changed, F.concat(F.lit("changed "), F.col("text"))).otherwise(F.concat(F.lit(" "), F.col("text"), k.cast("string"))).alias("prediction"),
         F.when(changed, 1 - F.col("correct")).otherwise(F.col("correct")).alias("correct"),
     )
 
 
-ROB_SQL = f"""pp AS (SELECT model, item_id, task, k, CASE WHEN k>0 AND (item_id*(k+2))%4=0 THEN 'changed '||left(text,60) ELSE ' '||left(text,80)||k END AS prediction,
+ROB_SQL = f"""pp AS (SELECT model, item_id, task, k, CASE WHEN k>0 AND (item_id*(k+2))%4=0 THEN 'changed '||text ELSE ' '||text||k END AS prediction,
  CASE WHEN k>0 AND (item_id*(k+2))%4=0 THEN 1-correct ELSE correct END AS correct FROM valid CROSS JOIN (SELECT unnest(range(0,4)) AS k) t WHERE model<'m3'),
 op AS (SELECT model, item_id, task, k, left({o.strip('prediction')},50) AS s, correct FROM pp),
 rob AS (SELECT a.model, a.item_id, a.task, a.correct AS original_correct, b.correct AS date_correct, c.correct AS number_correct, e.correct AS synonym_correct,

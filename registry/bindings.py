@@ -50,37 +50,42 @@ def _upper_ascii(c: Column) -> Column:
 
 
 def answer_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Reference and prediction texts in which every scoring stage occurs."""
-    docs = table(spark, d, "documents").select(
-        "doc_id",
-        F.slice(F.filter(F.split("text", r"[\s\p{Z}]+"), lambda w: w != ""), 1, 12).alias("w"),
-    )
-    size = docs.select(F.count(F.lit(1))).scalar()
-    docs = docs.withColumn("other_id", (F.col("doc_id") * 13 + 7) % size)
-    other = docs.select(F.col("doc_id").alias("other_id"), F.array_join("w", " ").alias("other"))
-    rows = docs.join(other, "other_id", "left")
-    i, first, w = F.col("doc_id"), F.array_join("w", " "), F.col("w")
-    kind, half = i % 6, F.floor(i / 6) % 2
+    """Every 12-word window of every document as a reference, with a prediction
+    derived from it such that every scoring stage occurs."""
+    docs = table(spark, d, "documents").select("doc_id", F.filter(F.split("text", r"[\s\p{Z}]+"), lambda w: w != "").alias("all"))
+    pieces = docs.where(F.size("all") > 0).withColumn("st", F.explode(F.sequence(F.lit(0), F.size("all") - 1, F.lit(12))))
+    pieces = pieces.select("doc_id", (F.col("st") / 12).cast("long").alias("pos"), F.slice("all", F.col("st") + 1, F.lit(12)).alias("w"))
+    size = table(spark, d, "documents").select(F.count(F.lit(1))).scalar()
+    other = pieces.select(F.col("doc_id").alias("other_id"), "pos", F.col("w").alias("ow"))
+    rows = pieces.withColumn("other_id", (F.col("doc_id") * 13 + 7) % size).join(other, ["other_id", "pos"], "left")
+    i, w = F.col("doc_id") * 1000000 + F.col("pos"), F.col("w")
+    ow = F.coalesce("ow", F.array().cast("array<string>"))
+    rows = rows.select(i.alias("item_id"), w.alias("w"), ow.alias("ow"), F.array_join(w, " ").alias("f"), (i % 12).alias("kind"), F.floor(i / 12 % 2).alias("half"))
+    i, w, ow, first, kind, half = (F.col(c) for c in ("item_id", "w", "ow", "f", "kind", "half"))
+    number = (i % 500).cast("string")
     reference = (
-        F.when(kind == 3, F.concat(F.lit("Yes, "), first))
-        .when(kind == 4, F.concat(first, F.lit(" "), (i % 500).cast("string"), F.lit(" crore")))
+        F.when(kind.isin(4, 5), F.concat(F.lit("Yes, "), first))
+        .when(kind.isin(6, 7), F.concat(first, F.lit(" "), number, F.lit(" crore")))
         .otherwise(first)
     )
     prediction = (
-        F.when(i % 97 == 5, "FAIL: timeout").when(i % 89 == 3, "It cannot be determined from the context").when(i % 101 == 7, "")
-        .when(kind == 0, F.concat(_upper_ascii(first), F.lit(" !")))
-        .when(kind == 1, F.array_join(F.reverse(w), " "))
-        .when(kind == 2, F.array_join(F.filter(w, lambda x, k: k % 4 != 3), " "))
-        .when(kind == 3, F.when(half == 0, F.concat(F.lit("yes "), F.array_join(F.slice(w, 1, 6), " "))).otherwise(F.concat(F.lit("No, "), first)))
-        .when(kind == 4, F.concat(F.lit("about "), (i % 500 + half).cast("string"), F.lit(" units in total")))
-        .otherwise(F.coalesce(F.col("other"), F.lit("")))
+        F.when(kind < 2, F.concat(_upper_ascii(first), F.lit(" !")))
+        .when(kind == 2, F.array_join(F.reverse(w), " "))
+        .when(kind == 3, F.array_join(F.filter(w, lambda x, k: k % 4 != 3), " "))
+        .when(kind == 4, F.concat(F.lit("yes "), F.array_join(F.slice(w, 1, 6), " ")))
+        .when(kind == 5, F.concat(F.lit("No, "), first))
+        .when(kind.isin(6, 7), F.concat(F.lit("about "), (i % 500 + half).cast("string"), F.lit(" units in total")))
+        .when(kind == 8, F.array_join(ow, " "))
+        .when(kind == 9, F.concat_ws(" ", F.slice(w, 1, 9), F.slice(ow, 1, 3)))
+        .when(kind == 10, F.concat(first, F.lit(" indeed")))
+        .when(F.floor(i / 12) % 3 == 0, "FAIL: timeout").when(F.floor(i / 12) % 3 == 1, F.concat(first, F.lit(", or it cannot be determined"))).otherwise("")
     )
     task = (
-        F.when(kind == 3, "contradiction_detection").when(kind == 4, "numerical_reasoning")
-        .when(kind < 2, "regulatory_interpretation").otherwise("temporal_reasoning")
+        F.when(kind.isin(4, 5), "contradiction_detection").when(kind.isin(6, 7), "numerical_reasoning")
+        .when(kind < 3, "regulatory_interpretation").otherwise("temporal_reasoning")
     )
     return rows.select(
-        i.alias("item_id"), F.concat(F.lit("m"), (i % 4).cast("string")).alias("model"), task.alias("task"),
+        "item_id", F.concat(F.lit("m"), (F.floor(i / 7) % 4).cast("string")).alias("model"), task.alias("task"),
         reference.alias("reference"), prediction.alias("prediction"),
     )
 

@@ -18,22 +18,25 @@ RATINGS = """ratings AS (SELECT doc_id AS item_id, lang AS task, rater,
   CASE WHEN rater = 0 OR (doc_id*31 + rater*17) % 10 < 8 THEN quality ELSE 1-quality END AS label
   FROM labels JOIN documents USING (doc_id) CROSS JOIN (SELECT unnest(range(0,3)) AS rater) r)"""
 
-WORDS12 = "list_filter(string_split_regex(text, '[\\s\\p{Z}]+'), lambda w: w <> '')[1:12]"
-
-PAIRS = f"""docw AS (SELECT doc_id AS i, {WORDS12} AS w FROM documents),
-docx AS (SELECT a.i, a.w, array_to_string(a.w,' ') AS f, array_to_string(b.w,' ') AS other, a.i % 6 AS kind, (a.i // 6) % 2 AS half
-  FROM docw a LEFT JOIN docw b ON b.i = (a.i*13+7) % (SELECT count(*) FROM docw)),
-answer_pairs AS (SELECT i AS item_id, 'm'||(i%4) AS model,
-  CASE kind WHEN 3 THEN 'contradiction_detection' WHEN 4 THEN 'numerical_reasoning'
-    WHEN 0 THEN 'regulatory_interpretation' WHEN 1 THEN 'regulatory_interpretation' ELSE 'temporal_reasoning' END AS task,
-  CASE kind WHEN 3 THEN 'Yes, '||f WHEN 4 THEN f||' '||(i%500)||' crore' ELSE f END AS reference,
-  CASE WHEN i%97=5 THEN 'FAIL: timeout' WHEN i%89=3 THEN 'It cannot be determined from the context' WHEN i%101=7 THEN ''
-    WHEN kind=0 THEN translate(f,'abcdefghijklmnopqrstuvwxyz','ABCDEFGHIJKLMNOPQRSTUVWXYZ')||' !'
-    WHEN kind=1 THEN array_to_string(list_reverse(w),' ')
-    WHEN kind=2 THEN array_to_string(list_filter(w, lambda x, k: (k-1)%4 <> 3),' ')
-    WHEN kind=3 THEN CASE half WHEN 0 THEN 'yes '||array_to_string(w[1:6],' ') ELSE 'No, '||f END
-    WHEN kind=4 THEN 'about '||(i%500+half)||' units in total'
-    ELSE coalesce(other,'') END AS prediction
+PAIRS = """docw AS (SELECT doc_id, list_filter(string_split_regex(text, '[\\s\\p{Z}]+'), lambda w: w <> '') AS w FROM documents),
+pieces AS (SELECT doc_id, st//12 AS pos, w[st+1:st+12] AS w FROM (SELECT doc_id, w, unnest(range(0, len(w), 12)) AS st FROM docw)),
+docx AS (SELECT a.doc_id*1000000+a.pos AS i, a.w, array_to_string(a.w,' ') AS f, coalesce(b.w, []) AS ow,
+   (a.doc_id*1000000+a.pos) % 12 AS kind, ((a.doc_id*1000000+a.pos) // 12) % 2 AS half
+  FROM pieces a LEFT JOIN pieces b ON b.doc_id = (a.doc_id*13+7) % (SELECT count(*) FROM documents) AND b.pos = a.pos),
+answer_pairs AS (SELECT i AS item_id, 'm'||((i//7)%4) AS model,
+  CASE WHEN kind IN (4,5) THEN 'contradiction_detection' WHEN kind IN (6,7) THEN 'numerical_reasoning'
+    WHEN kind<3 THEN 'regulatory_interpretation' ELSE 'temporal_reasoning' END AS task,
+  CASE WHEN kind IN (4,5) THEN 'Yes, '||f WHEN kind IN (6,7) THEN f||' '||(i%500)||' crore' ELSE f END AS reference,
+  CASE WHEN kind<2 THEN translate(f,'abcdefghijklmnopqrstuvwxyz','ABCDEFGHIJKLMNOPQRSTUVWXYZ')||' !'
+    WHEN kind=2 THEN array_to_string(list_reverse(w),' ')
+    WHEN kind=3 THEN array_to_string(list_filter(w, lambda x, k: (k-1)%4 <> 3),' ')
+    WHEN kind=4 THEN 'yes '||array_to_string(w[1:6],' ')
+    WHEN kind=5 THEN 'No, '||f
+    WHEN kind IN (6,7) THEN 'about '||(i%500+half)||' units in total'
+    WHEN kind=8 THEN array_to_string(ow,' ')
+    WHEN kind=9 THEN array_to_string(list_concat(w[1:9], ow[1:3]),' ')
+    WHEN kind=10 THEN f||' indeed'
+    WHEN (i//12)%3=0 THEN 'FAIL: timeout' WHEN (i//12)%3=1 THEN f||', or it cannot be determined' ELSE '' END AS prediction
   FROM docx)"""
 
 REG = """reg_text AS (SELECT o_orderkey AS id,
