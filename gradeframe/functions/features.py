@@ -72,12 +72,12 @@ def readability(text: Column, n_words: Column) -> tuple[Column, Column]:
 
 
 def text_features(
-    df: DataFrame, context: str = "context", question: str | None = "question", readability_chars: int | None = 1000
+    df: DataFrame, context: str = "context", question: str | None = "question", readability_chars: int | None = None
 ) -> DataFrame:
     """Eleven surface features of an item.
 
-    The readability pair is defined on the opening ``readability_chars``
-    characters (``None`` for the whole text); short contexts get 50 and 10.
+    Readability is taken over the whole context, or over its opening
+    ``readability_chars`` characters when given; short contexts get 50 and 10.
     """
     ctx = F.coalesce(F.col(context), F.lit(""))
     text = _combined(context, question)

@@ -11,24 +11,19 @@ from gradeframe.functions.text import col, strip
 
 
 def judge_scores(reply: Column | str) -> Column:
-    """Struct of three 0/1 scores; NULL when the reply holds no usable JSON."""
+    """Struct of three integer scores; NULL when the reply holds no usable JSON.
+
+    A missing score counts as 0; a score that is no integer spoils the reply.
+    """
     body = F.regexp_extract(col(reply), r"(?s)\{.*\}", 0)
     parsed = F.from_json(body, schemas.JUDGE_SCORES, {"mode": "PERMISSIVE"})
     names = {"event": "event_identification", "ordering": "temporal_ordering", "final": "final_state_answer"}
-    scores = {
-        short: F.coalesce(F.expr("CAST(NULL AS INT)"), F.try_to_number(F.trim(parsed[full]["score"]), F.lit("999")).cast("int"))
-        for short, full in names.items()
-    }
-    present = {
-        short: F.when(parsed[full]["score"].isNull(), F.lit(0)).otherwise(value)
-        for (short, full), value in zip(names.items(), scores.values())
-    }
-    usable = (body != "") & parsed.isNotNull() & F.coalesce(*[parsed[full]["score"] for full in names.values()]).isNotNull()
-    clean = [value.isNotNull() for value in present.values()]
-    return F.when(
-        usable & clean[0] & clean[1] & clean[2],
-        F.struct(*[value.alias(f"{short}_score") for short, value in present.items()]),
-    )
+    raw = {short: parsed[full]["score"] for short, full in names.items()}
+    scores = {short: F.when(text.isNull(), F.lit(0)).otherwise(F.trim(text).try_cast("int")) for short, text in raw.items()}
+    usable = F.json_object_keys(body).isNotNull()
+    for score in scores.values():
+        usable = usable & score.isNotNull()
+    return F.when(usable, F.struct(*[score.alias(f"{short}_score") for short, score in scores.items()]))
 
 
 def parse_verdict(reply: Column | str) -> Column:

@@ -172,7 +172,7 @@ def paired_bootstrap_indexed(
     )
     size = shared.select(F.max("_i") + 1).scalar()
     observed = shared.select(F.avg(F.col("_d").cast("double"))).scalar()
-    draws = shared.select(F.col("_i").alias("_j"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).cast("long").alias("replicate"))
+    draws = shared.select(F.col("_i").alias("_j"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate"))
     target = (F.col("_j") * F.col("_j") * 7919 + F.col("replicate") * 104729 + F.col("_j") * F.col("replicate") * 31) % size
     drawn = draws.groupBy("replicate", target.alias("_i")).agg(F.count(F.lit(1)).alias("_w")).join(shared, "_i")
     means = drawn.groupBy("replicate").agg((F.sum(F.col("_w") * F.col("_d")) / F.sum("_w")).alias("mean_delta"))

@@ -1 +1,100 @@
+"""Systems compared item by item over ``eval_long``."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gradeframe.operators import pairs as pr
+from registry import bindings as b
+from registry import oracle as o
+from registry import query
+from registry.accuracy_queries import GROUPS, rounded, valid
+
+
+@query("J1_aligned_pairs", o.with_(o.VALID, body="SELECT a.item_id, a.task, a.correct AS correct_a, b.correct AS correct_b FROM valid a JOIN valid b ON a.item_id=b.item_id AND a.model='m0' AND b.model='m3'"))
+def _(spark, d):
+    return pr.aligned_pairs(valid(spark, d), "m0", "m3", keep=["task"])
+
+
+AP = """ap AS (SELECT a.task, a.model AS model_a, b.model AS model_b, a.correct AS ca, b.correct AS cb FROM valid a JOIN valid b ON a.item_id=b.item_id AND a.model<b.model)"""
+COUNTS = """count(*) AS n, count(*) FILTER (ca=1 AND cb=1) AS "both", count(*) FILTER (ca=1 AND cb=0) AS only_a, count(*) FILTER (ca=0 AND cb=1) AS only_b,
+ round(avg(ca),6) AS acc_a, round(avg(cb),6) AS acc_b, round(avg(ca-cb),6) AS delta"""
+
+
+@query("J2_all_pairs", o.with_(o.VALID, AP, body=f"SELECT model_a, model_b, {COUNTS} FROM ap GROUP BY ALL"))
+def _(spark, d):
+    return rounded(pr.all_pairs(valid(spark, d)), "acc_a", "acc_b", "delta")
+
+
+@query("J2_all_pairs_by_task", o.with_(o.VALID, AP, body=f"SELECT task, model_a, model_b, {COUNTS} FROM ap GROUP BY ALL"))
+def _(spark, d):
+    return rounded(pr.all_pairs(valid(spark, d), ["task"]), "acc_a", "acc_b", "delta")
+
+
+@query("J6_correctness_matrix", o.with_(o.VALID, body="SELECT item_id, " + ", ".join(f"max(CASE WHEN model='{m}' THEN correct END) AS {m}" for m in b.MODELS) + " FROM valid GROUP BY item_id"))
+def _(spark, d):
+    return pr.correctness_matrix(valid(spark, d), b.MODELS)
+
+
+JAC = """grid AS (SELECT i.item_id, 'm'||m AS model, coalesce(v.correct,0) AS c FROM (SELECT DISTINCT item_id FROM valid) i CROSS JOIN (SELECT unnest(range(0,6)) AS m) r
+ LEFT JOIN valid v ON v.item_id=i.item_id AND v.model='m'||m)"""
+
+
+@query("A18_error_jaccard", o.with_(o.VALID, JAC, body="""
+SELECT a.model AS model_a, b.model AS model_b, count(*) FILTER (a.c=0 AND b.c=0) AS n_both_wrong, count(*) FILTER (a.c=0 OR b.c=0) AS n_either_wrong,
+ round(CASE WHEN a.model=b.model THEN 1 WHEN count(*) FILTER (a.c=0 OR b.c=0)=0 THEN 0 ELSE count(*) FILTER (a.c=0 AND b.c=0)/count(*) FILTER (a.c=0 OR b.c=0) END,6)::DOUBLE AS jaccard
+FROM grid a JOIN grid b USING (item_id) GROUP BY a.model, b.model"""))
+def _(spark, d):
+    return rounded(pr.error_jaccard(valid(spark, d)), "jaccard")
+
+
+@query("D2_paired_bootstrap")
+def _(spark, d):
+    return pr.paired_bootstrap(valid(spark, d))
+
+
+@query("D2_paired_bootstrap_by_task")
+def _(spark, d):
+    return pr.paired_bootstrap(valid(spark, d), ["task"])
+
+
+# With a normal approximation of the replicates the p-value is known up to Monte-Carlo error.
+@query("D2_paired_bootstrap_decisions", o.with_(o.VALID, AP, "s AS (SELECT model_a, model_b, count(*) AS n, avg(ca-cb) AS delta, stddev_pop(ca-cb)/sqrt(count(*)) AS se FROM ap GROUP BY ALL)", body="""
+SELECT model_a, model_b, n, round(delta,6) AS delta, CASE WHEN abs(delta)/se > 2.6 THEN 'significant' WHEN abs(delta)/se < 1.4 THEN 'not significant' ELSE 'close' END AS decision FROM s"""))
+def _(spark, d):
+    rows = pr.paired_bootstrap(valid(spark, d))
+    n, g, loss = F.col("n").cast("double"), F.col("only_a"), F.col("only_b")
+    mean = (g - loss) / n
+    z = F.abs(mean) / F.sqrt(((g + loss) / n - mean * mean) / n)
+    close = (z >= 1.4) & (z <= 2.6)
+    return rows.select("model_a", "model_b", "n", F.round("delta", 6).alias("delta"),
+                       F.when(close, "close").when(F.col("significant"), "significant").otherwise("not significant").alias("decision"))
+
+
+INDEXED = """sh AS (SELECT a.item_id AS i, a.correct-b.correct AS d FROM eval_long a JOIN eval_long b ON a.item_id=b.item_id AND a.model='m0' AND b.model='m1'),
+sz AS (SELECT max(i)+1 AS n FROM sh), ob AS (SELECT avg(d) AS obs FROM sh),
+dr AS (SELECT r, (j.i*j.i*7919 + r*104729 + j.i*r*31) % (SELECT n FROM sz) AS i FROM sh j CROSS JOIN (SELECT unnest(range(0,20)) AS r) t),
+mn AS (SELECT r AS replicate, avg(d) AS m FROM dr JOIN sh USING (i) GROUP BY r)"""
+
+
+@query("D3_paired_bootstrap_indexed", o.with_(o.EVAL, INDEXED, body="""
+SELECT replicate, round(m,6) AS mean_delta, round(obs,6) AS observed, CASE WHEN abs(round(m-obs,9))>=round(abs(obs),9) THEN 1 ELSE 0 END AS extreme FROM mn, ob"""))
+def _(spark, d):
+    return rounded(pr.paired_bootstrap_indexed(b.eval_long(spark, d), "m0", "m1"), "mean_delta", "observed")
+
+
+TWO = """sd AS (SELECT *, CASE WHEN model IN ('m0','m1') THEN 'reasoning' WHEN model IN ('m2','m3','m4') THEN 'standard' END AS side FROM valid),
+ps AS (SELECT task, side, correct, row_number() OVER (PARTITION BY side, task ORDER BY model, item_id) AS p FROM sd WHERE side IS NOT NULL),
+zp AS (SELECT a.task, a.correct AS ca, b.correct AS cb FROM ps a JOIN ps b ON a.task=b.task AND a.p=b.p AND a.side='reasoning' AND b.side='standard')"""
+
+
+@query("D4_two_sample_counts", o.with_(o.VALID, TWO, body="""
+SELECT task, count(*) AS n, round(avg(ca),6) AS acc_a, round(avg(cb),6) AS acc_b, count(*) FILTER (ca=1 AND cb=0) AS only_a, count(*) FILTER (ca=0 AND cb=1) AS only_b FROM zp GROUP BY task"""))
+def _(spark, d):
+    out = pr.two_sample_bootstrap(valid(spark, d), GROUPS, "reasoning", "standard")
+    return rounded(out.drop("p_value", "significant"), "acc_a", "acc_b")
+
+
+@query("D4_two_sample_bootstrap")
+def _(spark, d):
+    return pr.two_sample_bootstrap(valid(spark, d), GROUPS, "reasoning", "standard")

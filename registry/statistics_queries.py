@@ -1 +1,118 @@
+"""Ranks, concordance, correlations, trends and regressions."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gradeframe.functions import features as feat
+from gradeframe.functions import text as t
+from gradeframe.operators import accuracy as acc
+from gradeframe.operators import correlation as cor
+from gradeframe.operators import items as it
+from gradeframe.operators import ranks as rk
+from gradeframe.operators import regression as rg
+from registry import bindings as b
+from registry import oracle as o
+from registry import query
+from registry.accuracy_queries import CELLS, rounded, valid
+
+RANK = "(rank() OVER (PARTITION BY {p} ORDER BY {v}) + (count(*) OVER (PARTITION BY {p}, {v}) - 1)/2.0)"
+
+
+def table(spark, d):
+    return acc.cells(valid(spark, d), ["model", "task"]).withColumn("accuracy", acc.ratio("n_correct", "n"))
+
+
+@query("W2_rank_average", f"SELECT event_id, {RANK.format(p='event_type', v='value')}::DOUBLE AS avg_rank FROM events WHERE value IS NOT NULL")
+def _(spark, d):
+    return rk.rank_average(b.table(spark, d, "events").where("value IS NOT NULL"), ["event_type"], "value").select("event_id", "avg_rank")
+
+
+KW = f"rk AS (SELECT model, task, {RANK.format(p='model', v='accuracy')} AS r FROM cells), sm AS (SELECT task, sum(r) AS s, count(*) AS m FROM rk GROUP BY task)"
+KW2 = 'k AS (SELECT max(m) AS n_raters, count(*) AS n_items, var_pop(s)*count(*) AS ss FROM sm), w AS (SELECT *, 12*ss/(n_raters*n_raters*(n_items**3-n_items)) AS w FROM k)'
+
+
+@query("A19_kendalls_w", o.with_(o.VALID, CELLS, KW, KW2, body="""
+SELECT n_raters, n_items, round(ss,6) AS "S", round(w,6) AS "W", round(n_raters*(n_items-1)*w,6) AS chi2, CASE WHEN w>0.7 THEN 'Strong' WHEN w>0.4 THEN 'Moderate' ELSE 'Weak' END AS strength FROM w"""))
+def _(spark, d):
+    return rounded(cor.kendalls_w(table(spark, d), p_value=False), "S", "W", "chi2")
+
+
+@query("A19_kendalls_w_p")
+def _(spark, d):
+    return cor.kendalls_w(table(spark, d))
+
+
+LEN = f"ln AS (SELECT v.*, {o.word_count('v.text')} AS n_words FROM valid v)"
+
+
+def sized(spark, d):
+    return valid(spark, d, ["text"]).withColumn("n_words", t.word_count("text"))
+
+
+@query("D6_pearson", o.with_(o.VALID, LEN, body="SELECT model, count(*) AS n, round(corr(n_words, correct),6) AS r FROM ln GROUP BY model"))
+def _(spark, d):
+    return rounded(cor.pearson(sized(spark, d), "n_words", "correct", ["model"], p_value=False), "r")
+
+
+@query("D6_pearson_p")
+def _(spark, d):
+    return cor.pearson(sized(spark, d), "n_words", "correct", ["model"])
+
+
+SPEAR = f"rr AS (SELECT model, {RANK.format(p='model', v='n_words')} AS a, {RANK.format(p='model', v='correct')} AS b FROM ln)"
+
+
+@query("D7_spearman", o.with_(o.VALID, LEN, SPEAR, body="SELECT model, count(*) AS n, round(corr(a,b),6) AS rho FROM rr GROUP BY model"))
+def _(spark, d):
+    return rounded(cor.spearman(sized(spark, d), "n_words", "correct", ["model"], p_value=False), "rho")
+
+
+@query("D7_spearman_p")
+def _(spark, d):
+    return cor.spearman(sized(spark, d), "n_words", "correct", ["model"])
+
+
+FEAT = f"""ft AS (SELECT item_id, task, {o.word_count('text')} AS ctx_len, {o.count_matches('text', '[.;]')} AS sentence_count, {o.count_matches('text', r'(?i)\bif\b|\bwhere\b|\bprovided that\b|\bsubject to\b|\bnotwithstanding\b')} AS num_conditions FROM items),
+ens AS (SELECT item_id, 1-avg(correct) AS y FROM valid GROUP BY item_id),
+fl AS (SELECT task, 'ctx_len' AS feature, ctx_len AS v, y FROM ft JOIN ens USING (item_id) UNION ALL SELECT task, 'sentence_count', sentence_count, y FROM ft JOIN ens USING (item_id) UNION ALL SELECT task, 'num_conditions', num_conditions, y FROM ft JOIN ens USING (item_id)),
+fr AS (SELECT task, feature, {RANK.format(p='task, feature', v='v')} AS a, {RANK.format(p='task, feature', v='round(y,9)')} AS b FROM fl)"""
+
+
+def featured(spark, d):
+    rows = feat.text_features(b.items(spark, d), "text", None)
+    ens = it.ensemble_accuracy(valid(spark, d))
+    return rows.join(ens, "item_id").withColumn("error", F.round(1 - F.col("ensemble_accuracy"), 9))
+
+
+@query("D7_spearman_features", o.with_(o.VALID, FEAT, body="SELECT task, feature, count(*) AS n, round(corr(a,b),6) AS rho FROM fr GROUP BY task, feature HAVING count(*)>=10"))
+def _(spark, d):
+    out = cor.spearman_features(featured(spark, d), ["ctx_len", "sentence_count", "num_conditions"], "error")
+    return rounded(out.drop("p_value"), "rho")
+
+
+@query("D8_spearman_matrix", o.with_(o.VALID, CELLS, f"rk AS (SELECT model, task, {RANK.format(p='task', v='accuracy')} AS r FROM cells)", body="""
+SELECT a.task AS task_a, b.task AS task_b, round(corr(a.r,b.r),6) AS rho FROM rk a JOIN rk b USING (model) GROUP BY a.task, b.task"""))
+def _(spark, d):
+    return rounded(cor.spearman_matrix(table(spark, d)), "rho")
+
+
+@query("D9_linear_trend", o.with_(o.VALID, LEN, body="SELECT model, count(*) AS n, round(regr_slope(correct, n_words),9) AS slope, round(regr_intercept(correct, n_words),6) AS intercept FROM ln GROUP BY model"))
+def _(spark, d):
+    return rounded(rounded(cor.linear_trend(sized(spark, d), "n_words", "correct", ["model"]), "intercept"), "slope", digits=9)
+
+
+@query("D10_regression_cells", o.with_(o.VALID, body="SELECT difficulty, task, correct::DOUBLE AS label, count(*)::DOUBLE AS weight FROM valid GROUP BY ALL"))
+def _(spark, d):
+    return rg.regression_cells(valid(spark, d))
+
+
+@query("D10_logit_regression")
+def _(spark, d):
+    return rg.logit_regression(valid(spark, d), b.LEVELS, b.LANGS, reference_task="en")
+
+
+@query("D11_hard_item_model")
+def _(spark, d):
+    rows = featured(spark, d)
+    return rg.hard_item_model(rows, feat.FEATURES)
