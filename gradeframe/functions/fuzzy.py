@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradeframe.functions.text import col, words
+from gradeframe.functions.text import col, sealed, words
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -111,7 +111,7 @@ def with_token_set_ratio(
 
 def token_set_ratio(df: DataFrame, a: str, b: str, out: str = "ratio") -> DataFrame:
     """Exact token-set ratio of two (already normalised) text columns."""
-    return with_token_set_ratio(df, a, b, out)
+    return sealed(with_token_set_ratio(df, a, b, out), **{out: F.col(out)})
 
 
 __all__ = ["col", "lcs_length", "token_set_ratio", "with_token_set_ratio"]

@@ -34,9 +34,8 @@ def _finish(df: DataFrame, decided: Column, threshold: float, out: str) -> DataF
     df = df.withColumn("_decided", decided)
     df = with_token_set_ratio(df, "_r", "_p", "_ratio", F.col("_decided").isNull(), threshold)
     by_ratio = F.when(F.col("_ratio") / 100.0 >= threshold, 1).otherwise(0)
-    return df.withColumn(out, F.coalesce(F.col("_decided"), by_ratio)).drop(
-        "_r", "_p", "_same_numbers", "_decided", "_ratio"
-    )
+    df = t.sealed(df, **{out: F.coalesce(F.col("_decided"), by_ratio)})
+    return df.drop("_r", "_p", "_same_numbers", "_decided", "_ratio")
 
 
 def score(
@@ -118,7 +117,7 @@ def score_with_stage(
     df = with_token_set_ratio(df, "_r", "_p", "_ratio", F.col("stage").isNull(), threshold)
     by_ratio = F.when(F.col("_ratio") / 100.0 >= threshold, "fuzzy").otherwise("incorrect")
     return (
-        df.withColumn("stage", F.coalesce("stage", by_ratio))
+        t.sealed(df, stage=F.coalesce("stage", by_ratio))
         .withColumn("correct", (~F.col("stage").isin("yn_miss", "incorrect")).cast("int"))
         .drop("_r", "_p", "_same_numbers", "_ratio")
     )
@@ -144,7 +143,7 @@ def sweep_verdicts(
         .when(F.col("_same_numbers"), F.lit(1)),
     )
     df = with_token_set_ratio(df, "_r", "_p", "ratio", F.col("decided").isNull())
-    df = df.drop("_r", "_p", "_same_numbers")
+    df = t.sealed(df, decided=F.col("decided"), ratio=F.col("ratio")).drop("_r", "_p", "_same_numbers")
     verdicts = {
         th: F.coalesce(F.col("decided"), F.when(F.col("ratio") / 100.0 >= th, 1).otherwise(0))
         for th in (thresholds or fv.SWEEP_THRESHOLDS)

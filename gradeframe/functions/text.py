@@ -9,7 +9,7 @@ from __future__ import annotations
 from calendar import month_name
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe import fixed_values as fv
@@ -23,6 +23,17 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def sealed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns through a one-row generator.
+
+    A filter on a column is normally pushed below the projection that makes it,
+    which repeats a long expression (and its Python kernel) once per mention.
+    Generated columns are not pushed through, so each is computed once.
+    """
+    made = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(made)))
+
+
 def replace(c: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(c, pattern, replacement)
 

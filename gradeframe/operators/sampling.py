@@ -51,12 +51,12 @@ def stratified_sample(df: DataFrame, by: list[str], n: int, item: str = "item_id
 def stratified_sample_topup(df: DataFrame, by: list[str], n: int = 25, total: int = 100, item: str = "item_id", seed: int = 42, key: Column | None = None) -> DataFrame:
     """A stratified sample, filled up to ``total`` from the remaining rows."""
     key = sample_key(item, seed) if key is None else key
-    base = stratified_sample(df, by, n, item, seed, key)
-    missing = F.lit(total) - base.select(F.count(F.lit(1))).scalar()
-    # At most `total` rows can be missing, and only those are numbered.
-    rest = df.join(base.select(item), item, "left_anti").orderBy(key, item).limit(total)
-    extra = rest.withColumn("rn", F.row_number().over(Window.orderBy(key, item))).where(F.col("rn") <= missing).drop("rn")
-    return base.unionByName(extra.select(*base.columns))
+    # What fills the sample lies among the next `total` rows of some stratum, so
+    # one bounded pass finds both parts: n + total rows per stratum at the most.
+    first = _first(df, by, key, item, n + total)
+    extra = F.col("rn") > n
+    place = F.row_number().over(Window.orderBy(extra, key, item))
+    return first.withColumn("_place", place).where(~extra | (F.col("_place") <= total)).drop("rn", "_place")
 
 
 def nested_stratified(df: DataFrame, sizes: dict[str, int] | None = None, task: str = "task", difficulty: str = "difficulty", item: str = "item_id", seed: int = 42, key: Column | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ by ``keep`` when the caller names a folder, so that no branch repeats them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe import fixed_values as fv
@@ -146,12 +146,15 @@ def perturbation_report(predictions: DataFrame) -> dict[str, DataFrame]:
     return {"items": per_item, "overall": acc.robustness_summary(per_item), "by_task": acc.robustness_summary(per_item, ["task"])}
 
 
-def scoring_audit(wrong: DataFrame, replies: DataFrame, n: int = 25, total: int = 100, key: str = "item_id") -> dict[str, DataFrame]:
+def scoring_audit(
+    wrong: DataFrame, replies: DataFrame, n: int = 25, total: int = 100, key: str = "item_id", order: Column | None = None
+) -> dict[str, DataFrame]:
     """Sample of rejected answers, prompts for a judge, and rates from the judge's replies.
 
-    ``replies`` has the item key and a ``reply`` column.
+    ``replies`` has the item key and a ``reply`` column; ``order`` replaces the
+    hash order of the sample.
     """
-    sample = smp.stratified_sample_topup(wrong, ["task"], n, total, key)
+    sample = smp.stratified_sample_topup(wrong, ["task"], n, total, key, key=order)
     verdicts = sample.join(replies.select(key, "reply"), key).withColumn("_v", parsing.parse_verdict("reply"))
     audit = verdicts.select("*", "_v.verdict", "_v.reason").drop("_v")
     asked = prompts.judge_prompt(sample, "verdict") if {"question", "reference", "prediction"} <= set(sample.columns) else sample

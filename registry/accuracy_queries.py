@@ -359,7 +359,7 @@ def _(spark, d):
     return rounded(acc.fnr_correct(table, rates), "accuracy", "fnr", "corrected")
 
 
-RUB_SQL = """rub AS (SELECT model, item_id%2 AS event_score, (item_id//2)%2 AS ordering_score, correct AS final_score, CASE WHEN item_id%3=0 THEN 1 ELSE correct END AS standard_correct FROM valid)"""
+RUB_SQL = """rub AS (SELECT model, item_id, item_id%2 AS event_score, (item_id//2)%2 AS ordering_score, correct AS final_score, CASE WHEN item_id%3=0 THEN 1 ELSE correct END AS standard_correct FROM valid)"""
 
 
 def rubric_rows(spark, d):
