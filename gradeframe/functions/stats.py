@@ -25,7 +25,7 @@ def wilson(k: Column | str, n: Column | str, z: float = fv.Z95) -> dict[str, Col
     half = F.lit(z) * F.sqrt(p * (1 - p) / F.nullif(n_, F.lit(0.0)) + z2n / (4 * F.nullif(n_, F.lit(0.0)))) / (1 + z2n)
 
     def or_zero(c: Column) -> Column:
-        return F.coalesce(c, F.lit(0.0))
+        return F.when(n_ > 0, c).otherwise(F.lit(0.0))
 
     return {
         "accuracy": or_zero(p),
@@ -39,7 +39,8 @@ def wilson(k: Column | str, n: Column | str, z: float = fv.Z95) -> dict[str, Col
 def fnr_corrected(accuracy: Column | str, fnr: Column | str) -> Column:
     """Accuracy once false negatives are counted, at most 1."""
     a, f = col(accuracy), col(fnr)
-    return F.when(f >= 1, a).otherwise(F.least(F.lit(1.0), a / F.nullif(1 - f, F.lit(0.0))))
+    corrected = a / F.nullif(1 - f, F.lit(0.0))
+    return F.when((f >= 1) | a.isNull(), a).when(corrected > 1, 1.0).otherwise(corrected)
 
 
 def _continued_fraction(step, start: float, tiny: float = 1e-300, rounds: int = 1000) -> float:

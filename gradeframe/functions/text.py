@@ -49,7 +49,7 @@ def words(c: Column | str) -> Column:
 
 
 def word_count(c: Column | str) -> Column:
-    return F.regexp_count(F.coalesce(col(c), F.lit("")), F.lit(f"[^{SPACE}]+"))
+    return F.size(words(c))
 
 
 def truncate_words(c: Column | str, n: int) -> Column:

@@ -31,17 +31,17 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, p_value
     """
     by = by or []
     joint = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_w"))
-    group = by or ["_all"]
-    joint = joint if by else joint.withColumn("_all", F.lit(0))
-    rx = value_ranks(joint, group, x, "_w").select(*group, x, F.col("avg_rank").alias("_rx"))
-    ry = value_ranks(joint, group, y, "_w").select(*group, y, F.col("avg_rank").alias("_ry"))
-    size = joint.groupBy(*group).agg(F.sum("_w").alias("n"))
-    ranked = joint.join(rx, [*group, x]).join(ry, [*group, y]).join(size, group)
+    rx = value_ranks(joint, by, x, "_w").select(*by, x, F.col("avg_rank").alias("_rx"))
+    ry = value_ranks(joint, by, y, "_w").select(*by, y, F.col("avg_rank").alias("_ry"))
+    ranked = joint.join(rx, [*by, x]).join(ry, [*by, y])
+    if by:
+        ranked = ranked.join(joint.groupBy(*by).agg(F.sum("_w").alias("n")), by)
+    else:
+        ranked = ranked.withColumn("n", joint.select(F.sum("_w")).scalar())
     middle = (F.col("n") + 1) / 2.0
-    out = ranked.groupBy(*group, "n").agg(
+    out = ranked.groupBy(*by, "n").agg(
         _weighted_corr(F.col("_rx") - middle, F.col("_ry") - middle, F.col("_w").cast("double")).alias("rho")
     )
-    out = out if by else out.drop("_all")
     return out.withColumn("p_value", stats.correlation_p("rho", "n")) if p_value else out
 
 

@@ -163,9 +163,9 @@ def paired_bootstrap_indexed(
 ) -> DataFrame:
     """D3: explicit replicates whose draws come from arithmetic, for exact checks.
 
-    Draw j of replicate r takes the item at ``(j*j*7919 + r*104729 + j*r*31) % n``
-    of a dense index 0..n-1. The work is replicates * n rows, so this is the
-    check of D2, not its replacement.
+    Draw j of replicate r takes an item of the dense index 0..n-1 by squaring
+    ``j*48271 + (r+1)*16807`` twice modulo 2^31-1. The work is replicates * n
+    rows, so this is the check of D2, not its replacement.
     """
     shared = aligned_pairs(df, a, b, index, model, correct).select(
         F.col(index).cast("long").alias("_i"), (F.col("correct_a") - F.col("correct_b")).alias("_d")
@@ -173,7 +173,10 @@ def paired_bootstrap_indexed(
     size = shared.select(F.max("_i") + 1).scalar()
     observed = shared.select(F.avg(F.col("_d").cast("double"))).scalar()
     draws = shared.select(F.col("_i").alias("_j"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate"))
-    target = (F.col("_j") * F.col("_j") * 7919 + F.col("replicate") * 104729 + F.col("_j") * F.col("replicate") * 31) % size
+    j, r, prime = F.col("_j"), F.col("replicate"), 2147483647
+    x = (j * 48271 + (r + 1) * 16807) % prime
+    y = (x * x + r) % prime
+    target = ((y * y + j) % prime) % size
     drawn = draws.groupBy("replicate", target.alias("_i")).agg(F.count(F.lit(1)).alias("_w")).join(shared, "_i")
     means = drawn.groupBy("replicate").agg((F.sum(F.col("_w") * F.col("_d")) / F.sum("_w")).alias("mean_delta"))
     means = means.withColumn("observed", observed)

@@ -43,7 +43,8 @@ def logit_regression(
     # Column names with brackets are quoted once for the assembler.
     plain = [f"x{i}" for i in range(len(names))]
     cells = cells.select("label", "weight", *[F.col(f"`{n}`").alias(p) for n, p in zip(names, plain)])
-    data = VectorAssembler(inputCols=plain, outputCol="features").transform(cells).cache()
+    # A few dozen weighted cells at the most: one partition spares a job's worth of empty tasks per iteration.
+    data = VectorAssembler(inputCols=plain, outputCol="features").transform(cells.coalesce(1)).cache()
     try:
         family, link = ("gaussian", "identity") if ols else ("binomial", "logit")
         model = GeneralizedLinearRegression(family=family, link=link, weightCol="weight", maxIter=100, tol=1e-10).fit(data)
@@ -82,17 +83,19 @@ def hard_item_model(items: DataFrame, features: list[str], ensemble: str = "ense
         evaluator = BinaryClassificationEvaluator(metricName="areaUnderROC")
 
         def fit(frame: DataFrame, n: int):
-            return LogisticRegression(regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-9).fit(frame)
+            return LogisticRegression(family="binomial", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-9).fit(frame)
 
-        sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
+        sizes = {r["fold"]: (r["n"], r["hard"]) for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("hard")).collect()}
+        # A fold needs both classes inside it for a ROC curve, and outside it for a model.
+        all_hard = sum(hard for _, hard in sizes.values())
         scores = [
-            evaluator.evaluate(fit(data.where(F.col("fold") != k), moments["n"] - sizes[k]).transform(data.where(F.col("fold") == k)))
-            for k in sorted(sizes)
+            evaluator.evaluate(fit(data.where(F.col("fold") != k), moments["n"] - n).transform(data.where(F.col("fold") == k)))
+            for k, (n, hard) in sorted(sizes.items()) if 0 < hard < n and 0 < all_hard - hard < moments["n"] - n
         ]
         coefficients = fit(data, moments["n"]).coefficients.toArray().tolist()
     finally:
         data.unpersist()
-    mean = sum(scores) / len(scores)
-    deviation = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5
-    rows = sorted(((f, float(b), abs(float(b)), float(mean), float(deviation)) for f, b in zip(features, coefficients)), key=lambda r: (-r[2], r[0]))
+    mean = sum(scores) / len(scores) if scores else None
+    deviation = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5 if scores else None
+    rows = sorted(((f, float(b), abs(float(b)), mean, deviation) for f, b in zip(features, coefficients)), key=lambda r: (-r[2], r[0]))
     return items.sparkSession.createDataFrame(rows, "feature string, coefficient double, abs_coef double, auc_mean double, auc_std double")

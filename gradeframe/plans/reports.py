@@ -191,11 +191,13 @@ def judge_agreement(first: DataFrame, second: DataFrame, keys: list[str] | None
     """Correlation of rubric scores of two judges and kappa of their final verdicts."""
     keys = keys or ["item_id", "model"]
     both = tab.judge_align(first, second, keys, ["rubric", "final_score"])
-    pearson = cor.pearson(both, "rubric_j1", "rubric_j2", p_value=p_value).withColumnsRenamed({"r": "pearson_r", "p_value": "pearson_p"})
-    spearman = cor.spearman(both, "rubric_j1", "rubric_j2", p_value=p_value).drop("n").withColumnsRenamed({"rho": "spearman_r", "p_value": "spearman_p"})
-    kappa = agr.cohen_kappa_binary(both, gold="final_score_j1", label="final_score_j2").select(F.col("kappa").alias("kappa_final"))
-    one = F.lit(1).alias("_k")
-    return pearson.select("*", one).join(spearman.select("*", one), "_k").join(kappa.select("*", one), "_k").drop("_k")
+    out = cor.pearson(both, "rubric_j1", "rubric_j2", p_value=p_value).withColumnsRenamed({"r": "pearson_r", "p_value": "pearson_p"})
+    spearman = cor.spearman(both, "rubric_j1", "rubric_j2", p_value=p_value)
+    kappa = agr.cohen_kappa_binary(both, gold="final_score_j1", label="final_score_j2")
+    out = out.withColumn("spearman_r", spearman.select("rho").scalar())
+    if p_value:
+        out = out.withColumn("spearman_p", spearman.select("p_value").scalar())
+    return out.withColumn("kappa_final", kappa.select("kappa").scalar())
 
 
 def tier_report(items: DataFrame, long: DataFrame, context: str = "context", question: str | None = "question") -> dict[str, DataFrame]:

@@ -32,8 +32,8 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in names})
 
 
-def valid(spark, d, keep=None) -> DataFrame:
-    return acc.drop_failed(b.eval_long(spark, d, keep))
+def valid(spark, d, keep=None, **computed) -> DataFrame:
+    return acc.drop_failed(b.eval_long(spark, d, keep, **computed))
 
 
 @query("A1_accuracy_by_model_task", o.with_(o.VALID, body="""

@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeframe.functions.text import sealed
+from gradeframe.sources import spread
+
 MODELS = [f"m{i}" for i in range(6)]
 LANGS = ["en", "fr", "de", "es"]
 LEVELS = ["easy", "medium", "hard"]
 
 
+TEXT_TABLES = {"documents", "pages", "conversations", "orders"}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A driver table; small files with costly rows are dealt out to all cores."""
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -23,9 +31,16 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def eval_long(spark: SparkSession, d: str, keep: list[str] | None = None) -> DataFrame:
-    """Six systems on every item, deterministic outcomes, some failed predictions."""
-    rows = items(spark, d).select("item_id", "task", "difficulty", "n_chars", *(keep or []))
+def eval_long(spark: SparkSession, d: str, keep: list[str] | None = None, **computed: Column) -> DataFrame:
+    """Six systems on every item, deterministic outcomes, some failed predictions.
+
+    ``computed`` columns are evaluated once per item, before systems multiply rows.
+    """
+    rows = items(spark, d)
+    if computed:
+        rows = sealed(rows, **computed)
+    keep = [*(keep or []), *computed]
+    rows = rows.select("item_id", "task", "difficulty", "n_chars", *keep)
     rows = rows.withColumn("_m", F.explode(F.array(*[F.lit(i).cast("long") for i in range(6)])))
     hit = (F.col("item_id") * 7919 + F.col("_m") * 104729 + F.col("n_chars") * 31) % 1000 < 900 - 60 * F.col("_m")
     return rows.select(

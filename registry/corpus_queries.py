@@ -221,7 +221,7 @@ def _(spark, d):
 SELECT model, floor((x-lo)/((hi-lo)/9))::INTEGER AS bin, count(*) AS n, sum(correct)::BIGINT AS n_correct, round(avg(correct),6) AS accuracy, round(any_value(lo)+(floor((x-lo)/((hi-lo)/9))+0.5)*any_value((hi-lo)/9),6) AS center
 FROM ln, r WHERE x<hi GROUP BY model, floor((x-lo)/((hi-lo)/9)) HAVING count(*)>3"""))
 def _(spark, d):
-    rows = valid(spark, d, ["text"]).withColumn("x", t.word_count("text"))
+    rows = valid(spark, d, x=t.word_count("text"))
     return rounded(dc.binned_accuracy(rows, "x", ["model"]), "accuracy", "center")
 
 

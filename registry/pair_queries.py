@@ -73,7 +73,8 @@ def _(spark, d):
 
 INDEXED = """sh AS (SELECT a.item_id AS i, a.correct-b.correct AS d FROM eval_long a JOIN eval_long b ON a.item_id=b.item_id AND a.model='m0' AND b.model='m1'),
 sz AS (SELECT max(i)+1 AS n FROM sh), ob AS (SELECT avg(d) AS obs FROM sh),
-dr AS (SELECT r, (j.i*j.i*7919 + r*104729 + j.i*r*31) % (SELECT n FROM sz) AS i FROM sh j CROSS JOIN (SELECT unnest(range(0,20)) AS r) t),
+d1 AS (SELECT r, i AS j, (i*48271 + (r+1)*16807) % 2147483647 AS x FROM sh CROSS JOIN (SELECT unnest(range(0,20)) AS r) t),
+d2 AS (SELECT r, j, (x*x + r) % 2147483647 AS y FROM d1), dr AS (SELECT r, ((y*y + j) % 2147483647) % (SELECT n FROM sz) AS i FROM d2),
 mn AS (SELECT r AS replicate, avg(d) AS m FROM dr JOIN sh USING (i) GROUP BY r)"""
 
 

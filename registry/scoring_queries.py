@@ -280,9 +280,12 @@ def _(spark, d):
 COT = "CASE WHEN conv_id%2=0 THEN answer||chr(10)||'Answer: '||question||chr(10)||'end' ELSE answer||chr(10)||chr(10)||' '||question||chr(10) END"
 
 
+AFTER_MARKER = r"regexp_extract(raw, '(?is)ANSWER:\s*(.+?)(?:\n|$)', 1)"
+
+
 @query("T20_extract_cot_answer", o.with_(TURNS_SQL, f"cot AS (SELECT conv_id, turn, {COT} AS raw FROM turns)",
        f"l AS (SELECT *, list_filter(list_transform(string_split(raw, chr(10)), lambda s: {o.strip('s')}), lambda s: s<>'') AS lines FROM cot)", body=rf"""
-SELECT conv_id, turn, CASE WHEN regexp_matches(raw, '(?is)ANSWER:\s*(.+?)(?:\n|$)') THEN {o.strip("regexp_extract(raw, '(?is)ANSWER:\s*(.+?)(?:\n|$)', 1)")} ELSE lines[-1] END AS answer FROM l"""))
+SELECT conv_id, turn, CASE WHEN regexp_matches(raw, '(?is)ANSWER:\s*(.+?)(?:\n|$)') THEN {o.strip(AFTER_MARKER)} ELSE lines[-1] END AS answer FROM l"""))
 def _(spark, d):
     raw = F.when(F.col("conv_id") % 2 == 0, F.concat("answer", F.lit("\nAnswer: "), F.col("question"), F.lit("\nend"))).otherwise(
         F.concat("answer", F.lit("\n\n "), F.col("question"), F.lit("\n")))

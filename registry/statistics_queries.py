@@ -47,7 +47,7 @@ LEN = f"ln AS (SELECT v.*, {o.word_count('v.text')} AS n_words FROM valid v)"
 
 
 def sized(spark, d):
-    return valid(spark, d, ["text"]).withColumn("n_words", t.word_count("text"))
+    return valid(spark, d, n_words=t.word_count("text"))
 
 
 @query("D6_pearson", o.with_(o.VALID, LEN, body="SELECT model, count(*) AS n, round(corr(n_words, correct),6) AS r FROM ln GROUP BY model"))
