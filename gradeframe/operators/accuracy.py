@@ -71,30 +71,49 @@ def _share(correct: str, condition: Column | None = None) -> Column:
     return F.avg(value if condition is None else F.when(condition, value))
 
 
+def _cell_share(condition: Column | None = None) -> Column:
+    n, k = F.col("n"), F.col("n_correct")
+    if condition is not None:
+        n, k = F.when(condition, n), F.when(condition, k)
+    return ratio(F.sum(k), F.sum(n))
+
+
+def matrix_of(cell_table: DataFrame, tasks: list[str] | None = None, by: list[str] | None = None, task: str = "task", empty_as_zero: bool = False) -> DataFrame:
+    """A2 from finished cells."""
+    tasks = tasks or fv.TASKS
+    columns = [_cell_share(F.col(task) == name).alias(fv.TASK_CODES.get(name, name)) for name in tasks]
+    wide = cell_table.groupBy(*(by or ["model"])).agg(*columns, _cell_share().alias("Overall"))
+    return wide.na.fill(0.0) if empty_as_zero else wide
+
+
 def task_accuracy_matrix(
     df: DataFrame, tasks: list[str] | None = None, by: list[str] | None = None,
     task: str = "task", correct: str = "correct", empty_as_zero: bool = False,
 ) -> DataFrame:
-    """A2: one column per task and Overall, in one aggregation pass."""
-    tasks = tasks or fv.TASKS
-    columns = [_share(correct, F.col(task) == name).alias(fv.TASK_CODES.get(name, name)) for name in tasks]
-    wide = df.groupBy(*(by or ["model"])).agg(*columns, _share(correct).alias("Overall"))
-    return wide.na.fill(0.0) if empty_as_zero else wide
+    """A2: one column per task and Overall; a system without rows of a task has NULL there."""
+    by = by or ["model"]
+    return matrix_of(cells(df, [*by, task], correct), tasks, by, task, empty_as_zero)
 
 
-def accuracy_by_level(
-    df: DataFrame, level: str, levels: list[str], by: list[str] | None = None, correct: str = "correct", clean: bool = True
-) -> DataFrame:
-    """Accuracy and count per level (difficulty, tier) as columns."""
+def levels_of(cell_table: DataFrame, level: str, levels: list[str], by: list[str] | None = None, clean: bool = True) -> DataFrame:
+    """A3, A25 from finished cells."""
     name = F.lower(F.trim(F.col(level))) if clean else F.col(level)
     columns = []
     for value in levels:
         hit = name == value
         columns += [
-            _share(correct, hit).alias(f"{value}_acc"),
-            F.count(F.when(hit & F.col(correct).isNotNull(), 1)).alias(f"{value}_n"),
+            _cell_share(hit).alias(f"{value}_acc"),
+            F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias(f"{value}_n"),
         ]
-    return df.groupBy(*(by or ["model"])).agg(*columns)
+    return cell_table.groupBy(*(by or ["model"])).agg(*columns)
+
+
+def accuracy_by_level(
+    df: DataFrame, level: str, levels: list[str], by: list[str] | None = None, correct: str = "correct", clean: bool = True
+) -> DataFrame:
+    """Accuracy and count per level (difficulty, tier) as columns."""
+    by = by or ["model"]
+    return levels_of(cells(df, [*by, level], correct), level, levels, by, clean)
 
 
 def tier_drop(tiers: DataFrame, low: str = "Low_acc", high: str = "High_acc") -> DataFrame:

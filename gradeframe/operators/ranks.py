@@ -18,7 +18,9 @@ def _bucket_of(value: Column, low: Column, high: Column, buckets: int) -> Column
     return F.coalesce(F.floor((value.cast("double") - low) / width * (buckets - 1)), F.lit(0)).cast("int")
 
 
-def _bucketed(df: DataFrame, value: str, buckets: int) -> DataFrame:
+def _bucketed(df: DataFrame, value: str, buckets: int, known: tuple[int, int] | None = None) -> DataFrame:
+    if known is not None:
+        return df.withColumn("_bucket", _bucket_of(F.col(value), F.lit(known[0]), F.lit(known[1]), buckets))
     bounds = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("b")).scalar()
     df = df.withColumn("_bounds", bounds)
     return df.withColumn(
@@ -34,10 +36,14 @@ def _offsets(counted: DataFrame, by: list[str], count: Column) -> DataFrame:
 
 
 def numbered(
-    df: DataFrame, by: list[str], order: str, ties: list[str] | None = None, out: str = "rn", buckets: int = BUCKETS
+    df: DataFrame, by: list[str], order: str, ties: list[str] | None = None, out: str = "rn", buckets: int = BUCKETS,
+    bounds: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Exact row number within ``by`` along the numeric column ``order``."""
-    df = _bucketed(df, order, buckets)
+    """Exact row number within ``by`` along the numeric column ``order``.
+
+    ``bounds`` of the column, where known, spare a pass over the rows.
+    """
+    df = _bucketed(df, order, buckets, bounds)
     offsets = _offsets(df, by, F.count(F.lit(1)))
     inside = Window.partitionBy(*by, "_bucket").orderBy(order, *(ties or []))
     return (

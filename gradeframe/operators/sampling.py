@@ -15,6 +15,10 @@ from gradeframe.functions import bands
 from gradeframe.operators.ranks import numbered
 
 
+# Range of a 64-bit hash.
+HASH_BOUNDS = (-(2**63), 2**63 - 1)
+
+
 def sample_key(item: str, seed: int = 42) -> Column:
     return F.xxhash64(F.lit(seed), F.col(item))
 
@@ -88,7 +92,7 @@ def stratified_split(df: DataFrame, by: list[str], fraction: float = 0.2, item:
     large share of all rows is spread over many tasks.
     """
     rows = df if key else df.withColumn("_key", sample_key(item, seed))
-    ranked = numbered(rows, by, key or "_key", [item], "_rn")
+    ranked = numbered(rows, by, key or "_key", [item], "_rn", bounds=None if key else HASH_BOUNDS)
     sizes = df.groupBy(*by).agg(F.round(F.count(F.lit(1)) * F.lit(fraction)).alias("_quota"))
     out = ranked.join(sizes, by).withColumn("split", F.when(F.col("_rn") <= F.col("_quota"), "dev").otherwise("test"))
     return out.drop("_rn", "_quota", "_key") if not key else out.drop("_rn", "_quota")

@@ -47,17 +47,23 @@ def evaluate(items: DataFrame, predictions: DataFrame, policy: str = "strict", f
     return {"scored": scored, "leaderboard": board}
 
 
-def full_report(long: DataFrame, tasks: list[str] | None = None, levels: list[str] | None = None, min_rows: int | None = None) -> dict[str, DataFrame]:
-    """Matrix, difficulty table, intervals, significance of all pairs, and incomplete runs."""
-    cells = acc.cells(long, ["model", "task"])
+def full_report(
+    long: DataFrame, tasks: list[str] | None = None, levels: list[str] | None = None, expected_rows: int | None = None, folder: str | None = None
+) -> dict[str, DataFrame]:
+    """Matrix, difficulty table, intervals, significance of all pairs, and runs of unexpected size.
+
+    One cell table per system, task and difficulty feeds all but the pairs.
+    """
+    base = keep(acc.cells(long, ["model", "task", "difficulty"]), folder, "cells")
+    by_task = acc.roll_up(base, ["model", "task"], [["model", "task"], ["model"]])
     out = {
-        "matrix": acc.task_accuracy_matrix(long, tasks),
-        "difficulty": acc.accuracy_by_level(long, "difficulty", levels or fv.DIFFICULTIES),
-        "intervals": acc.with_wilson(acc.roll_up(cells, ["model", "task"], [["model", "task"], ["model"]])),
+        "matrix": acc.matrix_of(base, tasks),
+        "difficulty": acc.levels_of(base, "difficulty", levels or fv.DIFFICULTIES),
+        "intervals": acc.with_wilson(by_task),
         "significance": pr.paired_bootstrap(long),
     }
-    if min_rows is not None:
-        out["incomplete"] = cells.groupBy("model").agg(F.sum("n").alias("n")).where(F.col("n") != min_rows)
+    if expected_rows is not None:
+        out["incomplete"] = base.groupBy("model").agg(F.sum("n").alias("n")).where(F.col("n") != expected_rows)
     return out
 
 

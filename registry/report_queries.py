@@ -35,6 +35,18 @@ def _(spark, d):
     return rounded(rp.full_report(valid(spark, d), b.LANGS)["intervals"], *W)
 
 
+@query("C2_full_report_matrix", o.with_(o.VALID, body="SELECT model, " + ", ".join(
+    f"round(avg(CASE WHEN task='{t}' THEN correct END),6) AS {t}" for t in b.LANGS) + ', round(avg(correct),6) AS "Overall" FROM valid GROUP BY model'))
+def _(spark, d):
+    return rounded(rp.full_report(valid(spark, d), b.LANGS)["matrix"], *b.LANGS, "Overall")
+
+
+@query("C2_full_report_difficulty", o.with_(o.VALID, body="SELECT model, " + ", ".join(
+    f"round(avg(CASE WHEN difficulty='{t}' THEN correct END),6) AS {t}_acc, count(CASE WHEN difficulty='{t}' THEN 1 END) AS {t}_n" for t in b.LEVELS) + " FROM valid GROUP BY model"))
+def _(spark, d):
+    return rounded(rp.full_report(valid(spark, d), b.LANGS)["difficulty"], *[f"{x}_acc" for x in b.LEVELS])
+
+
 @query("C2_full_report_significance", o.with_(o.VALID, AP, body="SELECT model_a, model_b, count(*) AS n, round(avg(ca-cb),6) AS delta FROM ap GROUP BY ALL"))
 def _(spark, d):
     return rounded(rp.full_report(valid(spark, d), b.LANGS)["significance"].select("model_a", "model_b", "n", "delta"), "delta")
@@ -42,7 +54,7 @@ def _(spark, d):
 
 @query("C2_full_report_incomplete_runs", o.with_(o.VALID, body="SELECT model, count(*) AS n FROM valid GROUP BY model HAVING count(*) <> 973"))
 def _(spark, d):
-    return rp.full_report(valid(spark, d), b.LANGS, min_rows=973)["incomplete"]
+    return rp.full_report(valid(spark, d), b.LANGS, expected_rows=973)["incomplete"]
 
 
 @query("C3_threshold_ablation", "WITH " + A34 + "\nSELECT * FROM agg")
