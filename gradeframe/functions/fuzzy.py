@@ -70,8 +70,8 @@ def with_token_set_ratio(
     ta, tb = F.col(f"{t}a"), F.col(f"{t}b")
     df = df.withColumns({
         f"{t}s": F.length(F.array_join(F.array_intersect(ta, tb), " ")),
-        f"{t}x": F.array_join(F.array_sort(F.array_except(ta, tb)), " "),
-        f"{t}y": F.array_join(F.array_sort(F.array_except(tb, ta)), " "),
+        f"{t}x": F.array_join(F.sort_array(F.array_except(ta, tb)), " "),
+        f"{t}y": F.array_join(F.sort_array(F.array_except(tb, ta)), " "),
         f"{t}e": (F.size(ta) == 0) | (F.size(tb) == 0),
     })
     shared, x, y, empty = (F.col(t + k) for k in "sxye")

@@ -105,7 +105,7 @@ def format_example(df: DataFrame, task: str = "task_type", out: str = "example")
 
 def example_blocks(examples: DataFrame, task: str = "task_type", order: str = "rank", text: str = "example") -> DataFrame:
     """The examples of each task, joined in order. Examples per task are few by construction."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
     return examples.groupBy(task).agg(F.array_join(F.transform(ordered, lambda s: s["t"]), "\n\n").alias("examples"))
 
 

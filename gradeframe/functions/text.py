@@ -45,7 +45,7 @@ def strip(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """White-space separated words; none for empty text."""
-    return F.filter(F.split(F.coalesce(col(c), F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(col(c), F.lit("")), f"[{SPACE}]+"), "")
 
 
 def word_count(c: Column | str) -> Column:
@@ -60,8 +60,7 @@ def truncate_words(c: Column | str, n: int) -> Column:
 def normalise(c: Column | str) -> Column:
     """Lower case, punctuation except ``%`` and ``.`` to spaces, single spaces."""
     lowered = F.lower(F.coalesce(col(c), F.lit("")))
-    kept = replace(lowered, rf"[^\p{{L}}\p{{N}}_%.{SPACE}]", " ")
-    return F.trim(replace(kept, f"[{SPACE}]+", " "))
+    return F.trim(replace(lowered, r"[^\p{L}\p{N}_%.]+", " "))
 
 
 def lower_strip(c: Column | str) -> Column:
@@ -73,7 +72,7 @@ def find_all(c: Column, pattern: str) -> Column:
 
 
 def _set(values: Column) -> Column:
-    return F.array_sort(F.array_distinct(values))
+    return F.sort_array(F.array_distinct(values))
 
 
 def number_set(normalised: Column | str, trim_dots: bool = False) -> Column:

@@ -17,7 +17,7 @@ from gradeframe.operators.accuracy import TOTAL
 
 def common_raters(df: DataFrame, n_raters: int, item: str = "item_id", rater: str = "rater", label: str = "label") -> DataFrame:
     """Items every rater labelled, one row per item with its sorted votes."""
-    votes = F.array_sort(F.collect_set(F.struct(F.col(rater).alias("r"), F.col(label).alias("l"))))
+    votes = F.sort_array(F.collect_set(F.struct(F.col(rater).alias("r"), F.col(label).alias("l"))))
     keep = [c for c in df.columns if c not in (item, rater, label)]
     grouped = df.where(F.col(label).isNotNull()).groupBy(item, *keep).agg(votes.alias("_v"))
     one_each = F.filter("_v", lambda x, i: F.coalesce(F.try_element_at("_v", i + 2)["r"] != x["r"], F.lit(True)))
@@ -98,7 +98,7 @@ def agreement_rate(df: DataFrame, agree: str = "agree", by: str = "task") -> Dat
 
 def vote_patterns(common: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Distinct vote vectors of items with their frequency."""
-    return common.groupBy(*(by or []), F.array_sort("votes").alias("votes")).agg(F.count(F.lit(1)).alias("n_items"))
+    return common.groupBy(*(by or []), F.sort_array("votes").alias("votes")).agg(F.count(F.lit(1)).alias("n_items"))
 
 
 def fleiss_kappa(common: DataFrame, by: str = "task") -> DataFrame:

@@ -22,10 +22,15 @@ def chunk_words(df: DataFrame, text: str = "text", size: int = CHUNK_WORDS, over
     """Windows of ``size`` words, each starting ``size - overlap`` words after the last."""
     step = size - overlap
     split = df.withColumn("_w", words(text)).where(F.size("_w") > 0)
-    starts = F.sequence(F.lit(0), F.size("_w") - 1, F.lit(step))
-    out = split.withColumn("word_start", F.explode(starts))
-    chunk = F.array_join(F.slice("_w", F.col("word_start") + 1, F.lit(size)), " ")
-    return out.withColumns({"chunk_index": (F.col("word_start") / step).cast("int"), "chunk": chunk}).drop("_w", text)
+    # Windows are cut before the explode, so its rows do not carry all words of the document.
+    windows = F.transform(
+        F.sequence(F.lit(0), F.size("_w") - 1, F.lit(step)),
+        lambda s: F.struct(
+            s.alias("word_start"), (s / step).cast("int").alias("chunk_index"),
+            F.array_join(F.slice("_w", s + 1, F.lit(size)), " ").alias("chunk"),
+        ),
+    )
+    return split.select(*[c for c in df.columns if c != text], F.inline(windows))
 
 
 def extract_passages(df: DataFrame, text: str = "text", low: int = 80, high: int = 200) -> DataFrame:

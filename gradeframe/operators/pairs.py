@@ -44,7 +44,7 @@ def outcome_patterns(df: DataFrame, by: list[str] | None = None, item: str = "it
     better outcome counts.
     """
     by = by or []
-    sets = F.array_sort(F.collect_set(F.struct(F.col(model).alias("m"), F.col(correct).cast("int").alias("c"))))
+    sets = F.sort_array(F.collect_set(F.struct(F.col(model).alias("m"), F.col(correct).cast("int").alias("c"))))
     items = df.where(F.col(correct).isNotNull()).groupBy(item, *by).agg(sets.alias("_all"))
     best = F.filter("_all", lambda x, i: F.coalesce(F.try_element_at("_all", i + 2)["m"] != x["m"], F.lit(True)))
     return items.groupBy(*by, best.alias("pattern")).agg(F.count(F.lit(1)).alias("n_items"))
@@ -96,7 +96,7 @@ def error_jaccard(df: DataFrame, item: str = "item_id", model: str = "model", co
         F.coalesce(F.sum(F.when(F.col("x.c") == 1, F.col("n_items"))), F.lit(0)).alias("k")
     )
     # One row per pair of systems, also of those that share no item: the result has these rows anyway.
-    board = right.agg(F.array_sort(F.collect_list(F.struct("m", F.col("k").alias("c")))).alias("s"))
+    board = right.agg(F.sort_array(F.collect_list(F.struct("m", F.col("k").alias("c")))).alias("s"))
     grid = board.select(F.explode(_pairs_of(F.col("s"))).alias("p")).select(
         F.col("p.a").alias("model_a"), F.col("p.b").alias("model_b"), F.col("p.ca").alias("_ka"), F.col("p.cb").alias("_kb")
     )

@@ -78,6 +78,6 @@ def retrieved_context(
     """Texts of the hits of each query, best first, joined and cut to ``limit`` characters."""
     rows = hits.join(texts.select(key, text), key)
     # At most k hits per query come out of top_k_similar.
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("rank").alias("r"), col(text).alias("t"))))
+    ordered = F.sort_array(F.collect_list(F.struct(F.col("rank").alias("r"), col(text).alias("t"))))
     joined = F.array_join(F.transform(ordered, lambda s: s["t"]), separator)
     return rows.groupBy("query_id").agg(F.left(joined, F.lit(limit)).alias("context"))

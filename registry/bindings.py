@@ -67,10 +67,12 @@ def _upper_ascii(c: Column) -> Column:
 def answer_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every 12-word window of every document as a reference, with a prediction
     derived from it such that every scoring stage occurs."""
-    docs = table(spark, d, "documents").select("doc_id", F.filter(F.split("text", r"[\s\p{Z}]+"), lambda w: w != "").alias("all"))
-    pieces = docs.where(F.size("all") > 0).withColumn("st", F.explode(F.sequence(F.lit(0), F.size("all") - 1, F.lit(12))))
-    pieces = pieces.select("doc_id", (F.col("st") / 12).cast("long").alias("pos"), F.slice("all", F.col("st") + 1, F.lit(12)).alias("w"))
-    size = table(spark, d, "documents").select(F.count(F.lit(1))).scalar()
+    docs = table(spark, d, "documents").select("doc_id", F.array_remove(F.split("text", r"[\s\p{Z}]+"), "").alias("all"))
+    starts = F.sequence(F.lit(0), F.size("all") - 1, F.lit(12))
+    windows = F.transform(starts, lambda s: F.slice("all", s + 1, F.lit(12)))
+    pieces = docs.where(F.size("all") > 0).select("doc_id", F.posexplode(windows).alias("pos", "w"))
+    pieces = pieces.withColumn("pos", F.col("pos").cast("long"))
+    size = spark.read.parquet(f"{d}/documents.parquet").select(F.count(F.lit(1))).scalar()
     other = pieces.select(F.col("doc_id").alias("other_id"), "pos", F.col("w").alias("ow"))
     rows = pieces.withColumn("other_id", (F.col("doc_id") * 13 + 7) % size).join(other, ["other_id", "pos"], "left")
     i, w = F.col("doc_id") * 1000000 + F.col("pos"), F.col("w")

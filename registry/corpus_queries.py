@@ -95,7 +95,7 @@ def _(spark, d):
     title = F.concat("o_orderpriority", F.lit(" no. "), k, F.when(F.col("o_orderstatus") == "P", " next page").otherwise(""))
     row = F.concat(F.lit("<tr class='x'><td>"), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("</td><td> <a href=\""), href, F.lit("\"><b>"), title, F.lit("</b></a></td></tr>"))
     pages = b.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("cust")).agg(
-        F.concat(F.lit("<table>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))), lambda s: s["r"]), "\n"), F.lit("</table>")).alias("html"))
+        F.concat(F.lit("<table>"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", row.alias("r")))), lambda s: s["r"]), "\n"), F.lit("</table>")).alias("html"))
     return cp.listing_rows(pages, base="https://site.example", by=["cust"])
 
 
@@ -320,7 +320,7 @@ SELECT doc_id, shots||'CONTEXT:'||chr(10)||left(context,600)||chr(10)||'QUESTION
 def _(spark, d):
     rows = prompt_items(spark, d)
     first = sm.stratified_sample(rows, ["task_type"], 3, "doc_id", key=F.col("doc_id"))
-    shots = first.groupBy("task_type").agg(F.array_sort(F.collect_list(F.struct("doc_id", "context", "question", "answer"))).alias("shots"))
+    shots = first.groupBy("task_type").agg(F.sort_array(F.collect_list(F.struct("doc_id", "context", "question", "answer"))).alias("shots"))
     return rows.join(shots, "task_type").select("doc_id", pm.shots_block("shots", "context", "question").alias("prompt"))
 
 

@@ -257,7 +257,7 @@ def _(spark, d):
     line = F.concat(F.lit("Row "), (i % 20).cast("string"), F.lit(": "), F.when(F.col("toxic") == 1, "no").otherwise("YES"),
                     F.when(i % 3 == 0, F.concat(F.lit(" | q"), F.col("quality").cast("string"))).otherwise(""))
     sheets = b.table(spark, d, "labels").groupBy(F.floor(i / 25).alias("sheet")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(i.alias("i"), line.alias("l")))), lambda s: s["l"]), "\n").alias("text"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(i.alias("i"), line.alias("l")))), lambda s: s["l"]), "\n").alias("text"))
     return parsing.parse_rater_lines(sheets, by=["sheet"])
 
 
