@@ -11,11 +11,17 @@ from gradeframe import schemas
 from gradeframe.functions.bands import lookup
 
 
-def read_items(spark: SparkSession, path: str, schema: T.StructType = schemas.ITEMS, wrapper: str | None = None) -> DataFrame:
+def read_items(
+    spark: SparkSession, path: str, schema: T.StructType = schemas.ITEMS, wrapper: str | None = None, lines: bool = False
+) -> DataFrame:
     """IO1: a JSON array of items, or an object holding the array under ``wrapper``.
 
-    Without ``wrapper`` both ``items`` and ``data`` are recognised.
+    Without ``wrapper`` both ``items`` and ``data`` are recognised. A document
+    of one array is one task; large collections are better kept as one object
+    per line (``lines``), which Spark splits.
     """
+    if lines:
+        return spark.read.schema(schema).json(path)
     names = [wrapper] if wrapper else ["items", "data"]
     fields = [T.StructField(name, T.ArrayType(schema)) for name in names if name not in schema.names]
     raw = spark.read.schema(T.StructType([*schema.fields, *fields])).option("multiLine", True).json(path)

@@ -85,18 +85,20 @@ def _(spark, d):
     return b.table(spark, d, "pages").select("page_id", cp.first_pdf_link("html", "https://site.example", "on").alias("link"))
 
 
+# One listing page per order: a heading, the order itself and a navigation row.
 @query("T28_listing_rows", """
-SELECT cust, CAST(r-1 AS INTEGER) AS row_index, title, day AS date, CASE WHEN k%2=0 THEN 'https://site.example/doc/'||k ELSE 'https://site.example/files/'||k||'.pdf' END AS detail_url FROM (
- SELECT o_custkey AS cust, o_orderkey AS k, o_orderpriority||' no. '||o_orderkey AS title, strftime(o_orderdate,'%d/%m/%Y') AS day, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, o_orderstatus AS st FROM orders)
- WHERE st<>'P' AND length(title)>=8""")
+SELECT o_orderkey AS id, 1 AS row_index, o_orderpriority||' no. '||o_orderkey AS title, strftime(o_orderdate,'%d/%m/%Y') AS date,
+ CASE WHEN o_orderkey%2=0 THEN 'https://site.example/doc/'||o_orderkey ELSE 'https://site.example/files/'||o_orderkey||'.pdf' END AS detail_url
+FROM orders WHERE o_orderstatus<>'P' AND length(o_orderpriority||' no. '||o_orderkey)>=8""")
 def _(spark, d):
     k = F.col("o_orderkey").cast("string")
     href = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("/doc/"), k)).otherwise(F.concat(F.lit("files/"), k, F.lit(".pdf")))
     title = F.concat("o_orderpriority", F.lit(" no. "), k, F.when(F.col("o_orderstatus") == "P", " next page").otherwise(""))
-    row = F.concat(F.lit("<tr class='x'><td>"), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("</td><td> <a href=\""), href, F.lit("\"><b>"), title, F.lit("</b></a></td></tr>"))
-    pages = b.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("cust")).agg(
-        F.concat(F.lit("<table>"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", row.alias("r")))), lambda s: s["r"]), "\n"), F.lit("</table>")).alias("html"))
-    return cp.listing_rows(pages, base="https://site.example", by=["cust"])
+    page = F.concat(
+        F.lit("<table>\n<tr><th>Date</th><th>Title</th></tr>\n<tr class='x'><td>"), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("</td>\n<td> <a href=\""), href,
+        F.lit("\"><b>"), title, F.lit("</b></a></td></tr><tr><td>1</td><td><a href='/more'>Previous orders</a></td></tr></table>"),
+    )
+    return cp.listing_rows(b.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), page.alias("html")), base="https://site.example", by=["id"])
 
 
 FIELDS = [("num_numbers", r"\b\d+(?:,\d+)*(?:\.\d+)?\b"), ("num_currencies", r"(?i)₹|crore|lakh|cr\.?|Rs\.?"), ("num_amendments", r"(?i)\bsupersed|\bamend|\bmodif|\breplace|\bhereby\b"),

@@ -29,6 +29,12 @@ def test_read_items_with_other_wrapper(spark, tmp_path):
     assert read_items(spark, str(path), wrapper="records").count() == 1
 
 
+def test_read_items_by_line(spark, tmp_path):
+    path = tmp_path / "items.jsonl"
+    path.write_text(json.dumps(ITEM) + "\n" + json.dumps({**ITEM, "id": "R_2"}) + "\n", encoding="utf-8")
+    assert read_items(spark, str(path), lines=True).count() == 2
+
+
 def test_read_predictions(spark, tmp_path):
     header = "id,task_type,difficulty,question,ref_answer,prediction,correct,model_version\n"
     (tmp_path / "alpha_results.csv").write_text(header + '1,t,easy,q,r,"two\nlines, ""quoted""",1,v\n2,t,easy,q,r,FAIL: x,0,v\n', encoding="utf-8")
