@@ -11,7 +11,9 @@ if one exceeds the capacity, the number of windows rises.
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,39 +58,51 @@ def chunks_of(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return codes, vocab, np.searchsorted(begins[:-1], at)
 
 
-def token_ids(encode: Callable[[list[str]], list[list[int]]], column: pa.Array, known: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(encode: Callable[[str], list[int]], column: pa.Array, known: dict[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, and their bounds; ``known`` is a memory of chunks."""
     codes, vocab, bounds = chunks_of(column)
     chunks = vocab.to_pylist()
-    fresh = [c for c in chunks if c not in known]
-    if fresh:
-        if len(known) > REMEMBERED:
-            known.clear()
-            fresh = chunks
-        known.update(zip(fresh, (np.array(ids, np.uint32) for ids in encode([c.decode() for c in fresh])), strict=True))
+    if len(known) > REMEMBERED:
+        known.clear()
+    for c in chunks:
+        if c not in known:
+            known[c] = array("I", encode(c.decode())).tobytes()
     each = [known[c] for c in chunks]
-    sizes = np.fromiter(map(len, each), np.int64, len(each))
-    flat, starts = np.concatenate([*each, np.zeros(0, np.uint32)]), np.cumsum(sizes) - sizes
+    sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+    flat, starts = np.frombuffer(b"".join(each), np.uint32), np.cumsum(sizes) - sizes
     lengths = sizes[codes]
     ends = np.cumsum(lengths)
     ids = flat[np.repeat(starts[codes] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
     return ids, np.append(0, ends)[bounds]
 
 
-def _encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    from tokenizers import Tokenizer
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Ids of a text by the byte-level BPE of a tokenizer file.
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    The file's vocabulary and pattern run in the faster of two libraries; its
+    ids number the merges in order, so they serve as ranks. Tests hold the ids
+    against the file's own library.
+    """
+    import public_tokenizers
+    import tiktoken
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    with open(path, encoding="utf-8") as file:
+        tokenizer = json.load(file)
+    added = {x["content"] for x in tokenizer.get("added_tokens", [])}
+    # The byte alphabet: printable bytes stand for themselves, the others for letters from U+0100 on.
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    others = (b for b in range(256) if b not in printable)
+    of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    if set(of) != set(ByteLevel.alphabet()):
+        raise ValueError("the byte alphabet differs")
+    ranks = {bytes(of[c] for c in token): rank for token, rank in tokenizer["model"]["vocab"].items() if token not in added}
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def _cut(path: str, capacity: int, grain: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, known = _encoder(path), {}
+        encode, known = encoder(path), {}
         for batch in slices(batches):
             ids, bounds = token_ids(encode, batch.column("text"), known)
             ids = ids.astype("<u4")
@@ -107,29 +121,46 @@ def _cut(path: str, capacity: int, grain: int):
 
 
 def differenced(sizes: list[int], k: int) -> list[list[int]]:
-    """Karmarkar-Karp: ``k`` near-equal groups of places in ``sizes``.
+    """Karmarkar-Karp: at most ``k`` near-equal groups of places in ``sizes``.
 
-    A partial partition holds its sums in falling order, zeros left out. Ties
-    are broken by the order in which partial partitions were made.
+    A partial partition holds its sums in falling order, zeros left out, and a
+    node for each; merging two groups makes a node with two children. Ties are
+    broken by the order in which partial partitions were made.
     """
-    heap = [(-s if k > 1 else 0, i, [s], [[i]]) for i, s in enumerate(sizes)]
+    n = len(sizes)
+    heap = [(-s if k > 1 else 0, i, np.array([s]), np.array([i])) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
-    made = len(heap)
+    made, left, right = n, [], []
     while len(heap) > 1:
-        _, _, sums, groups = heapq.heappop(heap)
+        _, _, sums, nodes = heapq.heappop(heap)
         _, _, more, others = heapq.heappop(heap)
-        free = k - len(sums)
-        # The smallest of the one meet the largest of the other; zeros come first.
-        over = max(0, len(more) - free)
-        joined = [(s, g) for s, g in zip(sums[: len(sums) - over], groups[: len(groups) - over], strict=True)]
-        joined += zip(more[over:], others[over:], strict=True)
-        low = range(len(sums) - 1, len(sums) - 1 - over, -1)
-        joined += [(sums[i] + s, groups[i] + g) for i, s, g in zip(low, more[:over], others[:over], strict=True)]
-        joined.sort(key=lambda x: -x[0])
-        sums, groups = [s for s, _ in joined], [g for _, g in joined]
-        heapq.heappush(heap, (-(sums[0] - (sums[-1] if len(sums) == k else 0)), made, sums, groups))
+        # Zeros meet the largest of the other; the smallest of the one meet the rest, largest with smallest.
+        over = max(0, len(more) - (k - len(sums)))
+        stay = len(sums) - over
+        if over:
+            merged = np.arange(n + len(left), n + len(left) + over)
+            left += nodes[stay:][::-1].tolist()
+            right += others[:over].tolist()
+            sums = np.concatenate([sums[:stay], more[over:], sums[stay:][::-1] + more[:over]])
+            nodes = np.concatenate([nodes[:stay], others[over:], merged])
+        else:
+            sums, nodes = np.append(sums, more), np.append(nodes, others)
+        if over or more[0] > sums[stay - 1]:
+            order = np.argsort(-sums, kind="stable")
+            sums, nodes = sums[order], nodes[order]
+        heapq.heappush(heap, (-int(sums[0] - (sums[-1] if len(sums) == k else 0)), made, sums, nodes))
         made += 1
-    return heap[0][3] if heap else []
+    groups = []
+    for node in heap[0][3].tolist() if heap else []:
+        stack, group = [node], []
+        while stack:
+            at = stack.pop()
+            if at < n:
+                group.append(at)
+            else:
+                stack += [left[at - n], right[at - n]]
+        groups.append(group)
+    return groups
 
 
 def windows(sizes: list[int], capacity: int) -> list[list[int]]:
