@@ -8,8 +8,8 @@ confirmed on the full shingle sets.
 
 No link is left out: after a bucket's members are compared with its leader, the
 buckets whose members are still in different components get further leaders,
-and at last every pair across components, until nothing is open. All pairs of a
-group are never made: pairs within a component need no check.
+and at last an exact prefix join across components. All pairs of a group are
+never made: pairs within a component need no check.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeframe.llm.components import components
@@ -129,11 +129,22 @@ def _led(members: DataFrame, order: Column) -> DataFrame:
     return pairs.select(F.col("id").alias("a"), F.col("l.id").alias("b"), F.col("n").alias("na"), F.col("l.n").alias("nb")).distinct()
 
 
-def _crossing(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each bucket's members of different components and fitting sizes."""
-    right = members.select("band", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("other"))
-    fits = 100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")
-    pairs = members.join(right, "band").where((F.col("root") < F.col("other")) & fits)
+def _crossing(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components among the open members that can be similar enough, by an exact prefix join.
+
+    Shingles are put in order, rarest first. Sets as similar as asked share one
+    of their first n - ceil(n * percent / 100) + 1 shingles, and the first they
+    share leaves room for the overlap they need; only such pairs are made.
+    """
+    members = rest.select("id", "n", "root").distinct()
+    rows = members.join(sets, "id").select("id", "n", "root", F.explode("shingles").alias("s"))
+    often = rows.groupBy("s").agg(F.count("*").alias("f"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("f", "s"))
+    prefix = rows.join(often, "s").withColumn("i", place).where((F.col("f") > 1) & (F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
+    prefix = written(prefix.select("s", "id", "n", "root", "i"), "prefix")
+    other = prefix.select("s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("other"), F.col("i").alias("j"))
+    room = (100 + percent) * (1 + F.least(F.col("n") - F.col("i"), F.col("nb") - F.col("j"))) >= percent * (F.col("n") + F.col("nb"))
+    pairs = prefix.join(other, "s").where((F.col("root") < F.col("other")) & room)
     return pairs.select(F.col("id").alias("a"), "b", F.col("n").alias("na"), "nb").distinct()
 
 
@@ -174,7 +185,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame
         rest = _open(members, roots)
         if not rest.take(1):
             break
-        found = written(_confirmed(_crossing(rest, percent) if order is None else _led(rest, order.alias("o")), sets, percent), "links")
+        found = written(_confirmed(_crossing(rest, sets, percent) if order is None else _led(rest, order.alias("o")), sets, percent), "links")
         if found.take(1):
             links = found if links is None else links.union(found)
             roots = components(links)
