@@ -14,7 +14,7 @@ the runs of ``k - 1`` words at its ends. Only repeated edges are built:
    path and compact to one span (document, start, edges, source, source start);
    a path ends where the source changes, that is at a branch.
 
-Windows are told apart by 128 bits of hash; copies by the SHA-256 of the text.
+Windows are told apart by 96 bits of hash; copies by the SHA-256 of the text.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeframe.llm.shared import written
 from gradeframe.llm.words import grams, hashes, slices, whole_runs, words_of
 
 #: Words of an anchor run. Shorter ones are shared by chance, longer ones are sparser picks.
@@ -48,11 +49,13 @@ def _anchors(k: int):
         for batch in slices(batches):
             found = words_of(batch.column("text"))
             at, row = whole_runs(found.bounds, k)
+            key = np.zeros(0, np.int64)
             if len(at):
                 key = _anchor_of_windows(hashes(found.vocab)[found.codes], k)[at]
                 new = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row[new]]), pa.array(key[new])], ["doc_id", "anchor"])
+                key, row = key[new], row[new]
+            ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sha"), pa.ListArray.from_arrays(ends, pa.array(key))], ["doc_id", "sha", "anchors"])
 
     return run
 
@@ -73,7 +76,7 @@ def _edges(k: int):
                 mine[part] = np.isin(key[part], shared.values.to_numpy(zero_copy_only=False))
             at, row = at[mine], row[mine]
             ids, variants = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "variant"))
-            second = grams(hashes(found.vocab, 1)[found.codes], k)[at].view(np.int64)
+            second = (grams(hashes(found.vocab, 1)[found.codes], k)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[row]), pa.array(at - found.bounds[row] + (variants[row] << 32)), pa.array(grams(h, k)[at].view(np.int64)), pa.array(second)],
                 ["doc_id", "pos", "h1", "h2"],
@@ -107,16 +110,20 @@ def _base(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
 
 
-def _copies(base: DataFrame) -> DataFrame:
-    """(doc_id, sha, variant, is_copy): whether a smaller doc_id has the same text.
+def _seen(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables of documents with an id: (doc_id, sha, anchors) by row, and (doc_id, sha, variant, is_copy).
 
-    ``variant`` numbers the texts of one doc_id, from 0; it stands in the upper
-    half of a place, so that texts under one doc_id are told apart.
+    ``is_copy`` says whether a smaller doc_id has the same text. ``variant``
+    numbers the texts of one doc_id, from 0; it stands in the upper half of a
+    place, so that texts under one doc_id are told apart.
     """
-    seen = base.select("doc_id", "sha").where("doc_id is not null").distinct()
+    rows = _base(docs.where("doc_id is not null")).mapInArrow(_anchors(k), "doc_id long, sha string, anchors array<long>")
+    rows = written(rows, "anchors")
+    seen = rows.select("doc_id", "sha").distinct()
     seen = seen.withColumn("variant", (F.row_number().over(Window.partitionBy("doc_id").orderBy("sha")) - 1).cast("long"))
     first = seen.groupBy("sha").agg(F.min("doc_id").alias("first_id"))
-    return seen.join(first, "sha").select("doc_id", "sha", "variant", (F.col("doc_id") > F.col("first_id")).alias("is_copy"))
+    copies = seen.join(first, "sha").select("doc_id", "sha", "variant", (F.col("doc_id") > F.col("first_id")).alias("is_copy"))
+    return rows, written(copies, "copies")
 
 
 def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
@@ -126,15 +133,19 @@ def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
     also starts in document source_id < doc_id, from word source_start on.
     Texts of fewer than k words, null and empty texts and null ids have none.
     """
-    base = _base(docs)
-    first = base.join(_copies(base).where(~F.col("is_copy")), ["doc_id", "sha"])
-    anchors = first.select("doc_id", "text").mapInArrow(_anchors(k), "doc_id long, anchor long")
+    return _spans(docs, k, *_seen(docs, k))
+
+
+def _spans(docs: DataFrame, k: int, rows: DataFrame, copies: DataFrame) -> DataFrame:
+    originals = copies.where("not is_copy").select("doc_id", "sha", "variant")
+    anchors = rows.join(originals, ["doc_id", "sha"]).select("doc_id", F.explode("anchors").alias("anchor"))
     ends = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    mine = anchors.join(ends.select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    edges = first.select("doc_id", "text", "variant").join(mine, "doc_id").mapInArrow(_edges(k), "doc_id long, pos long, h1 long, h2 long")
+    mine = written(anchors.join(ends.select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "shared-anchors")
+    texts = _base(docs).join(originals.join(mine, "doc_id"), ["doc_id", "sha"]).select("doc_id", "text", "variant", "anchors")
+    edges = written(texts.mapInArrow(_edges(k), "doc_id long, pos long, h1 long, h2 int"), "edges")
     source = edges.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("s"), F.max("doc_id").alias("hi")).where("s.doc_id < hi")
     source = source.select("h1", "h2", F.col("s.doc_id").alias("source_id"), F.col("s.pos").alias("source_pos"))
-    later = edges.join(source, ["h1", "h2"]).where("source_id < doc_id").select("doc_id", "pos", "source_id", "source_pos").distinct()
+    later = edges.join(source, ["h1", "h2"]).where("source_id < doc_id").select("doc_id", "pos", "source_id", "source_pos").repartition("doc_id").distinct()
     # Runs of consecutive places on consecutive coordinates: gaps and islands within a document.
     path = Window.partitionBy("doc_id").orderBy("pos", "source_id", "source_pos")
     same = (F.lag("source_id").over(path) == F.col("source_id")) & (F.lag("pos").over(path) == F.col("pos") - 1) & (F.lag("source_pos").over(path) == F.col("source_pos") - 1)
@@ -143,10 +154,10 @@ def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
         F.min("pos").alias("pos"), F.count("*").cast("int").alias("edges"), F.min(F.struct("source_id", "source_pos")).alias("s"),
     )
     place = (2**32) - 1
-    return spans.select(
+    return written(spans.select(
         "doc_id", F.shiftright("pos", 32).alias("variant"), F.col("pos").bitwiseAND(place).alias("start"), "edges",
         F.col("s.source_id").alias("source_id"), F.col("s.source_pos").bitwiseAND(place).alias("source_start"),
-    )
+    ), "spans")
 
 
 def remove_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
@@ -157,9 +168,9 @@ def remove_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
     doc_id keeps all its words and is no source; rows that share a doc_id each
     give a row, judged against smaller ids only. Other columns are not read.
     """
-    base = _base(docs)
-    spans = repeated_spans(docs, k).groupBy("doc_id", "variant").agg(F.collect_list(F.struct("start", "edges")).alias("spans"))
-    told = _copies(base).join(spans, ["doc_id", "variant"], "left")
-    return base.join(told, ["doc_id", "sha"], "left").select("doc_id", "text", "is_copy", "spans").mapInArrow(
+    rows, copies = _seen(docs, k)
+    spans = _spans(docs, k, rows, copies).groupBy("doc_id", "variant").agg(F.collect_list(F.struct("start", "edges")).alias("spans"))
+    told = copies.join(spans, ["doc_id", "variant"], "left")
+    return _base(docs).join(told, ["doc_id", "sha"], "left").select("doc_id", "text", "is_copy", "spans").mapInArrow(
         _kept(k), "doc_id long, n_words long, n_removed long, kept_sha256 string"
     )
