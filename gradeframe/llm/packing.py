@@ -134,15 +134,16 @@ def differenced(sizes: list[int], k: int) -> list[list[int]]:
     while len(heap) > 1:
         _, _, sums, nodes = heapq.heappop(heap)
         _, _, more, others = heapq.heappop(heap)
-        # Zeros meet the largest of the other; the smallest of the one meet the rest, largest with smallest.
-        over = max(0, len(more) - (k - len(sums)))
+        # Zeros, the smallest of the one, meet the largest of the other; then the next smallest meet the next largest.
+        free = k - len(sums)
+        over = max(0, len(more) - free)
         stay = len(sums) - over
         if over:
             merged = np.arange(n + len(left), n + len(left) + over)
             left += nodes[stay:][::-1].tolist()
-            right += others[:over].tolist()
-            sums = np.concatenate([sums[:stay], more[over:], sums[stay:][::-1] + more[:over]])
-            nodes = np.concatenate([nodes[:stay], others[over:], merged])
+            right += others[free:].tolist()
+            sums = np.concatenate([sums[:stay], more[:free], sums[stay:][::-1] + more[free:]])
+            nodes = np.concatenate([nodes[:stay], others[:free], merged])
         else:
             sums, nodes = np.append(sums, more), np.append(nodes, others)
         if over or more[0] > sums[stay - 1]:

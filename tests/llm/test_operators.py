@@ -1,0 +1,310 @@
+"""The numbered operators against brute force, on small tables with nulls, ties, repeats and clashing names."""
+
+from __future__ import annotations
+
+import hashlib
+import io
+import random
+import re
+import zipfile
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from gradeframe.llm import impact_topk, minmax_hash, mixing, packing, rule_ledger, secret_forest, substrings, viterbi, wacz, weak_quality
+from gradeframe.llm.components import components
+from gradeframe.llm.queries import ORACLE, QUERIES, tokenizer_file
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sha string, `key` string, root int, words int"
+
+
+def texts() -> list[str | None]:
+    rng = random.Random(3)
+    vocab = [a + b for a in ("ba", "co", "du", "fe", "gi", "Ha", "über") for b in ("l", "mm", "nt", "rs", "va.")]
+    base = [" ".join(rng.choice(vocab) for _ in range(n)) for n in (40, 60, 90, 120, 30, 25, 14)]
+    near = [re.sub(r"^\S+ \S+", "other begin", t) for t in base[:4]]
+    shared = [" ".join(rng.choice(vocab) for _ in range(20)) + " " + base[1][:160] for _ in range(3)]
+    odd = [None, "", " \n\t ", "one", "two words", "One", "word " * 3000, "a b c  d\n e", base[0], base[0].upper(), base[2] + "\n" + base[2]]
+    return base + near + shared + odd
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "big" if i % 3 else f"s{i % 5}", len(t or ""), "x", "y", 1, 2) for i, t in enumerate(texts())]
+    rows += [rows[3], (None, "no id " * 20, None, None, 5, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_substrings_match_brute_force(docs, none):
+    rows = [(r.doc_id, WORD.findall(r.text or "")) for r in docs.collect()]
+    starts: dict[tuple, int] = {}
+    for i, w in rows:
+        for p in range(len(w) - 12 if i is not None else 0):
+            starts[tuple(w[p : p + 13])] = min(i, starts.get(tuple(w[p : p + 13]), i))
+    wanted = Counter()
+    for i, w in rows:
+        gone = {q for p in range(len(w) - 12) if i is not None and starts[tuple(w[p : p + 13])] < i for q in range(p, p + 13)}
+        wanted[i, len(w), len(gone), hashlib.sha256(" ".join(x for p, x in enumerate(w) if p not in gone).encode()).hexdigest()] += 1
+    assert Counter(tuple(r) for r in substrings.remove_repeats(docs).collect()) == wanted
+    assert any(k[2] and k[2] < k[1] for k in wanted)
+    assert substrings.remove_repeats(none).collect() == []
+
+
+def test_spans_lie_in_their_sources(docs):
+    words = {r.doc_id: WORD.findall(r.text or "") for r in docs.where("doc_id is not null").collect()}
+    spans = substrings.repeated_spans(docs).collect()
+    assert spans
+    for s in spans:
+        n = s.edges + 12
+        assert s.source_id < s.doc_id and words[s.doc_id][s.start : s.start + n] == words[s.source_id][s.source_start : s.source_start + n]
+
+
+def shingles(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+
+
+def test_near_duplicates_match_brute_force(docs, none):
+    rows = docs.collect()
+    named = [(r.doc_id, shingles(r.text)) for r in rows if r.doc_id is not None]
+    root = {i: i for i, _ in named}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in named:
+        for j, b in named:
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    wanted = Counter((r.doc_id, len(shingles(r.text)), None if r.doc_id is None else find(r.doc_id), r.doc_id is None or find(r.doc_id) == r.doc_id) for r in rows)
+    assert Counter(tuple(r) for r in minmax_hash.near_duplicates(docs).collect()) == wanted
+    assert minmax_hash.near_duplicates(none).collect() == []
+
+
+def test_open_buckets_are_closed_by_the_prefix_join(spark):
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(60), 40)) for _ in range(30)] + [list(range(40)), list(range(2, 42)), list(range(4, 44))]
+    table = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "id long, shingles array<long>")
+    rest = spark.createDataFrame([(i, len(s), i) for i, s in enumerate(sets)], "id long, n long, root long")
+    pairs = minmax_hash._confirmed(minmax_hash._crossing(rest, table, 80), table, 80)
+    wanted = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and 100 * len({*a} & {*b}) >= 80 * len({*a} | {*b})}
+    assert {tuple(sorted(r)) for r in pairs.collect()} == wanted and wanted
+
+
+def test_min_max_values_agree_as_often_as_sets_are_similar():
+    # Shingle hashes are mixed already, so random values stand for them; the mean over many pairs is unbiased.
+    agreed = []
+    for seed in range(60):
+        u = np.random.default_rng(seed).integers(0, 2**64, 1200, dtype=np.uint64)
+        s = minmax_hash.signatures(np.concatenate([u[:1000], u[200:]]), np.array([0, 1000, 2000]))
+        agreed.append((s[0] == s[1]).mean())
+    assert abs(np.mean(agreed) - 800 / 1200) < 0.02
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (9, 3), (5, 6), (6, 6), (7, 7), (2, 1)], "a long, b long")
+    assert dict(components(edges).collect()) == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5}
+
+
+def test_top_k_matches_brute_force(spark):
+    rng = np.random.default_rng(1)
+    vectors = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 0.2, (400, 8)))]
+    vectors += [(400, vectors[7][1]), (401, None), (402, [1.0, None] + [0.0] * 6), (403, [float("nan")] * 8), (404, [float("inf")] * 8), (None, [0.1] * 8), vectors[5]]
+    table = spark.createDataFrame([(i, v, 1) for i, v in vectors], "vec_id long, embedding array<float>, score int")
+    known = {i: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int) for i, v in vectors[:401]}
+    got = impact_topk.top_k(table, F.col("vec_id") % 50 == 0).collect()
+    wanted = set()
+    for q in range(0, 401, 50):
+        best = sorted((-int(known[q] @ v), i) for i, v in known.items() if i != q)[:5]
+        wanted |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in got} == wanted and len(got) == len(wanted)
+    assert impact_topk.top_k(table.limit(0), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_index_stops_only_on_proof():
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-50, 50, (3000, 4))
+    vectors[10] = [900, 0, 0, 0]
+    index = impact_topk.ImpactIndex(np.arange(3000), vectors)
+    for query in (np.array([5, 0, 0, 0]), np.array([3, -2, 1, 0]), np.zeros(4, int)):
+        scores, ids = index.top(query, 5, 3)
+        best = sorted((-int(v @ query), i) for i, v in enumerate(vectors) if i != 3)[:5]
+        assert [(-s, i) for s, i in best] == list(zip(scores.tolist(), ids.tolist(), strict=True))
+
+
+def test_token_counts_match_the_tokenizer(docs, none):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    pieces = viterbi.pieces_of(tokenizer_file("piece_bpe_32k.model"))
+    exact = Tokenizer(models.Unigram(pieces, 0, True))
+    exact.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+    got = viterbi.count_tokens(docs, tokenizer_file("piece_bpe_32k.model")).collect()
+    wanted = Counter((r.doc_id, len(exact.encode(r.text, add_special_tokens=False).ids) if r.text else 0) for r in docs.collect())
+    assert Counter(tuple(r) for r in got) == wanted
+    assert viterbi.count_tokens(none, tokenizer_file("piece_bpe_32k.model")).collect() == []
+
+
+def test_viterbi_ties():
+    words = viterbi.vocabulary([("a", -1.0), ("b", -1.0), ("ab", -2.0), ("aab", -3.0)])
+    assert viterbi.count_pieces("ab", words) == 1 and viterbi.count_pieces("aab", words) == 1 and viterbi.count_pieces("é", words) == 2
+
+
+def test_packing_is_whole_and_tight(docs, none):
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    exact.encode_special_tokens = True
+    got = packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), capacity=256, grain=64).toPandas()
+    for r in docs.where("doc_id is not null and doc_id != 3").collect():
+        ids = np.array([*exact.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        own, at = got[got.doc_id == r.doc_id].sort_values("start"), 0
+        for p in own.itertuples():
+            assert (p.start, p.doc_tokens, p.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + p.length].tobytes()))
+            at += p.length
+        assert at == len(ids)
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 256
+    assert got.sequence_id.nunique() <= 1.1 * -(-got.length.sum() // 256) + 1
+    assert packing.pack(none, tokenizer_file("byte_bpe_50k.json")).collect() == []
+
+
+def test_differencing_balances():
+    sizes = [8, 7, 6, 5, 4]
+    assert sorted(sum(sizes[i] for i in g) for g in packing.differenced(sizes, 2)) == [14, 16]
+    assert sorted(i for g in packing.windows([5] * 7, 10) for i in g) == list(range(7))
+
+
+def test_ledger_counts_and_ablations(docs, none):
+    rows = rule_ledger.apply_policy(rule_ledger.ledger(docs)).toPandas()
+    for r in docs.where("doc_id is not null").collect():
+        w = WORD.findall(r.text or "")
+        grams = Counter(tuple(w[p : p + 8]) for p in range(len(w) - 7))
+        covered = {q for p in range(len(w) - 7) if grams[tuple(w[p : p + 8])] > 1 for q in range(p, p + 8)}
+        got = rows[rows.doc_id == r.doc_id].iloc[0]
+        assert (got.n_words, got.n_repeat_words, got.word_chars) == (len(w), len(covered), sum(map(len, w)))
+    told = {r.rule: (r.n_failed, r.n_alone) for r in rule_ledger.ablations(rule_ledger.ledger(docs)).collect()}
+    assert told["few_words"][0] == (rows.n_words < 20).sum()
+    assert rule_ledger.ledger(none).collect() == []
+
+
+def test_archives_round_trip(spark, tmp_path):
+    long = "<p>é" + "x" * 200
+    rows = [(1, "http://a/1", long), (2, "http://a/\r\nb", long), (3, None, "short"), (4, "u", "short"), (5, "u", None), (6, "u", ""), (None, "u", long), (1, "http://a/1", long), (7, "u", "y" * 3_000_000)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
+    folder = f"file://{tmp_path}/wacz"
+    archives = wacz.write_archives(pages, folder)
+    got = wacz.read_archives(archives, folder, records=2).collect()
+    wanted = Counter()
+    for i, _, h in rows:
+        data = (h or "").encode()
+        again = len(data) >= 100 and i != 1 and data == long.encode()
+        wanted[i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", 1 if again else None] += 1
+    assert Counter(tuple(r)[:5] for r in got) == wanted
+    for path in (r.path for r in archives.collect()):
+        assert zipfile.ZipFile(path).testzip() is None
+    assert wacz.round_trip(pages.limit(0)).collect() == []
+
+
+def test_zip64_directory_is_read():
+    class File(io.BytesIO):
+        def size(self):
+            return len(self.getbuffer())
+
+    made = File()
+    with zipfile.ZipFile(made, "w") as z:
+        for i in range(70_000):
+            z.writestr(f"m{i}", b"")
+        z.writestr("last", b"payload", zipfile.ZIP_STORED)
+    file = wacz.Range(made)
+    found = wacz.members(file)
+    assert len(found) == 70_001 and file.at(wacz.data_start(file, found[-1]), found[-1].size) == b"payload"
+
+
+def test_secrets_are_found_and_redacted(docs, none):
+    token = hashlib.sha1(b"1").hexdigest()
+    plain = docs.where("doc_id < 14")
+    planted = plain.limit(1).withColumns({"doc_id": F.lit(900).cast("long"), "text": F.lit(f'some words before token = "{token}" and after that')})
+    harmless = plain.limit(1).withColumns({"doc_id": F.lit(901).cast("long"), "text": F.lit("write to someone.12@mail3.example.com about thiswordisverylongindeed")})
+    table = docs.union(planted).union(harmless)
+    found = secret_forest.scan(table)
+    told = found.where("is_secret").collect()
+    assert [(r.doc_id, r.value) for r in told] == [(900, token)]
+    clean = secret_forest.redact(table, found)
+    assert clean.columns == table.columns and clean.count() == table.count()
+    assert clean.where(F.col("text").contains(token)).count() == 0
+    assert clean.where("doc_id = 901").first().text == harmless.first().text
+    assert secret_forest.scan(none).collect() == []
+
+
+def test_weak_labels_and_scorer(spark, none):
+    patterns = np.array([[1, 0, 0], [1, -1, 0], [-1, -1, -1], [0, 0, -1]])
+    posterior, table, prior = weak_quality.fit_accuracies(patterns, np.array([80.0, 2, 15, 3]))
+    assert posterior[0] > 0.9 > 0.1 > posterior[2] and 0.7 < prior < 0.95
+    assert np.allclose(table.sum(2), 1)
+    rng = random.Random(4)
+    good = [" ".join(rng.choice(["The", "of", "river", "house,", "green", "walks", "under", "stone."]) + rng.choice(["", "s", "ly", "er", "ing", "ed", "al"]) for _ in range(60)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(good)] + [(100 + i, " ".join(w + "%%%" for w in t.split())) for i, t in enumerate(good[:20])] + [(200, None), (201, ""), (None, good[0]), (0, good[0])]
+    got = weak_quality.score_quality(spark.createDataFrame([(*r, 1.0, "t") for r in rows], "doc_id long, text string, score double, tokens string"))
+    verdict = [(r.doc_id, r.accepted) for r in got.collect()]
+    assert len(verdict) == len(rows) and "tokens" in got.columns
+    assert all(ok == (i is None or i < 100) for i, ok in verdict)
+    assert weak_quality.score_quality(none).collect() == []
+
+
+def test_weak_quality_meets_held_out_labels(spark):
+    d = "/root/testdata/sf0.001"
+    got = QUERIES["op6_weak_quality"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    n, right = got.agg(F.count("*"), F.count_if(F.col("accepted") == (F.col("quality") == 1))).first()
+    assert right >= 0.9 * n
+
+
+def test_exponent_meets_its_target():
+    tokens = [1000, 100, 10]
+    assert abs(mixing.entropy(mixing._shares(tokens, mixing.bisect_exponent(tokens, target_entropy=0.9))) - 0.9) < 1e-6
+    plan = mixing.source_budgets([("a", 1000), ("b", 100), ("c", 0)], repetition_limit=2.0)
+    assert [round(b / t, 3) for _, t, _, b in plan] == [1.0, 2.0]
+    assert mixing.source_budgets([]) == []
+
+
+def test_mix_meets_budgets(docs, none):
+    used = mixing.mix(docs, repetition_limit=1.7, keep=["text"])
+    assert used.columns[-1] == "text"
+    got = used.toPandas()
+    sizes = docs.select("source", mixing.token_count().alias("t")).toPandas().groupby("source", dropna=False).t.sum()
+    plan = mixing.source_budgets([(None if s != s else s, int(t)) for s, t in sizes.items()], repetition_limit=1.7)
+    longest = 3000
+    for source, size, _, budget in plan:
+        mine = got[got.source.isna()] if source is None else got[got.source == source]
+        assert budget <= mine.tokens.sum() < budget + longest and mine[mine.epoch == 0].tokens.sum() == size
+    assert len(got[got.epoch == 0]) == docs.count()
+    assert mixing.mix(none).collect() == []
+
+
+def test_pipeline_stages_keep_clean_documents(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "MinHash near-dedup", "secret scans", "mixing sources", "packing"]
+    accepted = corpus_pipeline.quality(spark, docs, d)
+    assert accepted.columns == docs.columns and 0.6 * docs.count() < accepted.count() < docs.count()
+    kept = corpus_pipeline.near_dedup(spark, accepted, d)
+    groups = minmax_hash.near_duplicates(accepted)
+    assert kept.count() == groups.select("component_id").distinct().count()
+    packed = corpus_pipeline.run(spark, d)
+    assert packed.select("doc_id").distinct().count() == kept.count()
+
+
+def test_every_oracle_has_its_query():
+    assert set(ORACLE) <= set(QUERIES) and len(QUERIES) == 10
