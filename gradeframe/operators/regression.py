@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,35 +32,53 @@ def logit_regression(
 ) -> DataFrame:
     """Correct ~ difficulty + task with explicit reference levels.
 
-    Runs at once: rows collapse to at most levels * tasks * 2 weighted cells and
-    the model is fitted on those, which gives the same estimates as all rows.
-    ``ols`` fits the linear fallback.
+    Runs at once. Rows collapse to one cell per (difficulty, task) with the
+    share correct, weighted by its rows, which gives the estimates of all rows;
+    the number of cells does not grow with the rows. Every level in the data has
+    a term, declared ones first; declared levels without rows have none. The
+    reference levels must have rows. ``ols`` fits the linear fallback: its
+    errors count the rows, not the cells, and its p-values are normal ones.
     """
-    levels = [x for x in (levels or fv.DIFFICULTIES) if x != reference_level]
-    tasks = [x for x in (tasks or fv.TASKS) if x != reference_task]
-    cells = regression_cells(df, **columns)
-    names = []
-    for factor, values in (("difficulty", levels), ("task", tasks)):
-        for value in values:
-            names.append(f"{factor}[{value}]")
-            cells = cells.withColumn(names[-1], (F.col(factor) == value).cast("double"))
-    # Column names with brackets are quoted once for the assembler.
-    plain = [f"x{i}" for i in range(len(names))]
-    cells = cells.select("label", "weight", *[F.col(f"`{n}`").alias(p) for n, p in zip(names, plain)])
-    # A few dozen weighted cells at the most: one partition spares a job's worth of empty tasks per iteration.
-    data = VectorAssembler(inputCols=plain, outputCol="features").transform(cells.coalesce(1)).cache()
-    try:
-        family, link = ("gaussian", "identity") if ols else ("binomial", "logit")
-        model = GeneralizedLinearRegression(family=family, link=link, weightCol="weight", maxIter=100, tol=1e-10).fit(data)
-        summary = model.summary
-        terms = list(zip(
-            [*names, "Intercept"], [*model.coefficients.toArray().tolist(), model.intercept],
-            summary.coefficientStandardErrors, summary.pValues,
-        ))
-    finally:
-        data.unpersist()
-    rows = [(name, float(b), float(p), float(b - fv.Z95 * s), float(b + fv.Z95 * s), bool(p < 0.05)) for name, b, s, p in terms]
-    return df.sparkSession.createDataFrame(rows, "term string, coef double, p_value double, ci_lo double, ci_hi double, sig boolean")
+    counts = regression_cells(df, **columns).groupBy("difficulty", "task").agg(
+        (F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("label"), F.sum("weight").alias("weight"),
+    )
+    found = counts.orderBy("difficulty", "task").collect()
+    terms: list[tuple[str, str]] = []
+    for factor, declared, reference in (("difficulty", levels or fv.DIFFICULTIES, reference_level), ("task", tasks or fv.TASKS, reference_task)):
+        present = {r[factor] for r in found}
+        if reference not in present:
+            raise ValueError(f"no rows of the reference {factor} {reference!r}")
+        terms += [(factor, v) for v in [*[x for x in declared if x in present], *sorted(present - {*declared})] if v != reference]
+    design = np.array([[*[float(r[f] == v) for f, v in terms], 1.0] for r in found])
+    share, weight = np.array([r["label"] for r in found]), np.array([r["weight"] for r in found])
+    if ols:
+        inverse = np.linalg.inv(design.T @ (design * weight[:, None]))
+        coefficients = inverse @ (design.T @ (weight * share))
+        # Squares between the cells and the fit, and within cells, where outcomes are 0 or 1.
+        squares = (weight * ((share - design @ coefficients) ** 2 + share * (1 - share))).sum()
+        errors = np.sqrt(np.diag(inverse) * squares / (weight.sum() - design.shape[1]))
+        p_values = [math.erfc(abs(c / e) / math.sqrt(2)) if e else 0.0 for c, e in zip(coefficients, errors)]
+    else:
+        rows = [(float(y), float(w), Vectors.dense(x[:-1])) for y, w, x in zip(share, weight, design)]
+        cells = df.sparkSession.createDataFrame(rows, ["label", "weight", "features"]).coalesce(1)
+        model = GeneralizedLinearRegression(family="binomial", link="logit", weightCol="weight", maxIter=100, tol=1e-10).fit(cells)
+        coefficients = [*model.coefficients.toArray().tolist(), model.intercept]
+        errors, p_values = model.summary.coefficientStandardErrors, model.summary.pValues
+    names = [*[f"{f}[{v}]" for f, v in terms], "Intercept"]
+    out = [(n, float(c), float(p), float(c - fv.Z95 * e), float(c + fv.Z95 * e), bool(p < 0.05)) for n, c, e, p in zip(names, coefficients, errors, p_values)]
+    return df.sparkSession.createDataFrame(out, "term string, coef double, p_value double, ci_lo double, ci_hi double, sig boolean")
+
+
+def logit_scores(df: DataFrame, fitted: DataFrame, difficulty: str = "difficulty", task: str = "task", correct: str = "correct") -> DataFrame:
+    """(term, score), the score equations of a fitted logit over all rows; all are zero at the estimates."""
+    # One coefficient per level.
+    known = F.create_map(*[F.lit(x) for r in fitted.select("term", "coef").collect() for x in r])
+    cells = regression_cells(df, difficulty, task, correct).withColumn("c", known)
+    factors = [F.concat(F.lit(f"{f}["), F.col(f), F.lit("]")) for f in ("difficulty", "task")]
+    parts = [F.coalesce(F.try_element_at("c", f), F.lit(0.0)) for f in factors] + [F.col("c")["Intercept"]]
+    residual = F.col("weight") * (F.col("label") - 1 / (1 + F.exp(-(parts[0] + parts[1] + parts[2]))))
+    each = cells.select(residual.alias("r"), "c", F.explode(F.array(*factors, F.lit("Intercept"))).alias("term")).where(F.array_contains(F.map_keys("c"), F.col("term")))
+    return each.groupBy("term").agg(F.sum("r").alias("score"))
 
 
 def hard_item_model(items: DataFrame, features: list[str], ensemble: str = "ensemble_accuracy", folds: int = 5, fold_key: str = "item_id", c: float = 1.0) -> DataFrame:

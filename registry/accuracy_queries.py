@@ -379,7 +379,7 @@ def _(spark, d):
 
 def perturbed_predictions(spark, d):
     """Four conditions per item; the answer changes with the condition on some items."""
-    rows = valid(spark, d, ["text"]).where("model < 'm3'")
+    rows = valid(spark, d, ["text"])
     conds = F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(i).alias("k")) for i, c in enumerate(["original", "date", "number", "synonym"])]))
     rows = rows.withColumn("_c", conds)
     k, i = F.col("_c.k"), F.col("item_id")
@@ -392,7 +392,7 @@ def perturbed_predictions(spark, d):
 
 
 ROB_SQL = f"""pp AS (SELECT model, item_id, task, k, CASE WHEN k>0 AND (item_id*(k+2))%4=0 THEN 'changed '||text ELSE ' '||text||k END AS prediction,
- CASE WHEN k>0 AND (item_id*(k+2))%4=0 THEN 1-correct ELSE correct END AS correct FROM valid CROSS JOIN (SELECT unnest(range(0,4)) AS k) t WHERE model<'m3'),
+ CASE WHEN k>0 AND (item_id*(k+2))%4=0 THEN 1-correct ELSE correct END AS correct FROM valid CROSS JOIN (SELECT unnest(range(0,4)) AS k) t),
 op AS (SELECT model, item_id, task, k, left({o.strip('prediction')},50) AS s, correct FROM pp),
 rob AS (SELECT a.model, a.item_id, a.task, a.correct AS original_correct, b.correct AS date_correct, c.correct AS number_correct, e.correct AS synonym_correct,
  (a.s=b.s)::INTEGER AS consistency_date, (a.s=c.s)::INTEGER AS consistency_number, (a.s=e.s)::INTEGER AS consistency_synonym

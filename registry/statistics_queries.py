@@ -112,6 +112,15 @@ def _(spark, d):
     return rg.logit_regression(valid(spark, d), b.LEVELS, b.LANGS, reference_task="en")
 
 
+@query("D10_logit_score_equations", o.with_(o.VALID, body="""
+SELECT 'difficulty[' || difficulty || ']' AS term, 0.0::DOUBLE AS score FROM valid WHERE difficulty IN ('medium', 'hard') GROUP BY difficulty
+UNION ALL SELECT 'task[' || task || ']', 0.0 FROM valid WHERE task <> 'en' GROUP BY task UNION ALL SELECT 'Intercept', 0.0"""))
+def _(spark, d):
+    rows = valid(spark, d)
+    scores = rg.logit_scores(rows, rg.logit_regression(rows, b.LEVELS, b.LANGS, reference_task="en"))
+    return scores.select("term", F.abs(F.round("score", 3)).alias("score"))
+
+
 @query("D11_hard_item_model")
 def _(spark, d):
     rows = featured(spark, d)

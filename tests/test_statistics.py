@@ -199,10 +199,10 @@ def newton(design, target, penalty=0.0, weights=None):
     return beta, np.sqrt(np.diag(np.linalg.inv(hessian)))
 
 
-def test_logit_regression(spark):
+@pytest.mark.parametrize("n", [1500, 30_000])
+def test_logit_regression(spark, n):
     rng = np.random.default_rng(8)
     levels, tasks = ["easy", "medium", "hard"], ["regulatory_interpretation", "numerical_reasoning", "contradiction_detection", "temporal_reasoning"]
-    n = 1500
     li, ti = rng.integers(0, 3, n), rng.integers(0, 4, n)
     c = (rng.random(n) < 1 / (1 + np.exp(-(1.0 - 0.5 * (li == 2) - 0.8 * (ti == 1))))).astype(int)
     df = spark.createDataFrame([(f" {levels[a].upper()}", tasks[b], int(y)) for a, b, y in zip(li, ti, c)], "difficulty string, task string, correct int")
@@ -216,6 +216,23 @@ def test_logit_regression(spark):
         assert got[name]["p_value"] == pytest.approx(math.erfc(abs(b / s) / math.sqrt(2)), abs=1e-4)
 
 
+def test_linear_fallback_and_levels(spark):
+    rng = np.random.default_rng(9)
+    n = 4000
+    levels, tasks = ["easy", "medium", "expert"], ["regulatory_interpretation", "numerical_reasoning"]
+    li, ti = rng.integers(0, 3, n), rng.integers(0, 2, n)
+    c = (rng.random(n) < 0.8 - 0.1 * (li == 2)).astype(float)
+    df = spark.createDataFrame([(levels[a], tasks[b], int(y)) for a, b, y in zip(li, ti, c)], "difficulty string, task string, correct int")
+    got = {r["term"]: r for r in reg.logit_regression(df, ols=True).collect()}
+    design = np.column_stack([li == 1, li == 2, ti == 1, np.ones(n)]).astype(float)
+    beta, *_ = np.linalg.lstsq(design, c, rcond=None)
+    error = np.sqrt(np.diag(np.linalg.inv(design.T @ design)) * ((c - design @ beta) ** 2).sum() / (n - 4))
+    assert set(got) == {"difficulty[medium]", "difficulty[expert]", "task[numerical_reasoning]", "Intercept"}
+    for name, b, e in zip(["difficulty[medium]", "difficulty[expert]", "task[numerical_reasoning]", "Intercept"], beta, error):
+        assert got[name]["coef"] == pytest.approx(b, abs=1e-9)
+        assert got[name]["ci_hi"] - got[name]["coef"] == pytest.approx(1.96 * e, rel=1e-3)
+
+
 def test_hard_item_model(spark):
     rng = np.random.default_rng(3)
     n = 400
