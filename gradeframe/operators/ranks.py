@@ -15,7 +15,15 @@ BUCKETS = 4096
 
 def _bucket_of(value: Column, low: Column, high: Column, buckets: int) -> Column:
     width = F.nullif(high.cast("double") - low.cast("double"), F.lit(0.0))
-    return F.coalesce(F.floor((value.cast("double") - low) / width * (buckets - 1)), F.lit(0)).cast("int")
+    place = F.coalesce(F.floor((value.cast("double") - low) / width * (buckets - 1)), F.lit(0))
+    return F.when(value.isNull(), buckets).otherwise(place).cast("int")
+
+
+def null_safe_join(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; the keys of ``df`` stay."""
+    renamed = other.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys]
+    return df.join(renamed, same, how).drop(*[f"_other_{k}" for k in keys])
 
 
 def _bucketed(df: DataFrame, value: str, buckets: int, known: tuple[int, int] | None = None) -> DataFrame:
@@ -39,15 +47,15 @@ def numbered(
     df: DataFrame, by: list[str], order: str, ties: list[str] | None = None, out: str = "rn", buckets: int = BUCKETS,
     bounds: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Exact row number within ``by`` along the numeric column ``order``.
+    """Exact row number within ``by`` along the numeric column ``order``; NULL comes last, a NULL group is a group.
 
     ``bounds`` of the column, where known, spare a pass over the rows.
     """
     df = _bucketed(df, order, buckets, bounds)
     offsets = _offsets(df, by, F.count(F.lit(1)))
-    inside = Window.partitionBy(*by, "_bucket").orderBy(order, *(ties or []))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(F.col(order).asc_nulls_last(), *(ties or []))
     return (
-        df.join(offsets, [*by, "_bucket"])
+        null_safe_join(df, offsets, [*by, "_bucket"])
         .withColumn(out, (F.col("_offset") + F.row_number().over(inside)).cast("long"))
         .drop("_offset", "_bucket")
     )
@@ -60,9 +68,9 @@ def value_ranks(
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
     histogram = _bucketed(df.groupBy(*by, value).agg(size.alias("n_ties")), value, buckets)
     offsets = _offsets(histogram, by, F.sum("n_ties"))
-    before = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by, "_bucket").orderBy(F.col(value).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        histogram.join(offsets, [*by, "_bucket"])
+        null_safe_join(histogram, offsets, [*by, "_bucket"])
         .withColumn("n_before", (F.col("_offset") + F.coalesce(F.sum("n_ties").over(before), F.lit(0))).cast("long"))
         .withColumn("avg_rank", F.col("n_before") + (F.col("n_ties") + 1) / 2.0)
         .drop("_offset", "_bucket")
@@ -70,6 +78,6 @@ def value_ranks(
 
 
 def rank_average(df: DataFrame, by: list[str], value: str, out: str = "avg_rank") -> DataFrame:
-    """The tie-averaged rank of every row within its group."""
-    ranks = value_ranks(df, by, value).select(*by, value, F.col("avg_rank").alias(out))
-    return df.join(ranks, [*by, value])
+    """The tie-averaged rank of every row within its group; NULL for a NULL value, which counts for no other rank."""
+    ranks = value_ranks(df, by, value).select(*by, value, F.when(F.col(value).isNotNull(), F.col("avg_rank")).alias(out))
+    return null_safe_join(df, ranks, [*by, value])

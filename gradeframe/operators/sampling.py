@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gradeframe import fixed_values as fv
 from gradeframe.functions import bands
-from gradeframe.operators.ranks import numbered
+from gradeframe.operators.ranks import null_safe_join, numbered
 
 
 # Range of a 64-bit hash.
@@ -89,12 +89,12 @@ def stratified_split(df: DataFrame, by: list[str], fraction: float = 0.2, item:
     """``split`` is 'dev' for round(fraction * size) rows of every stratum, else 'test'.
 
     Every row is ranked, so ranks come from bucket offsets: a stratum with a
-    large share of all rows is spread over many tasks.
+    large share of all rows is spread over many tasks. NULL is a stratum.
     """
     rows = df if key else df.withColumn("_key", sample_key(item, seed))
     ranked = numbered(rows, by, key or "_key", [item], "_rn", bounds=None if key else HASH_BOUNDS)
     sizes = df.groupBy(*by).agg(F.round(F.count(F.lit(1)) * F.lit(fraction)).alias("_quota"))
-    out = ranked.join(sizes, by).withColumn("split", F.when(F.col("_rn") <= F.col("_quota"), "dev").otherwise("test"))
+    out = null_safe_join(ranked, sizes, by).withColumn("split", F.when(F.col("_rn") <= F.col("_quota"), "dev").otherwise("test"))
     return out.drop("_rn", "_quota", "_key") if not key else out.drop("_rn", "_quota")
 
 

@@ -77,8 +77,9 @@ def resume_remaining(items: DataFrame, done: DataFrame, keys: list[str] | None =
 
 
 def attach_predictions(questions: DataFrame, predictions: DataFrame, key: str = "item_id", prediction: str = "prediction") -> DataFrame:
-    """Every question with its prediction, empty where there is none."""
-    joined = questions.join(predictions.select(key, prediction), key, "left")
+    """Every question once with its prediction, empty where there is none; of several the smallest."""
+    one = predictions.groupBy(key).agg(F.min(prediction).alias(prediction))
+    joined = questions.join(one, key, "left")
     return joined.withColumn(prediction, F.coalesce(F.col(prediction), F.lit("")))
 
 

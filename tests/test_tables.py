@@ -66,3 +66,22 @@ def test_top_k_over_blocks_matches_one_block(spark):
     small = pick(ret.top_k_similar(queries, vectors, 3, exclude_self=True, block_queries=17, block_vectors=11))
     assert small == pick(ret.top_k_similar(queries, vectors, 3, exclude_self=True))
     assert len(small) == 360 and all(q != v for q, _, v, _ in small)
+
+
+def test_rows_with_null_keys_stay(spark):
+    from gradeframe.operators.boards import leaderboard
+    from gradeframe.operators.ranks import rank_average
+    from gradeframe.operators.sampling import stratified_split
+    from gradeframe.operators.tables import attach_predictions
+
+    table = spark.createDataFrame([(i, None if i % 4 == 0 else "ab"[i % 2], None if i % 5 == 0 else i % 7) for i in range(100)], "item_id long, stratum string, v int")
+    split = stratified_split(table, ["stratum"]).groupBy("stratum", "split").count().collect()
+    assert {(r["stratum"], r["split"]): r["count"] for r in split} == {(None, "dev"): 5, (None, "test"): 20, ("a", "dev"): 5, ("a", "test"): 20, ("b", "dev"): 10, ("b", "test"): 40}
+    pdf = table.toPandas()
+    wanted = pdf.groupby("stratum", dropna=False).v.rank()
+    got = rank_average(table, ["stratum"], "v").toPandas().set_index("item_id").avg_rank.sort_index()
+    assert len(got) == 100 and got.fillna(-1).tolist() == wanted.fillna(-1).tolist()
+    board = leaderboard(spark.createDataFrame([("a", 0.5, 1), ("b", None, 2), ("c", 0.7, 3)], "hf_id string, overall double, t long").selectExpr("hf_id", "overall", "timestamp_seconds(t) as submitted_at"))
+    assert [(r["hf_id"], r["rank"]) for r in board.orderBy("rank").collect()] == [("c", 1), ("a", 2), ("b", 3)]
+    twice = attach_predictions(spark.createDataFrame([("q",), ("r",)], "item_id string"), spark.createDataFrame([("q", "x"), ("q", "y")], "item_id string, prediction string"))
+    assert sorted(map(tuple, twice.collect())) == [("q", "x"), ("r", "")]
