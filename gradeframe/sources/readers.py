@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +13,10 @@ from pyspark.sql import types as T
 
 from gradeframe import schemas
 from gradeframe.functions.bands import lookup
+from gradeframe.operators.tables import find_column
+
+#: Columns of a result file that may go by other names.
+ROLES = {"prediction": "prediction", "reference": "ref_answer", "correct": "correct"}
 
 
 def read_items(
@@ -16,18 +24,24 @@ def read_items(
 ) -> DataFrame:
     """IO1: a JSON array of items, or an object holding the array under ``wrapper``.
 
-    Without ``wrapper`` both ``items`` and ``data`` are recognised. A document
-    of one array is one task; large collections are better kept as one object
-    per line (``lines``), which Spark splits.
+    Without ``wrapper`` the array is that of ``items``, of ``data``, or the
+    object's first one; an object without any array is one item. Text that is no
+    JSON is an error. A document of one array is one task; large collections are
+    better kept as one object per line (``lines``), which Spark splits.
     """
     if lines:
         return spark.read.schema(schema).json(path)
-    names = [wrapper] if wrapper else ["items", "data"]
-    fields = [T.StructField(name, T.ArrayType(schema)) for name in names if name not in schema.names]
-    raw = spark.read.schema(T.StructType([*schema.fields, *fields])).option("multiLine", True).json(path)
-    nested = F.coalesce(*[F.col(f.name) for f in fields])
-    own = F.struct(*[F.col(f.name) for f in schema.fields])
-    return raw.select(F.explode(F.coalesce(nested, F.array(own))).alias("i")).select("i.*")
+    strict = {"mode": "FAILFAST"}
+    text = F.regexp_replace("value", "^[\\s\ufeff]+", "")
+    raw = spark.read.text(path, wholetext=True).select(text.alias("t")).where("t <> ''")
+    is_array = F.col("t").startswith("[")
+    fields = F.map_entries(F.from_json(F.when(~is_array, F.col("t")), T.MapType(T.StringType(), T.StringType()), strict))
+    arrays = F.filter(fields, lambda f: f["value"].startswith("["))
+    named = [F.filter(arrays, lambda f: f["key"] == name) for name in ([wrapper] if wrapper else ["items", "data"])]
+    held = F.coalesce(*[F.get(found, F.lit(0))["value"] for found in (named if wrapper else [*named, arrays])])
+    single = F.concat(F.lit("["), F.col("t"), F.lit("]"))
+    items = F.when(is_array, F.col("t")).otherwise(F.coalesce(held, F.lit("[]") if wrapper else single))
+    return raw.select(F.explode(F.from_json(items, T.ArrayType(schema), strict)).alias("i")).select("i.*")
 
 
 def read_predictions(
@@ -37,23 +51,48 @@ def read_predictions(
     """IO2: prediction files, each row tagged with its model.
 
     ``registry`` maps file stems to labels; other files keep their stem. Paths
-    that match nothing give no rows. Columns are matched by header name, so a
-    file may order them differently.
+    that match nothing give no rows. Columns are matched by header name: files
+    may order them differently, use other known names of a role (see
+    ``resolve_columns``), lack some (NULL) or have more (dropped). Runs at once
+    for the headers: files are read in groups of one header each.
     """
     paths = [path] if isinstance(path, str) else path
     readable = [p for p in paths if _exists(spark, p)]
-    if not readable:
+    groups = _headers(spark, readable) if readable else {}
+    if not groups:
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("model", T.StringType())]))
-    rows = (
-        spark.read.schema(schema).option("header", True).option("multiLine", True)
-        .option("quote", '"').option("escape", '"').option("enforceSchema", False).csv(readable)
-        .withColumn("_file", F.col("_metadata.file_name"))
-    )
+    rows = reduce(DataFrame.unionByName, [_one_layout(spark, names, files, schema) for names, files in sorted(groups.items())])
     stem = F.regexp_replace("_file", rf"{suffix.replace('.', chr(92) + '.')}$", "")
     label = stem if not registry else lookup(stem, registry, stem)
     return rows.withColumn("model", label).drop("_file")
 
 
+def _headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files of every header."""
+    lines = spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    firsts = lines.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "at").alias("header"))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in firsts.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files")).collect():
+        names = tuple(name.strip() for name in next(csv.reader([row["header"].lstrip("\ufeff")])))
+        groups[names] = groups.get(names, []) + [unquote(f) for f in row["files"]]
+    return groups
+
+
+def _one_layout(spark: SparkSession, names: tuple[str, ...], files: list[str], schema: T.StructType) -> DataFrame:
+    """Files of one header in the columns of ``schema``."""
+    used = {name: find_column(list(names), role) for role, name in ROLES.items() if name in schema.names and name not in names}
+    given = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+    rows = spark.read.schema(given).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(files)
+
+    def column(field: T.StructField):
+        name = used.get(field.name) or field.name
+        value = F.col(f"_c{names.index(name)}") if name in names else F.lit(None)
+        kind = field.dataType
+        return (value if isinstance(kind, T.StringType) else F.trim(value).try_cast("double").try_cast(kind)).cast(kind).alias(field.name)
+
+    return rows.select(*[column(f) for f in schema.fields], F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("_file"))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("binaryFile").load(path).select("path").limit(1)

@@ -102,3 +102,22 @@ def test_spread_leaves_large_scans_alone(spark):
     df = spark.range(100).repartition(9)
     assert spread(df, 4) is df
     assert spread(spark.range(100).coalesce(1), 4).rdd.getNumPartitions() == 4
+
+
+def test_read_items_under_any_key(spark, tmp_path):
+    path = tmp_path / "items.json"
+    path.write_text(json.dumps({"version": 2, "questions": [ITEM, {**ITEM, "id": "R_2"}]}), encoding="utf-8")
+    assert sorted(r["id"] for r in read_items(spark, str(path)).collect()) == ["R_1", "R_2"]
+    path.write_text(json.dumps(ITEM), encoding="utf-8")
+    assert [r["id"] for r in read_items(spark, str(path)).collect()] == ["R_1"]
+    path.write_text("[{]", encoding="utf-8")
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED"):
+        read_items(spark, str(path)).collect()
+
+
+def test_predictions_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("task_type,id,reference_answer,prediction,correct,note\nt,1,gold,p,1.0,x\n", encoding="utf-8")
+    (tmp_path / "b c.csv").write_text('prediction,id,correct\n"q\nr",2,0\n', encoding="utf-8")
+    got = {r["model"]: r for r in read_predictions(spark, str(tmp_path / "*.csv")).collect()}
+    assert (got["a"]["id"], got["a"]["ref_answer"], got["a"]["correct"], got["a"]["difficulty"]) == ("1", "gold", 1, None)
+    assert (got["b c"]["id"], got["b c"]["prediction"], got["b c"]["correct"]) == ("2", "q\nr", 0)
