@@ -13,13 +13,14 @@ from gradeframe.functions.text import col, strip
 def judge_scores(reply: Column | str) -> Column:
     """Struct of three integer scores; NULL when the reply holds no usable JSON.
 
-    A missing score counts as 0; a score that is no integer spoils the reply.
+    A missing score counts as 0, fractions are cut (1.0 is 1); a score that is
+    no number spoils the reply.
     """
     body = F.regexp_extract(col(reply), r"(?s)\{.*\}", 0)
     parsed = F.from_json(body, schemas.JUDGE_SCORES, {"mode": "PERMISSIVE"})
     names = {"event": "event_identification", "ordering": "temporal_ordering", "final": "final_state_answer"}
     raw = {short: parsed[full]["score"] for short, full in names.items()}
-    scores = {short: F.when(text.isNull(), F.lit(0)).otherwise(F.trim(text).try_cast("int")) for short, text in raw.items()}
+    scores = {short: F.when(text.isNull(), F.lit(0)).otherwise(F.coalesce(F.trim(text).try_cast("int"), F.trim(text).try_cast("double").try_cast("int"))) for short, text in raw.items()}
     usable = F.json_object_keys(body).isNotNull()
     for score in scores.values():
         usable = usable & score.isNotNull()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gradeframe import fixed_values as fv
 from gradeframe.functions import bands
+from gradeframe.session import ensure_checkpoint_dir
 
 
 def find_column(columns: list[str], role: str) -> str | None:
@@ -177,7 +178,29 @@ def append_result(board: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def ingest_new_docs(known: DataFrame, found: DataFrame, order: str, url: str = "url", title: str = "title") -> DataFrame:
-    """K9: documents whose address and title are both unknown, each address and title once."""
-    fresh = found.join(known.select(url).where(F.col(url).isNotNull()).distinct(), url, "left_anti")
-    fresh = fresh.join(known.select(title).where(F.col(title).isNotNull()).distinct(), title, "left_anti")
-    return dedupe(dedupe(fresh, [url], [order]), [title], [order])
+    """K9: documents whose address and title are both unknown, taken in ``order``, which is unique.
+
+    A document is taken unless its address or its title is that of one taken
+    before; a missing address or title is no clash. Runs at once, in rounds: the
+    first document left of both its address and its title is taken, and what
+    clashes with it goes. Rounds are few unless clashes form long chains.
+    """
+    ensure_checkpoint_dir(found.sparkSession)
+    left = found
+    for name in (url, title):
+        left = left.join(known.select(name).where(F.col(name).isNotNull()).distinct(), name, "left_anti")
+    left, taken = left.select(*found.columns).checkpoint(), None
+    while left.take(1):
+        clear = F.lit(True)
+        firsts = left
+        for i, name in enumerate((url, title)):
+            first = left.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(order).alias(f"_first{i}"))
+            firsts = firsts.join(first, name, "left")
+            clear = clear & (F.col(name).isNull() | (F.col(order) == F.col(f"_first{i}")))
+        now = firsts.where(clear).select(*found.columns).checkpoint()
+        taken = now if taken is None else taken.unionByName(now)
+        rest = left.join(now.select(order), order, "left_anti")
+        for name in (url, title):
+            rest = rest.join(now.select(name).where(F.col(name).isNotNull()), name, "left_anti")
+        left = rest.select(*found.columns).checkpoint()
+    return left if taken is None else taken

@@ -23,9 +23,9 @@ def table(spark, d):
     return acc.cells(valid(spark, d), ["model", "task"]).withColumn("accuracy", acc.ratio("n_correct", "n"))
 
 
-@query("W2_rank_average", f"SELECT event_id, {RANK.format(p='event_type', v='value')}::DOUBLE AS avg_rank FROM events WHERE value IS NOT NULL")
+@query("W2_rank_average", f"SELECT event_id, CASE WHEN value IS NOT NULL THEN ({RANK.format(p='event_type', v='value')})::DOUBLE END AS avg_rank FROM events")
 def _(spark, d):
-    return rk.rank_average(b.table(spark, d, "events").where("value IS NOT NULL"), ["event_type"], "value").select("event_id", "avg_rank")
+    return rk.rank_average(b.table(spark, d, "events"), ["event_type"], "value").select("event_id", "avg_rank")
 
 
 KW = f"rk AS (SELECT model, task, {RANK.format(p='model', v='accuracy')} AS r FROM cells), sm AS (SELECT task, sum(r) AS s, count(*) AS m FROM rk GROUP BY task)"

@@ -68,9 +68,9 @@ def _(spark, d):
     return b.reg_text(spark, d).groupBy(bands.era_bucket(cp.year_from_name("document")).alias("era")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("P7_complexity_tier", "SELECT event_id, CASE WHEN value/50<0.2 THEN 'Low' WHEN value/50<0.5 THEN 'Medium' ELSE 'High' END AS tier FROM events WHERE value IS NOT NULL")
+@query("P7_complexity_tier", "SELECT event_id, CASE WHEN value/50<0.2 THEN 'Low' WHEN value/50<0.5 THEN 'Medium' WHEN value IS NOT NULL THEN 'High' END AS tier FROM events")
 def _(spark, d):
-    return b.table(spark, d, "events").where("value IS NOT NULL").select("event_id", bands.complexity_tier(F.col("value") / 50).alias("tier"))
+    return b.table(spark, d, "events").select("event_id", bands.complexity_tier(F.col("value") / 50).alias("tier"))
 
 
 @query("P8_item_filter", o.with_(o.ITEMS, body="SELECT item_id, task, difficulty FROM items WHERE task='fr' AND difficulty='hard'"))
@@ -84,13 +84,13 @@ def _(spark, d):
 
 
 @query("P9_P10_bands", """
-SELECT event_id, CASE WHEN value>=85 THEN 'PASS' WHEN value>=70 THEN 'BORDERLINE' ELSE 'REVIEW' END AS agreement,
+SELECT event_id, CASE WHEN value>=85 THEN 'PASS' WHEN value>=70 THEN 'BORDERLINE' WHEN value IS NOT NULL THEN 'REVIEW' END AS agreement,
  CASE WHEN value/50-0.1<0 THEN 'poor' WHEN value/50-0.1<0.2 THEN 'slight' WHEN value/50-0.1<0.4 THEN 'fair' WHEN value/50-0.1<0.6 THEN 'moderate'
-  WHEN value/50-0.1<0.8 THEN 'substantial' ELSE 'almost perfect' END AS kappa,
- CASE WHEN value/50>0.7 THEN 'Strong' WHEN value/50>0.4 THEN 'Moderate' ELSE 'Weak' END AS w FROM events WHERE value IS NOT NULL""")
+  WHEN value/50-0.1<0.8 THEN 'substantial' WHEN value IS NOT NULL THEN 'almost perfect' END AS kappa,
+ CASE WHEN value/50>0.7 THEN 'Strong' WHEN value/50>0.4 THEN 'Moderate' WHEN value IS NOT NULL THEN 'Weak' END AS w FROM events""")
 def _(spark, d):
     v = F.col("value")
-    return b.table(spark, d, "events").where("value IS NOT NULL").select(
+    return b.table(spark, d, "events").select(
         "event_id", bands.agreement_band(v).alias("agreement"), bands.kappa_band(v / 50 - 0.1).alias("kappa"), bands.concordance_band(v / 50).alias("w"))
 
 
@@ -212,8 +212,8 @@ fresh AS (SELECT * FROM found WHERE url NOT IN (SELECT url FROM known) AND title
 
 
 @query("K9_ingest_new_docs", o.with_(K9_SQL, body="""
-SELECT page_id, url, title FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY page_id) r2 FROM
- (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) r1 FROM fresh) WHERE r1=1) WHERE r2=1"""))
+SELECT page_id, url, title FROM (SELECT unnest(list_reduce(list_prepend({'t': [], 'r': NULL}, list({'t': [{'page_id': page_id, 'url': url, 'title': title}], 'r': NULL} ORDER BY page_id)),
+ lambda a, x: CASE WHEN len(list_filter(a.t, lambda y: y.url = x.t[1].url OR y.title = x.t[1].title)) > 0 THEN a ELSE {'t': list_concat(a.t, x.t), 'r': NULL} END).t, recursive := true) FROM fresh)"""))
 def _(spark, d):
     title = F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title")
     pages = b.table(spark, d, "pages")

@@ -85,3 +85,13 @@ def test_rows_with_null_keys_stay(spark):
     assert [(r["hf_id"], r["rank"]) for r in board.orderBy("rank").collect()] == [("c", 1), ("a", 2), ("b", 3)]
     twice = attach_predictions(spark.createDataFrame([("q",), ("r",)], "item_id string"), spark.createDataFrame([("q", "x"), ("q", "y")], "item_id string, prediction string"))
     assert sorted(map(tuple, twice.collect())) == [("q", "x"), ("r", "")]
+
+
+def test_ingest_takes_documents_in_order(spark):
+    """A document clashes only with those taken before; missing addresses and titles never do."""
+    rows = [(1, "u1", "t1"), (2, "u2", "t1"), (3, "u2", "t3"), (4, None, "t4"), (5, None, "t5"), (6, "u6", None), (7, "u0", "t7"), (8, "u8", "t3"), (9, "u8", "t9")]
+    found = spark.createDataFrame(rows, "n int, url string, title string")
+    known = spark.createDataFrame([("u0", "t0")], "url string, title string")
+    got = tab.ingest_new_docs(known, found, "n")
+    assert sorted(r["n"] for r in got.collect()) == [1, 3, 4, 5, 6, 9] and got.columns == found.columns
+    assert tab.ingest_new_docs(known, found.where("n = 7"), "n").collect() == []
