@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradeframe.functions.bands import lookup
 from gradeframe.operators.accuracy import ratio
+from gradeframe.operators.ranks import HASH_BOUNDS, null_safe_join, numbered
 
 REPLICATES = 10_000
 SEED = 42
@@ -157,20 +159,29 @@ def paired_bootstrap(df: DataFrame, by: list[str] | None = None, replicates: int
     return with_bootstrap_p(all_pairs(df, by, **names), [*by, "model_a", "model_b"], replicates, seed)
 
 
+def _along(df: DataFrame, by: list[str], item: str) -> DataFrame:
+    """Row number ``_pos`` within ``by`` along numeric ids, or along the hash of other ids."""
+    if isinstance(df.schema[item].dataType, T.NumericType):
+        return numbered(df, by, item, out="_pos")
+    hashed = df.withColumn("_hash", F.xxhash64(item))
+    return numbered(hashed, by, "_hash", [item], "_pos", bounds=HASH_BOUNDS).drop("_hash")
+
+
 def paired_bootstrap_indexed(
     df: DataFrame, a: str, b: str, index: str = "item_id", replicates: int = 20,
     model: str = "model", correct: str = "correct",
 ) -> DataFrame:
     """D3: explicit replicates whose draws come from arithmetic, for exact checks.
 
-    Draw j of replicate r takes an item of the dense index 0..n-1 by squaring
+    The items both systems answered are numbered 0..n-1 along ``index`` (text
+    ids along their hash). Draw j of replicate r takes an item by squaring
     ``j*48271 + (r+1)*16807`` twice modulo 2^31-1. The work is replicates * n
     rows, so this is the check of D2, not its replacement.
     """
-    shared = aligned_pairs(df, a, b, index, model, correct).select(
-        F.col(index).cast("long").alias("_i"), (F.col("correct_a") - F.col("correct_b")).alias("_d")
+    shared = _along(aligned_pairs(df, a, b, index, model, correct), [], index).select(
+        (F.col("_pos") - 1).alias("_i"), (F.col("correct_a") - F.col("correct_b")).alias("_d")
     )
-    size = shared.select(F.max("_i") + 1).scalar()
+    size = shared.select(F.count(F.lit(1))).scalar()
     observed = shared.select(F.avg(F.col("_d").cast("double"))).scalar()
     draws = shared.select(F.col("_i").alias("_j"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate"))
     j, r, prime = F.col("_j"), F.col("replicate"), 2147483647
@@ -191,20 +202,16 @@ def two_sample_bootstrap(
     """D4 (legacy): pooled rows of two groups, cut to the shorter one, shared draws.
 
     Rows are paired by their position, which is what this older comparison
-    means; ``paired_bootstrap`` pairs by item and is the one to use.
+    means: along numeric ids, or along the hash of text ids.
+    ``paired_bootstrap`` pairs by item and is the one to use.
     """
-    from gradeframe.functions.bands import lookup
-    from gradeframe.operators.ranks import numbered
-
     rows = df.withColumn("_side", lookup(model, groups)).where(F.col("_side").isin(a, b))
     # Position = rows of earlier systems in the group + position inside the system.
-    inside = numbered(rows, ["_side", by, model], item, out="_pos")
+    inside = _along(rows, ["_side", by, model], item)
     sizes = rows.groupBy("_side", by, model).agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
     earlier = Window.partitionBy("_side", by).orderBy(model).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_skip", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    placed = inside.join(sizes, ["_side", by, model]).withColumn("_pos", F.col("_pos") + F.col("_skip"))
+    placed = null_safe_join(inside, sizes, ["_side", by, model]).withColumn("_pos", F.col("_pos") + F.col("_skip"))
 
     def of(name: str) -> Column:
         return F.max(F.when(F.col("_side") == name, F.col(correct)))

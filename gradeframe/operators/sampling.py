@@ -12,11 +12,7 @@ from pyspark.sql import functions as F
 
 from gradeframe import fixed_values as fv
 from gradeframe.functions import bands
-from gradeframe.operators.ranks import null_safe_join, numbered
-
-
-# Range of a 64-bit hash.
-HASH_BOUNDS = (-(2**63), 2**63 - 1)
+from gradeframe.operators.ranks import HASH_BOUNDS, null_safe_join, numbered
 
 
 def sample_key(item: str, seed: int = 42) -> Column:

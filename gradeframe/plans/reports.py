@@ -88,8 +88,11 @@ def agreement_report(pairs: DataFrame, ref: str = "reference", answer: str = "pr
 
 
 def multi_rater_report(ratings: DataFrame, n_raters: int, by: str = "task") -> dict[str, DataFrame]:
-    """Fleiss' kappa per task with its reading, and the items raters disagree on."""
-    parsed = ratings.withColumn("label", parsing.rater_label(F.col("label").cast("string")))
+    """Fleiss' kappa per task with its reading, and the items raters disagree on.
+
+    A label that is neither yes nor no is an error; NULL is no label.
+    """
+    parsed = ratings.where(F.col("label").isNotNull()).withColumn("label", parsing.rater_label(F.col("label").cast("string"), strict=True))
     common = agr.common_raters(parsed, n_raters)
     table = agr.fleiss_kappa(common, by)
     return {"kappa": table.withColumn("interpretation", bands.kappa_band("fleiss_kappa")), "disagreement": agr.disagreement_items(common)}
@@ -157,11 +160,14 @@ def scoring_audit(
 ) -> dict[str, DataFrame]:
     """Sample of rejected answers, prompts for a judge, and rates from the judge's replies.
 
-    ``replies`` has the item key and a ``reply`` column; ``order`` replaces the
-    hash order of the sample.
+    ``replies`` has the item key, the model where ``wrong`` has one, and a
+    ``reply`` column. An answer without a reply is UNKNOWN and counts; of several
+    replies the smallest is read. ``order`` replaces the hash order of the sample.
     """
     sample = smp.stratified_sample_topup(wrong, ["task"], n, total, key, key=order)
-    verdicts = sample.join(replies.select(key, "reply"), key).withColumn("_v", parsing.parse_verdict("reply"))
+    keys = [key, *({"model"} & set(wrong.columns))]
+    one = replies.groupBy(*keys).agg(F.min("reply").alias("reply"))
+    verdicts = sample.join(one, keys, "left").withColumn("_v", parsing.parse_verdict("reply"))
     audit = verdicts.select("*", "_v.verdict", "_v.reason").drop("_v")
     asked = prompts.judge_prompt(sample, "verdict") if {"question", "reference", "prediction"} <= set(sample.columns) else sample
     return {"sample": asked, "audit": audit, "rates": acc.audit_rates(audit)}

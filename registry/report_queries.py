@@ -174,7 +174,7 @@ KEY = "(item_id*7919+42)%1000003"
 C10 = SC + f""", wr AS (SELECT * FROM sc WHERE correct=0), s1 AS (SELECT item_id, task FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY {KEY}, item_id) AS r FROM wr) WHERE r<=25),
 s2 AS (SELECT item_id, task, row_number() OVER (ORDER BY {KEY}, item_id) AS r FROM wr WHERE item_id NOT IN (SELECT item_id FROM s1)),
 sm AS (SELECT item_id, task FROM s1 UNION ALL SELECT item_id, task FROM s2 WHERE r<=120-(SELECT count(*) FROM s1)),
-au AS (SELECT task, CASE item_id%4 WHEN 0 THEN 'CORRECT' WHEN 1 THEN 'PARTIAL' ELSE 'INCORRECT' END AS v FROM sm),
+au AS (SELECT task, CASE WHEN item_id%11=0 THEN 'UNKNOWN' WHEN item_id%4=0 THEN 'CORRECT' WHEN item_id%4=1 THEN 'PARTIAL' ELSE 'INCORRECT' END AS v FROM sm),
 ra AS (SELECT CASE WHEN grouping(task)=1 THEN 'OVERALL' ELSE task END AS task, count(*) AS n, count(*) FILTER (v='CORRECT') AS n_correct, count(*) FILTER (v='PARTIAL') AS n_partial, count(*) FILTER (v='INCORRECT') AS n_incorrect FROM au GROUP BY GROUPING SETS ((task),()))"""
 
 
@@ -182,9 +182,9 @@ ra AS (SELECT CASE WHEN grouping(task)=1 THEN 'OVERALL' ELSE task END AS task, c
 def _(spark, d):
     rows = scoring.score(acc.drop_failed(b.answer_pairs(spark, d)))
     i = F.col("item_id") % 4
-    replies = b.answer_pairs(spark, d).select("item_id", F.when(i == 0, "correct | same").when(i == 1, "Only PARTIAL").when(i == 2, "INCORRECT|no").otherwise("clearly incorrect").alias("reply"))
+    replies = b.answer_pairs(spark, d).where("item_id % 11 <> 0").select("item_id", "model", F.when(i == 0, "correct | same").when(i == 1, "Only PARTIAL").when(i == 2, "INCORRECT|no").otherwise("clearly incorrect").alias("reply"))
     order = (F.col("item_id") * 7919 + 42) % 1000003
-    out = rp.scoring_audit(rows.where("correct = 0").select("item_id", "task"), replies, 25, 120, order=order)
+    out = rp.scoring_audit(rows.where("correct = 0").select("item_id", "model", "task"), replies, 25, 120, order=order)
     return rounded(out["rates"], "fn_rate", "partial_rate", "incorrect_rate", "correction")
 
 

@@ -251,3 +251,14 @@ def test_kappa_interval_covers_the_estimate(spark):
     pairs = spark.createDataFrame(cells, "task string, gold string, label string")
     row, kappa = agr.bootstrap_ci_kappa(pairs, ["task"]).first(), agr.cohen_kappa(pairs).first()["kappa"]
     assert row["n"] == 170 and row["ci_lo"] < kappa < row["ci_hi"] < 1
+
+
+def test_bootstraps_take_text_ids_and_gaps(spark):
+    """Ids are only names: text ids and gaps change neither sizes nor the sample behind a replicate."""
+    rows = [(f"REG_{i * 10}", m, "t", int((i * 7 + k) % 3 > 0)) for i in range(50) for k, m in enumerate("ab")]
+    text = spark.createDataFrame(rows, "item_id string, model string, task string, correct int")
+    gaps = text.withColumn("item_id", F.regexp_replace("item_id", "REG_", "").cast("long"))
+    dense = gaps.withColumn("item_id", F.expr("item_id div 10"))
+    runs = {k: sorted(map(tuple, pr.paired_bootstrap_indexed(v, "a", "b").collect())) for k, v in {"gaps": gaps, "dense": dense, "text": text}.items()}
+    assert runs["gaps"] == runs["dense"] and len(runs["text"]) == 20
+    assert pr.two_sample_bootstrap(text, {"a": "x", "b": "y"}, "x", "y").first()["n"] == 50
