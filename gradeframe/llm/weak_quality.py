@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from gradeframe.functions.text import sealed
 from gradeframe.llm.shared import written
 
-#: Documents with the lowest hashes that the scorer is fitted on.
+#: Documents that the scorer is fitted on, about; chosen by a hash, all if there are fewer.
 TRAINING_ROWS = 20_000
 FEATURES = 1 << 16
 ROUNDS = 200
@@ -116,14 +116,14 @@ def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUND
 
 
 def label_model(docs: DataFrame) -> DataFrame | None:
-    """(pattern, posterior) of every vote pattern among ``docs``: at most 3 ** labellers rows; None if no text has words."""
+    """(pattern, posterior, n) of every vote pattern among ``docs``: at most 3 ** labellers rows; None if no text has words."""
     counts = [tuple(r) for r in votes(docs.select("doc_id", "text")).where("n_words > 0").groupBy("pattern").count().collect()]
     if not counts:
         return None
     codes = np.array([c for c, _ in counts])
     patterns = codes[:, None] // 3 ** np.arange(len(labellers()) - 1, -1, -1) % 3 - 1
     posterior, _, _ = fit_accuracies(patterns, np.array([n for _, n in counts], float))
-    return docs.sparkSession.createDataFrame(list(zip(codes.tolist(), posterior.tolist(), strict=True)), "pattern int, posterior double")
+    return docs.sparkSession.createDataFrame(list(zip(codes.tolist(), posterior.tolist(), [n for _, n in counts], strict=True)), "pattern int, posterior double, n long")
 
 
 def score_quality(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
@@ -142,7 +142,9 @@ def score_quality(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFr
         return docs.withColumn("score", F.lit(0.0)).withColumn("accepted", F.lit(False))
     hashed = HashingTF(numFeatures=FEATURES, inputCol="tokens", outputCol="counts")
     unit = Normalizer(inputCol="counts", outputCol="features")
-    sample = docs.select("doc_id", "text").where("text is not null").orderBy(F.xxhash64("doc_id")).limit(training_rows)
+    share = training_rows / told.agg(F.sum("n")).first()[0]
+    sample = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_hash")).where(F.col("text").isNotNull() & (F.col("_hash") / 2.0**64 + 0.5 < share))
+    sample = sample.dropDuplicates(["_hash"])
     sample = tokens(votes(sample).where("n_words > 0").join(F.broadcast(told), "pattern").select("doc_id", "text", "posterior"))
     sides = F.array(*[F.struct(F.lit(float(y)).alias("label"), (F.col("posterior") if y else 1 - F.col("posterior")).alias("weight")) for y in (0, 1)])
     sample = written(unit.transform(hashed.transform(sample)).select("features", F.explode(sides).alias("side")).select("features", "side.*").where("weight > 0.001"), "sample")
