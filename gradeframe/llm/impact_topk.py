@@ -23,8 +23,8 @@ from gradeframe.llm.shared import written
 BLOCK_VECTORS, BLOCK_QUERIES = 8192, 2048
 #: Shares of a block's postings after which a proof is tried.
 STOPS = (0.35, 0.55, 0.75, 0.9)
-#: A block's members few enough to be rescored.
-FEW = 256
+#: A block's members few enough to be rescored: so many, or so large a share.
+FEW, SHARE = 256, 0.1
 
 
 def quantised(vector: Column, levels: int = 256) -> Column:
@@ -38,50 +38,51 @@ class ImpactIndex:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.postings = np.argsort(-self.vectors, axis=0, kind="stable").T.astype(np.int32).copy()
-        segments, starts, ends = [], [], []
-        for d, row in enumerate(self.postings):
-            impacts = self.vectors[row, d]
-            first = np.flatnonzero(np.append(True, impacts[1:] != impacts[:-1]))
-            segments.append(np.stack([np.full(len(first), d), impacts[first]]))
-            starts.append(first + d * len(ids))
-            ends.append(np.append(first[1:], len(ids)) + d * len(ids))
-        self.dims, self.impacts = np.concatenate(segments, 1)
-        self.starts, self.ends = np.concatenate(starts), np.concatenate(ends)
+        self.ids, vectors = ids[order], vectors[order]
+        # Doubles hold whole numbers below 2 ** 53, so their sums are exact where no score can be larger.
+        most = float(np.abs(vectors.astype(float)).max(initial=0))
+        self.vectors = vectors.astype(float) if most * most * max(vectors.shape[1], 1) < 2**52 else vectors
+        self.postings = np.argsort(-vectors, axis=0, kind="stable").T.copy()
+        self.impacts = np.take_along_axis(self.vectors.T, self.postings, 1)
+        new = np.ones(self.impacts.shape, bool)
+        new[:, 1:] = self.impacts[:, 1:] != self.impacts[:, :-1]
+        self.dims, first = np.nonzero(new)
+        self.segments = self.impacts[self.dims, first]
+        self.sizes = np.diff(np.append(np.flatnonzero(new), new.size))
 
     def top(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
         """(scores, ids) of the k best vectors other than ``own``; ties to the smaller id."""
-        gains = query[self.dims] * self.impacts
-        floors = np.minimum(query * self.vectors.max(0), query * self.vectors.min(0))
-        gains = gains - floors[self.dims]  # not negative, so an accumulator is a lower bound
-        order = np.argsort(-gains, kind="stable")
-        sizes = (self.ends - self.starts)[order]
-        visited = np.cumsum(sizes)
-        found, at, flat = np.zeros(len(self.ids)), 0, self.postings.ravel()
+        query, n = query.astype(self.vectors.dtype), len(self.ids)
         mine = self.ids != own
         members = np.flatnonzero(mine)
-        for stop in STOPS:
+        lowest = np.minimum(query * self.impacts[:, 0], query * self.impacts[:, -1])
+        gains = query[self.dims] * self.segments - lowest[self.dims]  # not negative, so an accumulator is a lower bound
+        order = np.argsort(-gains)
+        visited = np.cumsum(self.sizes[order])
+        done, at = np.zeros(len(query), np.int64), 0
+        found, met = np.zeros(n), np.zeros(n)
+        for stop in STOPS if len(members) > max(FEW, k) else ():
             to = int(np.searchsorted(visited, stop * visited[-1]))
             part = order[at:to]
-            if len(part):
-                n = sizes[at:to]
-                places = np.repeat(self.starts[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                found += np.bincount(flat[places], np.repeat(gains[part], n), len(found))
-                at = to
-            left = np.zeros(len(query))
-            np.maximum.at(left, self.dims[order[at:]], gains[order[at:]])
-            lower = found[mine]
-            if len(lower) <= k:
-                break
-            kth = np.partition(lower, len(lower) - k)[len(lower) - k]
-            possible = np.flatnonzero(mine & (found + left.sum() >= kth))
-            if len(possible) <= max(FEW, k):
+            # Within a dimension contributions fall along the list, or rise if the component is negative: segments join to one run.
+            upto = done + np.bincount(self.dims[part], self.sizes[part], len(query)).astype(np.int64)
+            runs = [(d, slice(a, b) if query[d] > 0 else slice(n - b, n - a)) for d, (a, b) in enumerate(zip(done.tolist(), upto.tolist(), strict=True)) if query[d] and a < b]
+            done, at = upto, to
+            if not runs:
+                continue
+            places = np.concatenate([self.postings[d, run] for d, run in runs])
+            found += np.bincount(places, np.concatenate([query[d] * self.impacts[d, run] - lowest[d] for d, run in runs]), n)
+            met += np.bincount(places, minlength=n)
+            kth = np.partition(found[mine], len(members) - k)[len(members) - k]
+            # Each dimension in which a vector was not met yet adds at most the next segment's contribution.
+            next_gain = float(gains[order[to]]) if to < len(order) else 0.0
+            possible = np.flatnonzero(mine & (found + (np.count_nonzero(query) - met) * next_gain >= kth))
+            if len(possible) <= max(FEW, k, n * SHARE):
                 members = possible
                 break
         scores = self.vectors[members] @ query
         best = np.lexsort((self.ids[members], -scores))[:k]
-        return scores[best], self.ids[members][best]
+        return scores[best].astype(np.int64), self.ids[members][best]
 
 
 def _search(k: int):
