@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeframe.llm.shared import written
+from gradeframe.llm.shared import discard, written
 from gradeframe.llm.words import grams, hashes, slices, whole_runs, words_of
 
 #: Words of an anchor run. Shorter ones are shared by chance, longer ones are sparser picks.
@@ -137,14 +137,18 @@ def repeated_spans(docs: DataFrame, k: int = 13) -> DataFrame:
 
 
 def _spans(docs: DataFrame, k: int, rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """The spans, from the tables of ``_seen``; ``rows`` is deleted."""
     originals = copies.where("not is_copy").select("doc_id", "sha", "variant")
     anchors = rows.join(originals, ["doc_id", "sha"]).select("doc_id", F.explode("anchors").alias("anchor"))
     ends = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     mine = written(anchors.join(ends.select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "shared-anchors")
+    discard(rows)
     texts = _base(docs).join(originals.join(mine, "doc_id"), ["doc_id", "sha"]).select("doc_id", "text", "variant", "anchors")
     edges = written(texts.mapInArrow(_edges(k), "doc_id long, pos long, h1 long, h2 int"), "edges")
+    discard(mine)
     source = edges.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("s"), F.max("doc_id").alias("hi")).where("s.doc_id < hi")
-    source = source.select("h1", "h2", F.col("s.doc_id").alias("source_id"), F.col("s.pos").alias("source_pos"))
+    # Written, so that the edges shuffled to find sources are gone before they are shuffled to meet them.
+    source = written(source.select("h1", "h2", F.col("s.doc_id").alias("source_id"), F.col("s.pos").alias("source_pos")), "sources")
     later = edges.join(source, ["h1", "h2"]).where("source_id < doc_id").select("doc_id", "pos", "source_id", "source_pos").repartition("doc_id").distinct()
     # Runs of consecutive places on consecutive coordinates: gaps and islands within a document.
     path = Window.partitionBy("doc_id").orderBy("pos", "source_id", "source_pos")
@@ -154,10 +158,12 @@ def _spans(docs: DataFrame, k: int, rows: DataFrame, copies: DataFrame) -> DataF
         F.min("pos").alias("pos"), F.count("*").cast("int").alias("edges"), F.min(F.struct("source_id", "source_pos")).alias("s"),
     )
     place = (2**32) - 1
-    return written(spans.select(
+    spans = written(spans.select(
         "doc_id", F.shiftright("pos", 32).alias("variant"), F.col("pos").bitwiseAND(place).alias("start"), "edges",
         F.col("s.source_id").alias("source_id"), F.col("s.source_pos").bitwiseAND(place).alias("source_start"),
     ), "spans")
+    discard(edges, source)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, k: int = 13) -> DataFrame:
