@@ -27,7 +27,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     registry.load_all()
     spark = build_session("bench", f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "gradeframe.text.partitions": cpus, "spark.ui.enabled": "false",
     })
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE

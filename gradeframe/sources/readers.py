@@ -118,14 +118,3 @@ def read_prompt_templates(spark: SparkSession, path: str) -> DataFrame:
 def read_baselines(spark: SparkSession, path: str) -> DataFrame:
     """Published results with a map of task scores (see ``explode_scores``)."""
     return spark.read.schema(schemas.BASELINES).option("multiLine", True).json(path)
-
-
-def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Deal rows of a small scan out to all cores before heavy work per row.
-
-    One small file is one task, however costly its rows are. A scan that already
-    has at least as many partitions as there are cores is returned unchanged, so
-    large inputs are never shuffled for this.
-    """
-    wanted = partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

@@ -32,6 +32,6 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from registry import (  # noqa: F401
-        accuracy_queries, agreement_queries, corpus_queries, pair_queries, report_queries,
+        accuracy_queries, agreement_queries, corpus_queries, file_queries, pair_queries, report_queries,
         sampling_queries, scoring_queries, statistics_queries, table_queries,
     )

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeframe.functions.text import sealed
-from gradeframe.sources import spread
 
 MODELS = [f"m{i}" for i in range(6)]
 LANGS = ["en", "fr", "de", "es"]
@@ -17,9 +16,15 @@ TEXT_TABLES = {"documents", "pages", "conversations", "orders"}
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A driver table; small files with costly rows are dealt out to all cores."""
+    """A driver table, read as it is laid out.
+
+    A file of one row group is one task, however costly its rows are. Where the
+    caller's tables are such files, they name in ``gradeframe.text.partitions``
+    how many partitions rows with texts are dealt to; unset, nothing is shuffled.
+    """
     df = spark.read.parquet(f"{d}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    dealt = spark.conf.get("gradeframe.text.partitions", None)
+    return df.repartition(int(dealt)) if dealt and name in TEXT_TABLES else df
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:

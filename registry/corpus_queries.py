@@ -375,17 +375,18 @@ def stream_predictions(pieces):
     i = F.col("item_id")
     good = F.when(i % 4 == 0, F.concat(F.lit("no such "), F.col("reference"))).when(i % 4 == 1, F.reverse("reference")).otherwise(F.col("reference"))
     tries = F.array(F.lit("FAIL: timeout"), F.when(i % 4 != 3, good).otherwise("FAIL: again"), F.when(i % 4 != 3, good).otherwise("FAIL: again"))
-    return pieces.select("item_id", F.lit("m0").alias("model"), F.explode(tries).alias("prediction"))
+    return pieces.select("item_id", "at", F.lit("m0").alias("model"), F.explode(tries).alias("prediction"))
 
 
 @query("S1_score_stream", "WITH " + S1_SQL + f"\nSELECT item_id, 'm0' AS model, {strict_sql()} AS correct FROM sp")
 def _(spark, d):
     folder = run_folder(spark)
-    pairs = b.answer_pairs(spark, d)
-    pairs.select("item_id", "reference").write.parquet(f"{folder}/in")
-    items = pairs.select("item_id", "task", "reference")
-    arriving = spark.readStream.schema("item_id long, reference string").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    scored = flows.score_stream(stream_predictions(arriving), items)
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    b.answer_pairs(spark, d).select("item_id", "task", "reference", at.alias("at")).write.parquet(f"{folder}/in")
+    # The static side is read in every trigger, so it is read from the table just written.
+    items = spark.read.parquet(f"{folder}/in").select("item_id", "task", "reference")
+    arriving = spark.readStream.schema("item_id long, reference string, at timestamp").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    scored = flows.score_stream(stream_predictions(arriving), items, event_time="at")
     sink = flows.start_scored_sink(scored.select("item_id", "model", "correct"), f"{folder}/out", f"{folder}/state")
     sink.awaitTermination()
     return spark.read.schema("item_id long, model string, correct int").parquet(f"{folder}/out")

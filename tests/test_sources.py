@@ -9,7 +9,7 @@ from gradeframe.functions.parsing import explode_scores
 from gradeframe.functions.predictor import apply_predictor
 from gradeframe.operators import tables as tab
 from gradeframe.sources import (
-    read_baselines, read_corpus, read_items, read_predictions, read_prompt_templates, spread, write_results,
+    read_baselines, read_corpus, read_items, read_predictions, read_prompt_templates, write_results,
 )
 
 ITEM = {"id": "R_1", "task_type": "temporal_reasoning", "question": "Q?", "answer": "A", "context": "line\nbreak"}
@@ -98,12 +98,6 @@ def test_predictor_resumes_and_records_failures(spark):
     assert [r["item_id"] for r in apply_predictor(df, predict, done=done).collect()] == [2]
 
 
-def test_spread_leaves_large_scans_alone(spark):
-    df = spark.range(100).repartition(9)
-    assert spread(df, 4) is df
-    assert spread(spark.range(100).coalesce(1), 4).rdd.getNumPartitions() == 4
-
-
 def test_read_items_under_any_key(spark, tmp_path):
     path = tmp_path / "items.json"
     path.write_text(json.dumps({"version": 2, "questions": [ITEM, {**ITEM, "id": "R_2"}]}), encoding="utf-8")
