@@ -61,7 +61,7 @@ class ImpactIndex:
         visited = np.cumsum(self.sizes[order])
         done, at = np.zeros(len(query), np.int64), 0
         found, met = np.zeros(n), np.zeros(n)
-        for stop in STOPS if len(members) > max(FEW, k) else ():
+        for stop in STOPS if len(query) and len(members) > max(FEW, k) else ():
             to = int(np.searchsorted(visited, stop * visited[-1]))
             part = order[at:to]
             # Within a dimension contributions fall along the list, or rise if the component is negative: segments join to one run.

@@ -143,6 +143,18 @@ def test_index_stops_only_on_proof():
         scores, ids = index.top(query, 5, 3)
         best = sorted((-int(v @ query), i) for i, v in enumerate(vectors) if i != 3)[:5]
         assert [(-s, i) for s, i in best] == list(zip(scores.tolist(), ids.tolist(), strict=True))
+    scores, ids = impact_topk.ImpactIndex(np.arange(3000), np.zeros((3000, 0), int)).top(np.zeros(0, int), 5, 3)
+    assert scores.tolist() == [0] * 5 and ids.tolist() == [0, 1, 2, 4, 5]
+
+
+def test_index_is_exact_where_sums_exceed_doubles():
+    """Components so large that doubles could not hold the scores stay whole numbers."""
+    vectors = np.random.default_rng(4).integers(-(2**29), 2**29, (600, 6))
+    index = impact_topk.ImpactIndex(np.arange(600), vectors)
+    assert index.vectors.dtype == np.int64
+    scores, ids = index.top(vectors[8], 5, 8)
+    best = sorted((-sum(int(a) * int(b) for a, b in zip(v, vectors[8], strict=True)), i) for i, v in enumerate(vectors) if i != 8)[:5]
+    assert [(-s, i) for s, i in best] == list(zip(scores.tolist(), ids.tolist(), strict=True))
 
 
 def test_token_counts_match_the_tokenizer(docs, none):
