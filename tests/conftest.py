@@ -12,7 +12,7 @@ from gradeframe.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    session = build_session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "gradeframe.text.partitions": "8"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
