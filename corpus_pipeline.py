@@ -11,6 +11,8 @@ from gradeframe.llm.shared import written
 
 #: The columns that all stages but the last return.
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words in a shingle of the near-dedup stage; four are the contract of the op9 query alone.
+SHINGLE = 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates; documents without an id stay."""
-    gone = minmax_hash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    """The smallest doc_id of each group of near duplicates by five-word shingles; documents without an id stay."""
+    gone = minmax_hash.near_duplicates(docs, k=SHINGLE).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*DOCUMENTS)
 
 

@@ -344,5 +344,14 @@ def test_pipeline_stages_keep_clean_documents(spark):
     assert packed.select("doc_id").distinct().count() == kept.count()
 
 
+def test_pipeline_near_dedup_takes_five_words(spark):
+    one = [f"w{i}" for i in range(80)]
+    far, close = ["x" if i in (20, 50) else w for i, w in enumerate(one)], ["x" if i == 20 else w for i, w in enumerate(one)]
+    docs = lambda other: spark.createDataFrame([(i, " ".join(w), "en", "s", 300) for i, w in enumerate((one, other))], "doc_id long, text string, lang string, source string, n_chars long")
+    assert minmax_hash.near_duplicates(docs(far)).where("not kept").count() == 1
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(far), "").collect()} == {0, 1}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(close), "").collect()} == {0}
+
+
 def test_every_oracle_has_its_query():
     assert set(ORACLE) <= set(QUERIES) and len(QUERIES) == 10
