@@ -40,6 +40,10 @@ PEM = "(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----END|\\z)
 PEM_LINE = "[A-Za-z0-9+/]{8,}={0,2}"
 #: Technical words that a dictionary of running text lacks.
 TECHNICAL = ["example", "sample", "http", "https", "mail", "test", "your", "here", "token", "secret", "password", "placeholder", "changeme", "user", "home", "index", "html", "config", "local", "value", "name", "path", "file", "image", "static", "assets", "download", "version", "default"]
+#: Words that fill templates whatever the corpus holds; every second one is a dictionary word, as in a corpus.
+FIXED = ["river", "window", "garden", "paper", "station", "morning", "letter", "bridge", "summer", "kitchen", "doctor", "market", "winter", "forest", "picture", "teacher", "village", "number", "music", "island", "machine", "library", "question", "weather", "silver", "mountain", "history", "engine", "harbour", "country", "people", "science"]
+#: Rows of templates that are filled with them.
+FIXED_ROWS = 200
 #: Occurrences in the corpus that make a word a dictionary word.
 FREQUENT = 20
 #: A candidate is a secret from this share of votes on.
@@ -94,7 +98,7 @@ def dictionary(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """(part): lower-cased letter words of 3 to 12 letters that occur often in all texts, and technical words."""
     words = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")).alias("part")).where("length(part) between 3 and 12")
     often = words.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= frequent).select("part")
-    fixed = docs.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in TECHNICAL])).alias("part"))
+    fixed = docs.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in TECHNICAL + FIXED[::2]])).alias("part"))
     return often.union(fixed).distinct()
 
 
@@ -142,10 +146,13 @@ def derived_findings(docs: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     words, digests in the forms of providers and lines of private keys beside
     any words (label 1), and the same digests beside other words, identifiers,
     addresses, paths, glued words, ids and placeholders (label 0). ``rows`` documents with the lowest hashes supply
-    words; that bound is what the forest is fitted on.
+    words; that bound is what the forest is fitted on. FIXED_ROWS rows of fixed
+    words join them, so that any corpus gives findings of both labels.
     """
     w = F.array_remove(F.split(F.substring(F.regexp_replace("text", "[^A-Za-z \\n]+", ""), 1, 400), SEPARATORS), "")
     base = docs.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id")).limit(rows).select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), w.alias("w")).where("size(w) >= 12")
+    drawn = F.transform(F.array_sort(F.transform(F.array(*[F.lit(t) for t in FIXED]), lambda x: F.struct(F.xxhash64(x, "doc_id").alias("h"), x.alias("x")))), lambda x: x["x"])
+    base = base.union(docs.sparkSession.range(FIXED_ROWS).select((-1 - F.col("id")).alias("doc_id")).select("doc_id", drawn.alias("w")))
     base = base.withColumns({f"sha{i}": F.sha2(F.concat(F.lit(f"finding {i} "), F.col("doc_id").cast("string")), 256) for i in range(4)})
     base = written(base.withColumns({f"b64{i}": F.translate(F.base64(F.unhex(f"sha{i}")), "\r\n", "") for i in range(4)}), "surroundings")
     words, sha, b64 = F.col("w"), [F.col(f"sha{i}") for i in range(4)], [F.col(f"b64{i}") for i in range(4)]
@@ -226,15 +233,15 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
 
     ``findings`` are labelled findings to learn from (CONTEXT, label, and
     FARTHER if known); without them they are derived from the texts. ``place`` is the word's place in the text. Null and
-    empty texts have no candidates; if there is nothing to learn from, or one
-    class only, every candidate counts as a secret.
+    empty texts have no candidates; labelled findings of fewer than two classes
+    are joined by the derived ones.
     """
     words = written(dictionary(docs), "dictionary")
     given = derived_findings(docs) if findings is None else findings
     labelled = written(given.withColumns({c: F.lit("") for c in FARTHER if c not in given.columns}).select(*CONTEXT, *FARTHER, "label"), "labelled")
     found = candidates(docs)
-    if labelled.select("label").distinct().count() < 2:
-        return found.select("row", "doc_id", "place", "value", F.lit(1.0).alias("probability"), F.lit(True).alias("is_secret"))
+    if findings is not None and labelled.select("label").distinct().count() < 2:
+        labelled = labelled.union(derived_findings(docs).select(labelled.columns))
     model = train(labelled, words)
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described(found, words).fillna(0.0, FEATURES))
     scored = model.transform(rows).withColumn("probability", vector_to_array("probability")[1])

@@ -287,6 +287,16 @@ def test_secrets_without_key_words_and_short_ones_are_found(docs):
     assert clean[910] == 'password = "[SECRET]"' and clean[917] == '{"password":"[SECRET]"}' and clean[930] == harmless[0]
 
 
+def test_secrets_are_told_apart_in_texts_without_words(spark):
+    token = hashlib.sha1(b"3").hexdigest()
+    texts = [f'这是一个例子 token = "{token}" 在这里', "请写信给 someone.12@mail3.example.com 谢谢", "文件 /home/user/notes/summer/list.txt 在这里", "看 internationalisation 这个词"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one_class = spark.createDataFrame([(token, '"', '"', "token", "=", "", 1.0)], "value string, prefix string, suffix string, before2 string, before string, after string, label double")
+    for findings in (None, one_class):
+        rows = secret_forest.scan(table, findings).collect()
+        assert len(rows) >= 4 and [r.value for r in rows if r.is_secret] == [token]
+
+
 def test_weak_labels_and_scorer(spark, none):
     patterns = np.array([[1, 0, 0], [1, -1, 0], [-1, -1, -1], [0, 0, -1]])
     posterior, table, prior = weak_quality.fit_accuracies(patterns, np.array([80.0, 2, 15, 3]))
