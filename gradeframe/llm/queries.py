@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm import impact_topk, minmax_hash, mixing, packing, rule_ledger, secret_forest, substrings, viterbi, wacz, weak_quality
+from gradeframe.llm import collocations, hard_negatives, host_arrays, impact_topk, minmax_hash, mixing, packing, rule_ledger, secret_forest, substrings, viterbi, wacz, weak_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -141,3 +141,63 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
 @_query("op10_differencing_pack")
 def op10(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_table(spark, d, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+@_query("op11_packed_negatives", """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.id AS anchor_id, c.id, q.label = c.label AS same, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.id % 50 = 0 AND q.id <> c.id
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 3
+""")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    vectors = _table(spark, d, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
+@_query("op12_son_collocations", r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), g AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM t, range(1, 6) AS s(k))
+), f AS (
+  SELECT lang, phrase, k, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100
+), n AS (
+  SELECT lang, sum(len(w)) AS n FROM t GROUP BY lang
+), c AS (
+  SELECT lang, phrase, k, a, j, array_to_string(w[1:j], ' ') AS left_part, array_to_string(w[j + 1:], ' ') AS right_part
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS j FROM f WHERE k >= 2)
+), s AS (
+  SELECT c.lang, c.phrase, c.k, c.a, l.a AS l, r.a AS r, n, CAST(1000::HUGEINT * c.a * n // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM c JOIN f AS l ON c.lang = l.lang AND left_part = l.phrase JOIN f AS r ON c.lang = r.lang AND right_part = r.phrase JOIN n ON c.lang = n.lang
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, j) = 1
+), z AS (
+  SELECT DISTINCT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, a AS most
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, a, k, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS m FROM f WHERE k >= 3))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM s WHERE NOT EXISTS (FROM z WHERE z.lang = s.lang AND z.phrase = s.phrase AND most >= s.a)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) <= 2000
+""")
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    return collocations.collocations(_table(spark, d, "documents"))
+
+
+@_query("op13_host_suffix_text", r"""
+WITH b AS (
+  SELECT page_id, url, list_transform(regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(?:p|h1)>'),
+    lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '[\x09-\x0D\x20]+', ' ', 'g'))) AS l
+  FROM pages
+)
+SELECT page_id, url, array_to_string(list_filter(l, lambda x: x <> ''), chr(10)) AS text, CAST(length(array_to_string(list_filter(l, lambda x: x <> ''), chr(10))) AS BIGINT) AS n_chars FROM b
+""")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return host_arrays.extract(_table(spark, d, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
