@@ -348,7 +348,7 @@ def test_pipeline_stages_keep_clean_documents(spark):
     accepted = corpus_pipeline.quality(spark, docs, d)
     assert accepted.columns == docs.columns and 0.6 * docs.count() < accepted.count() < docs.count()
     kept = corpus_pipeline.near_dedup(spark, accepted, d)
-    groups = minmax_hash.near_duplicates(accepted)
+    groups = minmax_hash.near_duplicates(accepted, k=corpus_pipeline.SHINGLE)
     assert kept.count() == groups.select("component_id").distinct().count()
     packed = corpus_pipeline.run(spark, d)
     assert packed.select("doc_id").distinct().count() == kept.count()
@@ -364,4 +364,4 @@ def test_pipeline_near_dedup_takes_five_words(spark):
 
 
 def test_every_oracle_has_its_query():
-    assert set(ORACLE) <= set(QUERIES) and len(QUERIES) == 10
+    assert set(ORACLE) <= set(QUERIES) and len(QUERIES) == 13
