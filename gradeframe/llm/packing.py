@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe.llm.shared import written
-from gradeframe.llm.words import encoded, slices, text_bytes
+from gradeframe.llm.words import Remembered, encoded, slices, text_bytes
 
 #: Longest piece of a document's rest; smaller grains balance better, larger ones cut less.
 GRAIN = 256
@@ -31,14 +33,38 @@ GRAIN = 256
 BLOCK = 4096
 #: The number of windows rises by one part in so many.
 RISE = 200
-#: Distinct chunks whose ids a worker remembers.
-REMEMBERED = 400_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def chunks_of(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Cut texts before each single space that a non-space follows.
+class Encoder(NamedTuple):
+    """Ids of a text without added tokens, and the added tokens by their bytes."""
+
+    encode: Callable[[str], list[int]]
+    added: dict[bytes, int]
+
+
+def _added_cuts(data: np.ndarray, at: np.ndarray, added: dict[bytes, int], cut: np.ndarray) -> None:
+    """Cut texts around added tokens; a space before one ends the text before it, so it begins no chunk."""
+    if not added:
+        return
+    whole = re.compile(b"|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)))
+    raw = data.tobytes()
+    if not whole.search(raw):
+        return
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        last = a
+        for found in whole.finditer(raw, a, b):
+            start, end = found.span()
+            if start > last and raw[start - 1] == 32:
+                cut[start - 1] = start - 1 == last
+            cut[start + 1 : end] = False
+            cut[[start, end]] = True
+            last = end
+
+
+def chunks_of(column: pa.Array, added: dict[bytes, int]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Cut texts before each single space that a non-space follows, and around added tokens.
 
     The tokeniser's pattern ends a match there in any text, so encoding the
     chunks one by one gives the ids of the whole text. The next byte must be
@@ -51,6 +77,7 @@ def chunks_of(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         after = np.append(data[1:], np.uint8(0))
         cut[:-1] = (data == 32) & (((after > 32) & (after < 127)) | ((after > 0xC2) & (after < 0xE0)))
     cut[at] = True
+    _added_cuts(data, at, added, cut)
     begins = np.flatnonzero(cut)
     if len(begins) < 2:
         return np.zeros(0, np.int64), pa.array([], pa.binary()), np.zeros(len(column) + 1, np.int64)
@@ -58,16 +85,14 @@ def chunks_of(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return codes, vocab, np.searchsorted(begins[:-1], at)
 
 
-def token_ids(encode: Callable[[str], list[int]], column: pa.Array, known: dict[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(encoder: Encoder, column: pa.Array, known: Remembered) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other, and their bounds; ``known`` is a memory of chunks."""
-    codes, vocab, bounds = chunks_of(column)
-    chunks = vocab.to_pylist()
-    if len(known) > REMEMBERED:
-        known.clear()
-    for c in chunks:
-        if c not in known:
-            known[c] = array("I", encode(c.decode())).tobytes()
-    each = [known[c] for c in chunks]
+    codes, vocab, bounds = chunks_of(column, encoder.added)
+
+    def ids_of(chunk: bytes) -> bytes:
+        return array("I", [encoder.added[chunk]] if chunk in encoder.added else encoder.encode(chunk.decode())).tobytes()
+
+    each = known.all_of(vocab.to_pylist(), ids_of)
     sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
     flat, starts = np.frombuffer(b"".join(each), np.uint32), np.cumsum(sizes) - sizes
     lengths = sizes[codes]
@@ -76,12 +101,14 @@ def token_ids(encode: Callable[[str], list[int]], column: pa.Array, known: dict[
     return ids, np.append(0, ends)[bounds]
 
 
-def encoder(path: str) -> Callable[[str], list[int]]:
+def encoder(path: str) -> Encoder:
     """Ids of a text by the byte-level BPE of a tokenizer file.
 
     The file's vocabulary and pattern run in the faster of two libraries; its
     ids number the merges in order, so they serve as ranks. Tests hold the ids
-    against the file's own library.
+    against the file's own library. Added tokens are taken as they stand in the
+    text; files whose added tokens strip spaces or match whole words only are
+    refused.
     """
     import public_tokenizers
     import tiktoken
@@ -89,7 +116,9 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 
     with open(path, encoding="utf-8") as file:
         tokenizer = json.load(file)
-    added = {x["content"] for x in tokenizer.get("added_tokens", [])}
+    added = {x["content"]: x["id"] for x in tokenizer.get("added_tokens", [])}
+    if tokenizer.get("normalizer") or any(x.get(k) for x in tokenizer.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("a normalizer or added tokens that take more than themselves are not supported")
     # The byte alphabet: printable bytes stand for themselves, the others for letters from U+0100 on.
     printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
     others = (b for b in range(256) if b not in printable)
@@ -97,12 +126,13 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     if set(of) != set(ByteLevel.alphabet()):
         raise ValueError("the byte alphabet differs")
     ranks = {bytes(of[c] for c in token): rank for token, rank in tokenizer["model"]["vocab"].items() if token not in added}
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return Encoder(encode, {t.encode(): i for t, i in added.items()})
 
 
 def _cut(path: str, capacity: int, grain: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, known = encoder(path), {}
+        encode, known = encoder(path), Remembered()
         for batch in slices(batches):
             ids, bounds = token_ids(encode, batch.column("text"), known)
             ids = ids.astype("<u4")

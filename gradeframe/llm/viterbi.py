@@ -25,12 +25,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from gradeframe.llm.words import encoded, slices, text_bytes
+from gradeframe.llm.words import Remembered, encoded, slices, text_bytes
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
-#: Distinct chunks whose counts a worker remembers.
-REMEMBERED = 2_000_000
 
 
 class Vocabulary(NamedTuple):
@@ -38,6 +36,8 @@ class Vocabulary(NamedTuple):
     unknown: float
     #: Whether a mark begins every piece it stands in (or follows marks only).
     cuts: bool
+    #: The piece that stands for unknown text; its places join runs of unknown characters.
+    unknown_piece: str
 
 
 def pieces_of(model_file: str) -> list[tuple[str, float]]:
@@ -48,7 +48,16 @@ def pieces_of(model_file: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
-def vocabulary(pieces: list[tuple[str, float]]) -> Vocabulary:
+def unknown_of(model_file: str) -> str:
+    """The piece of a SentencePiece model file that stands for unknown text."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    return model.id_to_piece(model.unk_id())
+
+
+def vocabulary(pieces: list[tuple[str, float]], unknown: str = "") -> Vocabulary:
+    """The automaton of ``pieces``; ``unknown`` is the one that stands for unknown text, if any does."""
     automaton = ahocorasick.Automaton()
     for piece, score in pieces:
         if piece:
@@ -56,30 +65,42 @@ def vocabulary(pieces: list[tuple[str, float]]) -> Vocabulary:
     automaton.make_automaton()
     whole = all(float(s).is_integer() for _, s in pieces)
     cuts = whole and all(MARK not in p.lstrip(MARK) for p, _ in pieces)
-    return Vocabulary(automaton, min(s for _, s in pieces) - UNKNOWN_COST, cuts)
+    return Vocabulary(automaton, min(s for _, s in pieces) - UNKNOWN_COST, cuts, unknown)
 
 
 def count_pieces(text: str, vocabulary: Vocabulary) -> int:
-    """Pieces on the best path through ``text``, whose spaces are marks already."""
-    n = len(text)
-    best, counts = [0.0] * (n + 1), [0] * (n + 1)
+    """Pieces on the best path through ``text``, whose spaces are marks already.
+
+    A run of unknown characters and unknown pieces becomes the bytes of its
+    text, unless it is the unknown piece alone, which is one piece.
+    """
+    n, special = len(text), vocabulary.unknown_piece
+    # Score and count up to each character, and how the path ends: 0 known, 1 the unknown piece alone, 2 a longer run.
+    best, counts, ends = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
     found: list[list[tuple[int, float]]] = [[] for _ in range(n)]
     for end, (length, score) in vocabulary.pieces.iter(text):
         found[end].append((length, score))
     for end in range(n):
-        top, count, single = None, 0, False
+        top, chosen, single = None, 0, False
         # Longest first, which is the earliest start first.
         for length, score in sorted(found[end], reverse=True):
-            start = end + 1 - length
-            value = best[start] + score
+            value = best[end + 1 - length] + score
             if top is None or value > top:
-                top, count = value, counts[start] + 1
+                top, chosen = value, length
             single = single or length == 1
-        if not single:
-            value = best[end] + vocabulary.unknown
-            if top is None or value > top:
-                top, count = value, counts[end] + len(text[end].encode())
-        best[end + 1], counts[end + 1] = top, count
+        unknown = not single and (top is None or best[end] + vocabulary.unknown > top)
+        if unknown:
+            top, chosen = best[end] + vocabulary.unknown, 1
+        start = end + 1 - chosen
+        before, count = ends[start], counts[start]
+        if not unknown and not (chosen == len(special) and text.startswith(special, start)):
+            count, state = count + 1, 0
+        elif before == 0 and not unknown:
+            count, state = count + 1, 1
+        else:
+            count += (len(special.encode()) - 1 if before == 1 else 0) + len(text[start : end + 1].encode())
+            state = 2
+        best[end + 1], counts[end + 1], ends[end + 1] = top, count, state
     return counts[n]
 
 
@@ -98,7 +119,7 @@ def _chunks(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 def _count(model_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = vocabulary(pieces_of(model_file)), {}
+        words, known = vocabulary(pieces_of(model_file), unknown_of(model_file)), Remembered()
         for batch in slices(batches):
             text = pc.replace_substring(pc.fill_null(batch.column("text"), ""), MARK, " ")
             empty = pc.equal(pc.binary_length(text), 0)
@@ -108,13 +129,7 @@ def _count(model_file: str):
             else:
                 codes, vocab = np.arange(len(text)), text.cast(pa.binary())
                 bounds = np.arange(len(text) + 1)
-            chunks = vocab.to_pylist()
-            if len(known) > REMEMBERED:
-                known.clear()
-            for c in chunks:
-                if c not in known:
-                    known[c] = count_pieces(c.decode().replace(" ", MARK), words)
-            each = np.fromiter((known[c] for c in chunks), np.int64, len(chunks))
+            each = np.array(known.all_of(vocab.to_pylist(), lambda c: count_pieces(c.decode().replace(" ", MARK), words)), np.int64)
             totals = np.append(0, np.cumsum(each[codes]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(totals[bounds]))], ["doc_id", "n_tokens"])
 

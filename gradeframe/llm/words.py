@@ -7,7 +7,7 @@ is done once per distinct word and gathered by code.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -17,6 +17,8 @@ import xxhash
 
 #: Bytes of text handled at once; a longer document stands alone.
 SLICE_BYTES = 16 << 20
+#: What a worker remembers of chunks: bytes in all, and the longest chunk and value.
+REMEMBERED_BYTES, LONGEST_CHUNK = 64 << 20, 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -28,6 +30,29 @@ class Words(NamedTuple):
     bounds: np.ndarray
 
 
+class Remembered:
+    """Values of chunks that came up before, within a bound of bytes; long chunks are worked out anew each time."""
+
+    def __init__(self, limit: int = REMEMBERED_BYTES):
+        self.limit, self.size, self.known = limit, 0, {}
+
+    def all_of(self, chunks: list[bytes], work: Callable[[bytes], object]) -> list:
+        """``work`` of each of ``chunks``."""
+        out = []
+        for chunk in chunks:
+            value = self.known.get(chunk)
+            if value is None:
+                value = work(chunk)
+                if len(chunk) <= LONGEST_CHUNK:
+                    # Two Python objects and a place in the table beside the bytes.
+                    self.size += len(chunk) + (len(value) if isinstance(value, bytes) else 0) + 170
+                    if self.size > self.limit:
+                        self.known, self.size = {}, 0
+                    self.known[chunk] = value
+            out.append(value)
+        return out
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its offsets; null counts as empty."""
     if column.null_count:

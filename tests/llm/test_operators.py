@@ -169,6 +169,46 @@ def test_token_counts_match_the_tokenizer(docs, none):
     assert viterbi.count_tokens(none, tokenizer_file("piece_bpe_32k.model")).collect() == []
 
 
+def test_unknown_pieces_join_unknown_text():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    file, rng = tokenizer_file("piece_bpe_32k.model"), random.Random(5)
+    exact = Tokenizer(models.Unigram(viterbi.pieces_of(file), 0, True))
+    exact.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+    words = viterbi.vocabulary(viterbi.pieces_of(file), viterbi.unknown_of(file))
+    parts = ["<unk>", " ", "a", "hello", "é", "漢字", "<s>", " x", "1", "<", "unk>", "😀", "ↂ"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 10)))
+        marked = (text if text.startswith(" ") else " " + text).replace(" ", viterbi.MARK)
+        assert viterbi.count_pieces(marked, words) == len(exact.encode(text, add_special_tokens=False).ids)
+
+
+def test_added_tokens_keep_their_ids():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from gradeframe.llm.words import Remembered
+
+    exact, encoder, rng = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json")), packing.encoder(tokenizer_file("byte_bpe_50k.json")), random.Random(1)
+    parts = ["<|endoftext|>", " ", "  ", "\n", "a", "hello", "é", "漢字", "<|endof", "text|>", " x", "1", "'s", "\t"]
+    found = ["hello <|endoftext|> x", "", "<|endoftext|>"] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    memory = Remembered(20_000)
+    ids, bounds = packing.token_ids(encoder, pa.array(found), memory)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [exact.encode(t, add_special_tokens=False).ids for t in found]
+    assert ids[: bounds[1]].tolist() == [31373, 220, 50256, 2124] and memory.size <= 20_000 + 500
+
+
+def test_memory_of_chunks_is_bounded():
+    from gradeframe.llm.words import LONGEST_CHUNK, Remembered
+
+    memory, calls = Remembered(10_000), []
+    long, short = b"x" * (LONGEST_CHUNK + 1), b"y"
+    assert memory.all_of([long, short, long, short], lambda c: calls.append(c) or len(c)) == [65, 1, 65, 1]
+    assert calls == [long, short, long] and list(memory.known) == [short]
+    memory.all_of([str(i).encode() for i in range(1000)], len)
+    assert memory.size <= 10_000 and len(memory.known) < 60
+
+
 def test_viterbi_ties():
     words = viterbi.vocabulary([("a", -1.0), ("b", -1.0), ("ab", -2.0), ("aab", -3.0)])
     assert viterbi.count_pieces("ab", words) == 1 and viterbi.count_pieces("aab", words) == 1 and viterbi.count_pieces("é", words) == 2
@@ -178,7 +218,6 @@ def test_packing_is_whole_and_tight(docs, none):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
     got = packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), capacity=256, grain=64).toPandas()
     for r in docs.where("doc_id is not null and doc_id != 3").collect():
         ids = np.array([*exact.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
