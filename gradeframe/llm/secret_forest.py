@@ -11,6 +11,7 @@ names. Built-in functions and Spark's own forest only.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -44,13 +45,15 @@ TECHNICAL = ["example", "sample", "http", "https", "mail", "test", "your", "here
 FIXED = ["river", "window", "garden", "paper", "station", "morning", "letter", "bridge", "summer", "kitchen", "doctor", "market", "winter", "forest", "picture", "teacher", "village", "number", "music", "island", "machine", "library", "question", "weather", "silver", "mountain", "history", "engine", "harbour", "country", "people", "science"]
 #: Rows of templates that are filled with them.
 FIXED_ROWS = 200
-#: Occurrences in the corpus that make a word a dictionary word.
-FREQUENT = 20
+#: Share of all characters of the corpus, in occurrences, that makes a word a dictionary word; two occurrences at least.
+FREQUENT = 1e-6
 #: A candidate is a secret from this share of votes on.
 THRESHOLD = 0.5
 REDACTED = "[SECRET]"
-#: Documents whose words and numbers fill the templates of derived labelled findings.
+#: Documents whose words and numbers fill the templates of derived labelled findings, about; chosen by a hash.
 TRAINING_ROWS = 1500
+#: Words of a document that fill templates.
+SURROUNDING = 12
 
 FEATURES = ["n_chars", "n_digits", "n_upper", "n_lower", "n_vowels", "n_distinct", "transitions", "longest_run", "covered", "n_slashes", "n_dots", "n_dashes", "hex_only", "padded", "suffix_form", "near_key", "near_other", "assigned", "quoted", "address", "far_key", "known_form", "in_key", "n_other"]
 CONTEXT = ["value", "prefix", "suffix", "before2", "before", "after"]
@@ -94,10 +97,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     }).drop("word", "_pem")
 
 
-def dictionary(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """(part): lower-cased letter words of 3 to 12 letters that occur often in all texts, and technical words."""
+def dictionary(docs: DataFrame, frequent: float = FREQUENT) -> DataFrame:
+    """(part): lower-cased letter words of 3 to 12 letters with ``frequent`` occurrences, or more, per character of all texts, and technical words."""
+    least = max(2, math.ceil(frequent * (docs.agg(F.sum(F.length("text"))).first()[0] or 0)))
     words = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+")).alias("part")).where("length(part) between 3 and 12")
-    often = words.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= frequent).select("part")
+    often = words.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("part")
     fixed = docs.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in TECHNICAL + FIXED[::2]])).alias("part"))
     return often.union(fixed).distinct()
 
@@ -145,12 +149,16 @@ def derived_findings(docs: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     tokens, and passwords made of words, digits and signs beside credential
     words, digests in the forms of providers and lines of private keys beside
     any words (label 1), and the same digests beside other words, identifiers,
-    addresses, paths, glued words, ids and placeholders (label 0). ``rows`` documents with the lowest hashes supply
+    addresses, paths, glued words, ids and placeholders (label 0). About ``rows`` documents, chosen by a hash, supply
     words; that bound is what the forest is fitted on. FIXED_ROWS rows of fixed
     words join them, so that any corpus gives findings of both labels.
     """
-    w = F.array_remove(F.split(F.substring(F.regexp_replace("text", "[^A-Za-z \\n]+", ""), 1, 400), SEPARATORS), "")
-    base = docs.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id")).limit(rows).select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), w.alias("w")).where("size(w) >= 12")
+    total = docs.agg(F.count("text")).first()[0]
+    # The words are chosen by hashes from the whole text, and cut to a few before any row is moved.
+    letters = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,20}"), F.lit(0)))
+    few = F.slice(F.array_sort(F.transform(letters, lambda x: F.struct(F.xxhash64(x, "doc_id").alias("h"), x.alias("x")))), 1, SURROUNDING)
+    chosen = docs.where(F.col("text").isNotNull() & (F.xxhash64("doc_id", "text") / 2.0**64 + 0.5 < rows / max(total, 1)))
+    base = chosen.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.transform(few, lambda x: x["x"]).alias("w")).where(F.size("w") == SURROUNDING)
     drawn = F.transform(F.array_sort(F.transform(F.array(*[F.lit(t) for t in FIXED]), lambda x: F.struct(F.xxhash64(x, "doc_id").alias("h"), x.alias("x")))), lambda x: x["x"])
     base = base.union(docs.sparkSession.range(FIXED_ROWS).select((-1 - F.col("id")).alias("doc_id")).select("doc_id", drawn.alias("w")))
     base = base.withColumns({f"sha{i}": F.sha2(F.concat(F.lit(f"finding {i} "), F.col("doc_id").cast("string")), 256) for i in range(4)})
