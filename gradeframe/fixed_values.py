@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from calendar import month_name
+
 # Task names and their short codes.
 TASK_CODES = {
     "regulatory_interpretation": "REG",
@@ -143,3 +145,25 @@ SHEET_SIZES = {
     "contradiction_detection": 15,
     "temporal_reasoning": 30,
 }
+
+# Rewrites that bring two spellings of one answer together, in this order.
+CANONICAL_REWRITES = [
+    (r"[₹]|rs\.?\s*", ""),
+    (r"crore\s+rupees?", "crore"),
+    (r"(\d),(\d{3})", "$1$2"),
+    (r"(\d+\.\d*?)0+\b", "$1"),
+    (r"(\d+)\.$", "$1"),
+    *[
+        (rf"\b(?:{name.lower()}|{name[:3].lower()})\b", f"{number:02d}")
+        for number, name in enumerate(month_name)
+        if name
+    ],
+    (r"\b(by|on|from|before|after)\b\s+", ""),
+]
+
+# Readings of the gap between people and the reference system, from above and below three points.
+GAP_READINGS = (
+    "substantial room for model improvement",
+    "near-human or above-human parity on this subset",
+    "near-human parity on this subset",
+)

@@ -8,6 +8,7 @@ decided rows pass NULL, because a Python UDF inside ``when`` runs on every row.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,10 @@ from pyspark.sql import types as T
 from gradeframe.functions.text import col, sealed, words
 
 
+#: Machine words of the longer texts, and rows, from which on pairs are stepped together.
+VECTOR_WORDS, VECTOR_ROWS = 64, 64
+
+
 def lcs_length(a: str, b: str) -> int:
     """Length of the longest common subsequence (one machine word per 64 characters)."""
     start, end_a, end_b = 0, len(a), len(b)
@@ -40,11 +45,87 @@ def lcs_length(a: str, b: str) -> int:
     return affix + len(a) - open_rows.bit_count()
 
 
+def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts one after the other, and the lengths."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), sizes
+
+
+def _lcs_block(a: list[str], b: list[str], n_words: int) -> np.ndarray:
+    """LCS lengths of many pairs stepped together; every ``a`` fits ``n_words`` machine words.
+
+    Rows stand in falling order of ``b``'s length, so the rows that still have
+    a character at a step are the first ones.
+    """
+    chars_a, sizes_a = _code_points(a)
+    chars_b, sizes_b = _code_points(b)
+    order = np.argsort(-sizes_b, kind="stable")
+    # A mask of the places of each character in each row; the last mask is empty.
+    rows_a, rows_b = (np.repeat(np.arange(len(a)), sizes) for sizes in (sizes_a, sizes_b))
+    keys, slots = np.unique((rows_a << 21) | chars_a, return_inverse=True)
+    place = np.arange(len(chars_a)) - np.repeat(np.cumsum(sizes_a) - sizes_a, sizes_a)
+    masks = np.zeros((len(keys) + 1, n_words), np.uint64)
+    np.bitwise_or.at(masks, (slots, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    wanted = (rows_b << 21) | chars_b
+    found = np.searchsorted(keys, wanted)
+    met = np.minimum(found, len(keys) - 1)
+    found = np.where(keys[met] == wanted, met, len(keys)) if len(keys) else np.zeros(len(wanted), np.int64)
+
+    starts = (np.cumsum(sizes_b) - sizes_b)[order]
+    left = np.full((n_words, len(a)), ~np.uint64(0))
+    active = len(a) - np.searchsorted(np.sort(sizes_b), np.arange(int(sizes_b.max(initial=0))), "right")
+    for step, k in enumerate(active.tolist()):
+        hits = masks[found[starts[:k] + step]]
+        carry = np.uint64(0)
+        for w in range(n_words):
+            now = left[w, :k]
+            hit = now & hits[:, w]
+            total = now + hit
+            over = total < now
+            total += carry
+            if w + 1 < n_words:
+                carry = (over | (total < carry)).astype(np.uint64)
+            left[w, :k] = total | (now ^ hit)
+    # Cleared bits are matched characters; bits beyond a's end never clear.
+    out = np.zeros(len(a), np.int64)
+    out[order] = 64 * n_words - np.bitwise_count(left).sum(0, dtype=np.int64)
+    return out
+
+
+def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """LCS lengths of pairs of texts.
+
+    Pairs whose shorter side has up to VECTOR_WORDS * 64 characters are stepped
+    together, by the number of machine words; beyond that one pair fills a
+    vector by itself, and big integers do the same steps pair by pair.
+    """
+    short = [x if len(x) <= len(y) else y for x, y in zip(a, b)]
+    long = [y if len(x) <= len(y) else x for x, y in zip(a, b)]
+    n_words = -(-np.fromiter(map(len, short), np.int64, len(short)) // 64)
+    out = np.zeros(len(short), np.int64)
+    for w in np.unique(n_words):
+        at = np.flatnonzero(n_words == w)
+        if w == 0:
+            continue
+        pairs = [short[i] for i in at], [long[i] for i in at]
+        if w <= VECTOR_WORDS and len(at) >= VECTOR_ROWS:
+            out[at] = _lcs_block(*pairs, int(w))
+        else:
+            out[at] = [lcs_length(x, y) for x, y in zip(*pairs)]
+    return out
+
+
 @F.pandas_udf(T.LongType())
 def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if x is None or y is None else lcs_length(x, y) for x, y in zip(a, b)], dtype="Int64"
-    )
+    asked = (a.notna() & b.notna()).to_numpy()
+    out = pd.Series(pd.array([None] * len(a), "Int64"))
+    out[asked] = lcs_lengths(a[asked].tolist(), b[asked].tolist())
+    return out
+
+
+def common_subsequence(a: Column | str, b: Column | str) -> Column:
+    """Length of the longest common subsequence of two texts; NULL if one is NULL."""
+    return _lcs(col(a), col(b))
 
 
 def with_token_set_ratio(
@@ -53,13 +134,14 @@ def with_token_set_ratio(
     b: str,
     out: str,
     needed: Column | None = None,
-    cutoff: float | None = None,
+    cutoff: float | tuple[float, float] | None = None,
 ) -> DataFrame:
     """Add ``out``, the token-set ratio (0-100) of text columns ``a`` and ``b``.
 
     ``needed`` limits the kernel to rows that want the ratio (others get NULL).
     With ``cutoff`` the value is only guaranteed to lie on the right side of it,
-    which lets the length bounds settle most rows without the kernel.
+    which lets the length bounds settle most rows without the kernel. Of two
+    cutoffs, values are exact between them, and on the right side beyond.
     """
     t = "_tsr_"
     wanted = F.lit(True) if needed is None else F.coalesce(needed, F.lit(False))
@@ -98,11 +180,12 @@ def with_token_set_ratio(
     known, low, high = F.col(f"{t}known"), F.col(f"{t}low"), F.col(f"{t}high")
     is_open = known.isNull() & (high > low)
     if cutoff is not None:
-        is_open = is_open & (low / 100.0 < cutoff) & (high / 100.0 >= cutoff)
+        least, most = cutoff if isinstance(cutoff, tuple) else (cutoff, cutoff)
+        is_open = is_open & (low / 100.0 < most) & (high / 100.0 >= least)
     df = df.withColumn(f"{t}l", _lcs(F.when(is_open, x), F.when(is_open, y)))
     lcs = F.col(f"{t}l")
     by_text = similarity(lx + ly - 2 * lcs, total)
-    # Without the kernel: below the cutoff (high < cutoff) or above it (low >= cutoff);
+    # Without the kernel: below the least cutoff (high < least) or from the highest on (low >= most);
     # `low` is on the right side in both cases.
     value = F.when(wanted, F.coalesce(known, F.when(lcs.isNotNull(), F.greatest(by_text, low)), low))
     helper = [f"{t}{k}" for k in ("a", "b", "s", "x", "y", "e", "known", "low", "high", "l")]
@@ -114,4 +197,4 @@ def token_set_ratio(df: DataFrame, a: str, b: str, out: str = "ratio") -> DataFr
     return sealed(with_token_set_ratio(df, a, b, out), **{out: F.col(out)})
 
 
-__all__ = ["col", "lcs_length", "token_set_ratio", "with_token_set_ratio"]
+__all__ = ["col", "common_subsequence", "lcs_length", "lcs_lengths", "token_set_ratio", "with_token_set_ratio"]

@@ -12,26 +12,40 @@ from gradeframe.operators.tables import resume_remaining
 
 
 def apply_predictor(
-    df: DataFrame, predict: Callable[[str], str], prompt: str = "prompt", out: str = "prediction",
+    df: DataFrame, predict: Callable[[str], str] | None = None, prompt: str = "prompt", out: str = "prediction",
     done: DataFrame | None = None, keys: list[str] | None = None,
+    predict_batch: Callable[[list[str]], list[str]] | None = None, batch: int = 32,
 ) -> DataFrame:
     """Add predictions; an exception becomes ``FAIL:`` and at most 80 characters of its message.
 
-    With ``done`` only items without a good result are run, so a job that was
-    lost is repeated from the written results.
+    ``predict`` gets one prompt; ``predict_batch`` up to ``batch`` of them at
+    once, and a batch that fails, or returns another number of predictions, is
+    split until the prompt at fault stands alone. With ``done`` only items
+    without a good result are run, so a job that was lost is repeated from the
+    written results.
     """
+    if (predict is None) == (predict_batch is None):
+        raise ValueError("give one of predict and predict_batch")
     if done is not None:
         df = resume_remaining(df, done, keys, out)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
 
-    def one(text: str) -> str:
+    def several(texts: list[str]) -> list[str]:
         try:
-            return predict(text)
+            found = [predict(texts[0])] if predict_batch is None else list(predict_batch(texts))
+            if len(found) != len(texts):
+                raise ValueError(f"{len(found)} predictions for {len(texts)} prompts")
+            return found
         except Exception as error:  # noqa: BLE001 - any failure of user code is a failed row
-            return f"FAIL: {str(error)[:80]}"
+            if len(texts) == 1:
+                return [f"FAIL: {str(error)[:80]}"]
+            half = len(texts) // 2
+            return several(texts[:half]) + several(texts[half:])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(**{out: [one(text) for text in batch[prompt]]})
+        size = 1 if predict_batch is None else batch
+        for rows in batches:
+            texts = rows[prompt].tolist()
+            yield rows.assign(**{out: [x for i in range(0, len(texts), size) for x in several(texts[i : i + size])]})
 
     return df.mapInPandas(run, schema)

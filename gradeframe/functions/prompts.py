@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe import fixed_values as fv
 from gradeframe.functions.text import col, truncate_words
+from gradeframe.operators.ranks import spread_join
 
 # Closing lines of a question, by task, per prompt style.
 CLOSINGS = {
@@ -50,6 +53,10 @@ STYLES = {
 }
 
 
+# What a condition adds to the instructions that go before the prompt, and how many solved examples it shows.
+CONDITIONS = {"zero_shot": ("", 0), "zero_shot_cot": ("Think step by step before answering.", 0), "one_shot": ("", 1), "three_shot": ("", 3)}
+
+
 def _text(name: str, df: DataFrame) -> Column:
     return F.coalesce(F.col(name), F.lit("")) if name in df.columns else F.lit("")
 
@@ -91,6 +98,33 @@ def build_prompt(
     return df.withColumn(out, body)
 
 
+def build_conditions(
+    df: DataFrame, instructions: str, conditions: list[str] | None = None, examples: DataFrame | None = None,
+    style: str = "zero_shot", task: str = "task_type",
+) -> DataFrame:
+    """Each item once per condition, with columns condition, system (the instructions) and prompt.
+
+    ``examples`` has solved items as ``example_blocks`` takes them (task, rank,
+    example); a condition shows the first ones of the item's task, fewer if
+    there are no more. Blocks are cut per task and condition before items meet
+    them.
+    """
+    conditions = conditions or list(CONDITIONS)
+    entries = F.array(*[F.struct(F.lit(c).alias("condition"), F.lit("\n\n".join(x for x in (instructions, CONDITIONS[c][0]) if x)).alias("system")) for c in conditions])
+    rows = df.withColumn("_e", F.explode(entries)).select(*df.columns, "_e.condition", "_e.system")
+    shown = {c: CONDITIONS[c][1] for c in conditions if CONDITIONS[c][1]}
+    if not shown:
+        return build_prompt(rows, style, task)
+    if examples is None:
+        raise ValueError("conditions with examples need some")
+    quotas = F.array(*[F.struct(F.lit(c).alias("condition"), F.lit(n).alias("_n")) for c, n in shown.items()])
+    cut = examples.withColumn("_q", F.explode(quotas)).where(F.col("rank") <= F.col("_q._n")).select(task, F.col("_q.condition").alias("condition"), "rank", "example")
+    ordered = F.sort_array(F.collect_list(F.struct(F.col("rank").alias("o"), F.col("example").alias("t"))))
+    blocks = cut.groupBy(task, "condition").agg(F.array_join(F.transform(ordered, lambda s: s["t"]), "\n\n").alias("_examples"))
+    joined = spread_join(rows, blocks, [task, "condition"], "left")
+    return build_prompt(joined, style, task, examples="_examples").drop("_examples")
+
+
 def format_example(df: DataFrame, task: str = "task_type", out: str = "example") -> DataFrame:
     """One solved item as an example (300 words, or two passages of 800 characters)."""
     tail = F.concat(F.lit("\n\nQuestion: "), _text("question", df), F.lit("\nAnswer: "), _text("answer", df))
@@ -124,16 +158,33 @@ def shots_block(shots: Column | str, context: Column | str, question: Column | s
     )
 
 
-# Templates of judge prompts: fields in braces, with the cap of each field.
+def with_shots(df: DataFrame, shots: DataFrame, task: str = "task_type", order: str = "rank", out: str = "prompt") -> DataFrame:
+    """``shots_block`` for every row, from solved rows of its task (context, question, answer), few per task.
+
+    The solved rows become one block of text per task, cut to size, before rows meet it.
+    """
+    solved = shots.select(task, F.struct(F.col(order).alias("o"), F.struct(F.left("context", F.lit(400)).alias("context"), "question", "answer").alias("s")).alias("e"))
+    ordered = F.transform(F.sort_array(F.collect_list("e")), lambda e: e["s"])
+    blocks = solved.groupBy(task).agg(ordered.alias("_shots"))
+    return spread_join(df, blocks, [task]).withColumn(out, shots_block("_shots", "context", "question")).drop("_shots")
+
+
+# Templates of judge prompts: fields in braces, with the cap of each field. Doubled braces stand for themselves.
 JUDGE_TEMPLATES = {
     "rubric": (
-        "Rate the prediction on event_identification, temporal_ordering and final_state_answer, "
-        "each 0 or 1, as JSON.\nCONTEXT: {context}\nQUESTION: {question}\n"
-        "REFERENCE ANSWER: {reference}\nMODEL PREDICTION: {prediction}",
+        "You grade an answer about a passage on changing rules, on three points, each 0 or 1.\n"
+        "event_identification is 1 if the answer names the events, dates or documents that matter for the question.\n"
+        "temporal_ordering is 1 if it puts them in the right order in time, or if the question needs no order.\n"
+        "final_state_answer is 1 if its conclusion says the same as the reference answer.\n"
+        'Reply with JSON only: {{"event_identification": {{"score": 0, "reason": "..."}}, '
+        '"temporal_ordering": {{"score": 0, "reason": "..."}}, "final_state_answer": {{"score": 0, "reason": "..."}}}}\n'
+        "CONTEXT: {context}\nQUESTION: {question}\nREFERENCE ANSWER: {reference}\nMODEL PREDICTION: {prediction}",
         {"context": 1500},
     ),
     "verdict": (
-        "Is the prediction equivalent to the reference? Reply VERDICT|reason with CORRECT, PARTIAL or INCORRECT.\n"
+        "Does the prediction mean the same as the reference? Other spellings of an amount, units and abbreviations count as equal.\n"
+        "CORRECT: it means the same, or holds the reference answer.\nPARTIAL: a part of it is right.\nINCORRECT: what it says is wrong.\n"
+        "Reply with one line, VERDICT|reason.\n"
         "Question: {question}\nReference Answer: {reference}\nModel Prediction: {prediction}",
         {"question": 500, "reference": 200, "prediction": 200},
     ),
@@ -161,13 +212,13 @@ def judge_prompt(
 ) -> DataFrame:
     """A judge prompt; ``columns`` maps template fields to column names."""
     default, caps = JUDGE_TEMPLATES[kind]
-    parts, rest = [], template or default
-    while "{" in rest:
-        before, rest = rest.split("{", 1)
-        name, rest = rest.split("}", 1)
-        value = F.coalesce(F.col(columns.get(name, name)).cast("string"), F.lit(""))
-        parts += [F.lit(before), F.left(value, F.lit(caps[name])) if name in caps else value]
-    return df.withColumn(out, F.concat(*parts, F.lit(rest)))
+    parts = []
+    for before, name, _, _ in Formatter().parse(template or default):
+        parts.append(F.lit(before))
+        if name is not None:
+            value = F.coalesce(F.col(columns.get(name, name)).cast("string"), F.lit(""))
+            parts.append(F.left(value, F.lit(caps[name])) if name in caps else value)
+    return df.withColumn(out, F.concat(*parts))
 
 
 def passage_display(df: DataFrame, task: str = "task_type", caps: tuple[int, int, int] = (500, 300, 700), out: str = "context_display") -> DataFrame:

@@ -133,7 +133,10 @@ def sweep_verdicts(
     """Strict scoring at many thresholds: each row's ratio is computed once.
 
     Returns the frame with ``decided``/``ratio`` and one 0/1 column per threshold.
+    ``ratio`` is exact between the lowest and the highest threshold; rows whose
+    bounds lie on one side of all of them need no kernel.
     """
+    thresholds = thresholds or fv.SWEEP_THRESHOLDS
     df = _prepared(df, ref, pred, raw=False)
     r, p = F.col("_r"), F.col("_p")
     df = df.withColumn(
@@ -142,11 +145,11 @@ def sweep_verdicts(
         .when(F.col(task) == fv.CONTRADICTION, (t.yn_label(r) == t.yn_label(p)).cast("int"))
         .when(F.col("_same_numbers"), F.lit(1)),
     )
-    df = with_token_set_ratio(df, "_r", "_p", "ratio", F.col("decided").isNull())
+    df = with_token_set_ratio(df, "_r", "_p", "ratio", F.col("decided").isNull(), (min(thresholds), max(thresholds)))
     df = t.sealed(df, decided=F.col("decided"), ratio=F.col("ratio")).drop("_r", "_p", "_same_numbers")
     verdicts = {
         th: F.coalesce(F.col("decided"), F.when(F.col("ratio") / 100.0 >= th, 1).otherwise(0))
-        for th in (thresholds or fv.SWEEP_THRESHOLDS)
+        for th in thresholds
     }
     return df, verdicts
 

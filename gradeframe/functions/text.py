@@ -6,7 +6,6 @@ that accented letters and non-breaking spaces behave as in any Unicode text.
 
 from __future__ import annotations
 
-from calendar import month_name
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -138,28 +137,12 @@ def token_f1(gold: Column | str, pred: Column | str) -> Column:
     return F.when((total == 0) | (overlap == 0), F.lit(0.0)).otherwise(2.0 * overlap / total)
 
 
-# Rewrites that bring two spellings of one answer together, in this order.
-_CANONICAL_REWRITES = [
-    (r"[₹]|rs\.?\s*", ""),
-    (r"crore\s+rupees?", "crore"),
-    (r"(\d),(\d{3})", "$1$2"),
-    (r"(\d+\.\d*?)0+\b", "$1"),
-    (r"(\d+)\.$", "$1"),
-    *[
-        (rf"\b(?:{name.lower()}|{name[:3].lower()})\b", f"{number:02d}")
-        for number, name in enumerate(month_name)
-        if name
-    ],
-    (r"\b(by|on|from|before|after)\b\s+", ""),
-]
-
-
 def canonical_answer(c: Column | str) -> Column:
     """The core of an answer, spelled one way."""
     head = F.regexp_extract(lower_strip(c), r"^[^(\[]*", 0)
     head = replace(head, r"\b(calculation|reason|note|i\.e\.|i\.e|viz\.?).*", "")
     head = F.rtrim(strip(head), F.lit(".,;"))
-    return strip(reduce(lambda text, rule: replace(text, *rule), _CANONICAL_REWRITES, head))
+    return strip(reduce(lambda text, rule: replace(text, *rule), fv.CANONICAL_REWRITES, head))
 
 
 def answers_match(canonical_a: Column | str, canonical_b: Column | str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gradeframe import fixed_values as fv
 from gradeframe.functions import bands, stats
+from gradeframe.operators.ranks import spread_join
 
 TOTAL = "OVERALL"
 
@@ -28,9 +29,9 @@ def drop_failed(df: DataFrame, prediction: str = "prediction", any_case: bool =
 
 
 def discover_runs(df: DataFrame, min_rows: int = 100, model: str = "model") -> DataFrame:
-    """IO3: rows of runs with at least ``min_rows`` rows."""
-    large = df.groupBy(model).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
-    return df.join(large.select(model), model, "left_semi")
+    """IO3: rows of runs with at least ``min_rows`` rows; a NULL run is none."""
+    large = df.where(F.col(model).isNotNull()).groupBy(model).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
+    return spread_join(df, large.select(model), [model])
 
 
 def cells(df: DataFrame, keys: list[str], correct: str = "correct") -> DataFrame:

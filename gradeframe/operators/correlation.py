@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe.functions import bands, stats
-from gradeframe.operators.ranks import rank_average, value_ranks
+from gradeframe.operators.ranks import null_safe_join, rank_average, value_ranks
 
 
 def pearson(df: DataFrame, x: str, y: str, by: list[str] | None = None, p_value: bool = True) -> DataFrame:
@@ -27,17 +27,13 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None, p_value
     """Spearman correlation per group.
 
     Rows collapse to the joint histogram of (x, y); ranks of distinct values are
-    joined to it and centred, so no group is ever ranked in one task.
+    joined to it and centred, so no group is ever ranked in one task. A NULL group is a group.
     """
     by = by or []
     joint = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_w"))
-    rx = value_ranks(joint, by, x, "_w").select(*by, x, F.col("avg_rank").alias("_rx"))
+    rx = value_ranks(joint, by, x, "_w").select(*by, x, F.col("avg_rank").alias("_rx"), F.col("n_total").alias("n"))
     ry = value_ranks(joint, by, y, "_w").select(*by, y, F.col("avg_rank").alias("_ry"))
-    ranked = joint.join(rx, [*by, x]).join(ry, [*by, y])
-    if by:
-        ranked = ranked.join(joint.groupBy(*by).agg(F.sum("_w").alias("n")), by)
-    else:
-        ranked = ranked.withColumn("n", joint.select(F.sum("_w")).scalar())
+    ranked = null_safe_join(null_safe_join(joint, rx, [*by, x]), ry, [*by, y])
     middle = (F.col("n") + 1) / 2.0
     out = ranked.groupBy(*by, "n").agg(
         _weighted_corr(F.col("_rx") - middle, F.col("_ry") - middle, F.col("_w").cast("double")).alias("rho")

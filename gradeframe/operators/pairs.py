@@ -1,12 +1,14 @@
 """Systems compared item by item.
 
-Comparing M systems on N items has M*M/2 pairs for every item. Items with the
-same outcome of every system are interchangeable, so items collapse to distinct
-outcome patterns first, and pairs are only ever formed on patterns.
+Comparing M systems on N items has M*M/2 pairs for every item. Outcomes of a
+system become bitmaps over numbered items, and pairs are only ever formed on
+bitmaps: 64 items at once, by blocks of systems.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,11 +17,18 @@ from pyspark.sql import types as T
 
 from gradeframe.functions.bands import lookup
 from gradeframe.operators.accuracy import ratio
-from gradeframe.operators.ranks import HASH_BOUNDS, null_safe_join, numbered
+from gradeframe.operators.ranks import HASH_BOUNDS, numbered
+from gradeframe.session import ensure_checkpoint_dir
 
 REPLICATES = 10_000
 SEED = 42
 ALPHA = 0.05
+#: Systems in a block, and words of 64 items that two blocks compare at once.
+SYSTEMS, WORDS = 256, 4096
+#: Ranges of hashes within which items are numbered.
+ITEM_BUCKETS = 1024
+#: Parts that each side of a grid of systems is dealt to.
+PARTS = 8
 
 
 def aligned_pairs(df: DataFrame, a: str, b: str, item: str = "item_id", model: str = "model", correct: str = "correct", keep: list[str] | None = None) -> DataFrame:
@@ -38,47 +47,82 @@ def correctness_matrix(df: DataFrame, models: list[str], item: str = "item_id",
     return df.groupBy(item).pivot(model, models).agg(F.max(correct))
 
 
-def outcome_patterns(df: DataFrame, by: list[str] | None = None, item: str = "item_id", model: str = "model", correct: str = "correct") -> DataFrame:
-    """Distinct outcomes of all systems on an item, with the number of items.
+def outcome_bitmaps(df: DataFrame, by: list[str] | None = None, item: str = "item_id", model: str = "model", correct: str = "correct") -> DataFrame:
+    """(by, model, word, answered, right): for each system and up to 64 items, which it answered and got right.
 
-    ``collect_set`` merges repeated rows before the shuffle, so an item with
-    very many copies of a row costs no more than one; if copies disagree the
-    better outcome counts.
+    Items are numbered within ITEM_BUCKETS ranges of their hash, alike for all
+    systems. Repeated rows of an item merge before the shuffle; if copies
+    disagree the better outcome counts. Runs at once and is checkpointed: pairs
+    read the bitmaps from several sides.
     """
     by = by or []
-    sets = F.sort_array(F.collect_set(F.struct(F.col(model).alias("m"), F.col(correct).cast("int").alias("c"))))
-    items = df.where(F.col(correct).isNotNull()).groupBy(item, *by).agg(sets.alias("_all"))
-    best = F.filter("_all", lambda x, i: F.coalesce(F.try_element_at("_all", i + 2)["m"] != x["m"], F.lit(True)))
-    return items.groupBy(*by, best.alias("pattern")).agg(F.count(F.lit(1)).alias("n_items"))
-
-
-def _pairs_of(pattern: Column) -> Column:
-    return F.flatten(F.transform(pattern, lambda x, i: F.transform(
-        F.slice(pattern, i + 2, F.size(pattern)),
-        lambda y: F.struct(x["m"].alias("a"), y["m"].alias("b"), x["c"].alias("ca"), y["c"].alias("cb")),
-    )))
-
-
-def pair_counts(patterns: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """For every unordered pair of systems, how often both, one or none was right."""
+    told = df.where(F.col(correct).isNotNull() & F.col(model).isNotNull())
+    found = told.groupBy(*by, item, model).agg(F.max(F.col(correct).cast("int")).alias("_c"))
+    bucket = F.pmod(F.xxhash64(*by, item), F.lit(ITEM_BUCKETS))
+    place = F.dense_rank().over(Window.partitionBy("_bucket").orderBy(*by, item)) - 1
+    placed = found.withColumn("_bucket", bucket).withColumn("_i", place)
+    bit = F.expr("shiftleft(1L, _i % 64)")
+    ensure_checkpoint_dir(df.sparkSession)
+    return placed.groupBy(*by, model, (F.shiftleft("_bucket", 32) + F.floor(F.col("_i") / 64)).alias("word")).agg(
+        F.bit_or(bit).alias("answered"), F.bit_or(F.when(F.col("_c") == 1, bit).otherwise(F.lit(0).cast("long"))).alias("right")
+    ).checkpoint()
+
+
+def _block_counts(by: list[str], model: str, schema: T.StructType):
+    def dense(side: pd.DataFrame, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        names, rows = np.unique(side[model].to_numpy(dtype=object), return_inverse=True)
+        out = np.zeros((2, len(names), len(words)), np.uint64)
+        at = np.searchsorted(words, side["word"].to_numpy())
+        for k, name in enumerate(("answered", "right")):
+            out[k, rows, at] = side[name].to_numpy(np.int64).view(np.uint64)
+        return names, out[0], out[1]
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        words = np.intersect1d(left["word"], right["word"])
+        left, right = (x[np.isin(x["word"], words)] for x in (left, right))
+        a_names, a_told, a_right = dense(left, words)
+        b_names, b_told, b_right = dense(right, words)
+        found: list[list[np.ndarray]] = []
+        for i, name in enumerate(a_names):
+            # Within one block every pair is met from both sides; between blocks once.
+            use = np.array([name < x for x in b_names], bool) if key[-2] == key[-1] else np.ones(len(b_names), bool)
+            told, hit = b_told[use], b_right[use]
+            n, both, only_a, only_b = [np.bitwise_count(m).sum(1, dtype=np.int64) for m in (a_told[i] & told, a_right[i] & hit, a_right[i] & told & ~hit, a_told[i] & ~a_right[i] & hit)]
+            other, one = b_names[use], np.full(int(use.sum()), name, object)
+            swap, met = np.array([x < name for x in other], bool), n > 0
+            found.append([x[met] for x in (np.where(swap, other, one), np.where(swap, one, other), n, both, np.where(swap, only_b, only_a), np.where(swap, only_a, only_b))])
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, object)] * 2 + [np.zeros(0, np.int64)] * 4
+        out = pd.DataFrame({n: pd.Series(c, dtype=c.dtype) for n, c in zip(("model_a", "model_b", "n", "both", "only_a", "only_b"), columns)})
+        return out.assign(**dict(zip(by, key[: len(by)])))[schema.names]
+
+    return run
+
+
+def pair_counts(bitmaps: DataFrame, by: list[str] | None = None, model: str = "model", systems: int = SYSTEMS, words: int = WORDS) -> DataFrame:
+    """For every unordered pair of systems that share items, how often both, one or none was right.
+
+    Blocks of ``systems`` systems meet block by block over ``words`` words of 64
+    items; a pair's counts are the bits that two bitmaps share. No row or task
+    holds all systems. Runs at once to count systems and words.
+    """
     by = by or []
-    pairs = patterns.select(*by, "n_items", F.explode(_pairs_of(F.col("pattern"))).alias("p"))
-
-    def when(condition: Column, name: str) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("n_items"))), F.lit(0)).alias(name)
-
-    ca, cb = F.col("p.ca"), F.col("p.cb")
-    return pairs.groupBy(*by, F.col("p.a").alias("model_a"), F.col("p.b").alias("model_b")).agg(
-        F.sum("n_items").alias("n"),
-        when((ca == 1) & (cb == 1), "both"),
-        when((ca == 1) & (cb == 0), "only_a"),
-        when((ca == 0) & (cb == 1), "only_b"),
-    )
-
-
-def all_pairs(df: DataFrame, by: list[str] | None = None, **names: str) -> DataFrame:
+    size = bitmaps.agg(F.count_distinct(model).alias("m"), F.approx_count_distinct("word").alias("w")).first()
+    n_blocks, n_chunks = max(1, -(-size["m"] // systems)), max(1, -(-size["w"] // words))
+    block, chunk = F.pmod(F.xxhash64(model), F.lit(n_blocks)), F.pmod(F.xxhash64("word"), F.lit(n_chunks)).alias("_chunk")
+    rows = bitmaps.select(*by, model, "word", "answered", "right", block.alias("_b"), chunk)
+    kept = (*by, "_chunk", model, "word", "answered", "right")
+    left = rows.select(*[F.col(c).alias(c) for c in kept], F.col("_b").alias("_i"), F.explode(F.sequence(F.col("_b"), F.lit(n_blocks - 1).cast("long"))).alias("_j"))
+    right = rows.select(*[F.col(c).alias(c) for c in kept], F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b"))).alias("_i"), F.col("_b").alias("_j"))
+    names = T.StructType([T.StructField(n, bitmaps.schema[model].dataType) for n in ("model_a", "model_b")])
+    schema = T.StructType([*[bitmaps.schema[c] for c in by], *names.fields, *[T.StructField(n, T.LongType()) for n in ("n", "both", "only_a", "only_b")]])
+    keys = [*by, "_chunk", "_i", "_j"]
+    counts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_block_counts(by, model, schema), schema)
+    return counts.groupBy(*by, "model_a", "model_b").agg(*[F.sum(n).alias(n) for n in ("n", "both", "only_a", "only_b")])
+
+
+def all_pairs(df: DataFrame, by: list[str] | None = None, item: str = "item_id", model: str = "model", correct: str = "correct") -> DataFrame:
     """Counts, accuracies and difference for every pair of systems on shared items."""
-    counts = pair_counts(outcome_patterns(df, by, **names), by)
+    counts = pair_counts(outcome_bitmaps(df, by, item, model, correct), by, model)
     return counts.withColumns({
         "acc_a": ratio(F.col("both") + F.col("only_a"), "n"),
         "acc_b": ratio(F.col("both") + F.col("only_b"), "n"),
@@ -90,36 +134,26 @@ def error_jaccard(df: DataFrame, item: str = "item_id", model: str = "model", co
     """Overlap of errors for all ordered pairs; a missing answer is an error, diagonal 1.
 
     Needs no dense grid: errors of a pair follow from how often a, b and both
-    were right and from the number of items.
+    were right and from the number of items. The result has a row for every
+    ordered pair, also of systems that share no item.
     """
-    patterns = outcome_patterns(df, None, item, model, correct)
-    total = patterns.select(F.sum("n_items")).scalar()
-    right = patterns.select("n_items", F.explode("pattern").alias("x")).groupBy(F.col("x.m").alias("m")).agg(
-        F.coalesce(F.sum(F.when(F.col("x.c") == 1, F.col("n_items"))), F.lit(0)).alias("k")
-    )
-    # One row per pair of systems, also of those that share no item: the result has these rows anyway.
-    board = right.agg(F.sort_array(F.collect_list(F.struct("m", F.col("k").alias("c")))).alias("s"))
-    grid = board.select(F.explode(_pairs_of(F.col("s"))).alias("p")).select(
-        F.col("p.a").alias("model_a"), F.col("p.b").alias("model_b"), F.col("p.ca").alias("_ka"), F.col("p.cb").alias("_kb")
-    )
-    both = pair_counts(patterns).select("model_a", "model_b", "both")
-    grid = grid.join(both, ["model_a", "model_b"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
-    grid = grid.withColumns({
-        "n_both_wrong": total - F.col("_ka") - F.col("_kb") + F.col("both"),
-        "n_either_wrong": total - F.col("both"),
-    })
-    value = F.when(F.col("n_either_wrong") > 0, F.col("n_both_wrong") / F.col("n_either_wrong")).otherwise(0.0)
-    upper = grid.select("model_a", "model_b", "n_both_wrong", "n_either_wrong", value.alias("jaccard"))
-    mirrored = upper.select(F.explode(F.array(
-        F.struct("model_a", "model_b", "n_both_wrong", "n_either_wrong", "jaccard"),
-        F.struct(F.col("model_b").alias("model_a"), F.col("model_a").alias("model_b"), "n_both_wrong", "n_either_wrong", "jaccard"),
-    )).alias("r")).select("r.*")
-    wrong = (total - F.col("k")).alias("n_both_wrong")
-    diagonal = right.select(
-        F.col("m").alias("model_a"), F.col("m").alias("model_b"), wrong,
-        (total - F.col("k")).alias("n_either_wrong"), F.lit(1.0).alias("jaccard"),
-    )
-    return mirrored.unionByName(diagonal)
+    bitmaps = outcome_bitmaps(df, None, item, model, correct)
+    total = bitmaps.groupBy("word").agg(F.bit_or("answered").alias("any")).select(F.sum(F.bit_count("any"))).scalar()
+    right = bitmaps.groupBy(F.col(model).alias("m")).agg(F.sum(F.bit_count("right")).alias("k"))
+    # Systems meet in PARTS x PARTS parts, so that no task holds one side.
+    part = F.pmod(F.xxhash64("m"), F.lit(PARTS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    a = right.select(F.col("m").alias("model_a"), F.col("k").alias("_ka"), part.alias("_p"), every.alias("_q"))
+    b = right.select(F.col("m").alias("model_b"), F.col("k").alias("_kb"), every.alias("_p"), part.alias("_q"))
+    grid = a.join(b, ["_p", "_q"]).drop("_p", "_q")
+    counted = pair_counts(bitmaps, None, model).select("model_a", "model_b", "both")
+    both = counted.unionByName(counted.select(F.col("model_b").alias("model_a"), F.col("model_a").alias("model_b"), "both"))
+    grid = grid.join(both, ["model_a", "model_b"], "left")
+    same = F.col("model_a") == F.col("model_b")
+    grid = grid.withColumn("both", F.when(same, F.col("_ka")).otherwise(F.coalesce("both", F.lit(0))))
+    grid = grid.withColumns({"n_both_wrong": total - F.col("_ka") - F.col("_kb") + F.col("both"), "n_either_wrong": total - F.col("both")})
+    value = F.when(same, 1.0).when(F.col("n_either_wrong") > 0, F.col("n_both_wrong") / F.col("n_either_wrong")).otherwise(0.0)
+    return grid.select("model_a", "model_b", "n_both_wrong", "n_either_wrong", value.alias("jaccard"))
 
 
 def bootstrap_p(n: int, gains: int, losses: int, replicates: int, rng: np.random.Generator) -> float:
@@ -136,6 +170,35 @@ def bootstrap_p(n: int, gains: int, losses: int, replicates: int, rng: np.random
     return float(np.mean(np.abs(shift) >= abs(observed)))
 
 
+def exact_bootstrap_p(n: int, gains: int, losses: int) -> float:
+    """What ``bootstrap_p`` tends to with ever more replicates: a tail of the difference of two multinomial counts.
+
+    The difference of a replicate is a sum of n draws from {-1, 0, 1}. Its
+    distribution comes from the draws' characteristic function by one Fourier
+    transform over twelve deviations to each side; what lies beyond is below
+    1e-30. The length grows with the root of n.
+    """
+    observed = gains - losses
+    if n == 0 or observed == 0:
+        return 1.0
+    mean = observed / n
+    deviation = math.sqrt(n * ((gains + losses) / n - mean * mean))
+    if deviation == 0 or abs(observed) > 12 * deviation + 1:
+        return 0.0
+    size = 1 << max(6, math.ceil(math.log2(24 * deviation + 8)))
+    angle = 2 * math.pi * np.arange(size) / size
+    # Turned back by the mean, so that powers keep small angles.
+    draw = gains / n * np.exp(1j * angle * (1 - mean)) + losses / n * np.exp(-1j * angle * (1 + mean)) + (n - gains - losses) / n * np.exp(-1j * angle * mean)
+    shift = np.fft.fft(np.abs(draw) ** n * np.exp(1j * n * np.angle(draw))).real / size
+    near = np.arange(-abs(observed) + 1, abs(observed))
+    return float(min(max(1 - shift[near % size].sum(), 0.0), 1.0)) if len(near) < size else 0.0
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_p(n: pd.Series, gains: pd.Series, losses: pd.Series) -> pd.Series:
+    return pd.Series([exact_bootstrap_p(int(a), int(b), int(c)) for a, b, c in zip(n, gains, losses)], dtype="float64")
+
+
 def _p_values(replicates: int, seed: int):
     @F.pandas_udf(T.DoubleType())
     def p_values(key: pd.Series, n: pd.Series, gains: pd.Series, losses: pd.Series) -> pd.Series:
@@ -147,28 +210,29 @@ def _p_values(replicates: int, seed: int):
     return p_values
 
 
-def with_bootstrap_p(pairs: DataFrame, key: list[str], replicates: int = REPLICATES, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
-    """P-value of each counted pair; each key has its own reproducible stream."""
-    p = _p_values(replicates, seed)(F.xxhash64(*key), F.col("n"), F.col("only_a"), F.col("only_b"))
+def with_bootstrap_p(pairs: DataFrame, key: list[str], replicates: int | None = None, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
+    """P-value of each counted pair, exact, or of ``replicates`` draws; then each key has its own reproducible stream."""
+    counts = [F.col("n"), F.col("only_a"), F.col("only_b")]
+    p = _exact_p(*counts) if replicates is None else _p_values(replicates, seed)(F.xxhash64(*key), *counts)
     return pairs.withColumn("p_value", p).withColumn("significant", F.col("p_value") < alpha)
 
 
-def paired_bootstrap(df: DataFrame, by: list[str] | None = None, replicates: int = REPLICATES, seed: int = SEED, **names: str) -> DataFrame:
-    """All pairs with accuracies, difference and bootstrap p-value."""
+def paired_bootstrap(df: DataFrame, by: list[str] | None = None, replicates: int | None = None, seed: int = SEED, **names: str) -> DataFrame:
+    """All pairs with accuracies, difference and bootstrap p-value: the limit of ever more replicates, or that of so many."""
     by = by or []
     return with_bootstrap_p(all_pairs(df, by, **names), [*by, "model_a", "model_b"], replicates, seed)
 
 
-def _along(df: DataFrame, by: list[str], item: str) -> DataFrame:
-    """Row number ``_pos`` within ``by`` along numeric ids, or along the hash of other ids."""
+def _along(df: DataFrame, by: list[str], item: str, carry: DataFrame | None = None) -> DataFrame:
+    """Row number ``_pos`` within ``by`` along numeric ids, or along the hash of other ids; ``carry`` adds columns of the group."""
     if isinstance(df.schema[item].dataType, T.NumericType):
-        return numbered(df, by, item, out="_pos")
+        return numbered(df, by, item, out="_pos", carry=carry)
     hashed = df.withColumn("_hash", F.xxhash64(item))
-    return numbered(hashed, by, "_hash", [item], "_pos", bounds=HASH_BOUNDS).drop("_hash")
+    return numbered(hashed, by, "_hash", [item], "_pos", bounds=HASH_BOUNDS, carry=carry).drop("_hash")
 
 
 def paired_bootstrap_indexed(
-    df: DataFrame, a: str, b: str, index: str = "item_id", replicates: int = 20,
+    df: DataFrame, a: str, b: str, index: str = "item_id", replicates: int = REPLICATES,
     model: str = "model", correct: str = "correct",
 ) -> DataFrame:
     """D3: explicit replicates whose draws come from arithmetic, for exact checks.
@@ -188,8 +252,8 @@ def paired_bootstrap_indexed(
     x = (j * 48271 + (r + 1) * 16807) % prime
     y = (x * x + r) % prime
     target = ((y * y + j) % prime) % size
-    drawn = draws.groupBy("replicate", target.alias("_i")).agg(F.count(F.lit(1)).alias("_w")).join(shared, "_i")
-    means = drawn.groupBy("replicate").agg((F.sum(F.col("_w") * F.col("_d")) / F.sum("_w")).alias("mean_delta"))
+    drawn = draws.select("replicate", target.alias("_i")).join(shared, "_i")
+    means = drawn.groupBy("replicate").agg(F.avg("_d").alias("mean_delta"))
     means = means.withColumn("observed", observed)
     extreme = F.abs(F.round(F.col("mean_delta") - F.col("observed"), 9)) >= F.round(F.abs("observed"), 9)
     return means.withColumn("extreme", F.when(extreme, 1).otherwise(0))
@@ -197,7 +261,7 @@ def paired_bootstrap_indexed(
 
 def two_sample_bootstrap(
     df: DataFrame, groups: dict[str, str], a: str, b: str, item: str = "item_id", by: str = "task",
-    replicates: int = REPLICATES, seed: int = SEED, model: str = "model", correct: str = "correct",
+    replicates: int | None = None, seed: int = SEED, model: str = "model", correct: str = "correct",
 ) -> DataFrame:
     """D4 (legacy): pooled rows of two groups, cut to the shorter one, shared draws.
 
@@ -207,11 +271,10 @@ def two_sample_bootstrap(
     """
     rows = df.withColumn("_side", lookup(model, groups)).where(F.col("_side").isin(a, b))
     # Position = rows of earlier systems in the group + position inside the system.
-    inside = _along(rows, ["_side", by, model], item)
     sizes = rows.groupBy("_side", by, model).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("_side", by).orderBy(model).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_skip", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    placed = null_safe_join(inside, sizes, ["_side", by, model]).withColumn("_pos", F.col("_pos") + F.col("_skip"))
+    placed = _along(rows, ["_side", by, model], item, sizes).withColumn("_pos", F.col("_pos") + F.col("_skip"))
 
     def of(name: str) -> Column:
         return F.max(F.when(F.col("_side") == name, F.col(correct)))

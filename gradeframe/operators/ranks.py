@@ -10,15 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+BUCKETS = 1024
+#: Entries of the quantile sketch for each bucket: a bucket holds its share of the values within a tenth.
+SKETCH = 10
 # Range of a 64-bit hash.
 HASH_BOUNDS = (-(2**63), 2**63 - 1)
 
 
-def _bucket_of(value: Column, low: Column, high: Column, buckets: int) -> Column:
-    width = F.nullif(high.cast("double") - low.cast("double"), F.lit(0.0))
-    place = F.coalesce(F.floor((value.cast("double") - low) / width * (buckets - 1)), F.lit(0))
-    return F.when(value.isNull(), buckets).otherwise(place).cast("int")
+def _of_bounds(value: Column, low: float, high: float, buckets: int) -> Column:
+    """Buckets of equal width, for values that are spread evenly."""
+    width = float(high) - float(low)
+    return F.coalesce(F.floor((value.cast("double") - low) / width * (buckets - 1)), F.lit(0))
+
+
+def _of_splitters(value: Column, splitters: Column, buckets: int) -> Column:
+    """How many of the sorted ``splitters`` are not above the value, by binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(buckets.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(splitters, at + step - 1) <= value.cast("double"), step).otherwise(0))
 
 
 def null_safe_join(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -28,33 +36,50 @@ def null_safe_join(df: DataFrame, other: DataFrame, keys: list[str], how: str =
     return df.join(renamed, same, how).drop(*[f"_other_{k}" for k in keys])
 
 
+def spread_join(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salts: int = 64) -> DataFrame:
+    """Join on keys of few values; if it is shuffled, rows of a key go to ``salts`` tasks, where ``small`` is repeated."""
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int")
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return null_safe_join(df.withColumn("_salt", salt), repeated, [*keys, "_salt"], how).drop("_salt")
+
+
 def _bucketed(df: DataFrame, value: str, buckets: int, known: tuple[int, int] | None = None) -> DataFrame:
+    """Add ``_bucket``: ranges with equal shares of the values, between quantiles of a sketch, or within ``known`` bounds of even values. NULL is last."""
     if known is not None:
-        return df.withColumn("_bucket", _bucket_of(F.col(value), F.lit(known[0]), F.lit(known[1]), buckets))
-    bounds = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("b")).scalar()
-    df = df.withColumn("_bounds", bounds)
-    return df.withColumn(
-        "_bucket", _bucket_of(F.col(value), F.col("_bounds.lo"), F.col("_bounds.hi"), buckets)
-    ).drop("_bounds")
+        place = _of_bounds(F.col(value), *known, buckets)
+    else:
+        # One parsed expression: an array of a thousand columns would take longer to build than to use.
+        shares = F.expr(f"array({','.join(f'{i / buckets!r}D' for i in range(1, buckets))})")
+        splitters = df.agg(F.percentile_approx(F.col(value).cast("double"), shares, SKETCH * buckets).alias("s")).scalar()
+        df = df.withColumn("_splitters", splitters)
+        place = _of_splitters(F.col(value), F.col("_splitters"), buckets)
+    return df.withColumn("_bucket", F.when(F.col(value).isNull(), buckets).otherwise(place).cast("int")).drop("_splitters")
 
 
 def _offsets(counted: DataFrame, by: list[str], count: Column) -> DataFrame:
-    """Rows before each bucket of a group; at most BUCKETS rows per group reach the window."""
+    """Rows before each bucket of a group, and in the group; at most BUCKETS rows per group reach the window."""
     per_bucket = counted.groupBy(*by, "_bucket").agg(count.alias("_size"))
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return per_bucket.select(*by, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return per_bucket.select(*by, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"), F.sum("_size").over(group).alias("_total"))
 
 
 def numbered(
     df: DataFrame, by: list[str], order: str, ties: list[str] | None = None, out: str = "rn", buckets: int = BUCKETS,
-    bounds: tuple[int, int] | None = None,
+    bounds: tuple[int, int] | None = None, total: str | None = None, carry: DataFrame | None = None,
 ) -> DataFrame:
     """Exact row number within ``by`` along the numeric column ``order``; NULL comes last, a NULL group is a group.
 
-    ``bounds`` of the column, where known, spare a pass over the rows.
+    ``bounds`` of a column of even values, where known, spare a pass over the rows.
+    ``total`` names a column for the size of the group, and ``carry`` is a table
+    with one row per group whose columns are added; both come with the offsets,
+    so rows are not joined by group.
     """
     df = _bucketed(df, order, buckets, bounds)
     offsets = _offsets(df, by, F.count(F.lit(1)))
+    offsets = offsets.withColumnRenamed("_total", total) if total else offsets.drop("_total")
+    if carry is not None:
+        offsets = null_safe_join(offsets, carry, by)
     inside = Window.partitionBy(*by, "_bucket").orderBy(F.col(order).asc_nulls_last(), *(ties or []))
     return (
         null_safe_join(df, offsets, [*by, "_bucket"])
@@ -66,7 +91,7 @@ def numbered(
 def value_ranks(
     df: DataFrame, by: list[str], value: str, weight: str | None = None, buckets: int = BUCKETS
 ) -> DataFrame:
-    """Per group and distinct value its count, rows before it, and average rank."""
+    """Per group and distinct value its count, rows before it, average rank, and the group's rows ``n_total``."""
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
     histogram = _bucketed(df.groupBy(*by, value).agg(size.alias("n_ties")), value, buckets)
     offsets = _offsets(histogram, by, F.sum("n_ties"))
@@ -75,6 +100,7 @@ def value_ranks(
         null_safe_join(histogram, offsets, [*by, "_bucket"])
         .withColumn("n_before", (F.col("_offset") + F.coalesce(F.sum("n_ties").over(before), F.lit(0))).cast("long"))
         .withColumn("avg_rank", F.col("n_before") + (F.col("n_ties") + 1) / 2.0)
+        .withColumnRenamed("_total", "n_total")
         .drop("_offset", "_bucket")
     )
 

@@ -10,11 +10,13 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe import fixed_values as fv
 from gradeframe.functions.text import strip
+from gradeframe.operators.ranks import HASH_BOUNDS, numbered
 
 
 def regression_cells(df: DataFrame, difficulty: str = "difficulty", task: str = "task", correct: str = "correct") -> DataFrame:
@@ -81,43 +83,69 @@ def logit_scores(df: DataFrame, fitted: DataFrame, difficulty: str = "difficulty
     return each.groupBy("term").agg(F.sum("r").alias("score"))
 
 
+def _hard_items(items: DataFrame, features: list[str], ensemble: str, key: str) -> tuple[DataFrame, int, int]:
+    """(key, label, features scaled by the population deviation), the number of items and of hard ones."""
+    data = items.select(
+        key, (F.col(ensemble) < 0.5).cast("double").alias("label"),
+        *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features],
+    )
+    moments = data.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).cast("long").alias("hard"),
+        *[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features],
+    ).first()
+    scaled = data.select(key, "label", *[((F.col(f) - F.lit(moments[f"m_{f}"])) / F.lit(moments[f"s_{f}"] or 1.0)).alias(f) for f in features])
+    return scaled, moments["n"], moments["hard"]
+
+
+def stratified_folds(data: DataFrame, folds: int, key: str, label: str = "label") -> DataFrame:
+    """Add ``fold``: row numbers within the class, along a hash of the key, dealt in turn."""
+    hashed = data.withColumn("_hash", F.xxhash64(key))
+    placed = numbered(hashed, [label], "_hash", [key], "_rn", bounds=HASH_BOUNDS)
+    return placed.withColumn("fold", F.pmod(F.col("_rn") - 1, F.lit(folds)).cast("int")).drop("_hash", "_rn")
+
+
 def hard_item_model(items: DataFrame, features: list[str], ensemble: str = "ensemble_accuracy", folds: int = 5, fold_key: str = "item_id", c: float = 1.0) -> DataFrame:
     """L2 logistic model of hard items on scaled features.
 
     Runs at once (cross-validation and fit are distributed MLlib jobs). Features
     are scaled with the population deviation; the penalty 1/(c*n) on the mean
-    loss equals penalty 1/c on the summed loss. Returns coefficients by absolute
-    size with the mean and deviation of the AUC over folds.
+    loss equals penalty 1/c on the summed loss. Folds hold both classes in
+    proportion; there are at most as many as the smaller class has items, and
+    ``folds`` says how many were used. Returns coefficients by absolute size,
+    the intercept, and mean and deviation of the AUC over folds, NULL if there
+    are fewer than two items of a class.
     """
-    data = items.select(
-        fold_key, (F.col(ensemble) < 0.5).cast("double").alias("label"),
-        *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features],
-    )
-    moments = data.agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]
-    ).first()
-    scaled = data.select(fold_key, "label", *[
-        ((F.col(f) - F.lit(moments[f"m_{f}"])) / F.lit(moments[f"s_{f}"] or 1.0)).alias(f) for f in features
-    ])
-    data = VectorAssembler(inputCols=features, outputCol="features").transform(scaled)
-    data = data.select("label", "features", F.pmod(F.xxhash64(fold_key), F.lit(folds)).alias("fold")).persist()
+    scaled, n, hard = _hard_items(items, features, ensemble, fold_key)
+    used = min(folds, hard, n - hard)
+    data = stratified_folds(scaled, max(used, 1), fold_key)
+    data = VectorAssembler(inputCols=features, outputCol="features").transform(data).select("label", "features", "fold").persist()
+
+    def model(rows: float) -> LogisticRegression:
+        return LogisticRegression(family="binomial", regParam=1.0 / (c * max(rows, 1)), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-12)
+
     try:
-        evaluator = BinaryClassificationEvaluator(metricName="areaUnderROC")
-
-        def fit(frame: DataFrame, n: int):
-            return LogisticRegression(family="binomial", regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-9).fit(frame)
-
-        sizes = {r["fold"]: (r["n"], r["hard"]) for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("hard")).collect()}
-        # A fold needs both classes inside it for a ROC curve, and outside it for a model.
-        all_hard = sum(hard for _, hard in sizes.values())
-        scores = [
-            evaluator.evaluate(fit(data.where(F.col("fold") != k), moments["n"] - n).transform(data.where(F.col("fold") == k)))
-            for k, (n, hard) in sorted(sizes.items()) if 0 < hard < n and 0 < all_hard - hard < moments["n"] - n
-        ]
-        coefficients = fit(data, moments["n"]).coefficients.toArray().tolist()
+        mean = deviation = None
+        if used > 1:
+            estimator = model(n * (used - 1) / used)
+            evaluator = BinaryClassificationEvaluator(metricName="areaUnderROC")
+            checked = CrossValidator(estimator=estimator, estimatorParamMaps=[{}], evaluator=evaluator, numFolds=used, foldCol="fold", parallelism=used).fit(data)
+            mean, deviation = float(checked.avgMetrics[0]), float(checked.stdMetrics[0])
+        fitted = model(n).fit(data)
+        coefficients, intercept = fitted.coefficients.toArray().tolist(), float(fitted.intercept)
     finally:
         data.unpersist()
-    mean = sum(scores) / len(scores) if scores else None
-    deviation = (sum((s - mean) ** 2 for s in scores) / len(scores)) ** 0.5 if scores else None
-    rows = sorted(((f, float(b), abs(float(b)), mean, deviation) for f, b in zip(features, coefficients)), key=lambda r: (-r[2], r[0]))
-    return items.sparkSession.createDataFrame(rows, "feature string, coefficient double, abs_coef double, auc_mean double, auc_std double")
+    rows = sorted(((f, float(b), abs(float(b)), intercept, mean, deviation, used) for f, b in zip(features, coefficients)), key=lambda r: (-r[2], r[0]))
+    return items.sparkSession.createDataFrame(rows, "feature string, coefficient double, abs_coef double, intercept double, auc_mean double, auc_std double, folds int")
+
+
+def hard_item_scores(items: DataFrame, fitted: DataFrame, ensemble: str = "ensemble_accuracy", fold_key: str = "item_id", c: float = 1.0) -> DataFrame:
+    """The score equations of a fitted model (term, score), all zero at the optimum of the penalised loss."""
+    found = {r["feature"]: r["coefficient"] for r in fitted.collect()}
+    features = sorted(found)
+    scaled, n, _ = _hard_items(items, features, ensemble, fold_key)
+    intercept = fitted.select("intercept").first()[0]
+    line = sum((F.lit(found[f]) * F.col(f) for f in features), F.lit(intercept))
+    residual = F.col("label") - 1 / (1 + F.exp(-line))
+    sums = scaled.agg(*[(F.sum(residual * F.col(f)) - F.lit(found[f] / c)).alias(f) for f in features], F.sum(residual).alias("Intercept"))
+    each = F.array(*[F.struct(F.lit(t).alias("term"), (F.col(t) / F.lit(float(max(n, 1)))).alias("score")) for t in [*features, "Intercept"]])
+    return sums.select(F.inline(each))

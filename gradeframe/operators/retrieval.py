@@ -1,10 +1,16 @@
-"""Exact nearest vectors and the context built from them."""
+"""Nearest vectors, exact or by hashing, and the context built from them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,66 +18,199 @@ from gradeframe.functions.text import col
 
 BLOCK_QUERIES = 2_000
 BLOCK_VECTORS = 20_000
+#: Queries whose scores with a batch of vectors are held at once.
+ROWS = 256
+#: Queries up to which they are sent to the vectors.
+FEW_QUERIES = 2_000
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+def _unit(m: np.ndarray) -> np.ndarray:
     norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return m / np.where(norms > 0, norms, 1.0)
 
 
-def top_k_similar(
-    queries: DataFrame, vectors: DataFrame, k: int = 3, query_id: str = "query_id", vector_id: str = "vec_id",
-    embedding: str = "embedding", exclude_self: bool = False,
-    block_queries: int = BLOCK_QUERIES, block_vectors: int = BLOCK_VECTORS,
-) -> DataFrame:
-    """The ``k`` vectors with the largest cosine for every query (query_id, vec_id, score, rank).
+class _Best:
+    """The ``k`` best vectors met so far by each query; equal scores go to the smaller id."""
 
-    Exact search compares every query with every vector, so both sides are cut
-    into blocks by a hash of their ids and each pair of blocks is one task: a
-    matrix product that keeps ``k`` rows per query. Task memory is bounded by
-    the block sizes; only block winners are shuffled to the final top k.
+    def __init__(self, queries: np.ndarray, own: np.ndarray | None, k: int):
+        self.queries, self.own, self.k = _unit(queries), own, k
+        self.scores, self.ids = np.zeros((len(queries), 0)), None
 
-    Two counts run at once to size the blocks.
-    """
+    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        if not len(ids) or not len(self.queries):
+            return
+        order = np.argsort(ids, kind="stable")
+        ids, vectors = ids[order], _unit(vectors[order])
+        keep = min(self.k, len(ids))
+        found_scores, found_at = np.full((len(self.queries), keep), -np.inf), np.zeros((len(self.queries), keep), np.int64)
+        for i in range(0, len(self.queries), ROWS):
+            scores = np.round(self.queries[i : i + ROWS] @ vectors.T, 9)
+            if self.own is not None:
+                scores[self.own[i : i + ROWS, None] == ids[None, :]] = -np.inf
+            rows = np.arange(len(scores))
+            for j in range(keep):
+                # The first of equal maxima is the smallest id.
+                at = scores.argmax(1)
+                found_scores[i : i + ROWS, j], found_at[i : i + ROWS, j] = scores[rows, at], at
+                scores[rows, at] = -np.inf
+        found = ids[found_at]
+        scores = np.concatenate([self.scores, found_scores], 1)
+        known = found if self.ids is None else np.concatenate([self.ids, found], 1)
+        order = np.lexsort((known, -scores), axis=1)[:, : self.k]
+        self.scores, self.ids = np.take_along_axis(scores, order, 1), np.take_along_axis(known, order, 1)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of the vectors kept, queries by place."""
+        if self.ids is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        query, at = np.nonzero(np.isfinite(self.scores))
+        return query, self.ids[query, at], self.scores[query, at]
+
+
+def _ids(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    found = values.to_numpy(zero_copy_only=False) if isinstance(values, pa.Array) else values.to_numpy()
+    return found.astype(str) if found.dtype == object else found
+
+
+def _usable(df: DataFrame, key: str, vector: str) -> Column:
+    holes = F.exists(vector, lambda x: x.isNull() | F.isnan(x))
+    return F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.coalesce(holes, F.lit(True))
+
+
+def _few(asked: list, vectors: DataFrame, k: int, schema: T.StructType, exclude_self: bool) -> DataFrame:
+    """A bounded block of queries goes to the vectors: no vector is moved, each task sends its winners."""
+    width = len(asked[0]["embedding"])
+    names = [r["query_id"] for r in asked]
+    own = _ids(pa.array(names)) if exclude_self else None
+    matrix = np.array([r["embedding"] for r in asked], float).reshape(len(asked), width)
+    shared = vectors.sparkSession.sparkContext.broadcast((names, own, matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, own, matrix = shared.value
+        best = _Best(matrix, own, k)
+        for batch in batches:
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column("embedding")), width))
+            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            best.meet(_ids(batch.column("vec_id")), flat.reshape(batch.num_rows, width).astype(float))
+        query, ids, scores = best.rows()
+        told = batch_schema.field("query_id").type, batch_schema.field("vec_id").type
+        if len(query):
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in query], told[0]), pa.array(ids.tolist(), told[1]), pa.array(scores)], schema=batch_schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    batch_schema = to_arrow_schema(schema)
+    return vectors.mapInArrow(run, schema)
+
+
+def _many(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType, exclude_self: bool, block_queries: int, block_vectors: int) -> DataFrame:
+    """Blocks of queries meet blocks of vectors; each pair of blocks is one task."""
     n_q = max(1, -(-queries.count() // block_queries))
     n_v = max(1, -(-vectors.count() // block_vectors))
     every_q, every_v = F.sequence(F.lit(0), F.lit(n_q - 1)), F.sequence(F.lit(0), F.lit(n_v - 1))
-    q = queries.select(
-        F.col(query_id).alias("query_id"), F.col(embedding).alias("embedding"),
-        F.pmod(F.xxhash64(query_id), F.lit(n_q)).cast("int").alias("_qb"), F.explode(every_v).alias("_vb"),
-    )
+    q = queries.select("*", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("_qb"), F.explode(every_v).alias("_vb"))
     v = vectors.select(
-        F.col(vector_id).alias("vec_id"), F.col(embedding).alias("embedding"),
-        F.explode(every_q).alias("_qb"), F.pmod(F.xxhash64(vector_id), F.lit(n_v)).cast("int").alias("_vb"),
+        F.col("vec_id").alias("vec_id"), F.col("embedding").alias("embedding"),
+        F.explode(every_q).alias("_qb"), F.pmod(F.xxhash64("vec_id"), F.lit(n_v)).cast("int").alias("_vb"),
     )
-    schema = T.StructType([
-        T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("vec_id", v.schema["vec_id"].dataType),
-        T.StructField("score", T.DoubleType()),
-    ])
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({name: [] for name in schema.names})
-        ids = right["vec_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        scores = np.round(_unit(left["embedding"]) @ _unit(right["embedding"])[order].T, 9)
-        own = left["query_id"].to_numpy()
-        if exclude_self:
-            scores[own[:, None] == ids[None, :]] = -np.inf
-        keep = min(k, scores.shape[1])
-        # A stable sort keeps ascending ids among equal scores.
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-        picked = np.take_along_axis(scores, top, axis=1)
-        out = pd.DataFrame({"query_id": np.repeat(own, keep), "vec_id": ids[top].ravel(), "score": picked.ravel()})
-        return out[np.isfinite(out["score"])]
-
-    found = q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb")).applyInPandas(best, schema)
+        out = [pd.DataFrame({name: [] for name in schema.names})]
+        for width in sorted(set(left["embedding"].map(len)) & set(right["embedding"].map(len))):
+            mine, theirs = (x[x["embedding"].map(len) == width] for x in (left, right))
+            own = mine["query_id"].to_numpy()
+            found = _Best(np.stack(mine["embedding"].to_list()).astype(float), own if exclude_self else None, k)
+            found.meet(theirs["vec_id"].to_numpy(), np.stack(theirs["embedding"].to_list()).astype(float))
+            query, ids, scores = found.rows()
+            out.append(pd.DataFrame({"query_id": own[query], "vec_id": ids, "score": scores}))
+        return pd.concat(out[1:] or out)
+
+    return q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb")).applyInPandas(best, schema)
+
+
+def _sides(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str, embedding: str) -> tuple[DataFrame, DataFrame, T.StructType]:
+    q = queries.where(_usable(queries, query_id, embedding)).select(F.col(query_id).alias("query_id"), F.col(embedding).alias("embedding"))
+    v = vectors.where(_usable(vectors, vector_id, embedding)).select(F.col(vector_id).alias("vec_id"), F.col(embedding).alias("embedding"))
+    score = T.StructField("score", T.DoubleType())
+    return q, v, T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("vec_id", v.schema["vec_id"].dataType), score])
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def top_k_similar(
+    queries: DataFrame, vectors: DataFrame, k: int = 3, query_id: str = "query_id", vector_id: str = "vec_id",
+    embedding: str = "embedding", exclude_self: bool = False,
+    block_queries: int = BLOCK_QUERIES, block_vectors: int = BLOCK_VECTORS, few_queries: int = FEW_QUERIES,
+) -> DataFrame:
+    """The ``k`` vectors with the largest cosine for every query (query_id, vec_id, score, rank).
+
+    Exact search compares every query with every vector. Up to ``few_queries``
+    queries are sent to all tasks, which keep the best of their vectors for each
+    query, so vectors stay where they are. More queries and the vectors are cut
+    into blocks by a hash of their ids and each pair of blocks is one task.
+    Either way only winners are shuffled to the final top k. For very many
+    queries ``top_k_approximate`` compares far fewer pairs.
+
+    Vectors that are NULL, hold NULL or NaN, or have another length than the
+    query take no part, nor do NULL ids. Runs at once to count the queries.
+    """
+    q, v, schema = _sides(queries, vectors, query_id, vector_id, embedding)
+    asked = q.limit(few_queries + 1).collect() if few_queries else []
+    lengths = {len(r["embedding"]) for r in asked}
+    if few_queries and len(asked) <= few_queries and len(lengths) <= 1:
+        found = _few(asked, v, k, schema, exclude_self) if asked else q.sparkSession.createDataFrame([], schema)
+    else:
+        found = _many(q, v, k, schema, exclude_self, block_queries, block_vectors)
+    return _ranked(found, k)
+
+
+def top_k_approximate(
+    queries: DataFrame, vectors: DataFrame, k: int = 3, query_id: str = "query_id", vector_id: str = "vec_id",
+    embedding: str = "embedding", exclude_self: bool = False, tables: int = 32, projections: int = 5, bucket: float = 0.5, seed: int = 42,
+) -> DataFrame:
+    """J10 for many queries: as ``top_k_similar``, but only vectors that share a bucket with the query are compared.
+
+    ``BucketedRandomProjectionLSH`` hashes unit vectors; ``projections`` of its
+    buckets together are the key of one of ``tables`` tables. Pairs that meet in
+    any table are scored exactly, so scores are right but a neighbour that meets
+    the query nowhere is missed: more tables or wider buckets find more and
+    compare more. ``recall`` measures what is found.
+    """
+    q, v, _ = _sides(queries, vectors, query_id, vector_id, embedding)
+
+    def with_unit(df: DataFrame) -> DataFrame:
+        norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+        return df.withColumn("_unit", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0)))).drop("embedding")
+
+    q, v = with_unit(q), with_unit(v)
+    model = BucketedRandomProjectionLSH(inputCol="_unit", outputCol="_hashes", bucketLength=bucket, numHashTables=tables * projections, seed=seed).fit(v)
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        # One bucket number per projection, as text.
+        numbers = F.regexp_extract_all(F.col("_hashes").cast("string"), F.lit("-?[0-9][0-9.E]*"), F.lit(0))
+        rows = model.transform(df).select(name, numbers.alias("_n"))
+        keys = F.array(*[F.xxhash64(F.lit(t), F.slice("_n", t * projections + 1, projections)) for t in range(tables)])
+        return rows.select(name, F.explode(keys).alias("_key"))
+
+    # Pairs meet by ids alone; each pair fetches its vectors once, however many tables it meets in.
+    pairs = keyed(q, "query_id").join(keyed(v, "vec_id"), "_key").select("query_id", "vec_id").distinct()
+    if exclude_self:
+        pairs = pairs.where(F.col("query_id") != F.col("vec_id"))
+    units = [df.select(name, vector_to_array("_unit").alias(f"_{name}")) for df, name in ((q, "query_id"), (v, "vec_id"))]
+    both = pairs.join(units[0], "query_id").join(units[1], "vec_id").where(F.size("_query_id") == F.size("_vec_id"))
+    product = F.aggregate(F.zip_with("_query_id", "_vec_id", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return _ranked(both.select("query_id", "vec_id", F.round(product, 9).alias("score")), k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """The share of exact neighbours among the found ones (recall, n): one row."""
+    hit = found.select("query_id", "vec_id", F.lit(1).alias("_hit")).distinct()
+    return exact.join(hit, ["query_id", "vec_id"], "left").agg((F.count("_hit") / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("recall"), F.count(F.lit(1)).alias("n"))
+
+
 def retrieved_context(
     hits: DataFrame, texts: DataFrame, key: str = "vec_id", text: str = "text", separator: str = "\n\n---\n\n", limit: int = 3000
 ) -> DataFrame:

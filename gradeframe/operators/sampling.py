@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gradeframe import fixed_values as fv
 from gradeframe.functions import bands
-from gradeframe.operators.ranks import HASH_BOUNDS, null_safe_join, numbered
+from gradeframe.operators.ranks import HASH_BOUNDS, numbered
 
 
 def sample_key(item: str, seed: int = 42) -> Column:
@@ -33,14 +33,20 @@ def item_filter(df: DataFrame, task: str = "All", difficulty: str = "All", task_
     return df
 
 
-def pick_one(df: DataFrame, item: str = "id", seed: int = 42) -> DataFrame:
-    """One reproducible pick."""
-    return df.orderBy(sample_key(item, seed), item).limit(1)
+def pick_one(df: DataFrame, item: str = "id", seed: int = 42, key: Column | None = None) -> DataFrame:
+    """One reproducible pick; ``key`` replaces the hash order."""
+    return df.orderBy(sample_key(item, seed) if key is None else key, item).limit(1)
 
 
-def shuffle(df: DataFrame, item: str = "id", seed: int = 42) -> DataFrame:
-    """O3: reproducible random order."""
-    return df.orderBy(sample_key(item, seed), item)
+def shuffle(df: DataFrame, item: str = "id", seed: int = 42, key: Column | None = None) -> DataFrame:
+    """O3: reproducible random order; ``key`` replaces the hash."""
+    return df.orderBy(sample_key(item, seed) if key is None else key, item)
+
+
+def shuffled_places(df: DataFrame, item: str = "id", seed: int = 42, key: Column | None = None, out: str = "place") -> DataFrame:
+    """O3: the place of every row in the random order, from 1, without sorting all rows in one task."""
+    rows = df.withColumn("_key", sample_key(item, seed) if key is None else key)
+    return numbered(rows, [], "_key", [item], out, bounds=HASH_BOUNDS if key is None else None).drop("_key")
 
 
 def stratified_sample(df: DataFrame, by: list[str], n: int, item: str = "item_id", seed: int = 42, key: Column | None = None) -> DataFrame:
@@ -54,9 +60,12 @@ def stratified_sample_topup(df: DataFrame, by: list[str], n: int = 25, total: in
     # What fills the sample lies among the next `total` rows of some stratum, so
     # one bounded pass finds both parts: n + total rows per stratum at the most.
     first = _first(df, by, key, item, n + total)
-    extra = F.col("rn") > n
-    place = F.row_number().over(Window.orderBy(extra, key, item))
-    return first.withColumn("_place", place).where(~extra | (F.col("_place") <= total)).drop("rn", "_place")
+    sampled, rest = first.where(F.col("rn") <= n), first.where(F.col("rn") > n)
+    missing = F.greatest(F.lit(total) - sampled.select(F.count(F.lit(1))).scalar(), F.lit(0))
+    # A limit keeps at most `total` rows of each partition before rows meet; only these are numbered.
+    few = rest.orderBy(key, item).limit(total)
+    more = few.withColumn("_place", F.row_number().over(Window.orderBy(key, item))).where(F.col("_place") <= missing)
+    return sampled.unionByName(more.drop("_place")).drop("rn")
 
 
 def nested_stratified(df: DataFrame, sizes: dict[str, int] | None = None, task: str = "task", difficulty: str = "difficulty", item: str = "item_id", seed: int = 42, key: Column | None = None) -> DataFrame:
@@ -88,10 +97,9 @@ def stratified_split(df: DataFrame, by: list[str], fraction: float = 0.2, item:
     large share of all rows is spread over many tasks. NULL is a stratum.
     """
     rows = df if key else df.withColumn("_key", sample_key(item, seed))
-    ranked = numbered(rows, by, key or "_key", [item], "_rn", bounds=None if key else HASH_BOUNDS)
-    sizes = df.groupBy(*by).agg(F.round(F.count(F.lit(1)) * F.lit(fraction)).alias("_quota"))
-    out = null_safe_join(ranked, sizes, by).withColumn("split", F.when(F.col("_rn") <= F.col("_quota"), "dev").otherwise("test"))
-    return out.drop("_rn", "_quota", "_key") if not key else out.drop("_rn", "_quota")
+    ranked = numbered(rows, by, key or "_key", [item], "_rn", bounds=None if key else HASH_BOUNDS, total="_size")
+    out = ranked.withColumn("split", F.when(F.col("_rn") <= F.round(F.col("_size") * F.lit(fraction)), "dev").otherwise("test"))
+    return out.drop("_rn", "_size", "_key") if not key else out.drop("_rn", "_size")
 
 
 def hard_subset(df: DataFrame, size: int = 60, tasks: list[str] | None = None, task: str = "task", difficulty: str = "difficulty", item: str = "item_id") -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,9 @@ by ``keep`` when the caller names a folder, so that no branch repeats them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeframe import fixed_values as fv
@@ -14,6 +16,7 @@ from gradeframe.functions import bands, scoring
 from gradeframe.functions import features as feat
 from gradeframe.functions import parsing, prompts
 from gradeframe.functions import text as t
+from gradeframe.functions.predictor import apply_predictor
 from gradeframe.operators import accuracy as acc
 from gradeframe.operators import agreement as agr
 from gradeframe.operators import correlation as cor
@@ -24,6 +27,7 @@ from gradeframe.operators import pairs as pr
 from gradeframe.operators import retrieval as ret
 from gradeframe.operators import sampling as smp
 from gradeframe.operators import tables as tab
+from gradeframe.operators.ranks import null_safe_join, value_ranks
 
 
 def keep(df: DataFrame, folder: str | None, name: str) -> DataFrame:
@@ -35,16 +39,41 @@ def keep(df: DataFrame, folder: str | None, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def evaluate(items: DataFrame, predictions: DataFrame, policy: str = "strict", folder: str | None = None) -> dict[str, DataFrame]:
-    """Scored rows and the ranked board with intervals.
+def ranked_board(intervals: DataFrame, tasks: list[str] | None = None) -> DataFrame:
+    """One row per system, ranked by overall accuracy, then by name: accuracy of each task, and overall with its interval.
+
+    ``intervals`` is a table by model and task with OVERALL rows. Without
+    ``tasks`` the four task names of the benchmark are the columns; a task
+    without rows is NULL.
+    """
+    tasks = tasks or fv.TASKS
+    overall = F.col("task") == acc.TOTAL
+
+    def of(task: Column, value: str) -> Column:
+        return F.max(F.when(task, F.col(value)))
+
+    board = intervals.groupBy("model").agg(
+        *[of(F.col("task") == t, "accuracy").alias(t) for t in tasks], of(overall, "accuracy").alias("overall"),
+        of(overall, "ci_lower").alias("ci_lower"), of(overall, "ci_upper").alias("ci_upper"), of(overall, "n").alias("n"),
+    )
+    # Ranks by offsets of score ranges: systems with equal scores alone meet in one task.
+    scored = board.withColumns({"_all": F.lit(0), "_score": -F.col("overall")})
+    before = value_ranks(scored, ["_all"], "_score").select("_score", F.col("n_before").alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_score").orderBy("model"))
+    placed = null_safe_join(scored.withColumn("_place", place), before, ["_score"])
+    return placed.select((F.col("_before") + F.col("_place")).alias("rank"), *board.columns)
+
+
+def evaluate(items: DataFrame, predictions: DataFrame, policy: str = "strict", folder: str | None = None, tasks: list[str] | None = None) -> dict[str, DataFrame]:
+    """Scored rows, accuracies with intervals by system and task, and the ranked board.
 
     ``items`` has item_id, task, reference; ``predictions`` has item_id, model, prediction.
     """
     joined = tab.attach_attributes(predictions.withColumn("prediction", F.coalesce("prediction", F.lit(""))), items, "item_id", {"task": "", "reference": ""})
     scored = keep(scoring.score(joined, policy), folder, "scored")
     valid = acc.drop_failed(scored)
-    board = acc.with_wilson(acc.accuracy(valid, ["model", "task"]))
-    return {"scored": scored, "leaderboard": board}
+    table = keep(acc.with_wilson(acc.accuracy(valid, ["model", "task"])), folder, "intervals")
+    return {"scored": scored, "leaderboard": table, "board": ranked_board(table, tasks)}
 
 
 def full_report(
@@ -123,15 +152,24 @@ def item_analysis(long: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def retrieval_compare(queries: DataFrame, vectors: DataFrame, texts: DataFrame, answers: DataFrame, base: DataFrame, k: int = 3) -> dict[str, DataFrame]:
-    """Context per query, accuracy of answers given that context, and loss against a base accuracy.
-
-    ``answers`` has query_id, model, task, reference, prediction; ``base`` is an
-    accuracy table by model and task.
+def retrieval_compare(
+    items: DataFrame, queries: DataFrame, vectors: DataFrame, texts: DataFrame, base: DataFrame,
+    predict: Callable[[str], str] | None = None, predict_batch: Callable[[list[str]], list[str]] | None = None,
+    model: str = "retrieval", k: int = 3, folder: str | None = None, exclude_self: bool = False,
+) -> dict[str, DataFrame]:
+    """Questions answered from retrieved text, their accuracy, and the loss against a base accuracy.
+
+    ``items`` has query_id, task, question, reference; ``queries`` (query_id,
+    embedding) are compared with ``vectors`` (vec_id, embedding), whose texts are
+    in ``texts`` (vec_id, text). The ``k`` best texts and the question become a
+    prompt, which the user's function answers; answers are scored by
+    containment. A question without a vector gets an empty context. ``base`` is
+    an accuracy table by model and task.
     """
-    hits = ret.top_k_similar(queries, vectors, k)
-    context = ret.retrieved_context(hits, texts)
-    scored = scoring.score(answers, "containment")
+    context = keep(ret.retrieved_context(ret.top_k_similar(queries, vectors, k, exclude_self=exclude_self), texts), folder, "context")
+    asked = items.join(context, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
+    answered = apply_predictor(prompts.judge_prompt(asked, "retrieval"), predict, predict_batch=predict_batch)
+    scored = keep(scoring.score(answered.withColumn("model", F.lit(model)), "containment"), folder, "answers")
     table = acc.accuracy(scored, ["model", "task"])
     return {"context": context, "scored": scored, "comparison": acc.condition_compare(base, table)}
 
@@ -156,24 +194,31 @@ def perturbation_report(predictions: DataFrame) -> dict[str, DataFrame]:
 
 
 def scoring_audit(
-    wrong: DataFrame, replies: DataFrame, n: int = 25, total: int = 100, key: str = "item_id", order: Column | None = None
+    wrong: DataFrame, replies: DataFrame, n: int = 25, total: int = 100, key: str = "item_id", order: Column | None = None,
+    accuracies: DataFrame | None = None, folder: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Sample of rejected answers, prompts for a judge, and rates from the judge's replies.
+    """Sample of rejected answers, prompts for a judge, rates from the judge's replies, and corrected accuracies.
 
     ``replies`` has the item key, the model where ``wrong`` has one, and a
     ``reply`` column. An answer without a reply is UNKNOWN and counts; of several
     replies the smallest is read. ``order`` replaces the hash order of the sample.
+    ``accuracies`` (task, accuracy, any others) are corrected by the false
+    negatives of their task, or of all tasks where it has none.
     """
-    sample = smp.stratified_sample_topup(wrong, ["task"], n, total, key, key=order)
+    sample = keep(smp.stratified_sample_topup(wrong, ["task"], n, total, key, key=order), folder, "sample")
     keys = [key, *({"model"} & set(wrong.columns))]
     one = replies.groupBy(*keys).agg(F.min("reply").alias("reply"))
     verdicts = sample.join(one, keys, "left").withColumn("_v", parsing.parse_verdict("reply"))
     audit = verdicts.select("*", "_v.verdict", "_v.reason").drop("_v")
     asked = prompts.judge_prompt(sample, "verdict") if {"question", "reference", "prediction"} <= set(sample.columns) else sample
-    return {"sample": asked, "audit": audit, "rates": acc.audit_rates(audit)}
+    rates = keep(acc.audit_rates(audit), folder, "rates")
+    out = {"sample": asked, "audit": audit, "rates": rates}
+    if accuracies is not None:
+        out["corrected"] = acc.fnr_correct(accuracies, rates)
+    return out
 
 
-def group_compare(long: DataFrame, groups: dict[str, str], a: str, b: str, replicates: int = pr.REPLICATES) -> dict[str, DataFrame]:
+def group_compare(long: DataFrame, groups: dict[str, str], a: str, b: str, replicates: int | None = None) -> dict[str, DataFrame]:
     """C11: pooled accuracy of two groups of systems and its (legacy, positional) significance."""
     return {
         "pooled": acc.pooled_group_accuracy(long, groups),
@@ -191,9 +236,7 @@ def human_baseline(answers: DataFrame, items: DataFrame, reference_pct: float =
     table = acc.accuracy(scored, ["task"], overall=[])
     gap = F.round(100 * F.col("accuracy") - reference_pct, 4)
     reading = (
-        F.when(gap > 3, "substantial room for model improvement")
-        .when(gap < -3, "near-human or above-human parity on this subset")
-        .otherwise("near-human parity on this subset")
+        F.when(gap > 3, fv.GAP_READINGS[0]).when(gap < -3, fv.GAP_READINGS[1]).otherwise(fv.GAP_READINGS[2])
     )
     overall = table.where(F.col("task") == acc.TOTAL).withColumns({"gap": gap, "reading": reading})
     return {"scored": scored, "by_task": table, "gap": overall}

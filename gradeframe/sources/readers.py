@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import csv
-from functools import reduce
-from urllib.parse import unquote
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from gradeframe.operators.tables import find_column
 
 #: Columns of a result file that may go by other names.
 ROLES = {"prediction": "prediction", "reference": "ref_answer", "correct": "correct"}
+#: Columns that are read of a result file.
+MAX_COLUMNS = 64
 
 
 def read_items(
@@ -46,51 +48,61 @@ def read_items(
 
 def read_predictions(
     spark: SparkSession, path: str | list[str], registry: dict[str, str] | None = None,
-    schema: T.StructType = schemas.PREDICTIONS, suffix: str = ".csv",
+    schema: T.StructType = schemas.PREDICTIONS, suffix: str = ".csv", max_columns: int = MAX_COLUMNS,
 ) -> DataFrame:
     """IO2: prediction files, each row tagged with its model.
 
     ``registry`` maps file stems to labels; other files keep their stem. Paths
     that match nothing give no rows. Columns are matched by header name: files
     may order them differently, use other known names of a role (see
-    ``resolve_columns``), lack some (NULL) or have more (dropped). Runs at once
-    for the headers: files are read in groups of one header each.
+    ``resolve_columns``), lack some (NULL) or have more (dropped). Files have up
+    to ``max_columns`` columns. A file is read by one task, which meets its
+    header first, so files are read once and never listed by header.
     """
     paths = [path] if isinstance(path, str) else path
     readable = [p for p in paths if _exists(spark, p)]
-    groups = _headers(spark, readable) if readable else {}
-    if not groups:
+    if not readable:
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("model", T.StringType())]))
-    rows = reduce(DataFrame.unionByName, [_one_layout(spark, names, files, schema) for names, files in sorted(groups.items())])
+    given = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(max_columns)])
+    lines = spark.read.schema(given).option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"').csv(readable)
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    texts = T.StructType([*[T.StructField(f.name, T.StringType()) for f in schema.fields], T.StructField("_file", T.StringType())])
+    rows = lines.select("*", F.col("_metadata.file_path").alias("_path"), name.alias("_file")).mapInArrow(_by_header(schema.names), texts)
+
+    def column(field: T.StructField):
+        kind = field.dataType
+        return (F.col(field.name) if isinstance(kind, T.StringType) else F.trim(field.name).try_cast("double").try_cast(kind)).cast(kind).alias(field.name)
+
     stem = F.regexp_replace("_file", rf"{suffix.replace('.', chr(92) + '.')}$", "")
     label = stem if not registry else lookup(stem, registry, stem)
-    return rows.withColumn("model", label).drop("_file")
+    return rows.select(*[column(f) for f in schema.fields], label.alias("model"))
 
 
-def _headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """The files of every header."""
-    lines = spark.read.text(paths).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
-    firsts = lines.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "at").alias("header"))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for row in firsts.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files")).collect():
-        names = tuple(name.strip() for name in next(csv.reader([row["header"].lstrip("\ufeff")])))
-        groups[names] = groups.get(names, []) + [unquote(f) for f in row["files"]]
-    return groups
+def _by_header(wanted: list[str]):
+    """Rows of files one after the other, each led by its header, in the ``wanted`` columns."""
+    roles = {name: role for role, name in ROLES.items() if name in wanted}
 
+    def places(header: list[str | None]) -> list[int | None]:
+        names = [(name or "").lstrip("\ufeff").strip() for name in header]
+        found = {name: find_column(names, role) for name, role in roles.items() if name not in names}
+        return [names.index(n) if (n := found.get(name) or name) in names else None for name in wanted]
 
-def _one_layout(spark: SparkSession, names: tuple[str, ...], files: list[str], schema: T.StructType) -> DataFrame:
-    """Files of one header in the columns of ``schema``."""
-    used = {name: find_column(list(names), role) for role, name in ROLES.items() if name in schema.names and name not in names}
-    given = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
-    rows = spark.read.schema(given).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(files)
-
-    def column(field: T.StructField):
-        name = used.get(field.name) or field.name
-        value = F.col(f"_c{names.index(name)}") if name in names else F.lit(None)
-        kind = field.dataType
-        return (value if isinstance(kind, T.StringType) else F.trim(value).try_cast("double").try_cast(kind)).cast(kind).alias(field.name)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, at = None, []
+        for batch in batches:
+            paths = batch.column("_path").dictionary_encode()
+            codes = paths.indices.to_numpy(zero_copy_only=False)
+            starts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            for start, end in zip(starts, starts[1:]):
+                path, first = paths.dictionary[int(codes[start])].as_py(), start
+                if path != known:
+                    known, at = path, places([batch.column(i)[start].as_py() for i in range(batch.num_columns - 2)])
+                    first += 1
+                rows = batch.slice(first, end - first)
+                columns = [rows.column(i) if i is not None else pa.nulls(rows.num_rows, pa.string()) for i in at]
+                yield pa.RecordBatch.from_arrays([*columns, rows.column("_file")], [*wanted, "_file"])
 
-    return rows.select(*[column(f) for f in schema.fields], F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("_file"))
+    return run
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -109,10 +121,11 @@ def read_corpus(spark: SparkSession, path: str, pattern: str = "*.{txt,md}") ->
     )
 
 
-def read_prompt_templates(spark: SparkSession, path: str) -> DataFrame:
-    """IO6: one template per task, named by its file."""
+def read_prompt_templates(spark: SparkSession, path: str, by_folder: str | None = None) -> DataFrame:
+    """IO6: one template per task, named by its file, or by the value of its folder ``by_folder=value``."""
     files = read_corpus(spark, path, "*.txt")
-    return files.select(F.regexp_replace("source", r"\.txt$", "").alias("task_type"), F.col("text").alias("template"))
+    name = F.regexp_replace("source", r"\.txt$", "") if by_folder is None else F.url_decode(F.regexp_extract("path", rf"/{by_folder}=([^/]*)/", 1))
+    return files.select(name.alias("task_type"), F.col("text").alias("template"))
 
 
 def read_baselines(spark: SparkSession, path: str) -> DataFrame:

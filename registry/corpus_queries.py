@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,10 +12,12 @@ from gradeframe.functions import features as feat
 from gradeframe.functions import prompts as pm
 from gradeframe.functions import text as t
 from gradeframe.functions.predictor import apply_predictor
+from gradeframe.functions.scoring import score
 from gradeframe.functions.table_functions import register_chunk_words
 from gradeframe.operators import documents as dc
 from gradeframe.operators import retrieval as rt
 from gradeframe.operators import sampling as sm
+from gradeframe.operators.ranks import spread_join
 from gradeframe.session import ensure_checkpoint_dir
 from gradeframe.streaming import flows
 from registry import bindings as b
@@ -300,15 +303,69 @@ def _(spark, d):
     rows = prompt_items(spark, d).withColumn("difficulty", F.lit("easy"))
     shots = sm.few_shot_examples(rows, 2, "task_type", "difficulty", "doc_id")
     blocks = pm.example_blocks(pm.format_example(shots))
-    return pm.build_prompt(rows.join(blocks, "task_type"), examples="examples").select("doc_id", "prompt")
+    return pm.build_prompt(spread_join(rows, blocks, ["task_type"]), examples="examples").select("doc_id", "prompt")
 
 
-@query("T30_judge_prompt", o.with_(TURNS_SQL, body="""
-SELECT conv_id, turn, 'Is the prediction equivalent to the reference? Reply VERDICT|reason with CORRECT, PARTIAL or INCORRECT.'||chr(10)||'Question: '||left(question,500)||chr(10)||
- 'Reference Answer: '||left(answer,200)||chr(10)||'Model Prediction: '||left(question||answer,200) AS prompt FROM turns"""))
+# Prompts are compared by digest: with three examples they are long.
+CONDITIONS_SQL = FS.replace("r<=2 GROUP BY task_type)", "r<=n GROUP BY task_type, n)").replace("ex AS (SELECT task_type,", "ex AS (SELECT task_type, n,").replace("AS r FROM pi)", "AS r FROM pi), (SELECT unnest([1,3]) AS n)")
+
+
+@query("T29_build_conditions", o.with_(PI, CONDITIONS_SQL, f"zs AS (SELECT doc_id, task_type, {ZS} AS q FROM pi)", body=f"""
+SELECT doc_id, 'zero_shot' AS condition, 'Be exact.' AS system, md5(q) AS prompt_md5 FROM zs UNION ALL SELECT doc_id, 'zero_shot_cot', 'Be exact.'||{NL2}||'Think step by step before answering.', md5(q) FROM zs
+UNION ALL SELECT doc_id, CASE n WHEN 1 THEN 'one_shot' ELSE 'three_shot' END, 'Be exact.', md5(examples||{NL2}||'--- Your question ---'||chr(10)||q) FROM zs JOIN ex USING (task_type)"""))
 def _(spark, d):
-    rows = turns(spark, d).withColumn("prediction", F.concat("question", "answer"))
-    return pm.judge_prompt(rows, "verdict", reference="answer").select("conv_id", "turn", "prompt")
+    rows = prompt_items(spark, d).withColumn("difficulty", F.lit("easy"))
+    shots = pm.format_example(sm.few_shot_examples(rows, 3, "task_type", "difficulty", "doc_id"))
+    return pm.build_conditions(rows, "Be exact.", examples=shots).select("doc_id", "condition", "system", F.md5("prompt").alias("prompt_md5"))
+
+
+def styled(heading: str, passage: str, question: str, context: str, a: str, b_: str, closings: dict[str, str]) -> str:
+    lines = " ".join(f"WHEN '{k}' THEN {o.quoted(v)}" for k, v in closings.items() if k != "default")
+    return f"""CASE task_type WHEN 'contradiction_detection' THEN '{passage} A:'||chr(10)||{a}||{NL2}||'{passage} B:'||chr(10)||{b_} ELSE '{heading}:'||chr(10)||{context} END
+ ||{NL2}||'{question}: '||question||{NL2}||CASE task_type {lines} ELSE {o.quoted(closings['default'])} END"""
+
+
+def words_sql(x: str, n: int) -> str:
+    return f"array_to_string({o.words(x)}[1:{n}],' ')"
+
+
+STYLED = {
+    "demo": styled("Context", "Passage", "Question", words_sql("context", 450), words_sql("context_a", 200), words_sql("context_b", 200), pm.CLOSINGS["zero_shot"]),
+    "annotator": styled("Context passage", "Passage", "Question", "context", "context_a", "context_b", pm.CLOSINGS["annotator"]),
+    "hosted": styled("CONTEXT", "PASSAGE", "QUESTION", "context", "left(context_a,1500)", "left(context_b,800)", pm.CLOSINGS["hosted"]),
+}
+
+
+def _styled(style):
+    @query(f"T29_build_prompt_{style}", o.with_(PI, body=f"SELECT doc_id, md5({STYLED[style]}) AS prompt_md5 FROM pi"))
+    def _(spark, d):
+        return pm.build_prompt(prompt_items(spark, d), style).select("doc_id", F.md5("prompt").alias("prompt_md5"))
+
+
+for _style in STYLED:
+    _styled(_style)
+
+
+def judge_sql(kind: str, **columns: str) -> str:
+    """The template's text around its fields, each cut to its cap."""
+    template, caps = pm.JUDGE_TEMPLATES[kind]
+    parts = []
+    for part in re.split(r"(?<!{)({[a-z]+})(?!})", template):
+        name = part[1:-1]
+        value = columns.get(name, name)
+        parts.append((f"left({value},{caps[name]})" if name in caps else value) if re.fullmatch("{[a-z]+}", part) else o.quoted(part.replace("{{", "{").replace("}}", "}")))
+    return "||".join(parts)
+
+
+def _judged(kind, sql):
+    @query(f"T30_judge_prompt_{kind}" if kind != "verdict" else "T30_judge_prompt", o.with_(TURNS_SQL, body=f"SELECT conv_id, turn, {sql} AS prompt FROM (SELECT *, question||answer AS prediction, answer||question AS context FROM turns)"))
+    def _(spark, d):
+        rows = turns(spark, d).withColumns({"prediction": F.concat("question", "answer"), "context": F.concat("answer", "question")})
+        return pm.judge_prompt(rows, kind, reference="answer").select("conv_id", "turn", "prompt")
+
+
+for _kind in pm.JUDGE_TEMPLATES:
+    _judged(_kind, judge_sql(_kind, reference="answer"))
 
 
 @query("T31_passage_display", o.with_(PI, body=f"""
@@ -322,8 +379,7 @@ SELECT doc_id, shots||'CONTEXT:'||chr(10)||left(context,600)||chr(10)||'QUESTION
 def _(spark, d):
     rows = prompt_items(spark, d)
     first = sm.stratified_sample(rows, ["task_type"], 3, "doc_id", key=F.col("doc_id"))
-    shots = first.groupBy("task_type").agg(F.sort_array(F.collect_list(F.struct("doc_id", "context", "question", "answer"))).alias("shots"))
-    return rows.join(shots, "task_type").select("doc_id", pm.shots_block("shots", "context", "question").alias("prompt"))
+    return pm.with_shots(rows, first, order="doc_id").select("doc_id", "prompt")
 
 
 TOPK = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_inner_product(v,v)) AS l FROM e),
@@ -336,9 +392,33 @@ def hits(spark, d, **blocks):
     return rt.top_k_similar(vectors.withColumnRenamed("vec_id", "query_id"), vectors, exclude_self=True, **blocks)
 
 
-@query("J10_top_k_similar", o.with_(TOPK, body="SELECT query_id, vec_id, round(score,6) AS score, rank FROM hits"))
+J10_BODY = "SELECT query_id, vec_id, round(score,6) AS score, rank FROM hits"
+
+
+def j10(found):
+    return rounded(found, "score").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("J10_top_k_similar", o.with_(TOPK, body=J10_BODY))
 def _(spark, d):
-    return rounded(hits(spark, d, block_queries=200, block_vectors=150), "score").withColumn("rank", F.col("rank").cast("long"))
+    """All vectors as queries, in blocks."""
+    return j10(hits(spark, d, block_queries=200, block_vectors=150, few_queries=0))
+
+
+@query("J10_top_k_few_queries", o.with_(TOPK, body=J10_BODY + " WHERE query_id%10=0"))
+def _(spark, d):
+    """A tenth of the vectors as queries, sent to the vectors."""
+    vectors = b.table(spark, d, "embeddings").select("vec_id", "embedding")
+    queries = vectors.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    return j10(rt.top_k_similar(queries, vectors, exclude_self=True))
+
+
+@query("J10_top_k_approximate", "SELECT count(*)*3 AS n, true AS reached FROM embeddings")
+def _(spark, d):
+    """Recall of the approximate search: at least nine of ten exact neighbours."""
+    vectors = b.table(spark, d, "embeddings").select("vec_id", "embedding")
+    found = rt.top_k_approximate(vectors.withColumnRenamed("vec_id", "query_id"), vectors, exclude_self=True)
+    return rt.recall(found, hits(spark, d)).select("n", (F.col("recall") >= 0.9).alias("reached"))
 
 
 @query("J13_retrieved_context", o.with_(TOPK, body="""
@@ -354,13 +434,28 @@ def _answer(prompt: str) -> str:
     return prompt.split("?")[0].upper()
 
 
-@query("U2_apply_predictor", """SELECT doc_id, CASE WHEN contains(text,'?') THEN translate(split_part(text,'?',1),'abcdefghijklmnopqrstuvwxyz','ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE 'FAIL: '||left('no question in this prompt: '||text,80) END AS prediction
- FROM (SELECT doc_id, regexp_replace(text,'[^a-z ?]','','g')||CASE WHEN n_chars%2=0 THEN '?' ELSE '' END AS text FROM documents)""")
+U2_SQL = """SELECT doc_id, CASE WHEN contains(text,'?') THEN translate(split_part(text,'?',1),'abcdefghijklmnopqrstuvwxyz','ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE 'FAIL: '||left('no question in this prompt: '||text,80) END AS prediction
+ FROM (SELECT doc_id, regexp_replace(text,'[^a-z ?]','','g')||CASE WHEN n_chars%2=0 THEN '?' ELSE '' END AS text FROM documents)"""
+
+
+@query("U2_apply_predictor", U2_SQL)
 def _(spark, d):
     prompt = F.concat(F.regexp_replace("text", "[^a-z ?]", ""), F.when(F.col("n_chars") % 2 == 0, "?").otherwise(""))
     return apply_predictor(b.table(spark, d, "documents").select("doc_id", prompt.alias("prompt")), _answer).select("doc_id", "prediction")
 
 
+def _answers(prompts: list[str]) -> list[str]:
+    return [_answer(p) for p in prompts]
+
+
+@query("U2_apply_predictor_in_batches", U2_SQL)
+def _(spark, d):
+    """A prompt at fault is found by splitting its batch; the others keep their answers."""
+    prompt = F.concat(F.regexp_replace("text", "[^a-z ?]", ""), F.when(F.col("n_chars") % 2 == 0, "?").otherwise(""))
+    rows = b.table(spark, d, "documents").select("doc_id", prompt.alias("prompt"))
+    return apply_predictor(rows, predict_batch=_answers, batch=16).select("doc_id", "prediction")
+
+
 def run_folder(spark) -> str:
     return f"{ensure_checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
 
@@ -375,33 +470,84 @@ def stream_predictions(pieces):
     i = F.col("item_id")
     good = F.when(i % 4 == 0, F.concat(F.lit("no such "), F.col("reference"))).when(i % 4 == 1, F.reverse("reference")).otherwise(F.col("reference"))
     tries = F.array(F.lit("FAIL: timeout"), F.when(i % 4 != 3, good).otherwise("FAIL: again"), F.when(i % 4 != 3, good).otherwise("FAIL: again"))
-    return pieces.select("item_id", "at", F.lit("m0").alias("model"), F.explode(tries).alias("prediction"))
+    return pieces.select("item_id", F.lit("m0").alias("model"), F.explode(tries).alias("prediction"))
 
 
-@query("S1_score_stream", "WITH " + S1_SQL + f"\nSELECT item_id, 'm0' AS model, {strict_sql()} AS correct FROM sp")
+# Three files arrive in turn. The second moves the watermark on by five hours, so in the third the first file's keys are
+# forgotten (the same answers count anew) and a row of the first hour is late.
+@query("S1_score_stream", "WITH " + S1_SQL + f""", on_time AS (SELECT item_id, 'm0' AS model, {strict_sql()} AS correct FROM sp)
+SELECT * FROM on_time UNION ALL SELECT item_id, 'm1', correct FROM on_time WHERE item_id%3=0 UNION ALL SELECT item_id, 'm0', correct FROM on_time WHERE item_id%5=0""")
 def _(spark, d):
     folder = run_folder(spark)
-    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    b.answer_pairs(spark, d).select("item_id", "task", "reference", at.alias("at")).write.parquet(f"{folder}/in")
-    # The static side is read in every trigger, so it is read from the table just written.
-    items = spark.read.parquet(f"{folder}/in").select("item_id", "task", "reference")
-    arriving = spark.readStream.schema("item_id long, reference string, at timestamp").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    scored = flows.score_stream(stream_predictions(arriving), items, event_time="at")
-    sink = flows.start_scored_sink(scored.select("item_id", "model", "correct"), f"{folder}/out", f"{folder}/state")
-    sink.awaitTermination()
+    b.answer_pairs(spark, d).select("item_id", "task", "reference").write.parquet(f"{folder}/items")
+    items = spark.read.parquet(f"{folder}/items")
+
+    def arrive(rows, at):
+        rows.withColumn("at", F.lit(at).cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+    schema = "item_id long, model string, prediction string, at timestamp"
+    for step in range(3):
+        made = stream_predictions(items)
+        if step == 0:
+            arrive(made, "2024-01-01 00:00:00")
+        elif step == 1:
+            arrive(made.where("item_id % 3 = 0").withColumn("model", F.lit("m1")), "2024-01-01 05:00:00")
+        else:
+            arrive(made.where("item_id % 5 = 0"), "2024-01-01 05:30:00")
+            arrive(made.where("item_id % 7 = 0").withColumn("model", F.lit("m2")), "2024-01-01 00:10:00")
+        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        scored = flows.score_stream(arriving, items, event_time="at")
+        flows.start_scored_sink(scored.select("item_id", "model", "correct"), f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.schema("item_id long, model string, correct int").parquet(f"{folder}/out")
 
 
-@query("S2_live_leaderboard", o.with_(o.SUBMISSIONS, "best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hf_id ORDER BY overall DESC, submitted_at) AS r FROM submissions) WHERE r=1)", body="""
-SELECT row_number() OVER (ORDER BY overall DESC, submitted_at, hf_id) AS rank, hf_id, regexp_extract(hf_id,'[^/]+$') AS model_id, round(overall*100,1) AS overall FROM best"""))
+BASELINES = "baselines AS (SELECT 'base/b'||i AS hf_id, i/10.0::DOUBLE AS overall FROM (SELECT unnest(range(1,10)) AS i) UNION ALL SELECT 'org/sys1', 1.0)"
+BEST = "best AS (SELECT hf_id, overall, submitted_at FROM (SELECT *, row_number() OVER (PARTITION BY hf_id ORDER BY overall DESC, submitted_at) AS r FROM submissions) WHERE r=1)"
+SEEDED = "seeded AS (SELECT * FROM best UNION ALL SELECT hf_id, overall, NULL FROM baselines WHERE hf_id NOT IN (SELECT hf_id FROM best))"
+
+
+@query("S2_live_leaderboard", o.with_(o.SUBMISSIONS, BASELINES, BEST, SEEDED, body="""
+SELECT row_number() OVER (ORDER BY overall DESC, submitted_at NULLS LAST, hf_id) AS rank, hf_id, regexp_extract(hf_id,'[^/]+$') AS model_id, round(overall*100,1) AS overall FROM seeded"""))
 def _(spark, d):
+    """Five batches; the last one comes twice, as after a crash between the write and the commit."""
     folder = run_folder(spark)
     rows = b.submissions(spark, d).select("hf_id", "overall", "submitted_at")
-    rows.repartition(4).write.parquet(f"{folder}/in")
-    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    rows.repartition(5).write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    seeds = spark.range(1, 10).select(F.concat(F.lit("base/b"), F.col("id").cast("string")).alias("hf_id"), (F.col("id") / 10).alias("overall"))
+    seeds = seeds.union(spark.range(1).select(F.lit("org/sys1"), F.lit(1.0))).withColumn("submitted_at", F.lit(None).cast("timestamp"))
 
     def publish(board, batch_id):
         board.select("rank", "hf_id", "model_id", "overall").write.mode("overwrite").parquet(f"{folder}/board")
 
-    flows.start_live_leaderboard(arriving, f"{folder}/store", f"{folder}/state", publish).awaitTermination()
+    store, state = f"{folder}/store", f"{folder}/state"
+    flows.start_live_leaderboard(arriving, store, state, publish, seeds).awaitTermination()
+    flows.start_live_leaderboard(arriving, store, forget_last_commit(spark, state), publish, seeds).awaitTermination()
     return spark.read.schema("rank long, hf_id string, model_id string, overall double").parquet(f"{folder}/board")
+
+
+def forget_last_commit(spark, state: str) -> str:
+    """Delete the newest commit of a stream's checkpoint, so that its batch runs again."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{state}/commits")
+    files = path.getFileSystem(conf)
+    last = max((f.getPath() for f in files.listStatus(path) if f.getPath().getName().isdigit()), key=lambda p: int(p.getName()))
+    files.delete(last, False)
+    return state
+
+
+@query("S2_live_accuracy", "WITH " + S1_SQL + f", sc AS (SELECT item_id%10 AS model, {strict_sql()} AS c FROM sp) SELECT model, count(*) AS n, sum(c)::BIGINT AS n_correct, round(avg(c),6) AS accuracy FROM sc GROUP BY model")
+def _(spark, d):
+    """Running counts per key, in update mode: the newest row of each key is the sum of all batches."""
+    folder = run_folder(spark)
+    made = stream_predictions(b.answer_pairs(spark, d).select("item_id", "reference"))
+    scored = score(made.where("prediction not like 'FAIL%'").dropDuplicates(["item_id"]).join(b.answer_pairs(spark, d).select("item_id", "task", "reference"), "item_id"))
+    scored.select((F.col("item_id") % 10).alias("model"), "correct").repartition(4).write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema("model long, correct int").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+
+    def keep(batch, batch_id):
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/out/part={batch_id}")
+
+    flows.live_accuracy(arriving).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema("model long, n long, n_correct long, accuracy double, batch long").parquet(f"{folder}/out")
+    return rounded(rows.groupBy("model").agg(*[F.max_by(c, "batch").alias(c) for c in ("n", "n_correct", "accuracy")]), "accuracy")

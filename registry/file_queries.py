@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from gradeframe.functions.prompts import fill_template
 from gradeframe.functions.stats import chi2_sf
 from gradeframe.session import ensure_checkpoint_dir
-from gradeframe.sources import read_corpus, read_items, read_predictions, write_results
+from gradeframe.sources import read_corpus, read_items, read_predictions, read_prompt_templates, write_results
 from registry import bindings as b
 from registry import query
 
@@ -55,12 +56,34 @@ def _(spark, d):
     return found.select("id", "task_type", F.md5("prediction").alias("prediction_md5"), "ref_answer", "correct", "model_version")
 
 
-@query("IO4_text_files", "SELECT doc_id, md5(coalesce(text, '') || chr(10)) AS text_md5 FROM documents")
+#: Texts in one folder.
+PER_FOLDER = 500
+
+
+@query("IO4_text_files", """
+SELECT doc_id//500 AS folder, count(*) AS n, md5(string_agg(text, chr(10)||chr(0)||chr(10) ORDER BY text)) AS texts_md5 FROM (SELECT doc_id, coalesce(text,'') AS text FROM documents) GROUP BY 1""")
+def _(spark, d):
+    """Many documents per folder and file: one file of a folder's texts, each text ended by a mark."""
+    path = folder(spark)
+    docs = b.table(spark, d, "documents").select(F.floor(F.col("doc_id") / PER_FOLDER).alias("folder"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n\0")).alias("value"))
+    docs.repartition("folder").write.partitionBy("folder").text(path)
+    read = read_corpus(spark, path, "*.txt").select(F.regexp_extract("path", r"folder=(\d+)/", 1).cast("long").alias("folder"), F.explode(F.split("text", "\n\0\n")).alias("text")).where("text <> ''")
+    texts = F.array_sort(F.collect_list("text"))
+    return read.groupBy("folder").agg(F.count("*").alias("n"), F.md5(F.array_join(texts, "\n\0\n")).alias("texts_md5"))
+
+
+@query("IO6_prompt_templates", """
+SELECT lang AS task_type, max(length(source)) AS longest, md5('Task '||lang||': {context}'||chr(10)||'From '||min(source)||chr(10)) AS template_md5,
+ md5('Task '||lang||': '||max(source)||chr(10)||'From '||min(source)||chr(10)) AS filled_md5 FROM documents GROUP BY lang""")
 def _(spark, d):
-    """One text file per document, below a folder of its own."""
+    """One template file per language, read back and filled."""
     path = folder(spark)
-    b.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("doc_id").text(path)
-    return read_corpus(spark, path).select(F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id"), F.md5("text").alias("text_md5"))
+    docs = b.table(spark, d, "documents").groupBy("lang").agg(F.min("source").alias("low"), F.max("source").alias("high"), F.max(F.length("source")).cast("long").alias("longest"))
+    template = F.concat(F.lit("Task "), "lang", F.lit(": {context}\nFrom "), "low")
+    docs.select("lang", template.alias("value")).repartition("lang").write.partitionBy("lang").text(path)
+    templates = read_prompt_templates(spark, path, by_folder="lang")
+    filled = templates.join(docs, templates["task_type"] == docs["lang"])
+    return filled.select("task_type", "longest", F.md5("template").alias("template_md5"), F.md5(fill_template(filled, "template", {"context": F.col("high")})).alias("filled_md5"))
 
 
 @query("D1_chi_square_tail", """

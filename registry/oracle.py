@@ -59,6 +59,11 @@ def strip(x: str) -> str:
     return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
+def quoted(x: str) -> str:
+    """A text as an SQL literal, line feeds as chr(10)."""
+    return "||chr(10)||".join("'" + line.replace("'", "''") + "'" for line in x.split("\n"))
+
+
 def words(x: str) -> str:
     return f"list_filter(string_split_regex(coalesce({x},''), '{SPACE}+'), lambda w: w <> '')"
 
@@ -100,6 +105,40 @@ def wilson(k: str, n: str) -> dict[str, str]:
     return {"accuracy": p, "ci_lower": f"greatest(0.0,{center}-{half})", "ci_upper": f"least(1.0,{center}+{half})", "center": center, "half_width": half}
 
 
+def lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two texts: a dynamic program over lists."""
+    return f"""CASE WHEN length({a})=0 OR length({b})=0 THEN 0 ELSE list_last(list_reduce(
+    list_prepend(list_transform(range(0, length({b})+1), lambda z: 0::BIGINT), list_transform(string_split({a},''), lambda ch: [unicode(ch)::BIGINT])),
+    lambda dp, ch: list_reduce(
+      list_prepend([0::BIGINT], list_transform(range(1, length({b})+1), lambda j: [CASE WHEN unicode(substr({b}, j, 1)) = ch[1] THEN dp[j]+1 ELSE dp[j+1] END])),
+      lambda acc, v: list_append(acc, greatest(acc[len(acc)], v[1]))))) END"""
+
+
+def bootstrap_tail(source: str, keys: str) -> str:
+    """CTEs that end in ``tail(keys, p_value)``: the exact tail of a centred multinomial difference, from n, only_a and only_b."""
+
+    def power(count: str, share: str) -> str:
+        return f"CASE WHEN {count}=0 THEN 0 WHEN {share}=0 THEN NULL ELSE {count}*ln({share}/n::DOUBLE) END"
+
+    terms = f"lgamma(n+1)-lgamma(x+1)-lgamma(y+1)-lgamma(n-x-y+1)+{power('x', 'only_a')}+{power('y', 'only_b')}+{power('(n-x-y)', '(n-only_a-only_b)')}"
+    return f"""tl1 AS (SELECT {keys}, n, only_a, only_b, unnest(range(0, only_a+only_b+CASE WHEN only_a+only_b=0 THEN 1 ELSE n-only_a-only_b+1 END)) AS x FROM {source}),
+tl2 AS (SELECT *, unnest(range(0, n-x+1)) AS y FROM tl1 WHERE x<=n),
+tail AS (SELECT {keys}, least(coalesce(sum(exp({terms})) FILTER (abs(x-y-(only_a-only_b))>=abs(only_a-only_b)), 0), 1.0) AS p_value FROM tl2 GROUP BY ALL)"""
+
+
+def t_tail(r: str, n: str) -> str:
+    """Two-sided p-value of a correlation: Simpson's rule on the density of t between zero and the statistic."""
+    df, steps = f"({n}-2)", 4000
+    t = f"(abs({r})*sqrt({df}/(1-{r}*{r})))"
+    return f"""1-2*{t}/{3*steps}*exp(lgamma(({df}+1)/2.0)-lgamma({df}/2.0))/sqrt({df}*pi())*list_sum(list_transform(range(0,{steps}+1),
+ lambda i: CASE WHEN i=0 OR i={steps} THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END*pow(1+pow({t}*i/{steps}.0,2)/{df},-({df}+1)/2.0)))"""
+
+
+def chi2_tail(x: str, df: str) -> str:
+    """Upper tail of chi-square: one less the series of the lower incomplete gamma function."""
+    return f"""1-list_sum(list_transform(range(0,400), lambda i: exp(({df}/2.0+i)*ln({x}/2.0)-{x}/2.0-lgamma({df}/2.0+i+1))))"""
+
+
 def token_set_ratio(source: str, key: str, a: str = "rn", b: str = "pn") -> str:
     """CTEs that end in ``tsr(key, ratio)``; the subsequence is a dynamic program over lists."""
     return f"""tsr0 AS (SELECT {key}, list_distinct({words(a)}) AS ta, list_distinct({words(b)}) AS tb FROM {source}),

@@ -48,32 +48,36 @@ def _(spark, d):
     return rounded(pr.error_jaccard(valid(spark, d)), "jaccard")
 
 
-@query("D2_paired_bootstrap")
+def tail(keys: str) -> str:
+    return f"ct AS (SELECT {keys}, {COUNTS} FROM ap GROUP BY {keys}), " + o.bootstrap_tail("ct", keys)
+
+
+P = "round(p_value,6) AS p_value, p_value<0.05 AS significant"
+
+
+@query("D2_paired_bootstrap", o.with_(o.VALID, AP, tail("model_a, model_b"), body=f"SELECT ct.*, {P} FROM ct JOIN tail USING (model_a, model_b)"))
 def _(spark, d):
-    return pr.paired_bootstrap(valid(spark, d))
+    return rounded(pr.paired_bootstrap(valid(spark, d)), "acc_a", "acc_b", "delta", "p_value")
 
 
-@query("D2_paired_bootstrap_by_task")
+@query("D2_paired_bootstrap_by_task", o.with_(o.VALID, AP, tail("task, model_a, model_b"), body=f"SELECT ct.*, {P} FROM ct JOIN tail USING (task, model_a, model_b)"))
 def _(spark, d):
-    return pr.paired_bootstrap(valid(spark, d), ["task"])
+    return rounded(pr.paired_bootstrap(valid(spark, d), ["task"]), "acc_a", "acc_b", "delta", "p_value")
 
 
-# With a normal approximation of the replicates the p-value is known up to Monte-Carlo error.
-@query("D2_paired_bootstrap_decisions", o.with_(o.VALID, AP, "s AS (SELECT model_a, model_b, count(*) AS n, avg(ca-cb) AS delta, stddev_pop(ca-cb)/sqrt(count(*)) AS se FROM ap GROUP BY ALL)", body="""
-SELECT model_a, model_b, n, round(delta,6) AS delta, CASE WHEN abs(delta)/se > 2.6 THEN 'significant' WHEN abs(delta)/se < 1.4 THEN 'not significant' ELSE 'close' END AS decision FROM s"""))
+# The share among 10,000 drawn replicates lies within five standard errors of the exact tail.
+@query("U3_bootstrap_replicates", o.with_(o.VALID, AP, tail("model_a, model_b"), body="SELECT model_a, model_b, n, round(p_value,6) AS p_value, true AS agrees FROM ct JOIN tail USING (model_a, model_b)"))
 def _(spark, d):
-    rows = pr.paired_bootstrap(valid(spark, d))
-    n, g, loss = F.col("n").cast("double"), F.col("only_a"), F.col("only_b")
-    mean = (g - loss) / n
-    z = F.abs(mean) / F.sqrt(((g + loss) / n - mean * mean) / n)
-    close = (z >= 1.4) & (z <= 2.6)
-    return rows.select("model_a", "model_b", "n", F.round("delta", 6).alias("delta"),
-                       F.when(close, "close").when(F.col("significant"), "significant").otherwise("not significant").alias("decision"))
+    exact = pr.paired_bootstrap(valid(spark, d)).select("model_a", "model_b", "n", "only_a", "only_b", "p_value")
+    drawn = pr.with_bootstrap_p(exact.drop("p_value"), ["model_a", "model_b"], pr.REPLICATES).select("model_a", "model_b", F.col("p_value").alias("drawn"))
+    p = F.col("p_value")
+    agrees = F.abs(F.col("drawn") - p) <= 5 * F.sqrt(p * (1 - p) / pr.REPLICATES) + 1.0 / pr.REPLICATES
+    return rounded(exact.join(drawn, ["model_a", "model_b"]).select("model_a", "model_b", "n", "p_value", agrees.alias("agrees")), "p_value")
 
 
 INDEXED = """sh AS (SELECT a.item_id AS i, a.correct-b.correct AS d FROM eval_long a JOIN eval_long b ON a.item_id=b.item_id AND a.model='m0' AND b.model='m1'),
 sz AS (SELECT max(i)+1 AS n FROM sh), ob AS (SELECT avg(d) AS obs FROM sh),
-d1 AS (SELECT r, i AS j, (i*48271 + (r+1)*16807) % 2147483647 AS x FROM sh CROSS JOIN (SELECT unnest(range(0,20)) AS r) t),
+d1 AS (SELECT r, i AS j, (i*48271 + (r+1)*16807) % 2147483647 AS x FROM sh CROSS JOIN (SELECT unnest(range(0,10000)) AS r) t),
 d2 AS (SELECT r, j, (x*x + r) % 2147483647 AS y FROM d1), dr AS (SELECT r, ((y*y + j) % 2147483647) % (SELECT n FROM sz) AS i FROM d2),
 mn AS (SELECT r AS replicate, avg(d) AS m FROM dr JOIN sh USING (i) GROUP BY r)"""
 
@@ -96,6 +100,10 @@ def _(spark, d):
     return rounded(out.drop("p_value", "significant"), "acc_a", "acc_b")
 
 
-@query("D4_two_sample_bootstrap")
+TWO_TAIL = "ct AS (SELECT task, count(*) AS n, avg(ca) AS acc_a, avg(cb) AS acc_b, count(*) FILTER (ca=1 AND cb=0) AS only_a, count(*) FILTER (ca=0 AND cb=1) AS only_b FROM zp GROUP BY task), " + o.bootstrap_tail("ct", "task")
+TWO_BODY = f"SELECT ct.task, n, round(acc_a,6) AS acc_a, round(acc_b,6) AS acc_b, only_a, only_b, {P} FROM ct JOIN tail USING (task)"
+
+
+@query("D4_two_sample_bootstrap", o.with_(o.VALID, TWO, TWO_TAIL, body=TWO_BODY))
 def _(spark, d):
-    return pr.two_sample_bootstrap(valid(spark, d), GROUPS, "reasoning", "standard")
+    return rounded(pr.two_sample_bootstrap(valid(spark, d), GROUPS, "reasoning", "standard"), "acc_a", "acc_b", "p_value")

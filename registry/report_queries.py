@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from gradeframe import fixed_values as fv
 from gradeframe.functions import scoring
 from gradeframe.operators import accuracy as acc
 from gradeframe.plans import reports as rp
@@ -14,7 +17,8 @@ from registry.accuracy_queries import (
     CAT_SQL, GROUPS, RUB_SQL, SQL_GROUPS, STATS_SQL, SQL_TYPES, W, rounded, rubric_rows, valid,
 )
 from registry.agreement_queries import FLEISS
-from registry.pair_queries import AP
+from registry.corpus_queries import TOPK
+from registry.pair_queries import AP, TWO, TWO_BODY, TWO_TAIL
 from registry.scoring_queries import A34, CON, FUZZY, SP, UNCLEAR, strict_sql
 from registry.statistics_queries import RANK
 
@@ -29,6 +33,17 @@ def _(spark, d):
     return rounded(out["leaderboard"], *W)
 
 
+BOARD = ", ".join(f"round(avg(CASE WHEN task='{t}' THEN correct END),6) AS {t}" for t in fv.TASKS)
+
+
+@query("C1_evaluate_board", "WITH " + SC + f", bd AS (SELECT model, {BOARD}, avg(correct) AS accuracy, count(*) AS n, sum(correct)::BIGINT AS n_correct FROM sc GROUP BY model)" + f"""
+SELECT row_number() OVER (ORDER BY accuracy DESC, model) AS rank, model, {', '.join(fv.TASKS)}, round(accuracy,6) AS overall, round({W['ci_lower']},6) AS ci_lower, round({W['ci_upper']},6) AS ci_upper, n FROM bd""")
+def _(spark, d):
+    rows = b.answer_pairs(spark, d)
+    out = rp.evaluate(rows.select("item_id", "task", "reference"), rows.select("item_id", "model", "prediction"))["board"]
+    return rounded(out, *fv.TASKS, "overall", "ci_lower", "ci_upper")
+
+
 @query("C2_full_report_intervals", o.with_(o.VALID, "c AS (SELECT model, CASE WHEN grouping(task)=1 THEN 'OVERALL' ELSE task END AS task, count(*) AS n, sum(correct)::BIGINT AS n_correct FROM valid GROUP BY GROUPING SETS ((model,task),(model)))",
        body="SELECT model, task, n, n_correct, " + ", ".join(f"round({e},6) AS {k}" for k, e in W.items()) + " FROM c"))
 def _(spark, d):
@@ -117,20 +132,27 @@ def _(spark, d):
     return rounded(rp.item_analysis(valid(spark, d))["summary"], "mean_discrimination", "median_accuracy")
 
 
-LOWC = o.PAIRS + f""",
-np AS (SELECT *, {o.strip("lower(reference)")} AS rn, {o.strip("lower(prediction)")} AS pn FROM answer_pairs),
-""" + o.token_set_ratio("np", "item_id") + ", sp AS (SELECT np.*, tsr.ratio FROM np JOIN tsr USING (item_id))"
+C8 = """cx AS (SELECT query_id, left(string_agg('From '||source||': '||text, chr(10)||chr(10)||'---'||chr(10)||chr(10) ORDER BY rank), 3000) AS context FROM hits JOIN documents ON doc_id=vec_id GROUP BY query_id),
+np AS (SELECT e.vec_id AS item_id, d.lang AS task, d.source AS rn, regexp_extract(coalesce(context,''),'From ([a-z0-9]+):',1) AS pn FROM embeddings e JOIN documents d ON d.doc_id=e.vec_id LEFT JOIN cx ON cx.query_id=e.vec_id)"""
+
+
+def _source_of(prompts: list[str]) -> list[str]:
+    """A stand-in for a model: the source that the first retrieved text names."""
+    found = [re.search("From ([a-z0-9]+):", p) for p in prompts]
+    return [f.group(1) if f else "" for f in found]
 
 
-@query("C8_retrieval_compare", "WITH " + LOWC + """, r AS (SELECT model, task, avg(CASE WHEN contains(pn,rn) OR ratio/100.0>=0.72 THEN 1 ELSE 0 END) AS a FROM sp GROUP BY ALL)
-, ra AS (SELECT * FROM r UNION ALL SELECT model, 'OVERALL', avg(CASE WHEN contains(pn,rn) OR ratio/100.0>=0.72 THEN 1 ELSE 0 END) FROM sp GROUP BY model)
-SELECT model, task, round(a,6) AS other_acc, CASE WHEN task<>'OVERALL' THEN 0.9::DOUBLE END AS base_acc, CASE WHEN task<>'OVERALL' THEN round(0.9-a,6) END AS drop FROM ra""")
+@query("C8_retrieval_compare", o.with_(TOPK, C8, o.token_set_ratio("np", "item_id"), "sc AS (SELECT task, CASE WHEN contains(pn,rn) OR ratio/100.0>=0.72 THEN 1 ELSE 0 END AS c FROM np JOIN tsr USING (item_id))", body="""
+SELECT 'retrieval' AS model, coalesce(task,'OVERALL') AS task, round(avg(c),6) AS other_acc, CASE WHEN task IS NOT NULL THEN 0.9::DOUBLE END AS base_acc, CASE WHEN task IS NOT NULL THEN round(0.9-avg(c),6) END AS drop FROM sc GROUP BY GROUPING SETS ((task),())"""))
 def _(spark, d):
+    """Which source a document is from, told from the texts of its nearest neighbours."""
     vectors = b.table(spark, d, "embeddings").select("vec_id", "embedding")
-    texts = b.table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    answers = b.answer_pairs(spark, d)
-    base = answers.select("model", "task").distinct().withColumn("accuracy", F.lit(0.9))
-    out = rp.retrieval_compare(vectors.withColumnRenamed("vec_id", "query_id"), vectors, texts, answers, base)
+    docs = b.table(spark, d, "documents")
+    texts = docs.select(F.col("doc_id").alias("vec_id"), F.concat(F.lit("From "), "source", F.lit(": "), "text").alias("text"))
+    items = docs.select(F.col("doc_id").alias("query_id"), F.col("lang").alias("task"), F.lit("Which source is it from?").alias("question"), F.col("source").alias("reference"))
+    items = items.join(vectors.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi")
+    base = items.select(F.lit("retrieval").alias("model"), "task").distinct().withColumn("accuracy", F.lit(0.9))
+    out = rp.retrieval_compare(items, vectors.withColumnRenamed("vec_id", "query_id"), vectors, texts, base, predict_batch=_source_of, exclude_self=True)
     return rounded(out["comparison"], "other_acc", "base_acc", "drop")
 
 
@@ -188,15 +210,29 @@ def _(spark, d):
     return rounded(out["rates"], "fn_rate", "partial_rate", "incorrect_rate", "correction")
 
 
+AUDITED = ", ac AS (SELECT model, CASE WHEN grouping(task)=1 THEN 'OVERALL' ELSE task END AS task, avg(correct) AS accuracy FROM sc GROUP BY GROUPING SETS ((model,task),(model))), rt AS (SELECT task, n_correct/n AS f FROM ra)"
+
+
+@query("C10_scoring_audit_corrected", "WITH " + C10 + AUDITED + """, cr AS (SELECT ac.*, coalesce(rt.f, (SELECT f FROM rt WHERE task='OVERALL'), 0.05) AS fnr FROM ac LEFT JOIN rt USING (task))
+SELECT model, task, round(accuracy,6) AS accuracy, round(fnr,6) AS fnr, round(CASE WHEN fnr>=1 THEN accuracy ELSE least(1.0, accuracy/(1-fnr)) END,6)::DOUBLE AS corrected FROM cr""")
+def _(spark, d):
+    rows = scoring.score(acc.drop_failed(b.answer_pairs(spark, d)))
+    i = F.col("item_id") % 4
+    replies = b.answer_pairs(spark, d).where("item_id % 11 <> 0").select("item_id", "model", F.when(i == 0, "correct | same").when(i == 1, "Only PARTIAL").when(i == 2, "INCORRECT|no").otherwise("clearly incorrect").alias("reply"))
+    accuracies = acc.accuracy(rows, ["model", "task"]).select("model", "task", "accuracy")
+    out = rp.scoring_audit(rows.where("correct = 0").select("item_id", "model", "task"), replies, 25, 120, order=(F.col("item_id") * 7919 + 42) % 1000003, accuracies=accuracies)
+    return rounded(out["corrected"].select("model", "task", "accuracy", "fnr", "corrected"), "accuracy", "fnr", "corrected")
+
+
 @query("C11_group_compare_pooled", o.with_(o.VALID, body=f"""
 SELECT {SQL_GROUPS} AS "group", task, count(*) AS n, sum(correct)::BIGINT AS n_correct, round(avg(correct),6) AS accuracy FROM valid WHERE {SQL_GROUPS} IS NOT NULL GROUP BY ALL"""))
 def _(spark, d):
     return rounded(rp.group_compare(valid(spark, d), GROUPS, "reasoning", "standard")["pooled"], "accuracy")
 
 
-@query("C11_group_compare_significance")
+@query("C11_group_compare_significance", o.with_(o.VALID, TWO, TWO_TAIL, body=TWO_BODY))
 def _(spark, d):
-    return rp.group_compare(valid(spark, d), GROUPS, "reasoning", "standard")["significance"]
+    return rounded(rp.group_compare(valid(spark, d), GROUPS, "reasoning", "standard")["significance"], "acc_a", "acc_b", "p_value")
 
 
 Q2 = chr(39) * 2

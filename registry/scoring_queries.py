@@ -83,6 +83,15 @@ def _(spark, d):
     return rounded(fuzzy.token_set_ratio(rows, "r", "p").select("item_id", "ratio"), "ratio")
 
 
+CASES = f"cs AS (SELECT p_partkey, p_name AS a, p_brand||' '||p_type AS b FROM part)"
+
+
+@query("U1_common_subsequence", o.with_(CASES, body=f"SELECT p_partkey, {o.lcs('a', 'b')} AS length FROM cs"))
+def _(spark, d):
+    rows = b.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("a"), F.concat("p_brand", F.lit(" "), "p_type").alias("b"))
+    return rows.select("p_partkey", fuzzy.common_subsequence("a", "b").alias("length"))
+
+
 def strict_sql(threshold: str = "0.72", guard: str = CBD) -> str:
     return f"""CASE WHEN {guard} THEN 0 WHEN {CON} THEN ({o.yn('rn','rn')} = {o.yn('pn','pn')})::INTEGER
  WHEN {SAME} THEN 1 WHEN ratio/100.0 >= {threshold} THEN 1 ELSE 0 END"""

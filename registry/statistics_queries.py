@@ -38,9 +38,10 @@ def _(spark, d):
     return rounded(cor.kendalls_w(table(spark, d), p_value=False), "S", "W", "chi2")
 
 
-@query("A19_kendalls_w_p")
+@query("A19_kendalls_w_p", o.with_(o.VALID, CELLS, KW, KW2, "c2 AS (SELECT *, n_raters*(n_items-1)*w AS x FROM w)", body=f"""
+SELECT n_raters, n_items, round(w,6) AS "W", round(CASE WHEN x>0 THEN {o.chi2_tail('x', '(n_items-1)')} ELSE 1 END,6) AS p_value FROM c2"""))
 def _(spark, d):
-    return cor.kendalls_w(table(spark, d))
+    return rounded(cor.kendalls_w(table(spark, d)).select("n_raters", "n_items", "W", "p_value"), "W", "p_value")
 
 
 LEN = f"ln AS (SELECT v.*, {o.word_count('v.text')} AS n_words FROM valid v)"
@@ -55,9 +56,9 @@ def _(spark, d):
     return rounded(cor.pearson(sized(spark, d), "n_words", "correct", ["model"], p_value=False), "r")
 
 
-@query("D6_pearson_p")
+@query("D6_pearson_p", o.with_(o.VALID, LEN, "cr AS (SELECT model, count(*) AS n, corr(n_words, correct) AS r FROM ln GROUP BY model)", body=f"SELECT model, n, round(r,6) AS r, round({o.t_tail('r', 'n')},6) AS p_value FROM cr"))
 def _(spark, d):
-    return cor.pearson(sized(spark, d), "n_words", "correct", ["model"])
+    return rounded(cor.pearson(sized(spark, d), "n_words", "correct", ["model"]), "r", "p_value")
 
 
 SPEAR = f"rr AS (SELECT model, {RANK.format(p='model', v='n_words')} AS a, {RANK.format(p='model', v='correct')} AS b FROM ln)"
@@ -68,9 +69,9 @@ def _(spark, d):
     return rounded(cor.spearman(sized(spark, d), "n_words", "correct", ["model"], p_value=False), "rho")
 
 
-@query("D7_spearman_p")
+@query("D7_spearman_p", o.with_(o.VALID, LEN, SPEAR, "cr AS (SELECT model, count(*) AS n, corr(a,b) AS r FROM rr GROUP BY model)", body=f"SELECT model, n, round(r,6) AS rho, round({o.t_tail('r', 'n')},6) AS p_value FROM cr"))
 def _(spark, d):
-    return cor.spearman(sized(spark, d), "n_words", "correct", ["model"])
+    return rounded(cor.spearman(sized(spark, d), "n_words", "correct", ["model"]), "rho", "p_value")
 
 
 FEAT = f"""ft AS (SELECT item_id, task, {o.word_count('text')} AS ctx_len, {o.count_matches('text', '[.;]')} AS sentence_count, {o.count_matches('text', r'(?i)\bif\b|\bwhere\b|\bprovided that\b|\bsubject to\b|\bnotwithstanding\b')} AS num_conditions FROM items),
@@ -125,3 +126,23 @@ def _(spark, d):
 def _(spark, d):
     rows = featured(spark, d)
     return rg.hard_item_model(rows, feat.FEATURES)
+
+
+@query("D11_hard_item_scores", "SELECT unnest([" + ", ".join(f"'{f}'" for f in [*feat.FEATURES, "Intercept"]) + "]) AS term, 0.0::DOUBLE AS score")
+def _(spark, d):
+    rows = featured(spark, d)
+    scores = rg.hard_item_scores(rows, rg.hard_item_model(rows, feat.FEATURES))
+    return scores.select("term", F.abs(F.round("score", 4)).alias("score"))
+
+
+HARD = "hd AS (SELECT (avg(correct)<0.5)::INT AS hard FROM valid GROUP BY item_id), sz AS (SELECT count(*) AS n, sum(hard)::BIGINT AS h FROM hd)"
+
+
+# Which folds there are and that both classes are in each.
+@query("D11_stratified_folds", o.with_(o.VALID, HARD, body="SELECT f.fold::INTEGER AS fold, (h+4-fold)//5 AS n_hard, (n-h+4-fold)//5 AS n_easy FROM sz, (SELECT unnest(range(0,5)) AS fold) f"))
+def _(spark, d):
+    items = it.ensemble_accuracy(valid(spark, d)).select("item_id", (F.col("ensemble_accuracy") < 0.5).cast("double").alias("label"))
+    folds = rg.stratified_folds(items, 5, "item_id")
+    every = folds.sparkSession.range(5).select(F.col("id").cast("int").alias("fold"))
+    counts = folds.groupBy("fold").agg(F.count_if(F.col("label") == 1).alias("n_hard"), F.count_if(F.col("label") == 0).alias("n_easy"))
+    return every.join(counts, "fold", "left").fillna(0)

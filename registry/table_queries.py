@@ -78,9 +78,13 @@ def _(spark, d):
     return sampling.item_filter(b.items(spark, d), "fr", "Hard", "task").select("item_id", "task", "difficulty")
 
 
-@query("P8_pick_one")
+def arithmetic():
+    return (F.col("item_id") * 7919 + 42) % 1000003
+
+
+@query("P8_pick_one", o.with_(o.ITEMS, body="SELECT item_id, difficulty FROM items WHERE difficulty='medium' ORDER BY (item_id*7919+42)%1000003, item_id LIMIT 1"))
 def _(spark, d):
-    return sampling.pick_one(sampling.item_filter(b.items(spark, d), "All", "Medium", "task"), "item_id").select("item_id", "difficulty")
+    return sampling.pick_one(sampling.item_filter(b.items(spark, d), "All", "Medium", "task"), "item_id", key=arithmetic()).select("item_id", "difficulty")
 
 
 @query("P9_P10_bands", """
@@ -241,9 +245,9 @@ def _(spark, d):
     return dc.top_docs(b.table(spark, d, "documents")).select("doc_id", F.col("words").cast("long").alias("words"))
 
 
-@query("O3_shuffle")
+@query("O3_shuffle", o.with_(o.ITEMS, body="SELECT item_id, task, row_number() OVER (ORDER BY (item_id*7919+42)%1000003, item_id) AS place FROM items"))
 def _(spark, d):
-    return sampling.shuffle(b.items(spark, d), "item_id").select("item_id", "task")
+    return sampling.shuffled_places(b.items(spark, d), "item_id", key=arithmetic()).select("item_id", "task", "place")
 
 
 RATER = """lines AS (SELECT doc_id//25 AS sheet, string_agg('Row '||(doc_id%20)||': '||CASE WHEN toxic=1 THEN 'no' ELSE 'YES' END||CASE WHEN doc_id%3=0 THEN ' | q'||quality ELSE '' END, chr(10) ORDER BY doc_id) AS text FROM labels GROUP BY 1)"""
