@@ -1,17 +1,17 @@
 """Phrases and their collocation scores by SON partitioning.
 
-Texts are split into pieces and words. The rows of a partition are mined in
-shards of bounded size, each completely, level by level: a phrase is looked at
-only if the two phrases one word shorter are frequent in the shard. A phrase
-that occurs ``support`` times in all texts occurs at least ``support`` times a
-shard's share of all bytes in one of the shards, so the union of the shards'
-frequent phrases misses none. A phrase that a shard left out can have occurred
-there at most one time less than its bar; candidates that stay below the
-support even so are not counted again.
-
-The second pass counts the candidates in all texts. It knows them by a bitmap
-of fixed size, which may let others pass but loses none, and counts by the
-phrases themselves, so the counts of all frequent phrases are exact.
+Texts are split into pieces and words. Tasks belong to SHARDS shards, and each
+shard is mined completely: a phrase that occurs ``support`` times in all texts
+occurs at least ``support`` times a shard's share of all bytes in one of the
+shards, so the union of the shards' frequent phrases misses none. Their number
+is fixed, so that bar stays as it is while texts grow; a shard is spread over
+many tasks and mined level by level: words, then pairs of its frequent words,
+then longer phrases whose pairs are all frequent, each counted by shard.
+
+The last pass counts the candidates in all texts. Passes know the phrases found
+so far by a bitmap of fixed size, which may let others pass but loses none, and
+the last one counts by the phrases themselves, so the counts of all frequent
+phrases are exact.
 """
 
 from __future__ import annotations
@@ -22,24 +22,31 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeframe.llm.shared import written
+from gradeframe.llm.shared import discard, written
 from gradeframe.llm.words import encoded, hashes, slices, text_bytes
 
 #: Words of the longest phrase.
 LONGEST = 5
-#: Words of a shard: what is mined at once.
-SHARD_WORDS = 4_000_000
+#: Shards of the corpus.
+SHARDS = 8
+#: Words that a task looks at together, about.
+BLOCK_WORDS = 2_000_000
+#: Bytes of text that are cut into words at once.
+READ_BYTES = 4 << 20
 #: Bits of the map of candidates; 16 MB, whatever the number of candidates.
 BITS = 1 << 27
+#: Tasks that the phrases of one language are dealt to.
+PARTS = 64
 ENDS = np.zeros(256, bool)
 ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Shard(NamedTuple):
+class Block(NamedTuple):
     """Words one after the other: places in ``vocab``, words left in the piece (from 1 up to LONGEST), places in ``langs``; and bytes of text."""
 
     codes: np.ndarray
@@ -50,7 +57,7 @@ class Shard(NamedTuple):
     n_bytes: int
 
 
-def read(batch: pa.RecordBatch) -> Shard:
+def read(batch: pa.RecordBatch) -> Block:
     """The words of a batch of texts and their languages, A-Z in lower case."""
     data, at = text_bytes(batch.column("text"))
     data = np.where((data >= 65) & (data <= 90), data | np.uint8(32), data)
@@ -70,10 +77,10 @@ def read(batch: pa.RecordBatch) -> Shard:
     ends = np.flatnonzero(last)
     room = np.minimum(ends[np.searchsorted(ends, np.arange(len(begins)))] - np.arange(len(begins)) + 1, LONGEST).astype(np.uint8)
     langs = batch.column("lang").dictionary_encode()
-    return Shard(codes.astype(np.int32), room, langs.indices.to_numpy(zero_copy_only=False)[docs].astype(np.int32), vocab, langs.dictionary, len(data))
+    return Block(codes.astype(np.int32), room, langs.indices.to_numpy(zero_copy_only=False)[docs].astype(np.int32), vocab, langs.dictionary, len(data))
 
 
-def _joined(parts: list[Shard]) -> Shard:
+def _joined(parts: list[Block]) -> Block:
     if len(parts) == 1:
         return parts[0]
 
@@ -84,13 +91,13 @@ def _joined(parts: list[Shard]) -> Shard:
 
     codes, vocab = renumbered([p.codes for p in parts], [p.vocab for p in parts])
     lang, langs = renumbered([p.lang for p in parts], [p.langs for p in parts])
-    return Shard(codes, np.concatenate([p.room for p in parts]), lang, vocab, langs, sum(p.n_bytes for p in parts))
+    return Block(codes, np.concatenate([p.room for p in parts]), lang, vocab, langs, sum(p.n_bytes for p in parts))
 
 
-def shards(batches: Iterator[pa.RecordBatch], limit: int = SHARD_WORDS) -> Iterator[Shard]:
-    """The rows of a partition in shards of about ``limit`` words."""
+def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_WORDS) -> Iterator[Block]:
+    """The rows of a partition in blocks of about ``limit`` words."""
     parts, size = [], 0
-    for batch in slices(batches):
+    for batch in slices(batches, limit=READ_BYTES):
         parts.append(read(batch))
         size += len(parts[-1].codes)
         if size >= limit:
@@ -100,68 +107,122 @@ def shards(batches: Iterator[pa.RecordBatch], limit: int = SHARD_WORDS) -> Itera
         yield _joined(parts)
 
 
-def levels(shard: Shard, least: int, may: Callable[[np.ndarray, int], np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(words, places, counts) of the shard's phrases: each once, by its first place, if it occurs ``least`` times and ``may`` (places, words) holds.
+def _numbered(key: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place of each distinct key, the number of each place's key, counts) of keys from 0 up to ``bound``."""
+    if bound > 4 * len(key):
+        _, at, numbers, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+        return at, numbers, counts
+    counts = np.bincount(key, minlength=bound)
+    used = np.flatnonzero(counts)
+    number = np.zeros(bound, np.int32)
+    number[used] = np.arange(len(used))
+    numbers, at = number[key], np.zeros(len(used), np.int64)
+    at[numbers] = np.arange(len(key))
+    return at, numbers, counts[used]
+
+
+def levels(block: Block, last: int, may: Callable[[np.ndarray, int], np.ndarray | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, places, counts) of the block's phrases of up to ``last`` words: each once, by one of its places, if ``may`` (places, words), a mask or None for all, holds for it and for all phrases within it.
 
     Phrases are told apart by the numbers of their first words and last word,
     not by hashes.
     """
-    n = len(shard.codes)
-    places, key = np.arange(n), shard.lang.astype(np.int64) * len(shard.vocab) + shard.codes
-    for k in range(1, LONGEST + 1):
-        if may is not None:
-            ok = may(places, k)
-            places, key = places[ok], key[ok]
+    n = len(block.codes)
+    places, key = np.arange(n, dtype=np.int32), block.lang.astype(np.int64) * len(block.vocab) + block.codes
+    bound = len(block.langs) * len(block.vocab)
+    for k in range(1, last + 1):
+        mask = may(places, k)
+        if mask is not None:
+            places, key = places[mask], key[mask]
         if not len(places):
             return
-        _, first, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        often = counts >= least
-        yield k, places[first[often]], counts[often]
+        at, numbers, counts = _numbered(key, bound)
+        yield k, places[at], counts
         now = np.full(n + 1, -1, np.int32)
-        now[places] = np.where(often, np.cumsum(often) - 1, -1)[inverse]
+        now[places] = numbers
         if k == 1:
-            words, n_words = now, np.int64(often.sum())
-        places = np.flatnonzero((shard.room > k) & (now[:-1] >= 0) & (now[1:] >= 0))
-        key = now[places] * n_words + words[places + k]
+            words, n_words = now, np.int64(len(at))
+        found = len(at)
+        del key, numbers
+        places = np.flatnonzero((block.room > k) & (now[:-1] >= 0) & (now[1:] >= 0)).astype(np.int32)
+        key, bound = now[places] * n_words + words[places + k], found * int(n_words)
 
 
 class Hasher:
-    """Hashes of a shard's phrases, the same in all shards."""
+    """Hashes of a block's phrases, the same in all blocks."""
 
-    def __init__(self, shard: Shard):
-        self.shard, self.of = shard, hashes(shard.vocab)
-        self.langs = hashes(shard.langs.cast(pa.binary()), seed=1)
+    def __init__(self, block: Block):
+        self.block, self.of = block, hashes(block.vocab)
+        self.langs = hashes(block.langs.cast(pa.binary()), seed=1)
 
     def __call__(self, places: np.ndarray, k: int) -> np.ndarray:
-        out = self.langs[self.shard.lang[places]]
+        out = self.langs[self.block.lang[places]]
         for j in range(k):
-            out = out * MIX + self.of[self.shard.codes[places + j]]
+            out = out * MIX + self.of[self.block.codes[places + j]]
         out ^= out >> np.uint64(31)
         out *= np.uint64(0xBF58476D1CE4E5B9)
         return out ^ (out >> np.uint64(29))
 
 
-def _mine(support: int, total_bytes: int, limit: int):
+def _known(bits: np.ndarray, named: Hasher) -> Callable[[np.ndarray, int], np.ndarray]:
+    """Whether the bitmap holds the phrases of ``k`` words at some places."""
+    last = np.uint64(len(bits) * 64 - 1)
+
+    def may(places: np.ndarray, k: int) -> np.ndarray:
+        h = named(places, k) & last
+        return (bits[h >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    return may
+
+
+def _mine(first: int, last: int, shared, limit: int):
+    """Counts of a task's phrases of ``first`` to ``last`` words by shard; shorter ones are those that ``shared`` knows.
+
+    Beside them stand the bytes of text (no phrase) and, under shard -1, the
+    words of all known pairs.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, limit):
-            # The least whole number that is not below the shard's share of the support.
-            least = max(1, -(-support * shard.n_bytes // max(total_bytes, 1)))
-            named, found = Hasher(shard), [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-            found += [(named(places, k), counts - (least - 1)) for k, places, counts in levels(shard, least)]
-            phrase, above = (np.concatenate(x) for x in zip(*found))
-            # The row without a phrase tells what the shard may have left out of any phrase.
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(phrase.view(np.int64)), pa.array([None], pa.int64())]), pa.array(np.append(above, least - 1))], ["phrase", "above"])
+        shard = TaskContext.get().partitionId() % SHARDS
+
+        def rows(shard: int, phrase: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+            names = pa.nulls(len(n), pa.int64()) if phrase is None else pa.array(phrase.view(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), names, pa.array(n.astype(np.int64))], ["shard", "phrase", "n"])
+
+        for block in blocks(batches, limit):
+            named = Hasher(block)
+            known = _known(shared.value, named) if shared else None
+            yield rows(shard, None, np.array([block.n_bytes]))
+            for k, places, counts in levels(block, last, lambda at, k: known(at, k) if k < first else None):
+                if k >= first:
+                    yield rows(shard, named(places, k), counts)
+                elif k == 2:
+                    needed = np.unique(np.concatenate([named(places, 1), named(places + 1, 1)]))
+                    yield rows(-1, needed, np.zeros(len(needed)))
 
     return run
 
 
-def candidates(docs: DataFrame, support: int, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(phrase): hashes of the phrases that may occur ``support`` times in one language."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    mined = docs.mapInArrow(_mine(support, total, shard_words), "phrase long, above long")
-    united = written(mined.groupBy("phrase").agg(F.sum("above").alias("above")), "locally-frequent")
-    slack = united.where("phrase is null").agg(F.sum("above")).first()[0] or 0
-    return united.where(F.col("phrase").isNotNull() & (F.col("above") + F.lit(slack) >= support)).select("phrase")
+def _locally_frequent(docs: DataFrame, support: int, first: int, last: int, known: np.ndarray | None, limit: int, bits: int) -> np.ndarray:
+    """A bitmap of what reaches its shard's bar in some shard, and of the words of known pairs."""
+    shared = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
+    mined = docs.mapInArrow(_mine(first, last, shared, limit), "shard int, phrase long, n long").groupBy("shard", "phrase").agg(F.sum("n").alias("n"))
+    local = written(mined, "local-counts")
+    sizes = {r["shard"]: r["n"] for r in local.where("phrase is null").collect()}
+    total = max(sum(sizes.values()), 1)
+    # The least whole number that is not below the shard's share of the support.
+    bars = F.array(*[F.lit(max(1, -(-support * sizes.get(i, 0) // total))) for i in range(SHARDS)])
+    found = bitmap(local.where(F.col("phrase").isNotNull() & ((F.col("shard") < 0) | (F.col("n") >= F.get(bars, F.col("shard"))))).select("phrase"), bits)
+    discard(local)
+    return found
+
+
+def candidates(docs: DataFrame, support: int, block_words: int = BLOCK_WORDS, bits: int = BITS) -> np.ndarray:
+    """A bitmap of the phrases of two words and more that may occur ``support`` times in one language, and of the words within them."""
+    words = _locally_frequent(docs, support, 1, 1, None, block_words, bits)
+    pairs = _locally_frequent(docs, support, 2, 2, words, block_words, bits)
+    # Known words and pairs in one map: a pair is looked up as a pair only.
+    return pairs | _locally_frequent(docs, support, 3, LONGEST, words | pairs, block_words, bits)
 
 
 def bitmap(phrases: DataFrame, bits: int = BITS) -> np.ndarray:
@@ -175,32 +236,25 @@ def bitmap(phrases: DataFrame, bits: int = BITS) -> np.ndarray:
 
 def _count(shared, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        last = np.uint64(len(known) * 64 - 1)
-        for shard in shards(batches, limit):
-            named = Hasher(shard)
-
-            def may(places: np.ndarray, k: int) -> np.ndarray:
-                h = named(places, k) & last
-                return (known[h >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+        for block in blocks(batches, limit):
 
             def rows(lang: np.ndarray, phrase: pa.Array, k: int, counts: np.ndarray) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([shard.langs.take(pa.array(lang)), phrase, pa.array(np.full(len(counts), k, np.int32)), pa.array(counts.astype(np.int64))], ["lang", "phrase", "words", "n"])
+                return pa.RecordBatch.from_arrays([block.langs.take(pa.array(lang)), phrase, pa.array(np.full(len(counts), k, np.int32)), pa.array(counts.astype(np.int64))], ["lang", "phrase", "words", "n"])
 
-            n = np.bincount(shard.lang, minlength=len(shard.langs))
+            n = np.bincount(block.lang, minlength=len(block.langs))
             yield rows(np.arange(len(n)), pa.array([""] * len(n), pa.string()), 0, n)
-            for k, places, counts in levels(shard, 1, may):
-                parts = [shard.vocab.take(pa.array(shard.codes[places + j])) for j in range(k)]
-                yield rows(shard.lang[places], pc.binary_join_element_wise(*parts, b" ").cast(pa.string()), k, counts)
+            for k, places, counts in levels(block, LONGEST, _known(shared.value, Hasher(block))):
+                parts = [block.vocab.take(pa.array(block.codes[places + j])) for j in range(k)]
+                yield rows(block.lang[places], pc.binary_join_element_wise(*parts, b" ").cast(pa.string()), k, counts)
 
     return run
 
 
-def phrase_counts(docs: DataFrame, support: int, shard_words: int = SHARD_WORDS, bits: int = BITS) -> DataFrame:
-    """(lang, phrase, words, n): exact counts of all phrases of up to LONGEST words that occur ``support`` times; words 0 is the number of all words."""
+def phrase_counts(docs: DataFrame, support: int, block_words: int = BLOCK_WORDS, bits: int = BITS) -> DataFrame:
+    """(lang, phrase, words, n): exact counts of all phrases of two to LONGEST words that occur ``support`` times, and of the words within them; words 0 is the number of all words."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null")
-    known = docs.sparkSession.sparkContext.broadcast(bitmap(candidates(texts, support, shard_words), bits))
-    counted = texts.mapInArrow(_count(known, shard_words), "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    known = docs.sparkSession.sparkContext.broadcast(candidates(texts, support, block_words, bits))
+    counted = texts.mapInArrow(_count(known, block_words), "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
     return written(counted.where((F.col("words") == 0) | (F.col("n") >= support)), "phrases")
 
 
@@ -208,7 +262,7 @@ def _run(first: Column, size: Column) -> Column:
     return F.array_join(F.slice("w", first, size), " ")
 
 
-def collocations(docs: DataFrame, support: int = 100, top: int = 2000, covered: int = 100, shard_words: int = SHARD_WORDS, bits: int = BITS) -> DataFrame:
+def collocations(docs: DataFrame, support: int = 100, top: int = 2000, covered: int = 100, block_words: int = BLOCK_WORDS, bits: int = BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of 2 to LONGEST words by collocation score.
 
     ``docs`` (lang, text): A-Z are lowered, pieces end at ``. , ; : ! ?`` and
@@ -223,7 +277,7 @@ def collocations(docs: DataFrame, support: int = 100, top: int = 2000, covered:
     languages without frequent phrases, and empty tables, give no rows. Other
     columns are not read.
     """
-    counts = phrase_counts(docs, support, shard_words, bits)
+    counts = phrase_counts(docs, support, block_words, bits)
     words = counts.where("words = 0").select("lang", F.col("n").alias("all"))
     phrases = counts.where("words >= 2").select("lang", "phrase", "words", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
 
@@ -233,7 +287,10 @@ def collocations(docs: DataFrame, support: int = 100, top: int = 2000, covered:
     for side, n in (("left", "l"), ("right", "r")):
         cuts = cuts.join(counts.where("words > 0").select("lang", F.col("phrase").alias(side), F.col("n").alias(n)), ["lang", side])
     score = F.expr("(cast(1000 as decimal(4,0)) * cast(a as decimal(17,0)) * cast(all as decimal(17,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
-    scored = cuts.join(words, "lang").withColumn("score", score)
+    # A language is one key of few; its phrases are dealt to PARTS tasks.
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS)).cast("int")
+    words = words.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    scored = cuts.withColumn("part", part).join(words, ["lang", "part"]).withColumn("score", score)
     scored = scored.groupBy("lang", "phrase", "a", F.col("all").alias("n")).agg(F.min(F.struct("score", "cut", "l", "r")).alias("least"))
 
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("words") - 1), lambda k: F.transform(F.sequence(F.lit(1), F.col("words") - k + 1), lambda i: _run(i, k))))

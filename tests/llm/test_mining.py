@@ -96,20 +96,25 @@ def sentences():
 def test_collocations_match_brute_force(spark, sentences):
     df = spark.createDataFrame([(*r, 1, "x", 2) for r in sentences], TEXTS).repartition(5)
     for support, top, words in ((8, 2000, 10**6), (8, 5, 100), (15, 40, 700)):
-        got = collocations.collocations(df, support, top, shard_words=words, bits=1 << 12)
+        got = collocations.collocations(df, support, top, block_words=words, bits=1 << 12)
         assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
         assert Counter(tuple(r) for r in got.collect()) == mined(sentences, support, top)
     assert any(r.phrase == "the quick brown fox jumps" for r in collocations.collocations(df, 8).collect())
     assert collocations.collocations(df.where("lang = 'no'"), 8).collect() == []
 
 
-def test_candidates_of_small_shards_are_pruned(spark, sentences):
-    """Shards in which the support is below one occurrence add up to exact counts, so nothing rare stays a candidate."""
-    df = spark.createDataFrame([(*r, 1, "x", 2) for r in sentences], TEXTS).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null").repartition(40)
-    counts = collocations.phrase_counts(df, 8, shard_words=1)
-    assert collocations.candidates(df, 8, shard_words=1).count() == counts.where("words > 0").count()
+def test_only_words_of_phrases_are_counted(spark, sentences):
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in sentences], TEXTS).repartition(40)
+    counts = collocations.phrase_counts(df, 8, block_words=1)
     used = {w for r in counts.where("words > 1").collect() for w in r.phrase.split(" ")}
-    assert {r.phrase for r in counts.where("words = 1").collect()} == used
+    assert used and {r.phrase for r in counts.where("words = 1").collect()} == used
+
+
+def test_shards_share_the_support(spark):
+    """A phrase of one occurrence per shard is found although no shard holds two; rarer pairs are left out early."""
+    rows = [("en", f"red kite {i} unique{i} pair{i}", 1, "x", 2) for i in range(8)]
+    df = spark.createDataFrame(rows, TEXTS).repartition(8)
+    assert [(r.phrase, r.a) for r in collocations.collocations(df, 8).collect()] == [("red kite", 8)]
 
 
 def page(main: str, menu: str = "", extra: str = "") -> str:
@@ -144,7 +149,7 @@ def test_repeats_on_a_host_are_boilerplate(spark):
     rows += [rows[0], (44, "https://big.example/copy", rows[1][2]), (45, "https://big.example/same", "<article>" + text[2] + "</article>")]
     df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], PAGES).repartition(4)
     want = {i: text[i] for i in range(40)} | {40: " ".join(f"menu{i}" for i in range(12)) + "\n" + text[40], 41: text[41], 42: text[42], None: text[43], 44: text[1], 45: text[2]}
-    # The text of page 0 stands on page 41 too, with others: it is a repeat there, and page 0 is a copy that stays whole but for ... its menu and text both.
+    # The text of page 0 stands on page 41 too, with another one: there it is a repeat. Page 0, all of whose blocks stand elsewhere, stays whole.
     want[0] = " ".join(f"menu{i}" for i in range(12)) + "\n" + text[0]
     assert extracted(df) == want
     assert host_arrays.extract(df).count() == len(rows)
