@@ -388,7 +388,7 @@ def test_pipeline_stages_keep_clean_documents(spark):
     assert accepted.columns == docs.columns and 0.6 * docs.count() < accepted.count() < docs.count()
     kept = corpus_pipeline.near_dedup(spark, accepted, d)
     groups = minmax_hash.near_duplicates(accepted, k=corpus_pipeline.SHINGLE)
-    assert kept.count() == groups.select("component_id").distinct().count()
+    assert {r.doc_id for r in kept.collect()} == {r.component_id for r in groups.collect()}
     packed = corpus_pipeline.run(spark, d)
     assert packed.select("doc_id").distinct().count() == kept.count()
 
@@ -402,5 +402,36 @@ def test_pipeline_near_dedup_takes_five_words(spark):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs(close), "").collect()} == {0}
 
 
+def test_pipeline_near_dedup_judges_rows(spark):
+    """Equal rows leave one, two texts under one doc_id are judged each, all against brute force."""
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(200)]
+    long = [" ".join(rng.choice(vocab) for _ in range(60)) for _ in range(8)]
+    near = [t + " tail" for t in long[:4]]
+    rows = [(1, long[0]), (1, long[0]), (2, long[1]), (2, long[2]), (3, near[0]), (4, near[1]), (None, long[2]), (None, long[3]), (9, near[3]), (5, long[4]), (5, long[4] + " end"), (None, long[5]), (None, long[5]), (6, None), (7, ""), (8, "short text"), (10, "Short TEXT")]
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                group = [group[j] if g == group[i] else g for g in group]
+    wanted = []
+    for g in set(group):
+        mine = [rows[i] for i in range(len(rows)) if group[i] == g]
+        best = min((r[0] is None, r[0] or 0) for r in mine)
+        wanted.append({(r[0], r[1]) for r in mine if (r[0] is None, r[0] or 0) == best})
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert len(kept) == len(wanted)
+    # One row of each group: that with the smallest doc_id, whichever of its rows where several have it.
+    for row in kept:
+        wanted.remove(next(w for w in wanted if row in w))
+    assert not wanted
+    assert corpus_pipeline.near_dedup(spark, docs.where("doc_id < 0"), "").collect() == []
+
+
 def test_every_oracle_has_its_query():
     assert set(ORACLE) <= set(QUERIES) and len(QUERIES) == 13
