@@ -133,7 +133,23 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
     return wacz.round_trip(_table(spark, d, "pages"))
 
 
-@_query("op9_minmax_near_duplicates")
+@_query("op9_minmax_near_duplicates", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS gram FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g AS a JOIN g AS b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n AS a ON a.doc_id = x JOIN n AS b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)
+), r AS (
+  SELECT doc_id AS id, doc_id AS root FROM w UNION SELECT l.y, r.root FROM r JOIN l ON r.id = l.x
+)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, min(root) AS component_id, min(root) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.id = w.doc_id GROUP BY w.doc_id, n
+""")
 def op9(spark: SparkSession, d: str) -> DataFrame:
     return minmax_hash.near_duplicates(_table(spark, d, "documents"))
 
