@@ -23,8 +23,8 @@ from gradeframe.llm.shared import written
 BLOCK_VECTORS, BLOCK_QUERIES = 8192, 2048
 #: Shares of a block's postings after which a proof is tried.
 STOPS = (0.35, 0.55, 0.75, 0.9)
-#: A block's members few enough to be rescored: so many, or so large a share.
-FEW, SHARE = 256, 0.1
+#: Share of a block's members few enough to be rescored.
+SHARE = 0.1
 
 
 def quantised(vector: Column, levels: int = 256) -> Column:
@@ -61,7 +61,7 @@ class ImpactIndex:
         visited = np.cumsum(self.sizes[order])
         done, at = np.zeros(len(query), np.int64), 0
         found, met = np.zeros(n), np.zeros(n)
-        for stop in STOPS if len(query) and len(members) > max(FEW, k) else ():
+        for stop in STOPS if len(query) and len(members) > k else ():
             to = int(np.searchsorted(visited, stop * visited[-1]))
             part = order[at:to]
             # Within a dimension contributions fall along the list, or rise if the component is negative: segments join to one run.
@@ -77,7 +77,7 @@ class ImpactIndex:
             # Each dimension in which a vector was not met yet adds at most the next segment's contribution.
             next_gain = float(gains[order[to]]) if to < len(order) else 0.0
             possible = np.flatnonzero(mine & (found + (np.count_nonzero(query) - met) * next_gain >= kth))
-            if len(possible) <= max(FEW, k, n * SHARE):
+            if len(possible) <= max(k, n * SHARE):
                 members = possible
                 break
         scores = self.vectors[members] @ query
