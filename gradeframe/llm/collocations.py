@@ -17,6 +17,8 @@ phrases are exact.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 import numpy as np
@@ -39,6 +41,8 @@ BLOCK_WORDS = 2_000_000
 READ_BYTES = 4 << 20
 #: Bits of the map of candidates; 16 MB, whatever the number of candidates.
 BITS = 1 << 27
+#: Counts of blocks that a task merges before it passes them on.
+HELD_ROWS = 1_000_000
 #: Tasks that the phrases of one language are dealt to.
 PARTS = 64
 ENDS = np.zeros(256, bool)
@@ -206,13 +210,17 @@ def _mine(first: int, last: int, shared, limit: int):
 def _locally_frequent(docs: DataFrame, support: int, first: int, last: int, known: np.ndarray | None, limit: int, bits: int) -> np.ndarray:
     """A bitmap of what reaches its shard's bar in some shard, and of the words of known pairs."""
     shared = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
-    mined = docs.mapInArrow(_mine(first, last, shared, limit), "shard int, phrase long, n long").groupBy("shard", "phrase").agg(F.sum("n").alias("n"))
-    local = written(mined, "local-counts")
-    sizes = {r["shard"]: r["n"] for r in local.where("phrase is null").collect()}
-    total = max(sum(sizes.values()), 1)
+    mined = docs.mapInArrow(_mine(first, last, shared, limit), "shard int, phrase long, n long")
+    by_shard = [F.coalesce(F.sum(F.when(F.col("shard") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(SHARDS)]
+    counts = mined.groupBy("phrase").agg(*by_shard, F.max(F.col("shard") < 0).alias("needed"))
+    # All shards' counts are there, so what stays below the support in their sum goes before anything is written.
+    enough = sum((F.col(f"n{i}") for i in range(SHARDS)), F.lit(0)) >= support
+    local = written(counts.where(F.col("phrase").isNull() | F.col("needed") | enough), "local-counts")
+    sizes = [local.where("phrase is null").agg(F.sum(f"n{i}")).first()[0] or 0 for i in range(SHARDS)]
     # The least whole number that is not below the shard's share of the support.
-    bars = F.array(*[F.lit(max(1, -(-support * sizes.get(i, 0) // total))) for i in range(SHARDS)])
-    found = bitmap(local.where(F.col("phrase").isNotNull() & ((F.col("shard") < 0) | (F.col("n") >= F.get(bars, F.col("shard"))))).select("phrase"), bits)
+    bars = [max(1, -(-support * size // max(sum(sizes), 1))) for size in sizes]
+    frequent = reduce(or_, (F.col(f"n{i}") >= bar for i, bar in enumerate(bars)))
+    found = bitmap(local.where(F.col("phrase").isNotNull() & (F.col("needed") | frequent)).select("phrase"), bits)
     discard(local)
     return found
 
@@ -235,17 +243,27 @@ def bitmap(phrases: DataFrame, bits: int = BITS) -> np.ndarray:
 
 
 def _count(shared, limit: int):
+    def merged(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held:
+            whole = pa.Table.from_batches(held).group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")])
+            yield from whole.select(["lang", "phrase", "words", "n_sum"]).rename_columns(["lang", "phrase", "words", "n"]).to_batches(max_chunksize=100_000)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for block in blocks(batches, limit):
 
             def rows(lang: np.ndarray, phrase: pa.Array, k: int, counts: np.ndarray) -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([block.langs.take(pa.array(lang)), phrase, pa.array(np.full(len(counts), k, np.int32)), pa.array(counts.astype(np.int64))], ["lang", "phrase", "words", "n"])
 
             n = np.bincount(block.lang, minlength=len(block.langs))
-            yield rows(np.arange(len(n)), pa.array([""] * len(n), pa.string()), 0, n)
+            held.append(rows(np.arange(len(n)), pa.array([""] * len(n), pa.string()), 0, n))
             for k, places, counts in levels(block, LONGEST, _known(shared.value, Hasher(block))):
                 parts = [block.vocab.take(pa.array(block.codes[places + j])) for j in range(k)]
-                yield rows(block.lang[places], pc.binary_join_element_wise(*parts, b" ").cast(pa.string()), k, counts)
+                held.append(rows(block.lang[places], pc.binary_join_element_wise(*parts, b" ").cast(pa.string()), k, counts))
+            if sum(x.num_rows for x in held) > HELD_ROWS:
+                yield from merged(held)
+                held = []
+        yield from merged(held)
 
     return run
 
