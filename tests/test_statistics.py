@@ -259,6 +259,6 @@ def test_bootstraps_take_text_ids_and_gaps(spark):
     text = spark.createDataFrame(rows, "item_id string, model string, task string, correct int")
     gaps = text.withColumn("item_id", F.regexp_replace("item_id", "REG_", "").cast("long"))
     dense = gaps.withColumn("item_id", F.expr("item_id div 10"))
-    runs = {k: sorted(map(tuple, pr.paired_bootstrap_indexed(v, "a", "b").collect())) for k, v in {"gaps": gaps, "dense": dense, "text": text}.items()}
+    runs = {k: sorted(map(tuple, pr.paired_bootstrap_indexed(v, "a", "b", replicates=20).collect())) for k, v in {"gaps": gaps, "dense": dense, "text": text}.items()}
     assert runs["gaps"] == runs["dense"] and len(runs["text"]) == 20
     assert pr.two_sample_bootstrap(text, {"a": "x", "b": "y"}, "x", "y").first()["n"] == 50
