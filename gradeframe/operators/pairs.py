@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +30,8 @@ SYSTEMS, WORDS = 256, 4096
 ITEM_BUCKETS = 1024
 #: Parts that each side of a grid of systems is dealt to.
 PARTS = 8
+#: Indexed bootstrap: items in a row and in a task (one number each), replicates in a block, draws made at once, tasks.
+PART, SPAN, BLOCK_REPLICATES, DRAWS, TASKS = 1 << 14, 1 << 24, 50, 1 << 15, 200
 
 
 def aligned_pairs(df: DataFrame, a: str, b: str, item: str = "item_id", model: str = "model", correct: str = "correct", keep: list[str] | None = None) -> DataFrame:
@@ -231,30 +234,65 @@ def _along(df: DataFrame, by: list[str], item: str, carry: DataFrame | None = No
     return numbered(hashed, by, "_hash", [item], "_pos", bounds=HASH_BOUNDS, carry=carry).drop("_hash")
 
 
+def _drawn_sums(n: int, span: int):
+    """For a block of replicates and a span of items: sums and counts of the draws that hit the span."""
+    prime = 2147483647
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = sorted(zip(table.column("_part").to_pylist(), range(table.num_rows)))
+        held = table.column("_d").combine_chunks()
+        ends, flat = held.offsets.to_numpy(), held.values.to_numpy()
+        d = np.concatenate([flat[ends[i] : ends[i + 1]] for _, i in parts])
+        low, replicates = table.column("_span")[0].as_py() * span, table.column("_replicates")[0].as_py()
+        sums, hits = np.zeros(len(replicates), np.result_type(d, np.int64)), np.zeros(len(replicates), np.int64)
+        for start in range(0, n, DRAWS):
+            j = np.arange(start, min(start + DRAWS, n), dtype=np.int64)
+            step = j * 48271
+            for k, r in enumerate(replicates):
+                x = (step + (r + 1) * 16807) % prime
+                y = (x * x + r) % prime
+                at = (y * y + j) % prime % n
+                if n > len(d):
+                    at = at[(at >= low) & (at < low + len(d))] - low
+                sums[k] += d[at].sum()
+                hits[k] += len(at)
+        return pa.table({"replicate": pa.array(replicates, pa.int64()), "sum": sums.astype(float), "n": hits})
+
+    return run
+
+
 def paired_bootstrap_indexed(
     df: DataFrame, a: str, b: str, index: str = "item_id", replicates: int = REPLICATES,
-    model: str = "model", correct: str = "correct",
+    model: str = "model", correct: str = "correct", part: int = PART, span: int = SPAN,
 ) -> DataFrame:
     """D3: explicit replicates whose draws come from arithmetic, for exact checks.
 
     The items both systems answered are numbered 0..n-1 along ``index`` (text
     ids along their hash). Draw j of replicate r takes an item by squaring
     ``j*48271 + (r+1)*16807`` twice modulo 2^31-1. The work is replicates * n
-    rows, so this is the check of D2, not its replacement.
+    draws, so this is the check of D2, not its replacement.
+
+    Differences are packed, ``part`` to a row. A task takes a block of
+    replicates and a span of about ``span`` items, makes all draws and adds up
+    those that hit its span, so no draw becomes a row. Runs at once to pack.
     """
     shared = _along(aligned_pairs(df, a, b, index, model, correct), [], index).select(
         (F.col("_pos") - 1).alias("_i"), (F.col("correct_a") - F.col("correct_b")).alias("_d")
     )
-    size = shared.select(F.count(F.lit(1))).scalar()
-    observed = shared.select(F.avg(F.col("_d").cast("double"))).scalar()
-    draws = shared.select(F.col("_i").alias("_j"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("replicate"))
-    j, r, prime = F.col("_j"), F.col("replicate"), 2147483647
-    x = (j * 48271 + (r + 1) * 16807) % prime
-    y = (x * x + r) % prime
-    target = ((y * y + j) % prime) % size
-    drawn = draws.select("replicate", target.alias("_i")).join(shared, "_i")
-    means = drawn.groupBy("replicate").agg(F.avg("_d").alias("mean_delta"))
-    means = means.withColumn("observed", observed)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_d"))), lambda x: x["_d"])
+    ensure_checkpoint_dir(df.sparkSession)
+    packed = shared.groupBy(F.floor(F.col("_i") / part).alias("_part")).agg(ordered.alias("_d")).checkpoint()
+    size = F.sum(F.size("_d").cast("long")).alias("n")
+    told = packed.agg(size, F.sum(F.aggregate("_d", F.lit(0.0), lambda s, x: s + x)).alias("total")).first()
+    n, parts = told["n"] or 0, max(1, span // part)
+    blocks = F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(BLOCK_REPLICATES))
+    each = F.sequence(F.col("_first"), F.least(F.col("_first") + BLOCK_REPLICATES, F.lit(replicates)) - 1)
+    rows = packed.select("_part", "_d", F.floor(F.col("_part") / parts).alias("_span"), F.explode(blocks).alias("_first")).withColumn("_replicates", each)
+    # So few bytes would be put into few tasks, but the work is in the draws.
+    tasks = min(TASKS, -(-replicates // BLOCK_REPLICATES) * max(1, -(-n // (parts * part))))
+    sums = rows.repartition(tasks, "_first", "_span").groupBy("_first", "_span").applyInArrow(_drawn_sums(n, parts * part), "replicate long, sum double, n long")
+    means = sums.groupBy("replicate").agg((F.sum("sum") / F.sum("n")).alias("mean_delta"))
+    means = means.withColumn("observed", F.lit(told["total"] / n if n else None).cast("double"))
     extreme = F.abs(F.round(F.col("mean_delta") - F.col("observed"), 9)) >= F.round(F.abs("observed"), 9)
     return means.withColumn("extreme", F.when(extreme, 1).otherwise(0))
 
