@@ -60,16 +60,19 @@ def _(spark, d):
 PER_FOLDER = 500
 
 
-@query("IO4_text_files", """
-SELECT doc_id//500 AS folder, count(*) AS n, md5(string_agg(text, chr(10)||chr(0)||chr(10) ORDER BY text)) AS texts_md5 FROM (SELECT doc_id, coalesce(text,'') AS text FROM documents) GROUP BY 1""")
+@query("IO4_text_files", "SELECT doc_id, md5(coalesce(text, '') || chr(10)) AS text_md5 FROM documents")
 def _(spark, d):
-    """Many documents per folder and file: one file of a folder's texts, each text ended by a mark."""
-    path = folder(spark)
-    docs = b.table(spark, d, "documents").select(F.floor(F.col("doc_id") / PER_FOLDER).alias("folder"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n\0")).alias("value"))
+    """Many documents per folder and file, each with its id; a row for every document with its whole text.
+
+    A record is an id, a colon and the text, ended by NUL 2; a NUL within a text is followed by 1.
+    """
+    path, i = folder(spark), F.col("doc_id")
+    record = F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), F.replace(F.coalesce("text", F.lit("")), F.lit("\0"), F.lit("\0\1")), F.lit("\0\2"))
+    docs = b.table(spark, d, "documents").select(F.floor(i / PER_FOLDER).alias("folder"), record.alias("value"))
     docs.repartition("folder").write.partitionBy("folder").text(path)
-    read = read_corpus(spark, path, "*.txt").select(F.regexp_extract("path", r"folder=(\d+)/", 1).cast("long").alias("folder"), F.explode(F.split("text", "\n\0\n")).alias("text")).where("text <> ''")
-    texts = F.array_sort(F.collect_list("text"))
-    return read.groupBy("folder").agg(F.count("*").alias("n"), F.md5(F.array_join(texts, "\n\0\n")).alias("texts_md5"))
+    records = read_corpus(spark, path, "*.txt").select(F.explode(F.split("text", "\0\2\n")).alias("record")).where("record <> ''")
+    text = F.replace(F.expr("substr(record, instr(record, ':') + 1)"), F.lit("\0\1"), F.lit("\0"))
+    return records.select(F.nullif(F.substring_index("record", ":", 1), F.lit("")).cast("long").alias("doc_id"), F.md5(F.concat(text, F.lit("\n"))).alias("text_md5"))
 
 
 @query("IO6_prompt_templates", """

@@ -39,3 +39,11 @@ def test_yes_no_ends_at_other_letters(spark):
     given = ["caféno", "yesé", "nó", "_no", "no1", "a yes"]
     found = spark.createDataFrame(list(enumerate(given)), "i int, s string").select("i", t.yn_first("s").alias("x")).collect()
     assert [r["x"] for r in sorted(found)] == ["no", "yes", "no", "", "", "yes"]
+
+
+def test_text_files_give_every_document(spark, tmp_path):
+    """A row for each document: empty and null texts, marks within texts, equal texts of a folder."""
+    texts = ["", None, "a\n\0\nb", "same", "same", "\0\2\n1:x", "end\0", "r\r\nn", "1:2"]
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}), tmp_path / "documents.parquet")
+    found = registry.QUERIES["IO4_text_files"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [(i, hashlib.md5(((x or "") + "\n").encode()).hexdigest()) for i, x in enumerate(texts)]
