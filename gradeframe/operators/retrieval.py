@@ -18,8 +18,10 @@ from gradeframe.functions.text import col
 
 BLOCK_QUERIES = 2_000
 BLOCK_VECTORS = 20_000
-#: Queries whose scores with a batch of vectors are held at once.
-ROWS = 256
+#: Blocks of a side up to which small blocks are kept, and rows that a block then grows to before there are more.
+GRID, BLOCK_ROWS = 16, 50_000
+#: Queries and vectors whose scores are held at once, and candidates for each query up to which they are sorted.
+ROWS, TILE, MANY = 256, 4096, 16
 #: Queries up to which they are sent to the vectors.
 FEW_QUERIES = 2_000
 
@@ -34,30 +36,56 @@ class _Best:
 
     def __init__(self, queries: np.ndarray, own: np.ndarray | None, k: int):
         self.queries, self.own, self.k = _unit(queries), own, k
-        self.scores, self.ids = np.zeros((len(queries), 0)), None
+        self.scores, self.ids = np.full((len(queries), k), -np.inf), None
 
     def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         if not len(ids) or not len(self.queries):
             return
+        if self.ids is None:
+            self.scores, self.ids = np.full((len(self.queries), self.k), -np.inf), np.zeros((len(self.queries), self.k), ids.dtype)
+        elif self.ids.dtype != ids.dtype:
+            self.ids = self.ids.astype(np.promote_types(self.ids.dtype, ids.dtype))
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], _unit(vectors[order])
-        keep = min(self.k, len(ids))
-        found_scores, found_at = np.full((len(self.queries), keep), -np.inf), np.zeros((len(self.queries), keep), np.int64)
-        for i in range(0, len(self.queries), ROWS):
-            scores = np.round(self.queries[i : i + ROWS] @ vectors.T, 9)
-            if self.own is not None:
-                scores[self.own[i : i + ROWS, None] == ids[None, :]] = -np.inf
-            rows = np.arange(len(scores))
+        for j in range(0, len(ids), TILE):
+            for i in range(0, len(self.queries), ROWS):
+                self._tile(i, ids[j : j + TILE], self.queries[i : i + ROWS] @ vectors[j : j + TILE].T)
+
+    def _tile(self, start: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Take in the scores of some queries with vectors in the order of their ids."""
+        n = len(scores)
+        if self.own is not None:
+            own = self.own[start : start + n]
+            low, high = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")
+            for row in np.flatnonzero(high > low):
+                scores[row, low[row] : high[row]] = -np.inf
+        # Scores count by nine decimals; what is further below the last one kept cannot enter.
+        open_ = scores >= (self.scores[start : start + n, -1] - 1e-9)[:, None]
+        if np.count_nonzero(open_) > MANY * n:
+            scores, keep = np.where(np.isnan(scores), -np.inf, np.round(scores, 9)), min(self.k, len(ids))
+            row, at = np.repeat(np.arange(n), keep), np.zeros((n, keep), np.int64)
+            value, rows = np.zeros((n, keep)), np.arange(n)
             for j in range(keep):
                 # The first of equal maxima is the smallest id.
-                at = scores.argmax(1)
-                found_scores[i : i + ROWS, j], found_at[i : i + ROWS, j] = scores[rows, at], at
-                scores[rows, at] = -np.inf
-        found = ids[found_at]
-        scores = np.concatenate([self.scores, found_scores], 1)
-        known = found if self.ids is None else np.concatenate([self.ids, found], 1)
-        order = np.lexsort((known, -scores), axis=1)[:, : self.k]
-        self.scores, self.ids = np.take_along_axis(scores, order, 1), np.take_along_axis(known, order, 1)
+                at[:, j] = scores.argmax(1)
+                value[:, j] = scores[rows, at[:, j]]
+                scores[rows, at[:, j]] = -np.inf
+            at, value = at.ravel(), value.ravel()
+        else:
+            row, at = np.divmod(np.flatnonzero(open_), len(ids))
+            value = np.round(scores[row, at], 9)
+        use = np.isfinite(value)
+        row, at, value = row[use], at[use], value[use]
+        if not len(row):
+            return
+        met = np.unique(row)
+        row = np.concatenate([np.repeat(met, self.k), row])
+        value = np.concatenate([self.scores[start + met].ravel(), value])
+        names = np.concatenate([self.ids[start + met].ravel(), ids[at]])
+        order = np.lexsort((names, -value, row))
+        row, value, names = row[order], value[order], names[order]
+        first = np.searchsorted(row, met)[:, None] + np.arange(self.k)
+        self.scores[start + met], self.ids[start + met] = value[first], names[first]
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, id, score) of the vectors kept, queries by place."""
@@ -104,9 +132,12 @@ def _few(asked: list, vectors: DataFrame, k: int, schema: T.StructType, exclude_
 
 
 def _many(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType, exclude_self: bool, block_queries: int, block_vectors: int) -> DataFrame:
-    """Blocks of queries meet blocks of vectors; each pair of blocks is one task."""
-    n_q = max(1, -(-queries.count() // block_queries))
-    n_v = max(1, -(-vectors.count() // block_vectors))
+    """Blocks of queries meet blocks of vectors; each pair of blocks is one task.
+
+    A row is copied once for every block of the other side, so blocks grow with
+    the table before there are more than GRID of them.
+    """
+    n_q, n_v = (max(1, min(GRID, -(-n // size)), -(-n // max(size, BLOCK_ROWS))) for n, size in ((queries.count(), block_queries), (vectors.count(), block_vectors)))
     every_q, every_v = F.sequence(F.lit(0), F.lit(n_q - 1)), F.sequence(F.lit(0), F.lit(n_v - 1))
     q = queries.select("*", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("_qb"), F.explode(every_v).alias("_vb"))
     v = vectors.select(
@@ -125,6 +156,8 @@ def _many(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType,
             out.append(pd.DataFrame({"query_id": own[query], "vec_id": ids, "score": scores}))
         return pd.concat(out[1:] or out)
 
+    tasks = min(n_q * n_v, GRID * GRID)
+    q, v = (x.repartition(tasks, "_qb", "_vb") for x in (q, v))
     return q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb")).applyInPandas(best, schema)
 
 

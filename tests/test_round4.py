@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 import registry
 from gradeframe.functions import text as t
 from gradeframe.operators import pairs as pr
+from gradeframe.operators import retrieval
 
 registry.load_all()
 
@@ -47,3 +49,20 @@ def test_text_files_give_every_document(spark, tmp_path):
     pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}), tmp_path / "documents.parquet")
     found = registry.QUERIES["IO4_text_files"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, found)) == [(i, hashlib.md5(((x or "") + "\n").encode()).hexdigest()) for i, x in enumerate(texts)]
+
+
+def vectors_of(spark, n):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 6)]) for i in range(n)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+
+
+def test_blocks_grow_before_they_become_many(spark, monkeypatch):
+    """A row is copied once for every block of the other side, so the number of blocks is bounded."""
+    vecs = vectors_of(spark, 200)
+    queries = vecs.withColumnRenamed("vec_id", "query_id")
+    q, v, schema = retrieval._sides(queries, vecs, "query_id", "vec_id", "embedding")
+    monkeypatch.setattr(retrieval, "GRID", 3)
+    found = retrieval._many(q, v, 3, schema, True, 10, 10)
+    assert found.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 9
+    assert {tuple(r) for r in retrieval._ranked(found, 3).collect()} == {tuple(r) for r in retrieval.top_k_similar(queries, vecs, exclude_self=True).collect()}
