@@ -9,12 +9,13 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeframe.functions.text import col
+from gradeframe.session import ensure_checkpoint_dir
 
 BLOCK_QUERIES = 2_000
 BLOCK_VECTORS = 20_000
@@ -22,6 +23,10 @@ BLOCK_VECTORS = 20_000
 GRID, BLOCK_ROWS = 16, 50_000
 #: Queries and vectors whose scores are held at once, and candidates for each query up to which they are sorted.
 ROWS, TILE, MANY = 256, 4096, 16
+#: Rows of buckets that a task of the approximate search takes, about.
+BUCKET_ROWS = 50_000
+#: Partitions that buckets are dealt to at most.
+PARTITIONS = 1000
 #: Queries up to which they are sent to the vectors.
 FEW_QUERIES = 2_000
 
@@ -211,31 +216,68 @@ def top_k_approximate(
     any table are scored exactly, so scores are right but a neighbour that meets
     the query nowhere is missed: more tables or wider buckets find more and
     compare more. ``recall`` measures what is found.
+
+    Vectors go to their buckets, once for each table, and a bucket sends only a
+    query's ``k`` best, so pairs are never rows. Runs at once to hash and count.
     """
-    q, v, _ = _sides(queries, vectors, query_id, vector_id, embedding)
+    q, v, schema = _sides(queries, vectors, query_id, vector_id, embedding)
 
     def with_unit(df: DataFrame) -> DataFrame:
         norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-        return df.withColumn("_unit", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0)))).drop("embedding")
+        return df.withColumn("_unit", array_to_vector(F.transform("embedding", lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0))))
 
     q, v = with_unit(q), with_unit(v)
     model = BucketedRandomProjectionLSH(inputCol="_unit", outputCol="_hashes", bucketLength=bucket, numHashTables=tables * projections, seed=seed).fit(v)
+    ensure_checkpoint_dir(q.sparkSession)
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
         # One bucket number per projection, as text.
         numbers = F.regexp_extract_all(F.col("_hashes").cast("string"), F.lit("-?[0-9][0-9.E]*"), F.lit(0))
-        rows = model.transform(df).select(name, numbers.alias("_n"))
+        rows = model.transform(df).select(name, "embedding", numbers.alias("_n"))
         keys = F.array(*[F.xxhash64(F.lit(t), F.slice("_n", t * projections + 1, projections)) for t in range(tables)])
-        return rows.select(name, F.explode(keys).alias("_key"))
-
-    # Pairs meet by ids alone; each pair fetches its vectors once, however many tables it meets in.
-    pairs = keyed(q, "query_id").join(keyed(v, "vec_id"), "_key").select("query_id", "vec_id").distinct()
-    if exclude_self:
-        pairs = pairs.where(F.col("query_id") != F.col("vec_id"))
-    units = [df.select(name, vector_to_array("_unit").alias(f"_{name}")) for df, name in ((q, "query_id"), (v, "vec_id"))]
-    both = pairs.join(units[0], "query_id").join(units[1], "vec_id").where(F.size("_query_id") == F.size("_vec_id"))
-    product = F.aggregate(F.zip_with("_query_id", "_vec_id", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return _ranked(both.select("query_id", "vec_id", F.round(product, 9).alias("score")), k)
+        return rows.select(F.col(name).alias("id"), "embedding", keys.alias("_keys")).checkpoint()
+
+    q, v = keyed(q, "query_id"), keyed(v, "vec_id")
+    # Small buckets share a task; each side of a large one is dealt to several.
+    parts = max(1, -(-tables * (q.count() + v.count()) // BUCKET_ROWS))
+
+    def large(df: DataFrame, out: str) -> DataFrame:
+        held = df.select(F.explode("_keys").alias("_key")).groupBy("_key").agg(F.count("*").alias("n"))
+        return held.where(F.col("n") > BUCKET_ROWS).select("_key", F.ceil(F.col("n") / BUCKET_ROWS).alias(out))
+
+    deals = large(q, "_nq").join(large(v, "_nv"), "_key", "full").checkpoint()
+    one = F.lit(1).cast("long")
+
+    def dealt(df: DataFrame, mine: str, other: str) -> DataFrame:
+        rows = df.select("id", "embedding", F.explode("_keys").alias("_key")).join(deals, "_key", "left")
+        part = F.when(F.col("_nq").isNull() & F.col("_nv").isNull(), F.pmod("_key", F.lit(parts))).otherwise(F.col("_key"))
+        own = F.pmod(F.xxhash64("id"), F.coalesce(mine, one)).alias(f"{mine}_at")
+        copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, one) - 1)).alias(f"{other}_at")
+        return rows.select("id", "embedding", "_key", part.alias("_part"), own, copies)
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values("_key"), right.sort_values("_key")
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        keys = np.intersect1d(left["_key"], right["_key"])
+        if len(keys):
+            mine, theirs = (np.stack(x["embedding"].to_list()).astype(float) for x in (left, right))
+            asked, known = left["id"].to_numpy(), right["id"].to_numpy()
+            ends = [np.searchsorted(x["_key"].to_numpy(), keys, side) for x in (left, right) for side in ("left", "right")]
+            for a, b, c, d in zip(*(e.tolist() for e in ends)):
+                if exclude_self and b - a == 1 and d - c == 1 and asked[a] == known[c]:
+                    continue
+                found = _Best(mine[a:b], asked[a:b] if exclude_self else None, k)
+                found.meet(known[c:d], theirs[c:d])
+                query, ids, scores = found.rows()
+                out.append((asked[a:b][query], ids, scores))
+        made = [np.concatenate(x) for x in zip(*out)] if out else [[], [], []]
+        return pd.DataFrame(dict(zip(schema.names, made)))
+
+    groups = ["_part", "_nq_at", "_nv_at"]
+    sides = [x.repartition(min(parts, PARTITIONS), *groups).groupBy(*groups) for x in (dealt(q, "_nq", "_nv"), dealt(v, "_nv", "_nq"))]
+    # A query's best of all its buckets are among the best of each; a pair found in several counts once.
+    found = sides[0].cogroup(sides[1]).applyInPandas(best, schema)
+    return _ranked(found.repartition("query_id").dropDuplicates(["query_id", "vec_id"]), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -57,6 +57,20 @@ def vectors_of(spark, n):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 
 
+def test_approximate_search_deals_large_buckets(spark, monkeypatch):
+    """Buckets of any size give the same best, and pairs never become rows of a join."""
+    vecs = vectors_of(spark, 300)
+    queries = vecs.withColumnRenamed("vec_id", "query_id")
+    whole = retrieval.top_k_approximate(queries, vecs, exclude_self=True, tables=4, projections=1, bucket=4.0)
+    want = set(map(tuple, whole.collect()))
+    assert len(want) == 900 and whole.groupBy("query_id", "vec_id").count().where("count > 1").count() == 0
+    monkeypatch.setattr(retrieval, "BUCKET_ROWS", 40)
+    assert set(map(tuple, retrieval.top_k_approximate(queries, vecs, exclude_self=True, tables=4, projections=1, bucket=4.0).collect())) == want
+    assert "Join" not in whole._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroups")[0]
+    exact = retrieval.top_k_similar(queries, vecs, exclude_self=True)
+    assert retrieval.recall(whole, exact).first()["recall"] >= 0.9
+
+
 def test_blocks_grow_before_they_become_many(spark, monkeypatch):
     """A row is copied once for every block of the other side, so the number of blocks is bounded."""
     vecs = vectors_of(spark, 200)
