@@ -302,16 +302,31 @@ def rubric_summary(df: DataFrame, by: str = "model", standard: str = "standard_c
 PERTURBATIONS = ["date", "number", "synonym"]
 
 
+def _opening(answer: Column, n: int = 50) -> Column:
+    """The first ``n`` characters of a stripped text, read from its beginning only: white space at the end counts if no other character follows."""
+    from gradeframe.functions.text import SPACE, strip
+
+    head = F.regexp_extract(answer, rf"(?s)\A[{SPACE}]*+(.{{0,{n}}})", 1)
+    goes_on = answer.rlike(rf"(?s)\A[{SPACE}]*+.{{{n}}}[{SPACE}]*+[^{SPACE}]")
+    return F.when(goes_on, head).otherwise(strip(head))
+
+
 def robustness(df: DataFrame, keys: list[str] | None = None, condition: str = "condition", prediction: str = "prediction", correct: str = "correct") -> DataFrame:
-    """Per item, which perturbed answers keep the first 50 characters of the original one."""
+    """Per item, which perturbed answers keep the first 50 characters of the original one.
+
+    Answers are cut before they are gathered, so whole texts are neither sorted nor shuffled.
+    """
     keys = keys or ["model", "item_id", "task"]
 
     def of(name: str, value: Column) -> Column:
         return F.max(F.when(F.col(condition) == name, value))
 
-    from gradeframe.functions.text import strip
+    from gradeframe.functions.text import sealed
 
-    opening = F.left(strip(F.coalesce(F.col(prediction), F.lit(""))), F.lit(50))
+    opening = _opening(F.coalesce(F.col(prediction), F.lit("")))
+    # Through a generator, so that the cut is not put back into the aggregation.
+    df = sealed(df, _opening=opening).select(*keys, condition, correct, "_opening")
+    opening = F.col("_opening")
     columns = [of("original", opening).alias("_original"), of("original", F.col(correct)).alias("original_correct")]
     for name in PERTURBATIONS:
         columns += [of(name, opening).alias(f"_{name}"), of(name, F.col(correct)).alias(f"{name}_correct")]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import registry
 from gradeframe.functions import text as t
+from gradeframe.operators import accuracy as acc
 from gradeframe.operators import pairs as pr
 from gradeframe.operators import retrieval
 
@@ -80,3 +81,13 @@ def test_blocks_grow_before_they_become_many(spark, monkeypatch):
     found = retrieval._many(q, v, 3, schema, True, 10, 10)
     assert found.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 9
     assert {tuple(r) for r in retrieval._ranked(found, 3).collect()} == {tuple(r) for r in retrieval.top_k_similar(queries, vecs, exclude_self=True).collect()}
+
+
+def test_robustness_cuts_answers_before_it_gathers_them(spark):
+    """The opening is that of the stripped text, and whole answers reach neither a sort nor a shuffle."""
+    given = ["", "  ", "a", " a b \n", "x" * 49 + "  ", "x" * 49 + " y", " " * 60 + "z" * 60 + " ", "é" * 50 + " \n", "\U0001f600" * 51, "a\nb" * 30]
+    found = spark.createDataFrame([(x,) for x in given], "s string").select("s", acc._opening(F.col("s")).alias("x"), F.left(t.strip("s"), F.lit(50)).alias("want"))
+    assert all(r["x"] == r["want"] for r in found.collect())
+    frame = spark.createDataFrame([("m", 1, "t", "original", "long answer", 1)], "model string, item_id int, task string, condition string, prediction string, correct int")
+    plan = acc.robustness(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [" not in plan or "prediction" not in plan[: plan.index("Generate")]
