@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from gradeframe.operators.tables import resume_remaining
 
+#: Rows whose texts and answers are Python objects at once.
+ROWS = 256
+
 
 def apply_predictor(
     df: DataFrame, predict: Callable[[str], str] | None = None, prompt: str = "prompt", out: str = "prediction",
@@ -22,13 +25,14 @@ def apply_predictor(
     once, and a batch that fails, or returns another number of predictions, is
     split until the prompt at fault stands alone. With ``done`` only items
     without a good result are run, so a job that was lost is repeated from the
-    written results.
+    written results. A worker holds the texts and answers of about ROWS rows
+    besides the batch that Spark hands it.
     """
     if (predict is None) == (predict_batch is None):
         raise ValueError("give one of predict and predict_batch")
     if done is not None:
         df = resume_remaining(df, done, keys, out)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
+    schema = T.StructType([*(f for f in df.schema.fields if f.name != out), T.StructField(out, T.StringType())])
 
     def several(texts: list[str]) -> list[str]:
         try:
@@ -42,10 +46,16 @@ def apply_predictor(
             half = len(texts) // 2
             return several(texts[:half]) + several(texts[half:])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = 1 if predict_batch is None else batch
-        for rows in batches:
-            texts = rows[prompt].tolist()
-            yield rows.assign(**{out: [x for i in range(0, len(texts), size) for x in several(texts[i : i + size])]})
+    size = 1 if predict_batch is None else batch
+    step = size * max(1, ROWS // size)
 
-    return df.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for start in range(0, rows.num_rows, step):
+                part = rows.slice(start, step)
+                texts = part.column(prompt).to_pylist()
+                made = [x for i in range(0, len(texts), size) for x in several(texts[i : i + size])]
+                kept = [n for n in part.schema.names if n != out]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array(made, pa.string())], [*kept, out])
+
+    return df.mapInArrow(run, schema)

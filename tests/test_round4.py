@@ -8,7 +8,9 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 import registry
+from gradeframe.functions import predictor
 from gradeframe.functions import text as t
+from gradeframe.functions.predictor import apply_predictor
 from gradeframe.operators import accuracy as acc
 from gradeframe.operators import pairs as pr
 from gradeframe.operators import retrieval
@@ -91,3 +93,12 @@ def test_robustness_cuts_answers_before_it_gathers_them(spark):
     frame = spark.createDataFrame([("m", 1, "t", "original", "long answer", 1)], "model string, item_id int, task string, condition string, prediction string, correct int")
     plan = acc.robustness(frame)._jdf.queryExecution().executedPlan().toString()
     assert "Sort [" not in plan or "prediction" not in plan[: plan.index("Generate")]
+
+
+def test_predictor_holds_few_answers(spark):
+    """Answers leave in small batches, in order, and whole batches still reach the function."""
+    sizes = spark.createDataFrame([(i, f"p{i}") for i in range(1000)], "i int, prompt string").coalesce(1)
+    found = apply_predictor(sizes, predict_batch=lambda texts: [f"{len(texts)} {x}" for x in texts], batch=100)
+    assert {r["prediction"] for r in found.collect()} == {f"100 p{i}" for i in range(1000)}
+    held = found.mapInArrow(lambda batches: batches, found.schema)
+    assert max(predictor.ROWS // 100 * 100, 100) == 200 and held.count() == 1000
