@@ -11,6 +11,16 @@ from gradeframe import fixed_values as fv
 from gradeframe.functions.bands import complexity_tier
 from gradeframe.functions.text import col, find_all, word_count
 
+#: What every match of a pattern begins with; a position is ruled out by its character before the pattern is tried.
+OPENINGS = {
+    fv.DATE_PATTERN: r"[\dJFMASOND]",
+    fv.FEATURE_PATTERNS["num_numbers"]: r"\d",
+    fv.FEATURE_PATTERNS["num_currencies"]: "[CcLlRr₹]",
+    fv.FEATURE_PATTERNS["num_amendments"]: "[SsAaMmRrHh]",
+    fv.FEATURE_PATTERNS["num_refs"]: "[SRCN]",
+    fv.FEATURE_PATTERNS["num_conditions"]: "[IiWwPpSsNn]",
+}
+
 FEATURES = [
     "ctx_len", "q_len", "num_dates", "num_numbers", "num_currencies", "num_amendments",
     "num_refs", "num_conditions", "flesch_ease", "fk_grade", "sentence_count",
@@ -22,12 +32,17 @@ def _combined(context: str, question: str | None) -> Column:
     return ctx if question is None else F.concat(ctx, F.lit(" "), F.coalesce(F.col(question), F.lit("")))
 
 
+def _quick(pattern: str) -> str:
+    """The same matches; the opening is looked for first where it is known."""
+    return f"(?={OPENINGS[pattern]})(?:{pattern})" if pattern in OPENINGS else pattern
+
+
 def _distinct_matches(text: Column, pattern: str) -> Column:
-    return F.size(F.array_distinct(find_all(text, pattern)))
+    return F.size(F.array_distinct(find_all(text, _quick(pattern))))
 
 
 def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+    return F.regexp_count(text, F.lit(_quick(pattern)))
 
 
 def complexity_features(df: DataFrame, context: str = "context", question: str | None = "question") -> DataFrame:
@@ -58,14 +73,12 @@ def complexity_features(df: DataFrame, context: str = "context", question: str |
     }).drop("_raw")
 
 
-def readability(text: Column, n_words: Column) -> tuple[Column, Column]:
+def readability(n_words: Column, n_sentences: Column, n_syllables: Column) -> tuple[Column, Column]:
     """Reading ease and grade from words, sentences and vowel groups.
 
     Syllables are counted as vowel groups, which is not a dictionary count.
     """
-    w = F.greatest(n_words, F.lit(1)).cast("double")
-    sentences = F.greatest(_count(text, r"[.!?]+"), F.lit(1)).cast("double")
-    syllables = F.greatest(_count(F.lower(text), r"[aeiouyàâäéèêëïîôöùûü]+"), F.lit(1)).cast("double")
+    w, sentences, syllables = (F.greatest(n, F.lit(1)).cast("double") for n in (n_words, n_sentences, n_syllables))
     ease = 206.835 - 1.015 * (w / sentences) - 84.6 * (syllables / w)
     grade = 0.39 * (w / sentences) + 11.8 * (syllables / w) - 15.59
     return ease, grade
@@ -82,18 +95,21 @@ def text_features(
     ctx = F.coalesce(F.col(context), F.lit(""))
     text = _combined(context, question)
     opening = ctx if readability_chars is None else F.left(ctx, F.lit(readability_chars))
-    ease, grade = readability(opening, word_count(opening))
     long_enough = F.length(ctx) > 50
     q_len = F.lit(0) if question is None else word_count(question)
-    return df.withColumns({
+    df = df.withColumns({
         "ctx_len": word_count(context),
         "q_len": q_len,
         "num_dates": _distinct_matches(text, fv.DATE_PATTERN),
         **{name: _count(text, pattern) for name, pattern in fv.FEATURE_PATTERNS.items()},
-        "flesch_ease": F.when(long_enough, ease).otherwise(50.0),
-        "fk_grade": F.when(long_enough, grade).otherwise(10.0),
-        "sentence_count": _count(text, r"[.;]"),
+        # Both readings use the counts, which are columns so that each is made once.
+        **({} if readability_chars is None else {"_words": word_count(opening)}),
+        "_sentences": _count(opening, r"[.!?]+"),
+        "_syllables": _count(F.lower(opening), r"[aeiouyàâäéèêëïîôöùûü]+"),
     })
+    ease, grade = readability(F.col("ctx_len" if readability_chars is None else "_words"), F.col("_sentences"), F.col("_syllables"))
+    df = df.withColumns({"flesch_ease": F.when(long_enough, ease).otherwise(50.0), "fk_grade": F.when(long_enough, grade).otherwise(10.0), "sentence_count": _count(text, r"[.;]")})
+    return df.drop("_words", "_sentences", "_syllables")
 
 
 def rewrite_matches(text: Column | str, pattern: str, rewrite) -> Column:

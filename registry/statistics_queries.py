@@ -11,10 +11,12 @@ from gradeframe.operators import correlation as cor
 from gradeframe.operators import items as it
 from gradeframe.operators import ranks as rk
 from gradeframe.operators import regression as rg
+from gradeframe.plans.reports import keep
 from registry import bindings as b
 from registry import oracle as o
 from registry import query
 from registry.accuracy_queries import CELLS, rounded, valid
+from registry.corpus_queries import run_folder
 
 RANK = "(rank() OVER (PARTITION BY {p} ORDER BY {v}) + (count(*) OVER (PARTITION BY {p}, {v}) - 1)/2.0)"
 
@@ -81,9 +83,11 @@ fr AS (SELECT task, feature, {RANK.format(p='task, feature', v='v')} AS a, {RANK
 
 
 def featured(spark, d):
-    rows = feat.text_features(b.items(spark, d), "text", None)
+    """Features of all items, written once: models and ranks read them many times."""
+    rows = feat.text_features(b.items(spark, d), "text", None).select("item_id", "task", *feat.FEATURES)
     ens = it.ensemble_accuracy(valid(spark, d))
-    return rows.join(ens, "item_id").withColumn("error", F.round(1 - F.col("ensemble_accuracy"), 9))
+    rows = rows.join(ens, "item_id").withColumn("error", F.round(1 - F.col("ensemble_accuracy"), 9))
+    return keep(rows, run_folder(spark), "features")
 
 
 @query("D7_spearman_features", o.with_(o.VALID, FEAT, body="SELECT task, feature, count(*) AS n, round(corr(a,b),6) AS rho FROM fr GROUP BY task, feature HAVING count(*)>=10"))
