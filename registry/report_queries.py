@@ -17,7 +17,7 @@ from registry.accuracy_queries import (
     CAT_SQL, GROUPS, RUB_SQL, SQL_GROUPS, STATS_SQL, SQL_TYPES, W, rounded, rubric_rows, valid,
 )
 from registry.agreement_queries import FLEISS
-from registry.corpus_queries import TOPK
+from registry.corpus_queries import TOPK, run_folder
 from registry.pair_queries import AP, TWO, TWO_BODY, TWO_TAIL
 from registry.scoring_queries import A34, CON, FUZZY, SP, UNCLEAR, strict_sql
 from registry.statistics_queries import RANK
@@ -200,11 +200,17 @@ au AS (SELECT task, CASE WHEN item_id%11=0 THEN 'UNKNOWN' WHEN item_id%4=0 THEN
 ra AS (SELECT CASE WHEN grouping(task)=1 THEN 'OVERALL' ELSE task END AS task, count(*) AS n, count(*) FILTER (v='CORRECT') AS n_correct, count(*) FILTER (v='PARTIAL') AS n_partial, count(*) FILTER (v='INCORRECT') AS n_incorrect FROM au GROUP BY GROUPING SETS ((task),()))"""
 
 
+def audited(spark, d):
+    """Verdicts of all answers, written once: the sample and the accuracies read them several times."""
+    rows = scoring.score(acc.drop_failed(b.answer_pairs(spark, d)))
+    return rp.keep(rows.select("item_id", "model", "task", "correct"), run_folder(spark), "verdicts")
+
+
 @query("C10_scoring_audit", "WITH " + C10 + "\nSELECT *, round(n_correct/n,6) AS fn_rate, round(n_partial/n,6) AS partial_rate, round(n_incorrect/n,6) AS incorrect_rate, round(0.5*n_correct/n,6) AS correction FROM ra")
 def _(spark, d):
-    rows = scoring.score(acc.drop_failed(b.answer_pairs(spark, d)))
+    rows = audited(spark, d)
     i = F.col("item_id") % 4
-    replies = b.answer_pairs(spark, d).where("item_id % 11 <> 0").select("item_id", "model", F.when(i == 0, "correct | same").when(i == 1, "Only PARTIAL").when(i == 2, "INCORRECT|no").otherwise("clearly incorrect").alias("reply"))
+    replies = b.answer_pairs(spark, d, partners=False).where("item_id % 11 <> 0").select("item_id", "model", F.when(i == 0, "correct | same").when(i == 1, "Only PARTIAL").when(i == 2, "INCORRECT|no").otherwise("clearly incorrect").alias("reply"))
     order = (F.col("item_id") * 7919 + 42) % 1000003
     out = rp.scoring_audit(rows.where("correct = 0").select("item_id", "model", "task"), replies, 25, 120, order=order)
     return rounded(out["rates"], "fn_rate", "partial_rate", "incorrect_rate", "correction")
@@ -216,9 +222,9 @@ AUDITED = ", ac AS (SELECT model, CASE WHEN grouping(task)=1 THEN 'OVERALL' ELSE
 @query("C10_scoring_audit_corrected", "WITH " + C10 + AUDITED + """, cr AS (SELECT ac.*, coalesce(rt.f, (SELECT f FROM rt WHERE task='OVERALL'), 0.05) AS fnr FROM ac LEFT JOIN rt USING (task))
 SELECT model, task, round(accuracy,6) AS accuracy, round(fnr,6) AS fnr, round(CASE WHEN fnr>=1 THEN accuracy ELSE least(1.0, accuracy/(1-fnr)) END,6)::DOUBLE AS corrected FROM cr""")
 def _(spark, d):
-    rows = scoring.score(acc.drop_failed(b.answer_pairs(spark, d)))
+    rows = audited(spark, d)
     i = F.col("item_id") % 4
-    replies = b.answer_pairs(spark, d).where("item_id % 11 <> 0").select("item_id", "model", F.when(i == 0, "correct | same").when(i == 1, "Only PARTIAL").when(i == 2, "INCORRECT|no").otherwise("clearly incorrect").alias("reply"))
+    replies = b.answer_pairs(spark, d, partners=False).where("item_id % 11 <> 0").select("item_id", "model", F.when(i == 0, "correct | same").when(i == 1, "Only PARTIAL").when(i == 2, "INCORRECT|no").otherwise("clearly incorrect").alias("reply"))
     accuracies = acc.accuracy(rows, ["model", "task"]).select("model", "task", "accuracy")
     out = rp.scoring_audit(rows.where("correct = 0").select("item_id", "model", "task"), replies, 25, 120, order=(F.col("item_id") * 7919 + 42) % 1000003, accuracies=accuracies)
     return rounded(out["corrected"].select("model", "task", "accuracy", "fnr", "corrected"), "accuracy", "fnr", "corrected")

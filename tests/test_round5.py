@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
 from gradeframe import fixed_values as fv
 from gradeframe.functions import features as feat
+from gradeframe.functions import fuzzy
 from registry import bindings as b
+from registry import report_queries as rq
 from registry import statistics_queries as sq
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +41,24 @@ def test_openings_rule_out_no_match(spark):
                         *[F.regexp_extract_all("text", F.lit(feat._quick(p)), F.lit(0)).alias(f"b{i}") for i, p in enumerate(patterns)]).collect()
     assert all(r[f"a{i}"] == r[f"b{i}"] for r in found for i in range(len(patterns)))
     assert all(any(r[f"a{i}"] for r in found) for i in range(len(patterns)))
+
+
+def test_documents_meet_and_not_their_windows(spark):
+    """answer_pairs: the texts of a document go to its partner once, and windows are no rows of a join."""
+    plan = plan_of(b.answer_pairs(spark, SF))
+    join = plan.index("Join LeftOuter")
+    assert "posexplode" not in plan and "Generate" not in plan[join:]
+
+
+def test_verdicts_of_an_audit_are_written_once(spark):
+    rows = rq.audited(spark, SF)
+    assert "regexp" not in plan_of(rows) and rows.count() > 0
+
+
+def test_long_texts_of_many_characters_are_halved(spark, monkeypatch):
+    """Masks of a block stay bounded; the lengths are those of the pair by pair kernel."""
+    draw = random.Random(5)
+    a = ["".join(chr(draw.randrange(97, 900)) for _ in range(draw.randrange(1, 90))) for _ in range(200)]
+    c = ["".join(draw.choice(x) if draw.random() < 0.7 else "\U0001f600" for _ in range(120)) for x in a]
+    monkeypatch.setattr(fuzzy, "MASKS", 5000)
+    assert fuzzy.lcs_lengths(a, c).tolist() == [fuzzy.lcs_length(x, y) for x, y in zip(a, c)]
