@@ -8,7 +8,8 @@ is fixed, so that bar stays as it is while texts grow; a shard is spread over
 many tasks and mined level by level: words, then pairs of its frequent words,
 then longer phrases whose pairs are all frequent, each counted by shard.
 
-The last pass counts the candidates in all texts. Passes know the phrases found
+The last pass counts the candidates in all texts, in few tasks that merge the
+counts of their blocks. Passes know the phrases found
 so far by a bitmap of fixed size, which may let others pass but loses none, and
 the last one counts by the phrases themselves, so the counts of all frequent
 phrases are exact.
@@ -43,6 +44,8 @@ READ_BYTES = 4 << 20
 BITS = 1 << 27
 #: Counts of blocks that a task merges before it passes them on.
 HELD_ROWS = 1_000_000
+#: Bytes of text that a task of the last pass counts, about, once there is enough for all cores.
+TASK_BYTES = 256 << 20
 #: Tasks that the phrases of one language are dealt to.
 PARTS = 64
 ENDS = np.zeros(256, bool)
@@ -207,8 +210,8 @@ def _mine(first: int, last: int, shared, limit: int):
     return run
 
 
-def _locally_frequent(docs: DataFrame, support: int, first: int, last: int, known: np.ndarray | None, limit: int, bits: int) -> np.ndarray:
-    """A bitmap of what reaches its shard's bar in some shard, and of the words of known pairs."""
+def _locally_frequent(docs: DataFrame, support: int, first: int, last: int, known: np.ndarray | None, limit: int, bits: int) -> tuple[np.ndarray, int]:
+    """A bitmap of what reaches its shard's bar in some shard, and of the words of known pairs; and the bytes of all texts."""
     shared = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
     mined = docs.mapInArrow(_mine(first, last, shared, limit), "shard int, phrase long, n long")
     by_shard = [F.coalesce(F.sum(F.when(F.col("shard") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(SHARDS)]
@@ -222,15 +225,16 @@ def _locally_frequent(docs: DataFrame, support: int, first: int, last: int, know
     frequent = reduce(or_, (F.col(f"n{i}") >= bar for i, bar in enumerate(bars)))
     found = bitmap(local.where(F.col("phrase").isNotNull() & (F.col("needed") | frequent)).select("phrase"), bits)
     discard(local)
-    return found
+    return found, sum(sizes)
 
 
-def candidates(docs: DataFrame, support: int, block_words: int = BLOCK_WORDS, bits: int = BITS) -> np.ndarray:
-    """A bitmap of the phrases of two words and more that may occur ``support`` times in one language, and of the words within them."""
-    words = _locally_frequent(docs, support, 1, 1, None, block_words, bits)
-    pairs = _locally_frequent(docs, support, 2, 2, words, block_words, bits)
+def candidates(docs: DataFrame, support: int, block_words: int = BLOCK_WORDS, bits: int = BITS) -> tuple[np.ndarray, int]:
+    """A bitmap of the phrases of two words and more that may occur ``support`` times in one language, and of the words within them; and the bytes of all texts."""
+    words, n_bytes = _locally_frequent(docs, support, 1, 1, None, block_words, bits)
+    pairs, _ = _locally_frequent(docs, support, 2, 2, words, block_words, bits)
     # Known words and pairs in one map: a pair is looked up as a pair only.
-    return pairs | _locally_frequent(docs, support, 3, LONGEST, words | pairs, block_words, bits)
+    longer, _ = _locally_frequent(docs, support, 3, LONGEST, words | pairs, block_words, bits)
+    return pairs | longer, n_bytes
 
 
 def bitmap(phrases: DataFrame, bits: int = BITS) -> np.ndarray:
@@ -261,18 +265,31 @@ def _count(shared, limit: int):
                 parts = [block.vocab.take(pa.array(block.codes[places + j])) for j in range(k)]
                 held.append(rows(block.lang[places], pc.binary_join_element_wise(*parts, b" ").cast(pa.string()), k, counts))
             if sum(x.num_rows for x in held) > HELD_ROWS:
-                yield from merged(held)
-                held = []
+                held = list(merged(held))
+                # Phrases that came up again are one row now; only what is still many goes on.
+                if sum(x.num_rows for x in held) > HELD_ROWS // 2:
+                    yield from held
+                    held = []
         yield from merged(held)
 
     return run
 
 
+def gathered(texts: DataFrame, n_bytes: int) -> DataFrame:
+    """``texts`` in as many partitions as there are cores, or one for each TASK_BYTES of ``n_bytes`` if these are more; nothing is shuffled.
+
+    Every task counts nearly all candidates once, so tasks that grow in number
+    with the texts would make rows with the square of their size.
+    """
+    return texts.coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // TASK_BYTES)))
+
+
 def phrase_counts(docs: DataFrame, support: int, block_words: int = BLOCK_WORDS, bits: int = BITS) -> DataFrame:
     """(lang, phrase, words, n): exact counts of all phrases of two to LONGEST words that occur ``support`` times, and of the words within them; words 0 is the number of all words."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null")
-    known = docs.sparkSession.sparkContext.broadcast(candidates(texts, support, block_words, bits))
-    counted = texts.mapInArrow(_count(known, block_words), "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    found, n_bytes = candidates(texts, support, block_words, bits)
+    known = docs.sparkSession.sparkContext.broadcast(found)
+    counted = gathered(texts, n_bytes).mapInArrow(_count(known, block_words), "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
     return written(counted.where((F.col("words") == 0) | (F.col("n") >= support)), "phrases")
 
 

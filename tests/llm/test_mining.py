@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +119,24 @@ def test_shards_share_the_support(spark):
     assert [(r.phrase, r.a) for r in collocations.collocations(df, 8).collect()] == [("red kite", 8)]
 
 
+def test_counting_tasks_do_not_grow_in_number_with_the_texts(spark, sentences):
+    """op12: tasks each count nearly all candidates, so they are as few as the cores until their texts are large."""
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in sentences], TEXTS).repartition(40)
+    cores = spark.sparkContext.defaultParallelism
+    assert collocations.gathered(df, 10**6).rdd.getNumPartitions() == cores < 40
+    assert collocations.gathered(df, (cores + 3) * collocations.TASK_BYTES - 1).rdd.getNumPartitions() == cores + 3
+    assert collocations.gathered(df.repartition(2), 0).rdd.getNumPartitions() == 2
+
+
+def test_a_task_passes_on_repeated_phrases_once(monkeypatch):
+    """op12: counts of blocks are merged again and again while they stay few."""
+    monkeypatch.setattr(collocations, "HELD_ROWS", 12)
+    every = SimpleNamespace(value=np.full(1 << 6, -1, np.int64).view(np.uint64))
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"], "text": ["red kite"]})
+    made = [r for b in collocations._count(every, 1)(iter([batch] * 50)) for r in b.to_pylist()]
+    assert sorted((r["phrase"], r["words"], r["n"]) for r in made) == [("", 0, 100), ("kite", 1, 50), ("red", 1, 50), ("red kite", 2, 50)]
+
+
 def page(main: str, menu: str = "", extra: str = "") -> str:
     return f"<html><head><title>T</title><script>var a = '<p>no</p>';</script></head><body>{menu}<div>{main}</div>{extra}</body></html>"
 
