@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
 from gradeframe.operators.tables import resume_remaining
 
@@ -25,15 +25,14 @@ def apply_predictor(
     once, and a batch that fails, or returns another number of predictions, is
     split until the prompt at fault stands alone. With ``done`` only items
     without a good result are run, so a job that was lost is repeated from the
-    written results. A worker holds the texts and answers of about ROWS rows
+    written results. A worker gets the prompts alone, whatever other columns
+    stand beside them, and holds the texts and answers of about ROWS rows
     besides the batch that Spark hands it.
     """
     if (predict is None) == (predict_batch is None):
         raise ValueError("give one of predict and predict_batch")
     if done is not None:
         df = resume_remaining(df, done, keys, out)
-    schema = T.StructType([*(f for f in df.schema.fields if f.name != out), T.StructField(out, T.StringType())])
-
     def several(texts: list[str]) -> list[str]:
         try:
             found = [predict(texts[0])] if predict_batch is None else list(predict_batch(texts))
@@ -49,13 +48,14 @@ def apply_predictor(
     size = 1 if predict_batch is None else batch
     step = size * max(1, ROWS // size)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for rows in batches:
-            for start in range(0, rows.num_rows, step):
-                part = rows.slice(start, step)
-                texts = part.column(prompt).to_pylist()
+            for start in range(0, len(rows), step):
+                texts = rows.slice(start, step).to_pylist()
                 made = [x for i in range(0, len(texts), size) for x in several(texts[i : i + size])]
-                kept = [n for n in part.schema.names if n != out]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array(made, pa.string())], [*kept, out])
+                yield pa.array(made, pa.string())
 
-    return df.mapInArrow(run, schema)
+    # Not deterministic, so that Spark neither repeats nor moves the calls.
+    rest = [F.col(f"`{c}`") for c in df.columns if c != out]
+    return df.select(*rest, run.asNondeterministic()(prompt).alias(out))

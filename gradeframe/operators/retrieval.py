@@ -36,11 +36,19 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norms > 0, norms, 1.0)
 
 
+def _units(m: np.ndarray) -> np.ndarray:
+    """Unit rows as doubles, made TILE rows at a time."""
+    out = np.empty(m.shape)
+    for j in range(0, len(m), TILE):
+        out[j : j + TILE] = _unit(m[j : j + TILE].astype(float))
+    return out
+
+
 class _Best:
     """The ``k`` best vectors met so far by each query; equal scores go to the smaller id."""
 
     def __init__(self, queries: np.ndarray, own: np.ndarray | None, k: int):
-        self.queries, self.own, self.k = _unit(queries), own, k
+        self.queries, self.own, self.k = _units(queries), own, k
         self.scores, self.ids = np.full((len(queries), k), -np.inf), None
 
     def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
@@ -51,10 +59,11 @@ class _Best:
         elif self.ids.dtype != ids.dtype:
             self.ids = self.ids.astype(np.promote_types(self.ids.dtype, ids.dtype))
         order = np.argsort(ids, kind="stable")
-        ids, vectors = ids[order], _unit(vectors[order])
+        ids = ids[order]
         for j in range(0, len(ids), TILE):
+            tile = _unit(vectors[order[j : j + TILE]].astype(float))
             for i in range(0, len(self.queries), ROWS):
-                self._tile(i, ids[j : j + TILE], self.queries[i : i + ROWS] @ vectors[j : j + TILE].T)
+                self._tile(i, ids[j : j + TILE], self.queries[i : i + ROWS] @ tile.T)
 
     def _tile(self, start: int, ids: np.ndarray, scores: np.ndarray) -> None:
         """Take in the scores of some queries with vectors in the order of their ids."""
@@ -105,6 +114,12 @@ def _ids(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return found.astype(str) if found.dtype == object else found
 
 
+def _matrix(rows: pa.Table, name: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and the vectors of some rows, in the vectors' own type."""
+    flat = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return _ids(rows.column(name)), flat.reshape(rows.num_rows, width)
+
+
 def _usable(df: DataFrame, key: str, vector: str) -> Column:
     holes = F.exists(vector, lambda x: x.isNull() | F.isnan(x))
     return F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.coalesce(holes, F.lit(True))
@@ -150,20 +165,25 @@ def _many(queries: DataFrame, vectors: DataFrame, k: int, schema: T.StructType,
         F.explode(every_q).alias("_qb"), F.pmod(F.xxhash64("vec_id"), F.lit(n_v)).cast("int").alias("_vb"),
     )
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({name: [] for name in schema.names})]
-        for width in sorted(set(left["embedding"].map(len)) & set(right["embedding"].map(len))):
-            mine, theirs = (x[x["embedding"].map(len) == width] for x in (left, right))
-            own = mine["query_id"].to_numpy()
-            found = _Best(np.stack(mine["embedding"].to_list()).astype(float), own if exclude_self else None, k)
-            found.meet(theirs["vec_id"].to_numpy(), np.stack(theirs["embedding"].to_list()).astype(float))
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out_schema = to_arrow_schema(schema)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        made = [out_schema.empty_table()]
+        widths = [pc.list_value_length(x.column("embedding")) for x in (left, right)]
+        for width in sorted(set(pc.unique(widths[0]).to_pylist()) & set(pc.unique(widths[1]).to_pylist())):
+            (own, mine), (ids, theirs) = (_matrix(x.filter(pc.equal(n, width)), name, width) for x, n, name in zip((left, right), widths, ("query_id", "vec_id")))
+            found = _Best(mine, own if exclude_self else None, k)
+            found.meet(ids, theirs)
             query, ids, scores = found.rows()
-            out.append(pd.DataFrame({"query_id": own[query], "vec_id": ids, "score": scores}))
-        return pd.concat(out[1:] or out)
+            columns = (own[query], ids, scores)
+            made.append(pa.Table.from_arrays([pa.array(x.tolist(), f.type) for x, f in zip(columns, out_schema)], schema=out_schema))
+        return pa.concat_tables(made)
 
     tasks = min(n_q * n_v, GRID * GRID)
     q, v = (x.repartition(tasks, "_qb", "_vb") for x in (q, v))
-    return q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb")).applyInPandas(best, schema)
+    return q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb")).applyInArrow(best, schema)
 
 
 def _sides(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str, embedding: str) -> tuple[DataFrame, DataFrame, T.StructType]:
