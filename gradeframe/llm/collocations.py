@@ -40,6 +40,8 @@ SHARDS = 8
 BLOCK_WORDS = 2_000_000
 #: Bytes of text that are cut into words at once.
 READ_BYTES = 4 << 20
+#: Places whose hashes are looked up at once.
+HASHED = 1 << 17
 #: Bits of the map of candidates; 16 MB, whatever the number of candidates.
 BITS = 1 << 27
 #: Counts of blocks that a task merges before it passes them on.
@@ -50,6 +52,8 @@ TASK_BYTES = 256 << 20
 PARTS = 64
 ENDS = np.zeros(256, bool)
 ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,24 +71,28 @@ class Block(NamedTuple):
 def read(batch: pa.RecordBatch) -> Block:
     """The words of a batch of texts and their languages, A-Z in lower case."""
     data, at = text_bytes(batch.column("text"))
-    data = np.where((data >= 65) & (data <= 90), data | np.uint8(32), data)
+    n_bytes = len(data)
+    data = LOWER[data]
     end = ENDS[data]
-    solid = ~end & (data != 32) & (data != 9)
+    solid = ~(end | (data == 32) | (data == 9))
     start = solid.copy()
     start[1:] &= ~solid[:-1]
-    firsts = at[:-1][at[:-1] < len(data)]
+    firsts = at[:-1][at[:-1] < n_bytes]
     start[firsts] = solid[firsts]
-    begins = np.flatnonzero(start)
-    before = np.cumsum(solid, dtype=np.int32)
-    codes, vocab = encoded(data[solid], np.append(before[begins] - 1, before[-1:] if len(before) else 0))
-    docs = np.searchsorted(at, begins, "right") - 1
+    begins = np.flatnonzero(start).astype(np.int32)
+    data = data[solid]
+    offsets = np.append(np.flatnonzero(start[solid]), len(data)).astype(np.int32)
+    del start, solid
+    codes, vocab = encoded(data, offsets)
+    del data, offsets
+    docs = np.searchsorted(at, begins, "right").astype(np.int32) - np.int32(1)
     # A piece ends where a separator or another text comes before the next word.
     last = np.ones(len(begins), bool)
-    last[:-1] = np.diff(np.cumsum(end, dtype=np.int32)[begins]) + np.diff(docs) > 0
+    last[:-1] = (np.diff(np.searchsorted(np.flatnonzero(end), begins)) > 0) | (np.diff(docs) > 0)
     ends = np.flatnonzero(last)
-    room = np.minimum(ends[np.searchsorted(ends, np.arange(len(begins)))] - np.arange(len(begins)) + 1, LONGEST).astype(np.uint8)
+    room = np.minimum(np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(len(begins)) + 1, LONGEST).astype(np.uint8)
     langs = batch.column("lang").dictionary_encode()
-    return Block(codes.astype(np.int32), room, langs.indices.to_numpy(zero_copy_only=False)[docs].astype(np.int32), vocab, langs.dictionary, len(data))
+    return Block(codes.astype(np.int32), room, langs.indices.to_numpy(zero_copy_only=False)[docs].astype(np.int32), vocab, langs.dictionary, n_bytes)
 
 
 def _joined(parts: list[Block]) -> Block:
@@ -93,8 +101,8 @@ def _joined(parts: list[Block]) -> Block:
 
     def renumbered(codes: list[np.ndarray], names: list[pa.Array]) -> tuple[np.ndarray, pa.Array]:
         both = pa.chunked_array(names).combine_chunks().dictionary_encode()
-        of, first = both.indices.to_numpy(zero_copy_only=False), np.cumsum([0, *map(len, names)])
-        return np.concatenate([of[a + c] for a, c in zip(first, codes)]).astype(np.int32), both.dictionary
+        of, first = both.indices.to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum([0, *map(len, names)])
+        return np.concatenate([of[a:][c] for a, c in zip(first, codes)]), both.dictionary
 
     codes, vocab = renumbered([p.codes for p in parts], [p.vocab for p in parts])
     lang, langs = renumbered([p.lang for p in parts], [p.langs for p in parts])
@@ -102,30 +110,42 @@ def _joined(parts: list[Block]) -> Block:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_WORDS) -> Iterator[Block]:
-    """The rows of a partition in blocks of about ``limit`` words."""
+    """The rows of a partition in blocks of about ``limit`` words; none is held here once it is passed on."""
     parts, size = [], 0
+
+    def taken() -> Block:
+        whole = _joined(parts)
+        parts.clear()
+        return whole
+
     for batch in slices(batches, limit=READ_BYTES):
         parts.append(read(batch))
         size += len(parts[-1].codes)
         if size >= limit:
-            yield _joined(parts)
-            parts, size = [], 0
+            size = 0
+            yield taken()
     if parts:
-        yield _joined(parts)
+        yield taken()
 
 
 def _numbered(key: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a place of each distinct key, the number of each place's key, counts) of keys from 0 up to ``bound``."""
+    numbers = np.empty(len(key), np.int32)
     if bound > 4 * len(key):
-        _, at, numbers, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        return at, numbers, counts
-    counts = np.bincount(key, minlength=bound)
-    used = np.flatnonzero(counts)
-    number = np.zeros(bound, np.int32)
-    number[used] = np.arange(len(used))
-    numbers, at = number[key], np.zeros(len(used), np.int64)
-    at[numbers] = np.arange(len(key))
-    return at, numbers, counts[used]
+        order = np.argsort(key).astype(np.int32)
+        ranked = key[order]
+        first = np.append(True, ranked[1:] != ranked[:-1])
+        del ranked
+        numbers[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+        begins = np.flatnonzero(first)
+        return order[begins], numbers, np.diff(begins, append=len(key))
+    used = np.zeros(bound, bool)
+    used[key] = True
+    number = np.cumsum(used, dtype=np.int32)
+    np.subtract(number[key], 1, out=numbers)
+    at = np.zeros(number[-1], np.int32)
+    at[numbers] = np.arange(len(key), dtype=np.int32)
+    return at, numbers, np.bincount(numbers)
 
 
 def levels(block: Block, last: int, may: Callable[[np.ndarray, int], np.ndarray | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -135,24 +155,31 @@ def levels(block: Block, last: int, may: Callable[[np.ndarray, int], np.ndarray
     not by hashes.
     """
     n = len(block.codes)
-    places, key = np.arange(n, dtype=np.int32), block.lang.astype(np.int64) * len(block.vocab) + block.codes
+    places, key = np.arange(n, dtype=np.int32), block.lang.astype(np.int64)
+    key *= len(block.vocab)
+    key += block.codes
     bound = len(block.langs) * len(block.vocab)
     for k in range(1, last + 1):
         mask = may(places, k)
         if mask is not None:
-            places, key = places[mask], key[mask]
+            places = places[mask]
+            key = key[mask]
         if not len(places):
             return
         at, numbers, counts = _numbered(key, bound)
         yield k, places[at], counts
+        if k == last:
+            return
         now = np.full(n + 1, -1, np.int32)
         now[places] = numbers
         if k == 1:
             words, n_words = now, np.int64(len(at))
         found = len(at)
-        del key, numbers
+        del key, numbers, at, counts
         places = np.flatnonzero((block.room > k) & (now[:-1] >= 0) & (now[1:] >= 0)).astype(np.int32)
-        key, bound = now[places] * n_words + words[places + k], found * int(n_words)
+        key, bound = now[places].astype(np.int64), found * int(n_words)
+        key *= n_words
+        key += words[places + k]
 
 
 class Hasher:
@@ -165,7 +192,8 @@ class Hasher:
     def __call__(self, places: np.ndarray, k: int) -> np.ndarray:
         out = self.langs[self.block.lang[places]]
         for j in range(k):
-            out = out * MIX + self.of[self.block.codes[places + j]]
+            out *= MIX
+            out += self.of[self.block.codes[places + j]]
         out ^= out >> np.uint64(31)
         out *= np.uint64(0xBF58476D1CE4E5B9)
         return out ^ (out >> np.uint64(29))
@@ -176,8 +204,12 @@ def _known(bits: np.ndarray, named: Hasher) -> Callable[[np.ndarray, int], np.nd
     last = np.uint64(len(bits) * 64 - 1)
 
     def may(places: np.ndarray, k: int) -> np.ndarray:
-        h = named(places, k) & last
-        return (bits[h >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+        held = np.empty(len(places), bool)
+        # Hashes take many times the memory of the mask, so few places have theirs at once.
+        for i in range(0, len(places), HASHED):
+            h = named(places[i : i + HASHED], k) & last
+            held[i : i + HASHED] = bits[h >> np.uint64(6)] >> (h & np.uint64(63)) & np.uint64(1)
+        return held
 
     return may
 
@@ -206,6 +238,8 @@ def _mine(first: int, last: int, shared, limit: int):
                 elif k == 2:
                     needed = np.unique(np.concatenate([named(places, 1), named(places + 1, 1)]))
                     yield rows(-1, needed, np.zeros(len(needed)))
+            # The next block is read without this one in memory.
+            block = named = known = places = counts = None
 
     return run
 
@@ -246,31 +280,46 @@ def bitmap(phrases: DataFrame, bits: int = BITS) -> np.ndarray:
     return out
 
 
+def _block_counts(block: Block, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, words, n) of the phrases of a block that the bitmap holds, and the number of its words."""
+
+    def rows(lang: np.ndarray, phrase: pa.Array, k: int, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([block.langs.take(pa.array(lang)), phrase, pa.array(np.full(len(counts), k, np.int32)), pa.array(counts.astype(np.int64))], ["lang", "phrase", "words", "n"])
+
+    n = np.bincount(block.lang, minlength=len(block.langs))
+    yield rows(np.arange(len(n)), pa.array([""] * len(n), pa.string()), 0, n)
+    for k, places, counts in levels(block, LONGEST, _known(bits, Hasher(block))):
+        parts = [block.vocab.take(pa.array(block.codes[places + j])) for j in range(k)]
+        yield rows(block.lang[places], pc.binary_join_element_wise(*parts, b" ").cast(pa.string()), k, counts)
+
+
 def _count(shared, limit: int):
-    def merged(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if held:
-            whole = pa.Table.from_batches(held).group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")])
-            yield from whole.select(["lang", "phrase", "words", "n_sum"]).rename_columns(["lang", "phrase", "words", "n"]).to_batches(max_chunksize=100_000)
+    def merged(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        # One thread, as each of several would hold the counts in a table of its own.
+        whole = pa.Table.from_batches(held).group_by(["lang", "phrase", "words"], use_threads=False).aggregate([("n", "sum")])
+        held.clear()
+        return whole.select(["lang", "phrase", "words", "n_sum"]).rename_columns(["lang", "phrase", "words", "n"]).to_batches(max_chunksize=100_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held, kept, new = [], 0, 0
         for block in blocks(batches, limit):
-
-            def rows(lang: np.ndarray, phrase: pa.Array, k: int, counts: np.ndarray) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([block.langs.take(pa.array(lang)), phrase, pa.array(np.full(len(counts), k, np.int32)), pa.array(counts.astype(np.int64))], ["lang", "phrase", "words", "n"])
-
-            n = np.bincount(block.lang, minlength=len(block.langs))
-            held.append(rows(np.arange(len(n)), pa.array([""] * len(n), pa.string()), 0, n))
-            for k, places, counts in levels(block, LONGEST, _known(shared.value, Hasher(block))):
-                parts = [block.vocab.take(pa.array(block.codes[places + j])) for j in range(k)]
-                held.append(rows(block.lang[places], pc.binary_join_element_wise(*parts, b" ").cast(pa.string()), k, counts))
-            if sum(x.num_rows for x in held) > HELD_ROWS:
-                held = list(merged(held))
-                # Phrases that came up again are one row now; only what is still many goes on.
-                if sum(x.num_rows for x in held) > HELD_ROWS // 2:
+            made = list(_block_counts(block, shared.value))
+            # Counts are merged, and the next block is read, without this one in memory.
+            block = None
+            held += made
+            new += sum(x.num_rows for x in made)
+            del made
+            # Merged once as many came as are held, so that phrases that came up again take little room; HELD_ROWS in all.
+            if new > min(kept, HELD_ROWS - kept):
+                full = kept + new > HELD_ROWS
+                held = merged(held)
+                kept, new = sum(x.num_rows for x in held), 0
+                # Only what is still many goes on.
+                if full and kept > HELD_ROWS // 2:
                     yield from held
-                    held = []
-        yield from merged(held)
+                    held, kept = [], 0
+        if held:
+            yield from merged(held)
 
     return run
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
+import weakref
 from collections import Counter
 from types import SimpleNamespace
 
@@ -137,6 +139,44 @@ def test_a_task_passes_on_repeated_phrases_once(monkeypatch):
     assert sorted((r["phrase"], r["words"], r["n"]) for r in made) == [("", 0, 100), ("kite", 1, 50), ("red", 1, 50), ("red kite", 2, 50)]
 
 
+@pytest.mark.parametrize("last", [0, 1, 5])
+def test_a_block_is_gone_before_the_next_is_read(monkeypatch, last):
+    """op12: a worker holds one block, and no parts of it."""
+    read, made, alive = collocations.read, [], []
+
+    def seen(batch):
+        alive.append(sum(ref() is not None for ref in made))
+        block = read(batch)
+        made.append(weakref.ref(block.codes))
+        return block
+
+    monkeypatch.setattr(collocations, "read", seen)
+    monkeypatch.setattr(collocations, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    every = SimpleNamespace(value=np.full(1 << 6, -1, np.int64).view(np.uint64))
+    run = collocations._mine(min(last, 3), last, every, 1) if last else collocations._count(every, 1)
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"], "text": ["a red kite and a red fox"]})
+    assert sum(b.num_rows for b in run(iter([batch] * 5))) and alive == [0] * 5
+
+
+def test_levels_take_few_bytes_a_word():
+    """op12: two workers of an executor count blocks of 2 million words at a time."""
+    rng = np.random.default_rng(5)
+    n = 400_000
+    vocab = pa.array([str(i).encode() for i in range(n // 10)])
+    block = collocations.Block((rng.random(n) ** 4 * len(vocab)).astype(np.int32), np.full(n, 5, np.uint8), np.zeros(n, np.int32), vocab, pa.array(["en"]), n)
+    block.room[-5:] = np.arange(5, 0, -1)
+    known = collocations._known(np.full(1 << 10, -1, np.int64).view(np.uint64), collocations.Hasher(block))
+    tracemalloc.start()
+    try:
+        found = [(k, len(places), int(counts.sum())) for k, places, counts in collocations.levels(block, 5, known)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    words = block.codes.tolist()
+    assert found == [(k, len({tuple(words[i : i + k]) for i in range(n - k + 1)}), n - k + 1) for k in range(1, 6)]
+    assert peak < 80 * n
+
+
 def page(main: str, menu: str = "", extra: str = "") -> str:
     return f"<html><head><title>T</title><script>var a = '<p>no</p>';</script></head><body>{menu}<div>{main}</div>{extra}</body></html>"
 
