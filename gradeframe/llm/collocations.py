@@ -18,6 +18,7 @@ phrases are exact.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import or_
 from typing import NamedTuple
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradeframe.llm.shared import discard, written
@@ -40,6 +41,8 @@ SHARDS = 8
 BLOCK_WORDS = 2_000_000
 #: Bytes of text that are cut into words at once.
 READ_BYTES = 4 << 20
+#: Bytes of a batch that Spark passes to a worker, about, if the session sets none.
+BATCH_BYTES = 4 << 20
 #: Places whose hashes are looked up at once.
 HASHED = 1 << 17
 #: Bits of the map of candidates; 16 MB, whatever the number of candidates.
@@ -333,13 +336,28 @@ def gathered(texts: DataFrame, n_bytes: int) -> DataFrame:
     return texts.coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // TASK_BYTES)))
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts go to the workers in batches of BATCH_BYTES: 10,000 rows of them fill buffers of many times this beside the executors' heaps."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def phrase_counts(docs: DataFrame, support: int, block_words: int = BLOCK_WORDS, bits: int = BITS) -> DataFrame:
     """(lang, phrase, words, n): exact counts of all phrases of two to LONGEST words that occur ``support`` times, and of the words within them; words 0 is the number of all words."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null")
-    found, n_bytes = candidates(texts, support, block_words, bits)
-    known = docs.sparkSession.sparkContext.broadcast(found)
-    counted = gathered(texts, n_bytes).mapInArrow(_count(known, block_words), "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return written(counted.where((F.col("words") == 0) | (F.col("n") >= support)), "phrases")
+    with small_batches(docs.sparkSession):
+        found, n_bytes = candidates(texts, support, block_words, bits)
+        known = docs.sparkSession.sparkContext.broadcast(found)
+        counted = gathered(texts, n_bytes).mapInArrow(_count(known, block_words), "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+        return written(counted.where((F.col("words") == 0) | (F.col("n") >= support)), "phrases")
 
 
 def _run(first: Column, size: Column) -> Column:

@@ -158,6 +158,22 @@ def test_a_block_is_gone_before_the_next_is_read(monkeypatch, last):
     assert sum(b.num_rows for b in run(iter([batch] * 5))) and alive == [0] * 5
 
 
+def test_texts_reach_workers_in_small_batches(spark):
+    """op12: batches are bounded by bytes while phrases are counted; a bound that the session sets holds."""
+    key, texts = "spark.sql.execution.arrow.maxBytesPerBatch", spark.createDataFrame([("x" * 1_000_000,)] * 12, "text string").coalesce(1)
+    sizes = lambda: [r.n for r in texts.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()]
+    with collocations.small_batches(spark):
+        assert max(sizes()) <= 6
+    assert spark.conf.get(key, None) is None and max(sizes()) > 6
+    spark.conf.set(key, 1 << 20)
+    try:
+        with collocations.small_batches(spark):
+            assert spark.conf.get(key) == str(1 << 20)
+        assert spark.conf.get(key) == str(1 << 20)
+    finally:
+        spark.conf.unset(key)
+
+
 def test_levels_take_few_bytes_a_word():
     """op12: two workers of an executor count blocks of 2 million words at a time."""
     rng = np.random.default_rng(5)
